@@ -36,6 +36,12 @@ SELECT 'repo' || CAST(event_id % 7 AS STRING) AS repo, event_id AS run_number, e
   CASE event_type WHEN 'click' THEN 'success' WHEN 'view' THEN 'failure' WHEN 'purchase' THEN 'cancelled' END AS conclusion,
   ts AS run_started_at, 'User' || CAST(user_id AS STRING) AS actor
 FROM {events}""",
+    "run_requests": """
+SELECT repo, name AS workflow, MAX(CASE WHEN conclusion = 'success' THEN run_number END) AS good_run,
+  MAX(CASE WHEN conclusion = 'failure' THEN run_number END) AS bad_run
+FROM (SELECT 'repo' || CAST(event_id % 7 AS STRING) AS repo, event_id AS run_number, event_type AS name,
+  CASE event_type WHEN 'click' THEN 'success' WHEN 'view' THEN 'failure' END AS conclusion FROM {events}) r
+GROUP BY repo, name""",
     "artifacts": """
 SELECT l_orderkey AS run_number,
   CASE l_linenumber WHEN 1 THEN 'pip' WHEN 2 THEN 'conda' WHEN 3 THEN 'npm' WHEN 4 THEN 'pixi-lock'
@@ -62,12 +68,14 @@ FROM (SELECT CASE WHEN l_linestatus = 'O' THEN 'good' ELSE 'bad' END AS side,
 SELECT DISTINCT side, format, archive, member FROM (
   SELECT CASE WHEN l_linestatus = 'O' THEN 'good' ELSE 'bad' END AS side, 'wheel' AS format,
     CASE WHEN l_linestatus = 'O' THEN 'lib-1.2.3rc1-py3-none-any.whl' ELSE 'lib-1.2.4-py3-none-any.whl' END AS archive,
-    CASE WHEN l_linestatus = 'O' THEN 'lib-1.2.3rc1' ELSE 'lib-1.2.4' END || '/f' || CAST(l_partkey % 500 AS STRING) || '.py' AS member
+    CASE WHEN l_linestatus = 'O' THEN 'lib-1.2.3rc1' ELSE 'lib-1.2.4' END || '/f'
+      || CAST(CASE WHEN l_linestatus = 'O' THEN l_partkey % 500 ELSE l_partkey % 480 + 10 END AS STRING) || '.py' AS member
   FROM {lineitem}
   UNION ALL
   SELECT CASE WHEN l_linestatus = 'O' THEN 'good' ELSE 'bad' END AS side, 'sdist' AS format,
     CASE WHEN l_linestatus = 'O' THEN 'lib-1.2.3rc1.tar.gz' ELSE 'lib-1.2.4.tar.gz' END AS archive,
-    CASE WHEN l_linestatus = 'O' THEN 'lib-1.2.3rc1' ELSE 'lib-1.2.4' END || '/src/m' || CAST(l_suppkey % 60 AS STRING) || '.py' AS member
+    CASE WHEN l_linestatus = 'O' THEN 'lib-1.2.3rc1' ELSE 'lib-1.2.4' END || '/src/m'
+      || CAST(CASE WHEN l_linestatus = 'O' THEN l_suppkey % 60 ELSE l_suppkey % 55 + 3 END AS STRING) || '.py' AS member
   FROM {lineitem}) t""",
     "archive_files": """
 SELECT DISTINCT CASE WHEN l_linestatus = 'O' THEN 'good' ELSE 'bad' END AS side,

@@ -157,3 +157,154 @@ FROM sentences s LEFT JOIN body b ON s.repo = b.repo AND s.from_tag = b.from_tag
 def q_changelog_document(spark, sf_dir):
     prs, tags = fx(spark, sf_dir, "pull_requests", "tags")
     return CL.changelog_document(prs, tags)
+
+
+# ====================================================================== runs
+
+from repolens.operators import runs as RU  # noqa: E402
+
+AS_OF = "2024-02-01 00:00:00"
+
+
+@register("active_runs", "Q10 V14", oracle_with(["workflow_runs"], f"""
+SELECT repo, name AS workflow, head_branch AS branch, display_title AS title, status,
+  {sql_ts('run_started_at')} AS started_at,
+  CAST(CAST(round_even((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(run_started_at)) / 1e6 / 60.0, 0) AS BIGINT) AS VARCHAR) || ' min' AS duration,
+  actor AS "user"
+FROM workflow_runs WHERE status IS DISTINCT FROM 'completed'"""))
+def q_active_runs(spark, sf_dir):
+    (runs,) = fx(spark, sf_dir, "workflow_runs")
+    out = RU.active_runs(runs, F.to_timestamp(F.lit(AS_OF)))
+    return out.withColumn("started_at", ts_text("started_at"))
+
+
+def _label_sql(alias: str) -> str:
+    n = f"CAST({alias}.run_number AS VARCHAR)"
+    c = f"COALESCE({alias}.conclusion, 'running')"
+    return (f"CASE WHEN length({n}) < 5 THEN rpad({n}, 5, ' ') ELSE {n} END || ' ' || "
+            f"CASE WHEN length({c}) < 13 THEN rpad({c}, 13, ' ') ELSE {c} END || ' ' || "
+            f"strftime({alias}.run_started_at, '%Y-%m-%d %H:%M') || '    branch: ' || COALESCE({alias}.head_branch, 'None') || ' '")
+
+
+@register("run_pairs", "Q11 V20", oracle_with(["workflow_runs", "run_requests"], f"""
+, hist AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY repo, name ORDER BY run_number DESC) AS rn FROM workflow_runs) t
+  WHERE rn <= 270)
+SELECT q.repo, q.workflow, q.good_run, q.bad_run, {_label_sql('g')} AS good_label, {_label_sql('b')} AS bad_label,
+  'https://api.github.com/repos/' || g.repo || '/actions/runs/' || CAST(g.run_number AS VARCHAR) || '/artifacts' AS good_url,
+  'https://api.github.com/repos/' || b.repo || '/actions/runs/' || CAST(b.run_number AS VARCHAR) || '/artifacts' AS bad_url
+FROM run_requests q JOIN hist g ON q.repo = g.repo AND q.workflow = g.name AND q.good_run = g.run_number
+JOIN hist b ON q.repo = b.repo AND q.workflow = b.name AND q.bad_run = b.run_number""".replace("\n, hist", ", hist", 1)))
+def q_run_pairs(spark, sf_dir):
+    runs, req = fx(spark, sf_dir, "workflow_runs", "run_requests")
+    return RU.run_pairs(runs, req)
+
+
+@register("artifacts_named", "Q12", oracle_with(["artifacts"], """
+SELECT run_number, name, archive_download_url FROM artifacts WHERE name IN ('pip', 'conda', 'npm')"""))
+def q_artifacts_named(spark, sf_dir):
+    (arts,) = fx(spark, sf_dir, "artifacts")
+    return RU.select_artifacts(arts, ["pip", "conda", "npm"])
+
+
+@register("artifacts_first", "Q12", oracle_with(["artifacts"], """
+SELECT run_number, arg_min(name, position) AS name, arg_min(archive_download_url, position) AS archive_download_url
+FROM artifacts GROUP BY run_number"""))
+def q_artifacts_first(spark, sf_dir):
+    (arts,) = fx(spark, sf_dir, "artifacts")
+    return RU.select_artifacts(arts)
+
+
+@register("env_files", "Q13", oracle_with(["text_files"], """
+, g AS (SELECT MIN(path) AS file FROM (SELECT DISTINCT path FROM text_files WHERE side = 'good'
+    AND lower(path) LIKE '%linux%' AND lower(path) LIKE '%3.11%' AND lower(path) LIKE '%\\_unit%' ESCAPE '\\') t)
+SELECT g.file, g.file AS good_path, b.bad_path FROM g
+LEFT JOIN (SELECT path AS file, MIN(path) AS bad_path FROM text_files WHERE side = 'bad' GROUP BY path) b ON g.file = b.file
+WHERE g.file IS NOT NULL""".replace("\n, g AS", ", g AS", 1)))
+def q_env_files(spark, sf_dir):
+    (lines,) = fx(spark, sf_dir, "text_files")
+    files = lines.select("side", "path").distinct()
+    return RU.match_env_files(files, "linux", "3.11", "unit")
+
+
+# ====================================================================== differences
+
+from repolens.operators import diffs as DF  # noqa: E402
+
+
+@register("line_diff", "Q14", oracle_with(["text_files"], """
+, numbered AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY side, path, line ORDER BY line_no) AS copy FROM text_files),
+b AS (SELECT path, line, copy, line_no FROM numbered WHERE side = 'bad'),
+g AS (SELECT path, line, copy, line_no FROM numbered WHERE side = 'good')
+SELECT COALESCE(b.path, g.path) AS path, COALESCE(b.line, g.line) AS line,
+  CASE WHEN g.line_no IS NULL THEN 'removed' ELSE 'added' END AS status, COALESCE(b.line_no, g.line_no) AS line_no
+FROM b FULL OUTER JOIN g ON b.path = g.path AND b.line = g.line AND b.copy = g.copy
+WHERE b.line_no IS NULL OR g.line_no IS NULL""".replace("\n, numbered", ", numbered", 1)))
+def q_line_diff(spark, sf_dir):
+    (lines,) = fx(spark, sf_dir, "text_files")
+    return DF.line_diff(lines)
+
+
+@register("package_diff", "Q15 V12", oracle_with(["lock_packages"], """
+, files AS (SELECT DISTINCT side, env, arch, regexp_extract(url, '[^/]*$') AS file FROM lock_packages),
+g0 AS (SELECT * FROM files WHERE side = 'good' AND env LIKE 'test%'),
+b0 AS (SELECT * FROM files WHERE side = 'bad'),
+g AS (SELECT * FROM g0 WHERE (env, arch) IN (SELECT env, arch FROM b0)),
+b AS (SELECT * FROM b0 WHERE (env, arch) IN (SELECT env, arch FROM g)),
+d AS (SELECT * FROM g WHERE (env, arch, file) NOT IN (SELECT env, arch, file FROM b)
+      UNION ALL SELECT * FROM b WHERE (env, arch, file) NOT IN (SELECT env, arch, file FROM g)),
+n AS (SELECT *, array_to_string(string_split(file, '-')[1:greatest(len(string_split(file, '-')) - 2, 0)], '-') AS package
+      FROM d WHERE file <> '.')
+SELECT env, arch, package, COALESCE(MIN(CASE WHEN side = 'good' THEN file END), '-') AS good_file,
+  COALESCE(MIN(CASE WHEN side = 'bad' THEN file END), '-') AS bad_file
+FROM n GROUP BY env, arch, package""".replace("\n, files", ", files", 1)))
+def q_package_diff(spark, sf_dir):
+    (locks,) = fx(spark, sf_dir, "lock_packages")
+    return DF.package_diff(locks)
+
+
+_NORM_SQL = r"""
+, vt AS (SELECT *, CASE WHEN format = 'wheel' THEN split_part(split_part(archive, '-py3', 1), '-py2', 1)
+      WHEN format IN ('sdist', 'conda1', 'npm') THEN split_part(split_part(split_part(replace(archive, '-core', ''), '.tar', 1), '-py_0', 1), '.tgz', 1)
+      ELSE split_part(split_part(replace(archive, '-core', ''), '.conda', 1), '-py_0', 1) END AS vtext FROM archive_members),
+pat AS (SELECT *, replace(regexp_extract(vtext, '^\w+.\d+.\d+.\d+'), '-', '.') AS plain,
+    replace(regexp_replace(regexp_replace(vtext, '([()\[\]{}?*+\-|^$\\.&~# ])', '\\\1', 'g'),
+      '(\d)(rc|a|b)(\d)', '\1\\-?\2\\.?\3', 'g'), '\-', '.') AS loose FROM vt),
+norm AS (SELECT DISTINCT side, format, regexp_replace(regexp_replace(member, loose, '$VERSION', 'g'), plain, '$VERSION', 'g') AS member
+  FROM pat WHERE plain <> ''),
+diff AS (SELECT g.side, g.format, g.member FROM norm g WHERE g.side = 'good'
+    AND NOT EXISTS (SELECT 1 FROM norm b WHERE b.side = 'bad' AND b.format = g.format AND b.member = g.member)
+  UNION ALL SELECT b.side, b.format, b.member FROM norm b WHERE b.side = 'bad'
+    AND NOT EXISTS (SELECT 1 FROM norm g WHERE g.side = 'good' AND g.format = b.format AND g.member = b.member))
+"""
+
+
+@register("file_list_diff", "Q16 V11", oracle_with(["archive_members"], _NORM_SQL.replace("\n, vt", ", vt", 1)
+                                                    + "SELECT format, side, member FROM diff"))
+def q_file_list_diff(spark, sf_dir):
+    (members,) = fx(spark, sf_dir, "archive_members")
+    return DF.file_list_diff(members)
+
+
+@register("file_list_side_by_side", "Q16", oracle_with(["archive_members"], _NORM_SQL.replace("\n, vt", ", vt", 1) + """
+, numbered AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY format, side ORDER BY member) AS row FROM diff)
+SELECT COALESCE(g.format, b.format) AS format, COALESCE(g.row, b.row) AS row,
+  COALESCE(g.member, '-') AS good_member, COALESCE(b.member, '-') AS bad_member
+FROM (SELECT * FROM numbered WHERE side = 'good') g FULL OUTER JOIN (SELECT * FROM numbered WHERE side = 'bad') b
+  ON g.format = b.format AND g.row = b.row"""))
+def q_file_list_side_by_side(spark, sf_dir):
+    (members,) = fx(spark, sf_dir, "archive_members")
+    return DF.file_list_side_by_side(DF.file_list_diff(members))
+
+
+@register("archive_pairs", "Q17", oracle_with(["archive_files"], r"""
+, picked AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY side, format ORDER BY
+    CASE WHEN format IN ('conda', 'conda1') AND archive NOT LIKE '%core%' THEN 1 ELSE 0 END, archive) AS rn FROM archive_files) t WHERE rn = 1),
+vt AS (SELECT *, CASE WHEN format = 'wheel' THEN split_part(split_part(archive, '-py3', 1), '-py2', 1)
+      WHEN format IN ('sdist', 'conda1', 'npm') THEN split_part(split_part(split_part(replace(archive, '-core', ''), '.tar', 1), '-py_0', 1), '.tgz', 1)
+      ELSE split_part(split_part(replace(archive, '-core', ''), '.conda', 1), '-py_0', 1) END AS vtext FROM picked),
+ok AS (SELECT *, regexp_matches(vtext, '^\w+.\d+.\d+.\d+') AS ok FROM vt)
+SELECT g.format, g.archive AS good_archive, b.archive AS bad_archive
+FROM ok g JOIN ok b ON g.format = b.format AND g.side = 'good' AND b.side = 'bad' WHERE g.ok AND b.ok""".replace("\n, picked", ", picked", 1)))
+def q_archive_pairs(spark, sf_dir):
+    (arch,) = fx(spark, sf_dir, "archive_files")
+    return DF.pick_archive_pairs(arch)
