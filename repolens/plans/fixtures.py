@@ -37,11 +37,9 @@ SELECT 'repo' || CAST(event_id % 7 AS STRING) AS repo, event_id AS run_number, e
   ts AS run_started_at, 'User' || CAST(user_id AS STRING) AS actor
 FROM {events}""",
     "run_requests": """
-SELECT repo, name AS workflow, MAX(CASE WHEN conclusion = 'success' THEN run_number END) AS good_run,
-  MAX(CASE WHEN conclusion = 'failure' THEN run_number END) AS bad_run
-FROM (SELECT 'repo' || CAST(event_id % 7 AS STRING) AS repo, event_id AS run_number, event_type AS name,
-  CASE event_type WHEN 'click' THEN 'success' WHEN 'view' THEN 'failure' END AS conclusion FROM {events}) r
-GROUP BY repo, name""",
+SELECT 'repo' || CAST(event_id % 7 AS STRING) AS repo, event_type AS workflow,
+  MAX(CASE WHEN event_id % 5 = 1 THEN event_id END) AS good_run, MAX(CASE WHEN event_id % 5 = 2 THEN event_id END) AS bad_run
+FROM {events} GROUP BY 1, 2""",
     "artifacts": """
 SELECT l_orderkey AS run_number,
   CASE l_linenumber WHEN 1 THEN 'pip' WHEN 2 THEN 'conda' WHEN 3 THEN 'npm' WHEN 4 THEN 'pixi-lock'
