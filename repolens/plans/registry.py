@@ -308,3 +308,152 @@ FROM ok g JOIN ok b ON g.format = b.format AND g.side = 'good' AND b.side = 'bad
 def q_archive_pairs(spark, sf_dir):
     (arch,) = fx(spark, sf_dir, "archive_files")
     return DF.pick_archive_pairs(arch)
+
+
+# ====================================================================== dependencies
+
+from repolens.operators import dependencies as DP  # noqa: E402
+
+PY_VERSION, PY_RELEASED, DEP_AS_OF = "3.10", "1997-01-01 00:00:00", "2001-12-01 00:00:00"
+
+_SUPPORT_SQL = f"""
+, parsed AS (SELECT package, upload_time, requires_python,
+    CASE WHEN filename LIKE '%.whl' AND len(string_split(filename, '-')) IN (5, 6) THEN string_split(filename, '-')[2]
+         WHEN filename LIKE '%.tar.gz' AND filename LIKE '%-%' THEN regexp_extract(filename, '-([^-]*)\\.tar\\.gz$', 1) END AS version
+  FROM index_files),
+final AS (SELECT *, CAST(string_split(version, '.') AS BIGINT[]) AS k FROM parsed
+  WHERE version IS NOT NULL AND regexp_matches(version, '^[0-9]+(\\.[0-9]+)*$')),
+checked AS (SELECT *, upload_time >= TIMESTAMP '{PY_RELEASED}' AND (requires_python IS NULL OR list_bool_and(list_transform(
+    string_split(replace(requires_python, '.*', ''), ','), lambda x: CASE
+      WHEN trim(x) LIKE '>=%' THEN [3, 10] >= CAST(string_split(trim(substr(trim(x), 3)), '.') AS BIGINT[])
+      WHEN trim(x) LIKE '<=%' THEN [3, 10] <= CAST(string_split(trim(substr(trim(x), 3)), '.') AS BIGINT[])
+      WHEN trim(x) LIKE '!=%' THEN [3, 10] <> CAST(string_split(trim(substr(trim(x), 3)), '.') AS BIGINT[])
+      WHEN trim(x) LIKE '==%' THEN [3, 10] = CAST(string_split(trim(substr(trim(x), 3)), '.') AS BIGINT[])
+      WHEN trim(x) LIKE '>%' THEN [3, 10] > CAST(string_split(trim(substr(trim(x), 2)), '.') AS BIGINT[])
+      WHEN trim(x) LIKE '<%' THEN [3, 10] < CAST(string_split(trim(substr(trim(x), 2)), '.') AS BIGINT[]) END))) AS ok
+  FROM final),
+per_version AS (SELECT package, k, MIN(version) AS spelling, MIN(upload_time) AS first_upload, bool_or(ok) AS any_ok
+  FROM checked GROUP BY package, k),
+windows AS (SELECT package,
+    COALESCE(arg_min(spelling, k) FILTER (WHERE any_ok), '-') AS minimum,
+    COALESCE(arg_max(spelling, k) FILTER (WHERE any_ok), '-') AS maximum,
+    COALESCE(arg_max(spelling, k), '-') AS current,
+    COALESCE(arg_min(spelling, k) FILTER (WHERE COALESCE(k[3], 0) = 0
+      AND first_upload >= TIMESTAMP '{DEP_AS_OF}' - INTERVAL 730 DAY), '-') AS spec0
+  FROM per_version GROUP BY package)
+"""
+
+_ALIAS_VALUES = ", ".join(f"('{a}', {repr(b) if b else 'NULL'})" for a, b in DP.PACKAGE_ALIASES)
+_NAMES_SQL = f"""
+, aliases(name, mapped) AS (VALUES {_ALIAS_VALUES}),
+names AS (SELECT main_package, regexp_extract(requirement, '^\\s*([A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)', 1) AS name
+  FROM requirements),
+deps AS (SELECT DISTINCT n.main_package, CASE WHEN a.name IS NOT NULL THEN a.mapped ELSE n.name END AS package
+  FROM names n LEFT JOIN aliases a ON n.name = a.name WHERE n.name <> '')
+"""
+
+
+@register("support_window", "Q18 V1 V3 V4", oracle_with(["index_files"], _SUPPORT_SQL.replace("\n, parsed", ", parsed", 1)
+                                                         + "SELECT * FROM windows"))
+def q_support_window(spark, sf_dir):
+    (files,) = fx(spark, sf_dir, "index_files")
+    return DP.support_window(files, PY_VERSION, DEP_AS_OF, released_at=PY_RELEASED)
+
+
+@register("dependency_names", "Q19 V5", oracle_with(["requirements"], _NAMES_SQL.replace("\n, aliases", ", aliases", 1)
+                                                    + "SELECT main_package, package FROM deps WHERE package IS NOT NULL"))
+def q_dependency_names(spark, sf_dir):
+    (req,) = fx(spark, sf_dir, "requirements")
+    return DP.dependency_names(req)
+
+
+@register("dependency_report", "Q20", oracle_with(["index_files", "requirements"],
+                                                  _SUPPORT_SQL.replace("\n, parsed", ", parsed", 1) + _NAMES_SQL + """
+SELECT d.main_package, d.package, COALESCE(w.minimum, '-') AS minimum, COALESCE(w.maximum, '-') AS maximum,
+  COALESCE(w.current, '-') AS current, COALESCE(w.spec0, '-') AS spec0
+FROM deps d LEFT JOIN windows w ON d.package = w.package WHERE d.package IS NOT NULL"""))
+def q_dependency_report(spark, sf_dir):
+    files, req = fx(spark, sf_dir, "index_files", "requirements")
+    return DP.dependency_report(req, files, PY_VERSION, DEP_AS_OF, released_at=PY_RELEASED)
+
+
+# ====================================================================== bisection and release
+
+from repolens.operators import bisect as BI  # noqa: E402
+from repolens.operators import release as RL  # noqa: E402
+
+_BISECT_SQL = """
+, cat AS (SELECT package, version, CAST(string_split(version, '.') AS BIGINT[]) AS k, bool_and(passed) AS passed
+  FROM version_results GROUP BY package, version),
+base AS (SELECT r.*, g.k AS gk, b.k AS bk, CASE WHEN g.k IS NULL THEN 'good version not found'
+    WHEN b.k IS NULL THEN 'bad version not found' WHEN NOT g.passed THEN 'good version failed'
+    WHEN b.passed THEN 'bad version passed' END AS reason
+  FROM bisect_ranges r LEFT JOIN cat g ON g.package = r.package AND g.version = r.good_version
+  LEFT JOIN cat b ON b.package = r.package AND b.version = r.bad_version),
+inr AS (SELECT u.package, u.good_version, u.bad_version, u.gk < u.bk AS forward, c.version, c.passed,
+    ROW_NUMBER() OVER (PARTITION BY u.package, u.good_version, u.bad_version ORDER BY c.k, c.version) AS a,
+    COUNT(*) OVER (PARTITION BY u.package, u.good_version, u.bad_version) AS n
+  FROM base u JOIN cat c ON c.package = u.package AND c.k >= least(u.gk, u.bk) AND c.k <= greatest(u.gk, u.bk)
+  WHERE u.reason IS NULL),
+pos AS (SELECT *, CASE WHEN forward THEN a ELSE n + 1 - a END AS pos FROM inr),
+RECURSIVE_PLACEHOLDER
+"""
+
+_BISECT_BODY = """
+, final AS (SELECT * FROM state WHERE r - l <= 1)
+SELECT b.package, b.good_version, b.bad_version, COALESCE(b.reason, 'ok') AS status,
+  CASE WHEN f.forward THEN 'forward' WHEN f.forward IS NOT NULL THEN 'reverse' END AS direction,
+  pf.version AS failing_version, pp.version AS passing_version, CAST(f.probes AS BIGINT) AS probes,
+  'tmp_' || sha256(b.package || '=' || b.good_version) AS good_env
+FROM base b LEFT JOIN final f ON b.package = f.package AND b.good_version = f.good_version AND b.bad_version = f.bad_version
+LEFT JOIN pos pf ON pf.package = f.package AND pf.good_version = f.good_version AND pf.bad_version = f.bad_version AND pf.pos = f.r
+LEFT JOIN pos pp ON pp.package = f.package AND pp.good_version = f.good_version AND pp.bad_version = f.bad_version AND pp.pos = f.r - 1
+"""
+
+
+def _bisect_sql() -> str:
+    head = oracle_with(["version_results", "bisect_ranges"], "")
+    head = head.replace("WITH ", "WITH RECURSIVE ", 1)
+    state = """state(package, good_version, bad_version, forward, l, r, probes) AS (
+  SELECT DISTINCT package, good_version, bad_version, forward, CAST(1 AS BIGINT), n, 0 FROM pos
+  UNION ALL
+  SELECT s.package, s.good_version, s.bad_version, s.forward,
+    CASE WHEN p.passed THEN p.pos ELSE s.l END, CASE WHEN p.passed THEN s.r ELSE p.pos END, s.probes + 1
+  FROM state s JOIN pos p ON p.package = s.package AND p.good_version = s.good_version
+    AND p.bad_version = s.bad_version AND p.pos = (s.l + s.r) // 2
+  WHERE s.r - s.l > 1)"""
+    return head.rstrip() + _BISECT_SQL.replace("RECURSIVE_PLACEHOLDER", state).rstrip().rstrip(",") + _BISECT_BODY
+
+
+@register("version_regressions", "Q34 Q35 V2 V17", _bisect_sql())
+def q_version_regressions(spark, sf_dir):
+    results, ranges = fx(spark, sf_dir, "version_results", "bisect_ranges")
+    return BI.version_regressions(results.select("package", "version"), results, ranges)
+
+
+_BUMP_SQL = r"""
+, parsed AS (SELECT package, tag, CAST(regexp_extract(tag, '^v(\d+)\.(\d+)\.(\d+)', 1) AS BIGINT) AS ma,
+    CAST(regexp_extract(tag, '^v(\d+)\.(\d+)\.(\d+)', 2) AS BIGINT) AS mi, CAST(regexp_extract(tag, '^v(\d+)\.(\d+)\.(\d+)', 3) AS BIGINT) AS mc,
+    regexp_extract(tag, '(a|b|rc)(\d+)$', 1) AS l, regexp_extract(tag, '(a|b|rc)(\d+)$', 2) AS ln FROM package_tags),
+pre_c AS (SELECT package, x.o - CASE l WHEN 'a' THEN 1 WHEN 'b' THEN 2 ELSE 3 END AS choice,
+    'v' || ma || '.' || mi || '.' || mc || CASE WHEN x.p IS NULL THEN ''
+      ELSE x.p || CAST(CASE WHEN x.p = l THEN CAST(ln AS BIGINT) + 1 ELSE 0 END AS VARCHAR) END AS tag
+  FROM parsed JOIN (VALUES ('a', 1), ('b', 2), ('rc', 3), (NULL, 4)) x(p, o) ON x.o >= CASE l WHEN 'a' THEN 1 WHEN 'b' THEN 2 ELSE 3 END
+  WHERE l <> ''),
+fin_c AS (SELECT package, a.o * 4 + b.o AS choice,
+    'v' || CASE a.p1 WHEN 'major' THEN ma + 1 ELSE ma END || '.' || CASE a.p1 WHEN 'minor' THEN mi + 1 WHEN 'major' THEN 0 ELSE mi END
+    || '.' || CASE a.p1 WHEN 'patch' THEN mc + 1 ELSE 0 END || COALESCE(b.p2 || '0', '') AS tag
+  FROM parsed CROSS JOIN (VALUES ('patch', 0), ('minor', 1), ('major', 2)) a(p1, o) CROSS JOIN (VALUES ('a', 0), ('b', 1), ('rc', 2), (NULL, 3)) b(p2, o)
+  WHERE l = ''),
+cands AS (SELECT * FROM pre_c UNION ALL SELECT * FROM fin_c)
+SELECT c.package, CAST(c.choice AS BIGINT) AS choice, c.tag,
+  regexp_replace(regexp_replace(c.tag, '^v', ''), '(a|b|rc)', '-\1.', 'g') AS npm_version
+FROM cands c WHERE NOT EXISTS (SELECT 1 FROM existing_tags e WHERE e.package = c.package AND e.tag = c.tag)
+"""
+
+
+@register("next_versions", "Q36 V7 V8 V9 V10", oracle_with(["package_tags", "existing_tags"],
+                                                           _BUMP_SQL.replace("\n, parsed", ", parsed", 1)))
+def q_next_versions(spark, sf_dir):
+    tags, existing = fx(spark, sf_dir, "package_tags", "existing_tags")
+    return RL.next_versions(tags, existing)
