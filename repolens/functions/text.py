@@ -168,6 +168,7 @@ def parse_ref_match(m) -> Column:
     is_sha = ref.rlike(SHA_PATTERN)
     tag = F.regexp_extract(comment, r"#\s*(\S+)", 1)
     return F.struct(
+        m.alias("whole"),
         F.regexp_extract(m, USES_PATTERN, 1).alias("lead"),
         action_path.alias("action_path"),
         F.array_join(F.slice(F.split(action_path, "/"), 1, 2), "/").alias("repo"),

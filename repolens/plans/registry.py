@@ -457,3 +457,167 @@ FROM cands c WHERE NOT EXISTS (SELECT 1 FROM existing_tags e WHERE e.package = c
 def q_next_versions(spark, sf_dir):
     tags, existing = fx(spark, sf_dir, "package_tags", "existing_tags")
     return RL.next_versions(tags, existing)
+
+
+# ====================================================================== workflow references
+
+from repolens.functions.fixed_values import USES_PATTERN  # noqa: E402
+from repolens.operators import refs as RF  # noqa: E402
+
+_OCC_SQL = f"""
+, occ AS (SELECT w.path, CAST(i - 1 AS BIGINT) AS pos, w.ms[i] AS whole
+  FROM (SELECT path, regexp_extract_all(content, '{USES_PATTERN}') AS ms FROM workflows) w,
+  range(1, len(w.ms) + 1) r(i)),
+parsed AS (SELECT path, pos, whole, regexp_extract(whole, '{USES_PATTERN}', 1) AS lead,
+    regexp_extract(whole, '{USES_PATTERN}', 2) AS action_path, regexp_extract(whole, '{USES_PATTERN}', 3) AS ref,
+    regexp_extract(whole, '{USES_PATTERN}', 4) AS comment FROM occ),
+refs0 AS (SELECT *, array_to_string(string_split(action_path, '/')[1:2], '/') AS repo,
+    regexp_matches(ref, '^[0-9a-fA-F]{{40}}$') AS is_sha FROM parsed),
+occurrences AS (SELECT *, CASE WHEN is_sha AND regexp_extract(comment, '#\\s*(\\S+)', 1) <> ''
+    THEN regexp_extract(comment, '#\\s*(\\S+)', 1) END AS tag FROM refs0),
+refs AS (SELECT repo, ref, first(is_sha) AS is_sha, first(tag ORDER BY path, pos) AS tag FROM occurrences GROUP BY repo, ref)
+"""
+
+_LATEST_SQL = """
+, q_{n} AS (SELECT DISTINCT repo, {col} AS query, regexp_extract({col}, '^([^0-9]*)(\\d+(?:\\.\\d+)*)$', 1) AS prefix,
+    CAST(string_split(regexp_extract({col}, '^([^0-9]*)(\\d+(?:\\.\\d+)*)$', 2), '.') AS BIGINT[]) AS cur,
+    regexp_extract({col}, '^([^0-9]*)(\\d+(?:\\.\\d+)*)$', 2) LIKE '%.%' AS has_dot
+  FROM {src} WHERE {col} NOT IN ('main', 'master', 'dev', 'develop', 'latest', 'HEAD')
+    AND regexp_matches({col}, '^([^0-9]*)(\\d+(?:\\.\\d+)*)$')),
+c_{n} AS (SELECT q.repo, q.query, q.cur, nm.name, nm.kind = 'tag' AS is_tag,
+    CAST(string_split(regexp_extract(nm.name, '^([^0-9]*)(\\d+(?:\\.\\d+)*)$', 2), '.') AS BIGINT[]) AS v
+  FROM q_{n} q JOIN ref_names nm ON nm.repo = q.repo AND regexp_matches(nm.name, '^([^0-9]*)(\\d+(?:\\.\\d+)*)$')
+    AND regexp_extract(nm.name, '^([^0-9]*)(\\d+(?:\\.\\d+)*)$', 1) = q.prefix
+  WHERE CASE WHEN q.has_dot THEN TRUE
+    WHEN {expand} THEN len(string_split(regexp_extract(nm.name, '^([^0-9]*)(\\d+(?:\\.\\d+)*)$', 2), '.')) > len(q.cur)
+      AND CAST(string_split(regexp_extract(nm.name, '^([^0-9]*)(\\d+(?:\\.\\d+)*)$', 2), '.') AS BIGINT[])[1:len(q.cur)] = q.cur
+    ELSE regexp_extract(nm.name, '^([^0-9]*)(\\d+(?:\\.\\d+)*)$', 2) NOT LIKE '%.%' END),
+b_{n} AS (SELECT repo, query, cur, name, v, ROW_NUMBER() OVER (PARTITION BY repo, query ORDER BY is_tag DESC, v DESC, name DESC) AS rk
+  FROM c_{n}),
+latest_{n} AS (SELECT repo, query, CASE WHEN v > cur THEN name END AS latest FROM b_{n} WHERE rk = 1)
+"""
+
+
+def _latest_sql(n: str, src: str, col: str, expand: bool) -> str:
+    return _LATEST_SQL.format(n=n, src=src, col=col, expand="TRUE" if expand else "FALSE")
+
+
+_RESOLVE_SQL = """
+, resolved AS (SELECT repo, name, arg_min(commit_sha, (kind <> 'tag', commit_sha)) AS commit_sha FROM ref_names GROUP BY repo, name)
+"""
+
+
+def _plan_sql(pin: bool, expand: bool, mutable: bool) -> str:
+    target_s = "COALESCE(l.latest, CASE WHEN r.tag NOT LIKE '%.%' THEN r.tag END)" if mutable else "l.latest"
+    target_n = "COALESCE(l.latest, r.ref)" if pin else "l.latest"
+    return (_latest_sql("s", "(SELECT * FROM refs WHERE is_sha AND tag IS NOT NULL)", "tag", expand)
+            + _latest_sql("n", "(SELECT * FROM refs WHERE NOT is_sha)", "ref", expand) + _RESOLVE_SQL + f"""
+, s AS (SELECT r.repo, r.ref, CASE WHEN r.tag IS NOT NULL THEN {target_s} END AS target
+  FROM refs r LEFT JOIN latest_s l ON l.repo = r.repo AND l.query = r.tag WHERE r.is_sha),
+s2 AS (SELECT s.repo, s.ref, s.target, c.commit_sha FROM s LEFT JOIN resolved c ON c.repo = s.repo AND c.name = s.target),
+n AS (SELECT r.repo, r.ref, {target_n} AS target FROM refs r LEFT JOIN latest_n l ON l.repo = r.repo AND l.query = r.ref
+  WHERE NOT r.is_sha),
+plan AS (SELECT repo, ref, CASE WHEN target IS NOT NULL AND commit_sha IS DISTINCT FROM ref THEN target END AS latest_tag,
+    CASE WHEN target IS NOT NULL AND commit_sha IS DISTINCT FROM ref THEN commit_sha END AS latest_sha FROM s2
+  UNION ALL
+  SELECT n.repo, n.ref, n.target AS latest_tag, {'c.commit_sha' if pin else 'CAST(NULL AS VARCHAR)'} AS latest_sha
+  FROM n LEFT JOIN resolved c ON c.repo = n.repo AND c.name = n.target)
+""")
+
+
+def _refs_sql(body: str) -> str:
+    return oracle_with(["workflows", "ref_names"], _OCC_SQL.replace("\n, occ", ", occ", 1)) + body
+
+
+def _refs_inputs(spark, sf_dir):
+    files, names = fx(spark, sf_dir, "workflows", "ref_names")
+    return files, names, RF.collect_refs(files)
+
+
+@register("collect_refs", "Q22 V21", _refs_sql("SELECT repo, ref, is_sha, tag FROM refs"))
+def q_collect_refs(spark, sf_dir):
+    _, _, refs = _refs_inputs(spark, sf_dir)
+    return refs
+
+
+@register("unpinnable_refs", "Q26", _refs_sql("SELECT repo, ref FROM refs WHERE is_sha AND tag IS NULL"))
+def q_unpinnable_refs(spark, sf_dir):
+    _, _, refs = _refs_inputs(spark, sf_dir)
+    return RF.unpinnable_refs(refs)
+
+
+@register("latest_refs", "Q23", _refs_sql(_latest_sql("a", "(SELECT * FROM refs WHERE NOT is_sha)", "ref", False)
+                                          + "SELECT repo, query AS ref, latest FROM latest_a"))
+def q_latest_refs(spark, sf_dir):
+    _, names, refs = _refs_inputs(spark, sf_dir)
+    return RF.latest_refs(refs.filter(~F.col("is_sha")), names)
+
+
+@register("latest_refs_expand", "Q23", _refs_sql(_latest_sql("a", "(SELECT * FROM refs WHERE NOT is_sha)", "ref", True)
+                                                 + "SELECT repo, query AS ref, latest FROM latest_a"))
+def q_latest_refs_expand(spark, sf_dir):
+    _, names, refs = _refs_inputs(spark, sf_dir)
+    return RF.latest_refs(refs.filter(~F.col("is_sha")), names, expand=True)
+
+
+@register("resolve_commits", "Q24", oracle_with(["ref_names"], "") .rstrip() + _RESOLVE_SQL.replace("\n, resolved", ", resolved", 1)
+          + "SELECT repo, name, commit_sha FROM resolved")
+def q_resolve_commits(spark, sf_dir):
+    (names,) = fx(spark, sf_dir, "ref_names")
+    return RF.resolve_commits(names, names)
+
+
+@register("ref_update_plan", "Q25", _refs_sql(_plan_sql(False, False, False) + "SELECT * FROM plan"))
+def q_ref_update_plan(spark, sf_dir):
+    _, names, refs = _refs_inputs(spark, sf_dir)
+    return RF.plan_ref_updates(refs, names)
+
+
+@register("ref_update_plan_pinned", "Q25", _refs_sql(_plan_sql(True, True, True) + "SELECT * FROM plan"))
+def q_ref_update_plan_pinned(spark, sf_dir):
+    _, names, refs = _refs_inputs(spark, sf_dir)
+    return RF.plan_ref_updates(refs, names, pin=True, expand=True, mutable=True)
+
+
+RENAMES = [("tools/tasks/old_setup", "tools/tasks/old-setup")]
+
+_REWRITE_SQL = """
+, renames(old_path, new_path) AS (VALUES ('tools/tasks/old_setup', 'tools/tasks/old-setup')),
+upd AS (SELECT * FROM plan WHERE latest_tag IS NOT NULL),
+rep AS (SELECT o.path, o.pos, o.action_path, o.ref, u.latest_tag, u.latest_sha, COALESCE(rn.new_path, o.action_path) AS np,
+    rn.new_path IS NOT NULL AND rn.new_path <> o.action_path AS renamed, o.lead, o.whole
+  FROM occurrences o LEFT JOIN upd u ON u.repo = o.repo AND u.ref = o.ref LEFT JOIN renames rn ON rn.old_path = o.action_path),
+rep2 AS (SELECT *, CASE WHEN latest_tag IS NOT NULL AND latest_sha IS NOT NULL THEN lead || np || '@' || latest_sha || ' # ' || latest_tag
+    WHEN latest_tag IS NOT NULL THEN lead || np || '@' || latest_tag WHEN renamed THEN lead || np || '@' || ref ELSE whole END AS repl
+  FROM rep),
+gaps AS (SELECT w.path, w.content, CAST(i - 1 AS BIGINT) AS pos, w.g[i] AS gap
+  FROM (SELECT path, content, regexp_split_to_array(content, '{pat}') AS g FROM workflows) w, range(1, len(w.g) + 1) r(i)),
+texts AS (SELECT g.path, g.content AS text, string_agg(g.gap || COALESCE(r.repl, ''), '' ORDER BY g.pos) AS new_text
+  FROM gaps g LEFT JOIN rep2 r ON r.path = g.path AND r.pos = g.pos GROUP BY g.path, g.content),
+changed AS (SELECT * FROM texts WHERE new_text <> text)
+""".replace("{pat}", USES_PATTERN)
+
+
+def _rewrite_inputs(spark, sf_dir):
+    files, names, refs = _refs_inputs(spark, sf_dir)
+    plan = RF.plan_ref_updates(refs, names, pin=True, expand=False, mutable=False)
+    renames = spark.createDataFrame(RENAMES, "old_path string, new_path string")
+    return RF.rewrite_refs(files, plan, renames)
+
+
+@register("rewrite_texts", "Q27 K3", _refs_sql(_plan_sql(True, False, False) + _REWRITE_SQL
+                                               + "SELECT path, text, new_text FROM changed"))
+def q_rewrite_texts(spark, sf_dir):
+    texts, _ = _rewrite_inputs(spark, sf_dir)
+    return texts
+
+
+@register("ref_changes", "Q27", _refs_sql(_plan_sql(True, False, False) + _REWRITE_SQL + """
+SELECT r.path, r.pos, CASE WHEN r.latest_tag IS NULL THEN r.action_path ELSE r.np END AS action_path,
+  CASE WHEN r.latest_tag IS NOT NULL AND r.latest_sha IS NOT NULL THEN substr(r.ref, 1, 12) ELSE r.ref END AS old,
+  CASE WHEN r.latest_tag IS NOT NULL AND r.latest_sha IS NOT NULL THEN substr(r.latest_sha, 1, 12) || ' (' || r.latest_tag || ')'
+    WHEN r.latest_tag IS NOT NULL THEN r.latest_tag ELSE r.np || '@' || r.ref END AS new
+FROM rep2 r WHERE (r.latest_tag IS NOT NULL OR r.renamed) AND r.path IN (SELECT path FROM changed)"""))
+def q_ref_changes(spark, sf_dir):
+    _, changes = _rewrite_inputs(spark, sf_dir)
+    return changes
