@@ -150,6 +150,15 @@ FROM {supplier}""",
 SELECT 'repo' || CAST(s_suppkey AS STRING) AS package,
   'v' || CAST(s_nationkey % 3 AS STRING) || '.' || CAST(s_suppkey % 10 AS STRING) || '.' || CAST(s_suppkey % 4 + 1 AS STRING) AS tag
 FROM {supplier}""",
+    "stored_documents": """
+SELECT 'dev_' || source AS repo, CAST(doc_id AS STRING) || '_Bug_' || lang || '__more' AS filename
+FROM {documents} WHERE doc_id % 4 = 0""",
+    "downloads": """
+SELECT DISTINCT CAST(100 + o_orderkey % 40 AS STRING) AS milestone,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'chrome' WHEN '2-HIGH' THEN 'chromedriver' ELSE 'chrome-headless-shell' END AS product,
+  CASE o_orderstatus WHEN 'F' THEN 'linux64' WHEN 'O' THEN 'mac-arm64' ELSE 'win64' END AS platform,
+  'https://dl.example.org/' || CAST(100 + o_orderkey % 40 AS STRING) || '/' || o_orderstatus || '/' || o_orderpriority || '.zip' AS url
+FROM {orders}""",
 }
 
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")

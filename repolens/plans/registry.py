@@ -621,3 +621,108 @@ FROM rep2 r WHERE (r.latest_tag IS NOT NULL OR r.renamed) AND r.path IN (SELECT
 def q_ref_changes(spark, sf_dir):
     _, changes = _rewrite_inputs(spark, sf_dir)
     return changes
+
+
+# ====================================================================== sources, working files, pages
+
+from repolens.functions.fixed_values import TEMP_PATTERNS  # noqa: E402
+from repolens.operators import deprecations as DPC  # noqa: E402
+from repolens.operators import manifest as MF  # noqa: E402
+from repolens.operators import pages as PG  # noqa: E402
+from repolens.operators import workfiles as WF  # noqa: E402
+
+
+@register("overdue_deprecations", "Q21 V6", oracle_with(["sources", "package_versions"], r"""
+, calls AS (SELECT package, path, CAST(3 AS BIGINT) AS line, CAST(4 AS BIGINT) AS col,
+    regexp_extract(content, '\n    deprecated\("([^"]*)"', 1) AS version FROM sources
+  WHERE regexp_matches(content, '\n    deprecated\("'))
+SELECT c.package, c.path, c.line, c.col, c.version, regexp_extract(v.version, '^([0-9.]+)', 1) AS base_version,
+  COALESCE(CAST(string_split(regexp_extract(v.version, '^([0-9.]+)', 1), '.') AS BIGINT[])
+    >= CAST(string_split(c.version, '.') AS BIGINT[]), FALSE) AS overdue
+FROM calls c LEFT JOIN package_versions v ON c.package = v.package""".replace("\n, calls", ", calls", 1)))
+def q_overdue_deprecations(spark, sf_dir):
+    src, pv = fx(spark, sf_dir, "sources", "package_versions")
+    return DPC.overdue_deprecations(src, pv)
+
+
+@register("deprecation_summary", "Q21", oracle_with(["sources", "package_versions"], r"""
+, calls AS (SELECT package, regexp_extract(content, '\n    deprecated\("([^"]*)"', 1) AS version FROM sources
+  WHERE regexp_matches(content, '\n    deprecated\("'))
+SELECT c.package, COUNT(*) AS calls, COUNT(*) FILTER (WHERE CAST(string_split(regexp_extract(v.version, '^([0-9.]+)', 1), '.') AS BIGINT[])
+    >= CAST(string_split(c.version, '.') AS BIGINT[])) AS overdue
+FROM calls c LEFT JOIN package_versions v ON c.package = v.package GROUP BY c.package""".replace("\n, calls", ", calls", 1)))
+def q_deprecation_summary(spark, sf_dir):
+    src, pv = fx(spark, sf_dir, "sources", "package_versions")
+    return DPC.deprecation_summary(DPC.overdue_deprecations(src, pv))
+
+
+@register("archive_plan", "Q28 V16", oracle_with(["dev_files", "issue_states"], r"""
+, entries AS (SELECT DISTINCT string_split(path, '/')[1] AS folder, string_split(path, '/')[2] AS name FROM dev_files
+  WHERE len(string_split(path, '/')) >= 2),
+e2 AS (SELECT folder, name, replace(folder, 'dev_', '') AS repo,
+    TRY_CAST(NULLIF(regexp_extract(name, '^\d+'), '') AS BIGINT) AS number FROM entries
+  WHERE folder LIKE 'dev\_%' ESCAPE '\' AND name NOT LIKE '%archive%')
+SELECT e.repo, e.folder, e.name, e.number, s.state,
+  CASE WHEN e.number IS NULL THEN 'unassociated' WHEN s.state IN ('closed', 'merged') THEN 'archive' ELSE 'keep' END AS action,
+  CASE WHEN e.number IS NOT NULL AND s.state IN ('closed', 'merged') THEN e.folder || '/archive/' || e.name END AS target
+FROM e2 e LEFT JOIN issue_states s ON s.repo = e.repo AND s.number = e.number""".replace("\n, entries", ", entries", 1)))
+def q_archive_plan(spark, sf_dir):
+    files, issues = fx(spark, sf_dir, "dev_files", "issue_states")
+    return WF.archive_plan(files, issues)
+
+
+_GLOB_CASE = " ".join(
+    f"WHEN list_bool_or(list_transform(string_split(path, '/'), lambda p: p GLOB '{g}')) THEN '{g}'" for g in TEMP_PATTERNS)
+
+
+@register("stale_files", "Q29 V22", oracle_with(["dev_files"], f"""
+SELECT path, pattern FROM (SELECT path, CASE {_GLOB_CASE} END AS pattern FROM dev_files) t WHERE pattern IS NOT NULL"""))
+def q_stale_files(spark, sf_dir):
+    (files,) = fx(spark, sf_dir, "dev_files")
+    return WF.stale_files(files)
+
+
+@register("recent_files", "Q30", oracle_with(["dev_files"], f"""
+SELECT path, {sql_ts('mtime')} AS mtime FROM dev_files
+WHERE regexp_matches(regexp_extract(path, '[^/]*$'), '\\d{{3,5}}.+?\\.py$') AND path NOT LIKE '%archive%' AND path LIKE 'dev\\_%' ESCAPE '\\'
+ORDER BY mtime DESC, path DESC LIMIT 20"""))
+def q_recent_files(spark, sf_dir):
+    (files,) = fx(spark, sf_dir, "dev_files")
+    return WF.recent_files(files, 20).withColumn("mtime", ts_text("mtime"))
+
+
+_BLOCKS_SQL = r"""
+, blocks AS (SELECT 'https://example.org/' || CAST(doc_id AS VARCHAR) AS url, CAST(0 AS BIGINT) AS block,
+    'x = ' || CAST(n_chars AS VARCHAR) AS code,
+    replace(regexp_replace('Bug: ' || lang || ' & more!', '[^\p{L}\p{N} ]', '', 'g'), ' ', '_') AS title,
+    CAST(doc_id AS VARCHAR) AS number, 'dev_' || source AS repo FROM documents)
+"""
+
+
+@register("code_blocks", "Q31 V15", "WITH " + _BLOCKS_SQL.replace("\n, blocks", "blocks", 1)
+          + "SELECT url, block, code, title, number, repo, number || '_' || title AS filename FROM blocks")
+def q_code_blocks(spark, sf_dir):
+    (pages,) = fx(spark, sf_dir, "issue_pages")
+    return PG.code_blocks(pages)
+
+
+@register("documents", "Q32")
+def q_documents(spark, sf_dir):
+    (pages,) = fx(spark, sf_dir, "issue_pages")
+    return PG.assemble_documents(PG.code_blocks(pages), "2024-02-01", prelude="import pandas as pd")
+
+
+@register("new_documents", "Q33 K2", oracle_with(["stored_documents"], _BLOCKS_SQL + """
+SELECT b.repo, b.number || '_' || b.title AS filename, b.url, CAST(1 AS BIGINT) AS blocks FROM blocks b
+WHERE NOT EXISTS (SELECT 1 FROM stored_documents s WHERE s.repo = b.repo AND s.filename = b.number || '_' || b.title)"""))
+def q_new_documents(spark, sf_dir):
+    pages, stored = fx(spark, sf_dir, "issue_pages", "stored_documents")
+    docs = PG.assemble_documents(PG.code_blocks(pages), "2024-02-01", prelude="import pandas as pd")
+    return PG.insert_if_absent(docs, stored).select("repo", "filename", "url", "blocks")
+
+
+@register("download_index", "Q37 S13", oracle_with(["downloads"], """
+SELECT milestone, product, platform, url FROM downloads WHERE platform = 'linux64'"""))
+def q_download_index(spark, sf_dir):
+    (flat,) = fx(spark, sf_dir, "downloads")
+    return MF.download_index(MF.nest_manifest(flat), platform="linux64")
