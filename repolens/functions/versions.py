@@ -35,15 +35,36 @@ def _num(c: Column) -> Column:
     return F.when(c != "", c.try_cast("bigint"))
 
 
+_FIELDS = ["epoch", "release", "pre_l", "pre_n", "post_n1", "post_l", "post_n2", "dev_l", "dev_n", "local"]
+
+
+def version_parts(c) -> Column:
+    """The raw PEP 440 groups of a version as one struct (each regex run once).
+
+    Put it in its own column (``withColumn``) and pass that column to the other
+    functions with ``parts=True``: Spark keeps a projection that would repeat
+    an expensive expression, so every later use reads the stored groups.
+    """
+    c = _col(c)
+    return F.struct(c.rlike(PEP440).alias("valid"),
+                    *[F.regexp_extract(c, PEP440, i + 1).alias(f) for i, f in enumerate(_FIELDS)])
+
+
 class _Parts:
     """Pieces of a PEP 440 version held as column expressions."""
 
-    def __init__(self, c):
+    def __init__(self, c, parts: bool = False):
         c = _col(c)
-        self.valid = c.rlike(PEP440)
+        if parts:
+            self.valid = c["valid"]
 
-        def g(i):
-            return F.regexp_extract(c, PEP440, i)
+            def g(i):
+                return c[_FIELDS[i - 1]]
+        else:
+            self.valid = c.rlike(PEP440)
+
+            def g(i):
+                return F.regexp_extract(c, PEP440, i)
 
         self.epoch = F.coalesce(_num(g(1)), F.lit(0))
         self.release_text = g(2)
@@ -106,24 +127,24 @@ class _Parts:
 # ---------------------------------------------------------------- V1
 
 
-def version_key(c, with_local: bool = True) -> Column:
+def version_key(c, with_local: bool = True, parts: bool = False) -> Column:
     """V1: PEP 440 ordering key; null for text that is not a version."""
-    return _Parts(c).key(with_local)
+    return _Parts(c, parts).key(with_local)
 
 
 def is_version(c) -> Column:
     return _col(c).rlike(PEP440)
 
 
-def is_prerelease(c) -> Column:
+def is_prerelease(c, parts: bool = False) -> Column:
     """True for versions with a pre or dev part (dev releases count as pre-releases)."""
-    p = _Parts(c)
+    p = _Parts(c, parts)
     return F.when(p.valid, p.has_pre | p.has_dev)
 
 
-def normalize_version(c) -> Column:
+def normalize_version(c, parts: bool = False) -> Column:
     """The normal form of a version, as ``str(Version(c))`` prints it."""
-    return _Parts(c).normal()
+    return _Parts(c, parts).normal()
 
 
 def release_part(c, i: int) -> Column:

@@ -53,8 +53,9 @@ def support_window(files: DataFrame, python_version: str, as_of, released_at=Non
     # reduce to one row per spelling before any version parsing
     spelled = parsed.groupBy("package", "version").agg(
         F.min("upload_time").alias("first_upload"), F.max("ok").alias("any_ok"))
-    per_version = (spelled.filter(~V.is_prerelease("version"))
-                   .withColumn("vkey", V.version_key("version"))
+    spelled = spelled.withColumn("vp", V.version_parts("version"))
+    per_version = (spelled.filter(~V.is_prerelease("vp", parts=True))
+                   .withColumn("vkey", V.version_key("vp", parts=True))
                    .groupBy("package", "vkey")
                    .agg(F.min("version").alias("spelling"), F.min("first_upload").alias("first_upload"),
                         F.max("any_ok").alias("any_ok")))
@@ -68,9 +69,10 @@ def support_window(files: DataFrame, python_version: str, as_of, released_at=Non
         F.max_by("spelling", ok_key).alias("maximum"),
         F.max_by("spelling", F.col("vkey")).alias("current"),
         F.min_by("spelling", spec0_key).alias("spec0"))
+    cols = ["minimum", "maximum", "current", "spec0"]
+    per_package = per_package.select("package", *[V.version_parts(c).alias(c) for c in cols])
     return per_package.select(
-        "package", *[F.coalesce(V.normalize_version(c), F.lit("-")).alias(c)
-                     for c in ["minimum", "maximum", "current", "spec0"]])
+        "package", *[F.coalesce(V.normalize_version(c, parts=True), F.lit("-")).alias(c) for c in cols])
 
 
 def aliases(spark) -> DataFrame:
