@@ -214,28 +214,42 @@ def specifier_contains(spec, version) -> Column:
 # ---------------------------------------------------------------- V4
 
 
+WHEEL_NAME = r"^([^-]*)-([^-]*)(?:-[^-]*)?-[^-]*-[^-]*-[^-]*\.whl$"
+SDIST_NAME = r"^(.*)-([^-]*)(?:\.tar\.gz|\.zip)$"
+
+
 def parse_dist_filename(c) -> Column:
     """V4: struct(name, version) from a wheel or source archive name; null otherwise.
 
     Wheels: ``name-version[-build]-py-abi-platform.whl`` (4 or 5 dashes).
     Source archives: ``.tar.gz`` or ``.zip``, version after the last dash.
-    The version must parse.
+    The version must parse. Two anchored extracts per row: small enough that
+    Catalyst may copy it into a pushed-down filter without cost.
     """
     c = _col(c)
-    wheel_stem = F.regexp_replace(c, r"\.whl$", "")
-    wheel_parts = F.split(wheel_stem, "-")
-    sdist_stem = F.regexp_replace(c, r"(\.tar\.gz|\.zip)$", "")
-    is_wheel = c.endswith(".whl")
-    is_sdist = c.endswith(".tar.gz") | c.endswith(".zip")
-    name = (F.when(is_wheel & F.size(wheel_parts).isin(5, 6), F.element_at(wheel_parts, 1))
-            .when(is_sdist & sdist_stem.contains("-"),
-                  F.regexp_extract(sdist_stem, r"^(.*)-[^-]*$", 1)))
-    version = (F.when(is_wheel & F.size(wheel_parts).isin(5, 6), F.element_at(wheel_parts, 2))
-               .when(is_sdist & sdist_stem.contains("-"), F.substring_index(sdist_stem, "-", -1)))
-    ok = name.isNotNull() & (name != "") & is_version(version)
+    name = F.when(c.rlike(WHEEL_NAME), F.regexp_extract(c, WHEEL_NAME, 1)) \
+        .otherwise(F.when(c.rlike(SDIST_NAME), F.regexp_extract(c, SDIST_NAME, 1)))
+    version = F.when(c.rlike(WHEEL_NAME), F.regexp_extract(c, WHEEL_NAME, 2)) \
+        .otherwise(F.when(c.rlike(SDIST_NAME), F.regexp_extract(c, SDIST_NAME, 2)))
+    ok = (name != "") & is_version(version)
     return F.when(ok, F.struct(name.alias("name"), version.alias("version")))
 
 
+# version part of a wheel (4 or 5 dashes) or source archive name, one group for both
+DIST_VERSION = (r"^(?:[^-]+-(?=[^-]*(?:-[^-]*)?-[^-]*-[^-]*-[^-]*\.whl$)"
+                r"|.+-(?=[^-]*(?:\.tar\.gz|\.zip)$))([^-]*?)(?=-|\.tar\.gz$|\.zip$)")
+
+
+def dist_version(c) -> Column:
+    """The version text of a wheel or source archive name (V4); null when it does not parse.
+
+    One extract reads the input once, so the column stays small even where
+    Catalyst inlines an upstream expression for ``c``.
+    """
+    v = F.regexp_extract(_col(c), DIST_VERSION, 1)
+    return F.when(is_version(v), v)
+
+
 # ---------------------------------------------------------------- V5, V6
 
 

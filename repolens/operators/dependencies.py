@@ -37,10 +37,11 @@ def support_window(files: DataFrame, python_version: str, as_of, released_at=Non
     Two partial aggregations: per (package, version) then per package.
     """
     py_date = _release_date(python_version, released_at)
-    parsed = (files.select("package", V.parse_dist_filename("filename").alias("p"),
-                           F.coalesce("requires_python", F.lit("")).alias("spec"), "upload_time")
-              .filter(F.col("p").isNotNull())
-              .select("package", F.col("p.version").alias("version"), "spec", "upload_time"))
+    # unparsable names get a null version and are dropped after the first
+    # aggregation (a row filter here would be pushed into the scan with the
+    # parse expression copied into it)
+    parsed = files.select("package", V.dist_version("filename").alias("version"),
+                          F.coalesce("requires_python", F.lit("")).alias("spec"), "upload_time")
     # the specifier test is a large expression: evaluate it once per distinct
     # specifier text (a small table), not once per file
     if py_date is None:
@@ -52,13 +53,17 @@ def support_window(files: DataFrame, python_version: str, as_of, released_at=Non
             "ok", F.col("spec_ok") & (F.col("upload_time") >= F.lit(py_date)))
     # reduce to one row per spelling before any version parsing
     spelled = parsed.groupBy("package", "version").agg(
-        F.min("upload_time").alias("first_upload"), F.max("ok").alias("any_ok"))
+        F.min("upload_time").alias("first_upload"), F.max("ok").alias("any_ok"),
+        F.count("version").alias("_n")).filter(F.col("_n") > 0).drop("_n")
+    # the pre-release test is an aggregate here: as a filter on the grouping
+    # key, Catalyst would push it (and the whole parse) below the aggregation
     spelled = spelled.withColumn("vp", V.version_parts("version"))
-    per_version = (spelled.filter(~V.is_prerelease("vp", parts=True))
-                   .withColumn("vkey", V.version_key("vp", parts=True))
+    per_version = (spelled.withColumn("vkey", V.version_key("vp", parts=True))
+                   .withColumn("pre", V.is_prerelease("vp", parts=True))
                    .groupBy("package", "vkey")
                    .agg(F.min("version").alias("spelling"), F.min("first_upload").alias("first_upload"),
-                        F.max("any_ok").alias("any_ok")))
+                        F.max("any_ok").alias("any_ok"), F.max("pre").alias("pre"))
+                   .filter(~F.col("pre")))
     drop_date = F.to_timestamp(F.lit(as_of)) - F.expr(f"INTERVAL {SPEC0_DAYS} DAYS")
     micro0 = F.coalesce(F.try_element_at(F.col("vkey.release"), F.lit(3)), F.lit(0)) == 0
     # vkey.release has trailing zeros stripped; the third number is 0 exactly when it is absent or 0
