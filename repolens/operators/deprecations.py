@@ -45,7 +45,11 @@ def _scan(batches, name: str):
 def deprecation_calls(sources: DataFrame, name: str = "deprecated") -> DataFrame:
     """Every call of the bare name ``deprecated`` (not an attribute), nested calls
     included, with line, column and the version given as first argument."""
-    candidates = sources.filter(F.col("content").contains(name)).select("package", "path", "content")
+    # a call of the bare name needs the word not preceded by '.' or a word
+    # character: a necessary condition, checked natively before any parsing
+    bare = r"(?<![\w.])" + name + r"\b"
+    candidates = sources.filter(F.col("content").contains(name) & F.col("content").rlike(bare)) \
+        .select("package", "path", "content")
     return candidates.mapInPandas(lambda it: _scan(it, name), CALLS_SCHEMA)
 
 

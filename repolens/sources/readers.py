@@ -32,7 +32,7 @@ def _json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 def _whole_json(spark: SparkSession, path: str, schema: T.DataType) -> DataFrame:
     """A file whose top level is a JSON array, kept in order (from_json + posexplode)."""
-    text = spark.read.option("wholetext", True).text(path).select(
+    text = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("source_file"), "value")
     return text.select("source_file", F.from_json("value", schema).alias("doc"))
 
@@ -224,7 +224,7 @@ def read_locks(spark: SparkSession, path: str) -> DataFrame:
     Only the text before ``\\npackages:`` is parsed (cut natively, before the
     Python step); the url is the first value of each one-entry map.
     """
-    text = spark.read.option("wholetext", True).text(path).select(
+    text = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("source_file"),
         F.substring_index("value", "\npackages:", 1).alias("head"))
     return text.mapInPandas(_locks, LOCK_SCHEMA)
@@ -285,8 +285,8 @@ def read_project_features(spark: SparkSession, path: str) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str, glob: str = "*.py", root: str | None = None) -> DataFrame:
     """Whole source or workflow texts ``path, content`` (one row per file)."""
-    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-          .option("pathGlobFilter", glob).text(path))
+    df = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+          .text(path, wholetext=True))
     p = F.col("_metadata.file_path")
     if root:
         p = F.regexp_replace(p, "^(file:)?" + root.rstrip("/") + "/", "")
