@@ -40,15 +40,25 @@ def unpinnable_refs(refs: DataFrame) -> DataFrame:
     return refs.filter(F.col("is_sha") & F.col("tag").isNull()).select("repo", "ref")
 
 
+def _best(names: DataFrame, keys: list[str]) -> DataFrame:
+    """Best name per key: tags before branches, then the highest version."""
+    return names.groupBy(*keys).agg(
+        F.max_by(F.struct("name", "v"), F.struct("is_tag", "v", F.col("name"))).alias("b"))
+
+
 def latest_refs(queries: DataFrame, names: DataFrame, expand: bool = False, col: str = "ref") -> DataFrame:
     """Q23: newest tag or branch name for each versioned reference ``(repo, <col>)``.
 
-    Names must share the reference's non-digit prefix exactly (an equi-join on
-    ``(repo, prefix)``, so a reference meets only its own family of names). A
-    reference with a dot matches any number of parts, one without matches
+    Candidates share the reference's non-digit prefix exactly. A reference
+    with a dot matches names with any number of parts, one without matches
     single numbers only, unless ``expand``: then longer names starting with its
-    numbers. Tags are searched first; branches only when no tag is a
-    candidate. The best candidate not above the current version gives null.
+    number. Tags are searched first; branches only when no tag is a candidate.
+    A best candidate not above the current version gives null.
+
+    The best candidate does not depend on the reference beyond its prefix,
+    its shape and (with ``expand``) its number, so names are first reduced to
+    one best row per ``(repo, prefix[, number])`` -- partial aggregations --
+    and each reference joins a single row: no reference-by-name pairs.
     """
     q = (queries.select("repo", F.col(col).alias("query")).distinct()
          .filter(~F.col("query").isin(SKIP_REFS) & F.col("query").rlike(REF_FORM))
@@ -56,23 +66,22 @@ def latest_refs(queries: DataFrame, names: DataFrame, expand: bool = False, col:
          .withColumn("cur", V.dotted_key(F.regexp_extract("query", REF_FORM, 2)))
          .withColumn("has_dot", F.regexp_extract("query", REF_FORM, 2).contains(".")))
     n = (names.filter(F.col("name").rlike(REF_FORM))
-         .select("repo", "kind", "name",
+         .select("repo", "name", (F.col("kind") == "tag").alias("is_tag"),
                  F.regexp_extract("name", REF_FORM, 1).alias("prefix"),
-                 F.regexp_extract("name", REF_FORM, 2).alias("digits")))
-    j = q.join(n, ["repo", "prefix"])
-    cand_v = V.dotted_key("digits")
-    many = F.col("has_dot") | F.lit(expand)
-    ok = F.when(many, F.lit(True)).otherwise(~F.col("digits").contains("."))
+                 V.dotted_key(F.regexp_extract("name", REF_FORM, 2)).alias("v")))
+    any_shape = _best(n, ["repo", "prefix"])
+    single = _best(n.filter(F.size("v") == 1), ["repo", "prefix"])
+    parts = [q.filter("has_dot").join(any_shape, ["repo", "prefix"])]
     if expand:
-        longer = F.size(cand_v) > F.size("cur")
-        same_start = F.slice(cand_v, 1, F.size("cur")) == F.col("cur")
-        ok = ok & (F.col("has_dot") | (longer & same_start))
-    cands = j.filter(ok).withColumn("v", cand_v).withColumn("is_tag", F.col("kind") == "tag")
-    best = cands.groupBy("repo", "query", "cur").agg(
-        F.max_by(F.struct("name", "v"), F.struct("is_tag", "v", F.col("name"))).alias("b"))
-    best = best.select("repo", F.col("query").alias(col),
+        longer = _best(n.filter(F.size("v") > 1).withColumn("first", F.element_at("v", 1)),
+                       ["repo", "prefix", "first"])
+        parts.append(q.filter(~F.col("has_dot")).withColumn("first", F.element_at("cur", 1))
+                     .join(longer, ["repo", "prefix", "first"]).drop("first"))
+    else:
+        parts.append(q.filter(~F.col("has_dot")).join(single, ["repo", "prefix"]))
+    best = parts[0].unionByName(parts[1])
+    return best.select("repo", F.col("query").alias(col),
                        F.when(F.col("b.v") > F.col("cur"), F.col("b.name")).alias("latest"))
-    return best
 
 
 def resolve_commits(wanted: DataFrame, names: DataFrame, tag_objects: DataFrame | None = None,
@@ -161,14 +170,14 @@ def rewrite_refs(files: DataFrame, plan: DataFrame, renames: DataFrame | None =
                                       F.concat(new_path, F.lit("@"), "ref").alias("new"))))
     occ = occ.withColumn("repl", repl).withColumn("change", change)
     # one file is one group: its matches are bounded by the file's own text
-    per_file = occ.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("pos", "repl"))).alias("r"))
+    per_file = occ.groupBy("path").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "repl", "change"))).alias("r"))
     gaps = files.select("path", "content", F.split("content", USES_PATTERN, -1).alias("gaps"))
-    texts = gaps.join(per_file, "path", "left").withColumn(
+    full = gaps.join(per_file, "path", "left").withColumn(
         "repls", F.concat(F.transform(F.coalesce("r", F.array()), lambda s: s["repl"]), F.array(F.lit(""))))
-    texts = texts.withColumn("new_text", F.array_join(F.zip_with("gaps", "repls", lambda g, r: F.concat(g, r)), ""))
-    texts = texts.filter(F.col("new_text") != F.col("content")).select(
-        "path", F.col("content").alias("text"), "new_text")
-    changes = (occ.filter(F.col("change").isNotNull())
-               .join(texts.select("path"), "path", "left_semi")
-               .select("path", "pos", "change.action_path", "change.old", "change.new"))
+    full = full.withColumn("new_text", F.array_join(F.zip_with("gaps", "repls", lambda g, r: F.concat(g, r)), ""))
+    full = full.filter(F.col("new_text") != F.col("content"))
+    texts = full.select("path", F.col("content").alias("text"), "new_text")
+    changes = (full.select("path", F.explode(F.filter("r", lambda s: s["change"].isNotNull())).alias("c"))
+               .select("path", "c.pos", "c.change.action_path", "c.change.old", "c.change.new"))
     return texts, changes
