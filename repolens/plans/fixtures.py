@@ -94,6 +94,10 @@ FROM {lineitem}""",
 SELECT 'main' || CAST(p_partkey % 20 AS STRING) AS main_package,
   CASE p_partkey % 7 WHEN 0 THEN 'cudf' WHEN 1 THEN 'dask-core' WHEN 2 THEN 'python-duckdb' ELSE 'pkg' || CAST(p_partkey % 200 AS STRING) END
   || CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '>=1.0' WHEN 2 THEN '[all]>=2,<3' ELSE ' ; extra == "test"' END AS requirement
+FROM {part}""",
+    "project_features": """
+SELECT DISTINCT 'main' || CAST(p_partkey % 20 AS STRING) AS main_package,
+  CASE WHEN p_size % 3 = 0 THEN 'test-' || p_brand ELSE 'py3' || CAST(9 + p_size % 5 AS STRING) END AS feature
 FROM {part}""",
     "sources": """
 SELECT 'pkg' || CAST(o_custkey % 5 AS STRING) AS package, 'pkg/f' || CAST(o_orderkey AS STRING) || '.py' AS path,

@@ -726,3 +726,12 @@ SELECT milestone, product, platform, url FROM downloads WHERE platform = 'linux6
 def q_download_index(spark, sf_dir):
     (flat,) = fx(spark, sf_dir, "downloads")
     return MF.download_index(MF.nest_manifest(flat), platform="linux64")
+
+
+@register("python_floor", "V23", oracle_with(["project_features"], """
+SELECT main_package, arg_min(replace(feature, 'py3', '3.'), CAST(string_split(replace(feature, 'py3', '3.'), '.') AS BIGINT[]))
+  AS python_floor
+FROM project_features WHERE feature LIKE 'py3%' GROUP BY main_package"""))
+def q_python_floor(spark, sf_dir):
+    (features,) = fx(spark, sf_dir, "project_features")
+    return DP.python_floor(features)
