@@ -162,3 +162,40 @@ def changelog_document(changes: DataFrame, tags: DataFrame, owner: str = "org",
                    F.col("sentence"), F.lit("\n"),
                    F.coalesce(F.array_join(F.transform("b", lambda s: s["block"]), ""), F.lit("")))
     return sentence.join(body, WINDOW_KEYS, "left").select(*WINDOW_KEYS, doc.alias("changelog"))
+
+
+def changelog_lines(changes: DataFrame, tags: DataFrame, owner: str = "org", maintainer: str | None = None,
+                    ignored: list[str] | None = None, head: DataFrame | None = None) -> DataFrame:
+    """Q8 as ordered line rows: ``repo, from_tag, to_tag, position, sub, merged_at, number, line``.
+
+    Sorted by ``(repo, from_tag, to_tag, position, sub, merged_at, number)`` and written one row per
+    line, they give the text of ``changelog_document``. No window's document is ever held as one
+    value, so K1 can write a window of any size with a range-partitioned sort.
+    """
+    windows = release_windows(tags, head)
+    in_window = prs_in_window(changes, windows)
+    cat = categorize_changes(in_window, owner)
+    people = first_contributions(changes, contributors(in_window, ignored))
+    sentence = contributor_sentence(rank_contributors(people, maintainer), windows)
+    no_ts, no_n = F.lit(None).cast("timestamp_ntz"), F.lit(None).cast("bigint")
+
+    def rows(df, position, sub, line, merged_at=no_ts, number=no_n):
+        return df.select(*WINDOW_KEYS, F.lit(position).cast("int").alias("position") if isinstance(position, int)
+                         else F.col(position).cast("int").alias("position"),
+                         F.lit(sub).alias("sub"), merged_at.alias("merged_at"), number.alias("number"),
+                         line.alias("line"))
+
+    heading = F.concat(F.lit("## Changelog ("), F.col("from_tag"), F.lit(".."), F.col("to_tag"), F.lit(")"))
+    parts = [rows(sentence, -1, 0, heading), rows(sentence, -1, 1, F.lit("")),
+             rows(sentence, -1, 2, F.col("sentence")), rows(sentence, -1, 3, F.lit(""))]
+    titled = cat.select(*WINDOW_KEYS, "section", "position").distinct()
+    parts += [rows(titled, "position", 0, F.concat(F.lit("### "), F.col("section"))),
+              rows(cat, "position", 1, F.col("line"), F.col("merged_at"), F.col("number")),
+              rows(titled, "position", 2, F.lit(""))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+ORDER = [*WINDOW_KEYS, "position", "sub", "merged_at", "number"]

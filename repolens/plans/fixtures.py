@@ -48,13 +48,11 @@ SELECT l_orderkey AS run_number,
   'https://x.org/a/' || CAST(l_orderkey AS STRING) || '/' || CAST(l_linenumber AS STRING) AS archive_download_url
 FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
     "text_files": """
-SELECT side, path, line_no, line FROM (
-  SELECT CASE WHEN l_linestatus = 'O' THEN 'good' ELSE 'bad' END AS side,
-    'env_' || CAST(l_suppkey % 10 AS STRING) || '_linux_3.11_unit.txt' AS path,
-    CAST(ROW_NUMBER() OVER (PARTITION BY l_linestatus, l_suppkey % 10
-      ORDER BY l_partkey, l_orderkey, l_linenumber, l_quantity, l_extendedprice) AS BIGINT) AS line_no,
-    'lib-' || CAST(l_partkey % 300 AS STRING) || '==' || CAST(CAST(l_quantity AS INT) % 4 AS STRING) AS line
-  FROM {lineitem}) t""",
+SELECT CASE WHEN l_linestatus = 'O' THEN 'good' ELSE 'bad' END AS side,
+  'env_' || CAST(l_suppkey % 10 AS STRING) || '_linux_3.11_unit.txt' AS path,
+  l_orderkey * 8 + l_linenumber AS line_no,
+  'lib-' || CAST(l_partkey % 300 AS STRING) || '==' || CAST(CAST(l_quantity AS INT) % 4 AS STRING) AS line
+FROM {lineitem}""",
     "lock_packages": """
 SELECT side, env, arch, 'https://x.org/' || arch || '/' || pkg || '-' || CAST(ver AS STRING) || '.0-py_0.conda' AS url
 FROM (SELECT CASE WHEN l_linestatus = 'O' THEN 'good' ELSE 'bad' END AS side,

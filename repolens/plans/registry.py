@@ -735,3 +735,21 @@ FROM project_features WHERE feature LIKE 'py3%' GROUP BY main_package"""))
 def q_python_floor(spark, sf_dir):
     (features,) = fx(spark, sf_dir, "project_features")
     return DP.python_floor(features)
+
+
+@register("changelog_lines", "Q8 K1", _changelog_sql(f"""
+, titled AS (SELECT DISTINCT repo, from_tag, to_tag, section, position FROM categorized),
+all_lines AS (
+  SELECT repo, from_tag, to_tag, -1 AS position, 0 AS sub, NULL AS merged_at, NULL AS number,
+    '## Changelog (' || from_tag || '..' || to_tag || ')' AS line FROM sentences
+  UNION ALL SELECT repo, from_tag, to_tag, -1, 1, NULL, NULL, '' FROM sentences
+  UNION ALL SELECT repo, from_tag, to_tag, -1, 2, NULL, NULL, sentence FROM sentences
+  UNION ALL SELECT repo, from_tag, to_tag, -1, 3, NULL, NULL, '' FROM sentences
+  UNION ALL SELECT repo, from_tag, to_tag, position, 0, NULL, NULL, '### ' || section FROM titled
+  UNION ALL SELECT repo, from_tag, to_tag, position, 1, merged_at, number, line FROM categorized
+  UNION ALL SELECT repo, from_tag, to_tag, position, 2, NULL, NULL, '' FROM titled)
+SELECT repo, from_tag, to_tag, CAST(position AS INTEGER) AS position, CAST(sub AS INTEGER) AS sub,
+  {sql_ts('merged_at')} AS merged_at, CAST(number AS BIGINT) AS number, line FROM all_lines"""))
+def q_changelog_lines(spark, sf_dir):
+    prs, tags = fx(spark, sf_dir, "pull_requests", "tags")
+    return CL.changelog_lines(prs, tags).withColumn("merged_at", ts_text("merged_at"))

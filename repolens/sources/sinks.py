@@ -15,6 +15,19 @@ def write_changelogs(docs: DataFrame, path: str) -> None:
      .write.mode("overwrite").partitionBy("repo").text(path))
 
 
+def write_changelog_lines(lines: DataFrame, path: str) -> None:
+    """K1 for windows of any size: the line rows of ``changelog_lines`` written in document order.
+
+    A range-partitioned sort splits a large window over several tasks; part
+    files of one window folder are in order of their names.
+    """
+    from repolens.operators.changelog import ORDER
+
+    ordered = lines.orderBy(*ORDER)
+    (ordered.select("repo", "from_tag", "to_tag", F.col("line").alias("value"))
+     .write.mode("overwrite").partitionBy("repo", "from_tag", "to_tag").text(path))
+
+
 def write_documents(docs: DataFrame, path: str) -> DataFrame:
     """K2: store notebooks and scripts whose ``(repo, filename)`` is not stored yet.
 

@@ -181,3 +181,15 @@ def test_select_artifacts_first_by_position(spark):
                                  "run_number bigint, name string, archive_download_url string, position bigint")
     assert sorted(tuple(r) for r in RU.select_artifacts(arts).collect()) == [(1, "a", "u1"), (2, "c", "u3")]
     assert RU.select_artifacts(arts, ["b"]).count() == 1
+
+
+def test_changelog_lines_give_the_document(spark):
+    from repolens.plans.fixtures import load
+
+    prs, tags = load(spark, "/root/testdata/sf0.001", "pull_requests"), load(spark, "/root/testdata/sf0.001", "tags")
+    docs = {(r.repo, r.from_tag, r.to_tag): r.changelog for r in CL.changelog_document(prs, tags).collect()}
+    lines = CL.changelog_lines(prs, tags).orderBy(*CL.ORDER).collect()
+    built = {}
+    for r in lines:
+        built.setdefault((r.repo, r.from_tag, r.to_tag), []).append(r.line)
+    assert {k: "\n".join(v) for k, v in built.items()} == docs

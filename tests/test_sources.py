@@ -134,6 +134,12 @@ def test_sinks(spark, tmp_path):
     cl = spark.createDataFrame([("r", "v1", "v2", "## Changelog (v1..v2)")], "repo string, from_tag string, to_tag string, changelog string")
     K.write_changelogs(cl, str(tmp_path / "cl"))
     assert spark.read.text(str(tmp_path / "cl")).count() == 1
+    lines = spark.createDataFrame([("r", "v1", "v2", -1, 0, None, None, "## Changelog (v1..v2)"),
+                                   ("r", "v1", "v2", 3, 1, None, 5, "- x")],
+                                  "repo string, from_tag string, to_tag string, position int, sub int, "
+                                  "merged_at timestamp_ntz, number bigint, line string")
+    K.write_changelog_lines(lines, str(tmp_path / "cll"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "cll")).collect()] == ["## Changelog (v1..v2)", "- x"]
     texts = spark.createDataFrame([("w.yml", "a", "b")], "path string, text string, new_text string")
     ch = spark.createDataFrame([("w.yml", 0, "x", "o", "n")], "path string, pos bigint, action_path string, old string, new string")
     assert K.write_rewrites(texts, ch, str(tmp_path / "rw"), dry_run=True).count() == 1
