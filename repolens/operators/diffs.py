@@ -72,15 +72,20 @@ def normalized_members(members: DataFrame, npm_prefix: str | None = None,
                        keys: tuple[str, ...] = ()) -> DataFrame:
     """Members with the archive's own version replaced by ``$VERSION``.
 
-    Rows are sorted by archive inside each partition (no shuffle, so a large
-    archive is not sent to one task): the replace patterns are per archive and
-    Spark recompiles a pattern column only when its value changes.
+    The two patterns are built once per archive (a table with one row per
+    archive, joined back; AQE broadcasts it when small and splits a hot archive
+    otherwise). Rows are then sorted by archive inside each partition (no
+    shuffle): Spark recompiles a pattern column only when its value changes.
+    Archives without a three-number version are dropped.
     """
     keys = list(keys)
-    clustered = members.sortWithinPartitions(*keys, "archive")
-    norm = X.normalize_member("member", "archive", "format", npm_prefix)
-    return clustered.select(*keys, "side", "format", "archive", norm.alias("member")) \
-        .filter(F.col("member").isNotNull())
+    arch = members.select(*keys, "archive", "format").distinct()
+    plain, loose = X.version_patterns(X.archive_version_text("archive", "format", npm_prefix))
+    pats = arch.select(*keys, "archive", "format", plain.alias("plain"), loose.alias("loose")) \
+        .filter(F.col("plain").isNotNull())
+    joined = members.join(pats, [*keys, "archive", "format"]).sortWithinPartitions(*keys, "archive")
+    norm = F.regexp_replace(F.regexp_replace("member", F.col("loose"), r"\$VERSION"), F.col("plain"), r"\$VERSION")
+    return joined.select(*keys, "side", "format", "archive", norm.alias("member"))
 
 
 def file_list_diff(members: DataFrame, npm_prefix: str | None = None,
