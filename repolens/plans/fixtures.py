@@ -153,8 +153,9 @@ SELECT 'repo' || CAST(s_suppkey AS STRING) AS package,
   'v' || CAST(s_nationkey % 3 AS STRING) || '.' || CAST(s_suppkey % 10 AS STRING) || '.' || CAST(s_suppkey % 4 + 1 AS STRING) AS tag
 FROM {supplier}""",
     "stored_documents": """
-SELECT 'dev_' || source AS repo, CAST(doc_id AS STRING) || '_Bug_' || lang || '__more' AS filename
-FROM {documents} WHERE doc_id % 4 = 0""",
+SELECT 'dev_' || source AS repo,
+  CAST(doc_id AS STRING) || CASE WHEN doc_id % 4 = 0 THEN '_Bug_' || lang || '__more' ELSE '_Draft_' || lang END AS filename
+FROM {documents}""",
     "downloads": """
 SELECT DISTINCT CAST(100 + o_orderkey % 40 AS STRING) AS milestone,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'chrome' WHEN '2-HIGH' THEN 'chromedriver' ELSE 'chrome-headless-shell' END AS product,
