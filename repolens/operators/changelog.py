@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from repolens.functions import text as X
 from repolens.functions.fixed_values import IGNORED_CONTRIBUTORS, SECTIONS
+from repolens.operators.ordinal import ordinal_within
 
 WINDOW_KEYS = ["repo", "from_tag", "to_tag"]
 
@@ -39,11 +40,13 @@ def release_windows(tags: DataFrame, head: DataFrame | None = None) -> DataFrame
         return (newest.join(head, "repo")
                 .select("repo", F.col("t.tag").alias("from_tag"), F.col("t.tagged_at").alias("from_at"),
                         F.col("head").alias("to_tag"), F.col("head_at").alias("to_at")))
-    # tags are few per repository: one small window per repository
-    w = Window.partitionBy("repo").orderBy("tagged_at", "tag")
-    nxt = dated.select("repo", F.col("tag").alias("from_tag"), F.col("tagged_at").alias("from_at"),
-                       F.lead("tag").over(w).alias("to_tag"), F.lead("tagged_at").over(w).alias("to_at"))
-    return nxt.filter(F.col("to_tag").isNotNull())
+    # adjacent releases: position per repository from the skew-safe ordinal,
+    # then a self-join of position i with i + 1 (no window over a repository)
+    numbered = ordinal_within(dated.select("repo", "tag", "tagged_at"), ["repo"], ["tagged_at", "tag"], name="i")
+    a = numbered.select("repo", F.col("tag").alias("from_tag"), F.col("tagged_at").alias("from_at"), "i")
+    b = numbered.select("repo", F.col("tag").alias("to_tag"), F.col("tagged_at").alias("to_at"),
+                        (F.col("i") - 1).alias("i"))
+    return a.join(b, ["repo", "i"]).select("repo", "from_tag", "from_at", "to_tag", "to_at")
 
 
 def prs_in_window(changes: DataFrame, windows: DataFrame) -> DataFrame:

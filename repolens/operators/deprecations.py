@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repolens.functions import versions as V
+from repolens.plans.session import bound_arrow_batch
 
 CALLS_SCHEMA = "package string, path string, line bigint, col bigint, version string"
 
@@ -48,6 +49,7 @@ def deprecation_calls(sources: DataFrame, name: str = "deprecated") -> DataFrame
     # a call of the bare name needs the word not preceded by '.' or a word
     # character: a necessary condition, checked natively before any parsing
     bare = r"(?<![\w.])" + name + r"\b"
+    bound_arrow_batch(sources.sparkSession, 1024)
     candidates = sources.filter(F.col("content").contains(name) & F.col("content").rlike(bare)) \
         .select("package", "path", "content")
     return candidates.mapInPandas(lambda it: _scan(it, name), CALLS_SCHEMA)

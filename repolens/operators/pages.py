@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repolens.functions import text as X
+from repolens.plans.session import bound_arrow_batch
 
 BLOCKS_SCHEMA = "url string, raw_title string, block bigint, code string"
 ISSUE_CLASSES = ("highlight", "notranslate")
@@ -109,6 +110,7 @@ def code_blocks(pages: DataFrame, kind: str = "issue") -> DataFrame:
     Pages with no block yield no rows.
     """
     pick = _issue_pick if kind == "issue" else _forum_pick
+    bound_arrow_batch(pages.sparkSession, 256)
     blocks = pages.select("url", "html").mapInPandas(lambda it: _extract(it, pick), BLOCKS_SCHEMA)
     if kind == "issue":
         info = F.split("raw_title", " · ")

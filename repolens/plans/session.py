@@ -56,3 +56,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="repolens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     return local
+
+
+def bound_arrow_batch(spark: SparkSession, rows: int) -> None:
+    """Keep Arrow batches for Python steps at most ``rows`` records.
+
+    Used by operators whose rows are whole documents (archives, pages, source
+    texts), so that one batch holds a bounded amount of text. Only lowers the
+    session value, never raises it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    current = int(spark.conf.get(key, "10000"))
+    if current <= 0 or current > rows:
+        spark.conf.set(key, str(rows))

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from repolens.plans.session import bound_arrow_batch
+
 S = T.StringType()
 L = T.LongType()
 B = T.BooleanType()
@@ -193,7 +195,7 @@ def read_archive_members(spark: SparkSession, path: str, glob: str | None = None
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(path).select("path", "content")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    bound_arrow_batch(spark, 16)
     return files.mapInPandas(_members, MEMBERS_SCHEMA)
 
 
@@ -227,6 +229,7 @@ def read_locks(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("source_file"),
         F.substring_index("value", "\npackages:", 1).alias("head"))
+    bound_arrow_batch(spark, 64)
     return text.mapInPandas(_locks, LOCK_SCHEMA)
 
 
