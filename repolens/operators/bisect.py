@@ -5,7 +5,7 @@ Inputs: a version catalogue ``package, version`` (S12), results
 
 The halving search is kept exactly (same probes as a loop, so the same answer
 when results are not monotone), but runs for all ranges at once: each round
-is one join of the range states with the numbered in-range versions. Versions
+is one equi-join of the range states with the numbered catalogue. Versions
 are numbered with the skew-safe ordinal, so a package with a huge catalogue is
 spread over many tasks; the number of rounds is ceil(log2(longest range)).
 """
@@ -52,48 +52,86 @@ def baseline_check(versions: DataFrame, results: DataFrame, ranges: DataFrame) -
                       X.env_key("package", "bad_version").alias("bad_env"))
 
 
+def indexed_catalogue(versions: DataFrame, results: DataFrame) -> DataFrame:
+    """``package, idx, version, passed, fails_upto`` over each package's sorted catalogue.
+
+    ``idx`` is the 1-based position by V2 key; ``fails_upto`` counts failing
+    versions at positions <= idx. Both come from skew-safe ordinals (over all
+    versions, over passing ones, over failing ones): for a failing version it
+    is its rank among failing ones, for a passing one ``idx`` minus its rank
+    among passing ones. No window, no per-package collection.
+    """
+    cat = _catalogue(versions, results)
+    order = ["k", "version"]
+    num = ordinal_within(cat, ["package"], order, name="idx")
+    ok = ordinal_within(cat.filter(F.col("passed")), ["package"], order, name="rank") \
+        .select("package", "version", F.col("rank").alias("pass_rank"))
+    bad = ordinal_within(cat.filter(~F.col("passed")), ["package"], order, name="rank") \
+        .select("package", "version", F.col("rank").alias("fail_rank"))
+    t = num.join(ok, ["package", "version"], "left").join(bad, ["package", "version"], "left")
+    fails = F.when(F.col("passed"), F.col("idx") - F.col("pass_rank")).otherwise(F.col("fail_rank"))
+    return t.select("package", "idx", "version", "passed", fails.alias("fails_upto"),
+                    "fail_rank").checkpoint(eager=True)
+
+
 def version_regressions(versions: DataFrame, results: DataFrame, ranges: DataFrame) -> DataFrame:
     """Q34: first failing and last passing version between a good and a bad version.
 
     When good > bad the list runs backwards and the pair reads as last failing
     and first passing (``direction = 'reverse'``). Rows that fail the baseline
-    carry ``reason`` and no versions. ``probes`` counts the halving steps.
+    carry the reason in ``status`` and no versions. ``probes`` counts the
+    halving steps. Second mode for results that are not monotone:
+    ``scan_failing_version`` is the first failure met walking from the good
+    version, ``monotone`` whether all passes come before all failures.
+
+    Positions are relative to the good version's catalogue position, so every
+    probe is an equi-join on ``(package, idx)``; a range is never paired with
+    the versions of its package.
     """
     base = baseline_check(versions, results, ranges)
-    usable = base.filter(F.col("reason").isNull()).select(*RANGE, "gk", "bk")
-    cat = _catalogue(versions, results)
-    lo, hi = F.least("gk", "bk"), F.greatest("gk", "bk")
-    in_range = (usable.join(cat, "package")
-                .filter((F.col("k") >= lo) & (F.col("k") <= hi))
-                .select(*RANGE, (F.col("gk") < F.col("bk")).alias("forward"), "k", "version", "passed"))
-    numbered = ordinal_within(in_range, RANGE, ["k", "version"], name="a")
-    sizes = numbered.groupBy(*RANGE).agg(F.count("*").alias("n"), F.first("forward").alias("forward"))
-    indexed = (numbered.join(sizes.select(*RANGE, "n"), RANGE)
-               .select(*RANGE, "version", "passed",
-                       F.when(F.col("forward"), F.col("a")).otherwise(F.col("n") + 1 - F.col("a")).alias("pos")))
-    indexed = indexed.checkpoint(eager=True)
-    longest = sizes.agg(F.max("n")).first()[0] or 1
+    t = indexed_catalogue(versions, results)
+    g = t.select("package", F.col("version").alias("good_version"), F.col("idx").alias("gi"),
+                 F.col("fails_upto").alias("gcum"))
+    b = t.select("package", F.col("version").alias("bad_version"), F.col("idx").alias("bi"),
+                 F.col("fails_upto").alias("bcum"))
+    usable = (base.filter(F.col("reason").isNull()).select(*RANGE)
+              .join(g, ["package", "good_version"]).join(b, ["package", "bad_version"])
+              .withColumn("dir", F.when(F.col("gi") < F.col("bi"), 1).otherwise(-1).cast("bigint"))
+              .withColumn("n", F.abs(F.col("bi") - F.col("gi")) + 1))
+    longest = usable.agg(F.max("n")).first()[0] or 1
     rounds = max(0, math.ceil(math.log2(max(longest - 1, 1))))
 
-    state = sizes.select(*RANGE, "forward", F.lit(1).cast("bigint").alias("l"),
-                         F.col("n").alias("r"), F.lit(0).alias("probes"))
+    state = usable.select(*RANGE, "gi", "dir", F.lit(1).cast("bigint").alias("l"),
+                          F.col("n").cast("bigint").alias("r"), F.lit(0).alias("probes"))
+    probe = t.select("package", F.col("idx").alias("at"), F.col("passed").alias("mid_passed"))
     for i in range(rounds):
         mid = F.floor((F.col("l") + F.col("r")) / 2).cast("bigint")
-        state = state.withColumn("mid", F.when(F.col("r") - F.col("l") > 1, mid))
-        probe = indexed.select(*RANGE, F.col("pos").alias("mid"), F.col("passed").alias("mid_passed"))
-        state = state.join(probe, [*RANGE, "mid"], "left").select(
-            *RANGE, "forward",
+        state = state.withColumn("mid", F.when(F.col("r") - F.col("l") > 1, mid)) \
+            .withColumn("at", F.col("gi") + (F.col("mid") - 1) * F.col("dir"))
+        state = state.join(probe, ["package", "at"], "left").select(
+            *RANGE, "gi", "dir",
             F.when(F.col("mid").isNotNull() & F.col("mid_passed"), F.col("mid")).otherwise(F.col("l")).alias("l"),
             F.when(F.col("mid").isNotNull() & ~F.col("mid_passed"), F.col("mid")).otherwise(F.col("r")).alias("r"),
             (F.col("probes") + F.when(F.col("mid").isNotNull(), 1).otherwise(0)).alias("probes"))
         if i % 4 == 3:
             state = state.checkpoint(eager=True)
-    at = indexed.select(*RANGE, "pos", "version")
-    failing = at.select(*RANGE, F.col("pos").alias("r"), F.col("version").alias("failing_version"))
-    passing = at.select(*RANGE, (F.col("pos") + 1).alias("r"), F.col("version").alias("passing_version"))
-    done = state.join(failing, [*RANGE, "r"], "left").join(passing, [*RANGE, "r"], "left")
-    done = done.select(*RANGE, F.when(F.col("forward"), "forward").otherwise("reverse").alias("direction"),
-                       "failing_version", "passing_version", F.col("probes").cast("bigint").alias("probes"))
+    at = t.select("package", F.col("idx").alias("at"), "version")
+    done = (state.withColumn("at", F.col("gi") + (F.col("r") - 1) * F.col("dir"))
+            .join(at.withColumnRenamed("version", "failing_version"), ["package", "at"], "left").drop("at")
+            .withColumn("at", F.col("gi") + (F.col("r") - 2) * F.col("dir"))
+            .join(at.withColumnRenamed("version", "passing_version"), ["package", "at"], "left").drop("at"))
+    # scan mode: rank of the first failure met from the good version, by running counts
+    by_rank = t.filter(F.col("fail_rank").isNotNull()).select(
+        "package", F.col("fail_rank").alias("want"), F.col("idx").alias("fi"), F.col("version").alias("scan_failing_version"))
+    scan = (usable.withColumn("want", F.when(F.col("dir") == 1, F.col("gcum") + 1).otherwise(F.col("gcum")))
+            .join(by_rank, ["package", "want"], "left")
+            .select(*RANGE, "scan_failing_version",
+                    F.when(F.col("dir") == 1, (F.col("bcum") - F.col("gcum")) == (F.col("bi") - F.col("fi") + 1))
+                    .otherwise((F.col("gcum") - F.col("bcum") + 1) == (F.col("fi") - F.col("bi") + 1)).alias("monotone")))
+    done = done.join(scan, RANGE, "left").select(
+        *RANGE, F.when(F.col("dir") == 1, "forward").otherwise("reverse").alias("direction"),
+        "failing_version", "passing_version", F.col("probes").cast("bigint").alias("probes"),
+        "monotone", "scan_failing_version")
     return (base.select(*RANGE, "reason", "good_env").join(done, RANGE, "left")
             .select(*RANGE, F.coalesce("reason", F.lit("ok")).alias("status"), "direction",
-                    "failing_version", "passing_version", "probes", "good_env"))
+                    "failing_version", "passing_version", "probes", "monotone", "scan_failing_version", "good_env"))

@@ -400,12 +400,18 @@ RECURSIVE_PLACEHOLDER
 """
 
 _BISECT_BODY = """
-, final AS (SELECT * FROM state WHERE r - l <= 1)
+, final AS (SELECT * FROM state WHERE r - l <= 1),
+scan AS (SELECT package, good_version, bad_version, MAX(CASE WHEN passed THEN pos END) AS last_pass,
+    MIN(CASE WHEN NOT passed THEN pos END) AS first_fail FROM pos GROUP BY 1, 2, 3)
 SELECT b.package, b.good_version, b.bad_version, COALESCE(b.reason, 'ok') AS status,
   CASE WHEN f.forward THEN 'forward' WHEN f.forward IS NOT NULL THEN 'reverse' END AS direction,
   pf.version AS failing_version, pp.version AS passing_version, CAST(f.probes AS BIGINT) AS probes,
+  sc.last_pass < sc.first_fail AS monotone, ps.version AS scan_failing_version,
   'tmp_' || sha256(b.package || '=' || b.good_version) AS good_env
 FROM base b LEFT JOIN final f ON b.package = f.package AND b.good_version = f.good_version AND b.bad_version = f.bad_version
+LEFT JOIN scan sc ON sc.package = b.package AND sc.good_version = b.good_version AND sc.bad_version = b.bad_version
+LEFT JOIN pos ps ON ps.package = sc.package AND ps.good_version = sc.good_version AND ps.bad_version = sc.bad_version
+  AND ps.pos = sc.first_fail
 LEFT JOIN pos pf ON pf.package = f.package AND pf.good_version = f.good_version AND pf.bad_version = f.bad_version AND pf.pos = f.r
 LEFT JOIN pos pp ON pp.package = f.package AND pp.good_version = f.good_version AND pp.bad_version = f.bad_version AND pp.pos = f.r - 1
 """

@@ -193,3 +193,14 @@ def test_changelog_lines_give_the_document(spark):
     for r in lines:
         built.setdefault((r.repo, r.from_tag, r.to_tag), []).append(r.line)
     assert {k: "\n".join(v) for k, v in built.items()} == docs
+
+
+def test_bisect_scan_mode(spark):
+    rows = [("p", f"1.{i}", ok) for i, ok in enumerate([True, True, False, True, False, False])]
+    results = spark.createDataFrame(rows, "package string, version string, passed boolean")
+    ranges = spark.createDataFrame([("p", "1.0", "1.5"), ("p", "1.3", "1.2"), ("p", "1.1", "1.2")],
+                                   "package string, good_version string, bad_version string")
+    out = {(r.good_version, r.bad_version): (r.monotone, r.scan_failing_version, r.direction)
+           for r in BI.version_regressions(results.select("package", "version"), results, ranges).collect()}
+    assert out == {("1.0", "1.5"): (False, "1.2", "forward"), ("1.3", "1.2"): (True, "1.2", "reverse"),
+                   ("1.1", "1.2"): (True, "1.2", "forward")}
