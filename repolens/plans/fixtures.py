@@ -28,6 +28,9 @@ SELECT repo, 'v1.' || CAST(minor AS STRING) || '.0' || CASE WHEN minor = 1 THEN
 FROM (SELECT 'repo' || CAST(event_id % 7 AS STRING) AS repo,
         CAST(FLOOR((EXTRACT(DAY FROM ts) - 1) / 8) AS INT) AS minor, ts FROM {events}) e
 GROUP BY repo, minor""",
+    "branch_heads": """
+SELECT 'repo' || CAST(event_id % 7 AS STRING) AS repo, 'main' AS head, MAX(ts) AS head_at
+FROM {events} GROUP BY 1""",
     "workflow_runs": """
 SELECT 'repo' || CAST(event_id % 7 AS STRING) AS repo, event_id AS run_number, event_type AS name,
   CASE WHEN event_id % 3 = 0 THEN 'main' ELSE 'br' || CAST(user_id AS STRING) END AS head_branch,

@@ -759,3 +759,14 @@ SELECT repo, from_tag, to_tag, CAST(position AS INTEGER) AS position, CAST(sub A
 def q_changelog_lines(spark, sf_dir):
     prs, tags = fx(spark, sf_dir, "pull_requests", "tags")
     return CL.changelog_lines(prs, tags).withColumn("merged_at", ts_text("merged_at"))
+
+
+@register("changelog_head_window", "Q9 Q1", oracle_with(["tags", "branch_heads"], f"""
+, newest AS (SELECT repo, arg_max(tag, (COALESCE(pr_merged_at, committed_at), tag)) AS from_tag,
+    MAX(COALESCE(pr_merged_at, committed_at)) AS from_at FROM tags WHERE NOT prerelease GROUP BY repo)
+SELECT n.repo, n.from_tag, h.head AS to_tag, {sql_ts('n.from_at')} AS from_at, {sql_ts('h.head_at')} AS to_at
+FROM newest n JOIN branch_heads h ON n.repo = h.repo""".replace("\n, newest", ", newest", 1)))
+def q_changelog_head_window(spark, sf_dir):
+    tags, heads = fx(spark, sf_dir, "tags", "branch_heads")
+    w = CL.release_windows(tags, head=heads)
+    return w.select("repo", "from_tag", "to_tag", ts_text("from_at").alias("from_at"), ts_text("to_at").alias("to_at"))

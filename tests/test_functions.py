@@ -91,3 +91,30 @@ def test_text_functions(spark):
     refs = spark.createDataFrame([(text,)], "t string").select(X.parse_refs("t").alias("r")).first().r
     assert [(x.repo, x.ref, x.tag, x.is_sha) for x in refs] == [("org/act", "v1", None, False),
                                                                  ("org/act", sha, "v2", True)]
+
+
+def test_version_key_property(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    part = st.integers(min_value=0, max_value=20)
+    version = st.builds(
+        lambda rel, pre, post, dev: ".".join(map(str, rel)) + pre + post + dev,
+        st.lists(part, min_size=1, max_size=4),
+        st.sampled_from(["", "a1", "b2", "rc0", "rc3", "alpha", "-beta.2", "c1"]),
+        st.sampled_from(["", ".post1", "-3", ".post0", "post2"]),
+        st.sampled_from(["", ".dev0", ".dev4", "dev"]))
+
+    @settings(max_examples=5, deadline=None)
+    @given(st.lists(version, min_size=2, max_size=25, unique=True))
+    def check(vs):
+        rows = spark.createDataFrame([(v,) for v in vs], "v string").select(
+            "v", V.version_key("v").alias("k"), V.normalize_version("v").alias("n")).collect()
+        keys = {r.v: tuple(r.k) for r in rows}
+        for r in rows:
+            assert r.n == str(Version(r.v))
+        for a in vs:
+            for b in vs:
+                assert (Version(a) < Version(b)) == (keys[a] < keys[b]), (a, b)
+
+    check()
