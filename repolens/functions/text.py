@@ -95,10 +95,23 @@ def split_change_title(line) -> Column:
 # ---------------------------------------------------------------- V14
 
 
+def ntz(value) -> Column:
+    """A wall-clock timestamp (``timestamp_ntz``) from text, a datetime or a column.
+
+    Literals go through text, so neither the Python nor the session time zone
+    shifts them; columns of type ``timestamp`` are kept as they are.
+    """
+    if isinstance(value, Column):
+        return value
+    if isinstance(value, str) and not value[:1].isdigit():
+        return F.col(value)
+    return F.lit(str(value)).cast("timestamp_ntz")
+
+
 def elapsed_minutes(start, as_of) -> Column:
     """``N min`` since ``start``, whole minutes rounded half to even."""
-    seconds = (F.unix_micros(F.to_timestamp(_col(as_of))) - F.unix_micros(F.to_timestamp(_col(start)))) / 1e6
-    return F.format_string("%.0f min", F.bround(seconds / 60.0, 0))
+    micros = F.timestamp_diff("MICROSECOND", ntz(start), ntz(as_of))
+    return F.format_string("%.0f min", F.bround(micros / 1e6 / 60.0, 0))
 
 
 # ---------------------------------------------------------------- V15, V16, V17

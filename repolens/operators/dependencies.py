@@ -11,6 +11,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repolens.functions import text as X
 from repolens.functions import versions as V
 from repolens.functions.fixed_values import INTERPRETER_RELEASES, PACKAGE_ALIASES, SPEC0_DAYS
 
@@ -50,7 +51,7 @@ def support_window(files: DataFrame, python_version: str, as_of, released_at=Non
         specs = parsed.select("spec").distinct().withColumn(
             "spec_ok", V.specifier_contains("spec", F.lit(python_version)))
         parsed = parsed.join(specs, "spec").withColumn(
-            "ok", F.col("spec_ok") & (F.col("upload_time") >= F.lit(py_date)))
+            "ok", F.col("spec_ok") & (F.col("upload_time") >= X.ntz(py_date)))
     # reduce to one row per spelling before any version parsing
     spelled = parsed.groupBy("package", "version").agg(
         F.min("upload_time").alias("first_upload"), F.max("ok").alias("any_ok"),
@@ -64,7 +65,7 @@ def support_window(files: DataFrame, python_version: str, as_of, released_at=Non
                    .agg(F.min("version").alias("spelling"), F.min("first_upload").alias("first_upload"),
                         F.max("any_ok").alias("any_ok"), F.max("pre").alias("pre"))
                    .filter(~F.col("pre")))
-    drop_date = F.to_timestamp(F.lit(as_of)) - F.expr(f"INTERVAL {SPEC0_DAYS} DAYS")
+    drop_date = X.ntz(as_of) - F.expr(f"INTERVAL {SPEC0_DAYS} DAYS")
     micro0 = F.coalesce(F.try_element_at(F.col("vkey.release"), F.lit(3)), F.lit(0)) == 0
     # vkey.release has trailing zeros stripped; the third number is 0 exactly when it is absent or 0
     spec0_key = F.when(micro0 & (F.col("first_upload") >= drop_date), F.col("vkey"))

@@ -18,7 +18,7 @@ def active_runs(runs: DataFrame, as_of) -> DataFrame:
     ``as_of`` stands for the time of the poll (a timestamp literal or column).
     Many repositories are one scan; empty input gives no rows.
     """
-    as_of = F.lit(as_of) if not hasattr(as_of, "alias") else as_of
+    as_of = X.ntz(as_of)
     active = runs.filter(~F.col("status").eqNullSafe("completed"))
     return active.select(
         F.col("repo"),

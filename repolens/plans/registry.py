@@ -174,7 +174,7 @@ SELECT repo, name AS workflow, head_branch AS branch, display_title AS title, st
 FROM workflow_runs WHERE status IS DISTINCT FROM 'completed'"""))
 def q_active_runs(spark, sf_dir):
     (runs,) = fx(spark, sf_dir, "workflow_runs")
-    out = RU.active_runs(runs, F.to_timestamp(F.lit(AS_OF)))
+    out = RU.active_runs(runs, AS_OF)
     return out.withColumn("started_at", ts_text("started_at"))
 
 

@@ -24,6 +24,20 @@ L = T.LongType()
 B = T.BooleanType()
 
 
+def utc_ntz(c) -> "F.Column":
+    """ISO-8601 text from an API (``...Z`` or ``+00:00``) as UTC wall-clock ``timestamp_ntz``.
+
+    Other offsets are converted through the instant (``to_timestamp``) and
+    then to UTC wall-clock time, so the result never depends on the session
+    time zone.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    utc = c.rlike(r"(Z|[+-]00:?00)$")
+    plain = F.to_timestamp_ntz(F.regexp_replace(c, r"(Z|[+-]00:?00)$", ""))
+    other = F.to_utc_timestamp(F.to_timestamp(c), F.current_timezone()).cast("timestamp_ntz")
+    return F.when(c.isNull(), F.lit(None).cast("timestamp_ntz")).when(utc, plain).otherwise(other)
+
+
 def _file(df: DataFrame) -> DataFrame:
     return df.withColumn("source_file", F.col("_metadata.file_path"))
 
@@ -62,7 +76,7 @@ def read_pull_requests(spark: SparkSession, path: str) -> DataFrame:
     nodes = df.select("repo", F.explode("data.search.nodes").alias("n"))
     return nodes.select("repo", F.col("n.number").alias("number"), F.col("n.title").alias("title"),
                         F.coalesce("n.author.login", F.lit("unknown")).alias("author"),
-                        F.to_timestamp("n.mergedAt").alias("merged_at"))
+                        utc_ntz("n.mergedAt").alias("merged_at"))
 
 
 RELEASE_ITEM = T.StructType([T.StructField("tag_name", S), T.StructField("prerelease", B),
@@ -79,7 +93,7 @@ def read_releases(spark: SparkSession, path: str, repo_pattern: str = r"([^/]+)\
                        F.posexplode("doc").alias("api_order", "r"))
     return rows.select("repo", F.col("api_order").cast("bigint"), F.col("r.tag_name").alias("tag"),
                        F.coalesce("r.prerelease", F.lit(False)).alias("prerelease"),
-                       F.to_timestamp("r.created_at").alias("created_at"))
+                       utc_ntz("r.created_at").alias("created_at"))
 
 
 # ---------------------------------------------------------------- S3, S4
@@ -104,8 +118,8 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
         F.col("r.repository.name").alias("repo"), F.col("r.run_number").alias("run_number"),
         F.col("r.name").alias("name"), F.col("r.head_branch").alias("head_branch"),
         F.col("r.display_title").alias("display_title"), F.col("r.status").alias("status"),
-        F.col("r.conclusion").alias("conclusion"), F.to_timestamp("r.created_at").alias("created_at"),
-        F.to_timestamp("r.run_started_at").alias("run_started_at"), F.col("r.url").alias("url"),
+        F.col("r.conclusion").alias("conclusion"), utc_ntz("r.created_at").alias("created_at"),
+        utc_ntz("r.run_started_at").alias("run_started_at"), F.col("r.url").alias("url"),
         F.col("r.triggering_actor.login").alias("actor"))
 
 
@@ -248,7 +262,7 @@ def read_index_files(spark: SparkSession, path: str) -> DataFrame:
     f = df.select(F.col("name").alias("package"), F.explode("files").alias("f"))
     return f.select("package", F.col("f.filename").alias("filename"),
                     F.col("f.`requires-python`").alias("requires_python"),
-                    F.to_timestamp(F.col("f.`upload-time`")).cast("timestamp_ntz").alias("upload_time"))
+                    utc_ntz(F.col("f.`upload-time`")).alias("upload_time"))
 
 
 META_SCHEMA = T.StructType([T.StructField("info", T.StructType([

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from repolens.functions import text as X
-from repolens.sources.readers import RUNS_SCHEMA
+from repolens.sources.readers import RUNS_SCHEMA, utc_ntz
 
 
 def active_runs_stream(spark: SparkSession, landing: str, max_files: int = 100) -> DataFrame:
@@ -22,13 +22,14 @@ def active_runs_stream(spark: SparkSession, landing: str, max_files: int = 100)
              .option("maxFilesPerTrigger", max_files).json(landing))
     runs = pages.select(F.explode("workflow_runs").alias("r"))
     active = runs.filter(~F.col("r.status").eqNullSafe("completed"))
-    started = F.to_timestamp("r.run_started_at")
+    started = utc_ntz("r.run_started_at")
     return active.select(
         F.col("r.repository.name").alias("repo"), F.col("r.run_number").alias("run_number"),
         F.col("r.name").alias("workflow"), F.col("r.head_branch").alias("branch"),
         F.col("r.display_title").alias("title"), F.col("r.status").alias("status"),
         started.alias("started_at"),
-        X.elapsed_minutes(started, F.current_timestamp()).alias("duration"),
+        X.elapsed_minutes(started, F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+                          .cast("timestamp_ntz")).alias("duration"),
         F.col("r.triggering_actor.login").alias("user"))
 
 

@@ -28,6 +28,7 @@ def test_pull_requests_and_releases(spark, tmp_path):
     prs = R.read_pull_requests(spark, str(tmp_path / "prs"))
     rows = sorted(prs.collect())
     assert [(r.repo, r.number, r.author) for r in rows] == [("r1", 1, "u"), ("r1", 2, "unknown")]
+    assert str(rows[0].merged_at) == "2024-01-02 03:04:05"
     _w(tmp_path / "rel" / "r1.json", json.dumps([{"tag_name": "v2.0.0rc1", "prerelease": True},
                                                  {"tag_name": "v1.0.0", "prerelease": False}]))
     rel = R.read_releases(spark, str(tmp_path / "rel")).orderBy("api_order").collect()
@@ -167,7 +168,7 @@ def test_changelog_from_landed_pages(spark, tmp_path):
     page = {"repo": "r", "data": {"search": {"nodes": [
         {"number": 1, "title": "feat: x", "author": {"login": "u"}, "mergedAt": "2024-01-02T00:00:00Z"}]}}}
     _w(tmp_path / "prs" / "p.json", json.dumps(page))
-    prs = R.read_pull_requests(spark, str(tmp_path / "prs")).withColumn("merged_at", F.col("merged_at").cast("timestamp_ntz"))
+    prs = R.read_pull_requests(spark, str(tmp_path / "prs"))
     tags = spark.createDataFrame([("r", "v1", False, "2024-01-01 00:00:00", None), ("r", "v2", False, "2024-01-03 00:00:00", None)],
                                  "repo string, tag string, prerelease boolean, committed_at string, pr_merged_at string") \
         .withColumn("committed_at", F.to_timestamp_ntz("committed_at")).withColumn("pr_merged_at", F.to_timestamp_ntz("pr_merged_at"))
