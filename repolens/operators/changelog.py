@@ -10,7 +10,7 @@ Everything runs over many repositories at once; ``repo`` is a key column.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repolens.functions import text as X
@@ -118,9 +118,10 @@ def first_contributions(changes: DataFrame, people: DataFrame) -> DataFrame:
 def rank_contributors(flagged: DataFrame, maintainer: str | None = None) -> DataFrame:
     """Q6: new before known, each by lower-cased login, the maintainer last."""
     is_m = (F.col("login") == maintainer) if maintainer else F.lit(False)
-    # one window's contributors: bounded by the people of one repository
-    w = Window.partitionBy(*WINDOW_KEYS).orderBy(is_m, ~F.col("is_new"), F.lower("login"), "login")
-    return flagged.withColumn("rank", F.row_number().over(w).cast("bigint")) \
+    keyed = flagged.withColumn("_m", is_m).withColumn("_known", ~F.col("is_new")) \
+        .withColumn("_low", F.lower("login"))
+    ranked = ordinal_within(keyed, WINDOW_KEYS, ["_m", "_known", "_low", "login"], name="rank")
+    return ranked.drop("_m", "_known", "_low").withColumn("rank", F.col("rank").cast("bigint")) \
         .withColumn("mention", X.mention("login", "is_new"))
 
 

@@ -31,7 +31,7 @@ def collect_refs(files: DataFrame, include: str | None = None) -> DataFrame:
     """Q22: distinct ``(repo, ref)`` with the comment tag first seen (files in path order)."""
     occ = ref_occurrences(files, include)
     return occ.groupBy("repo", "ref").agg(
-        F.first("is_sha").alias("is_sha"),
+        F.max("is_sha").alias("is_sha"),
         F.min_by("tag", F.struct("path", "pos")).alias("tag"))
 
 
