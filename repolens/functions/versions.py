@@ -240,6 +240,11 @@ DIST_VERSION = (r"^(?:[^-]+-(?=[^-]*(?:-[^-]*)?-[^-]*-[^-]*-[^-]*\.whl$)"
                 r"|.+-(?=[^-]*(?:\.tar\.gz|\.zip)$))([^-]*?)(?=-|\.tar\.gz$|\.zip$)")
 
 
+def dist_version_text(c) -> Column:
+    """The version part of a wheel or source archive name, unvalidated ('' when the name has no such part)."""
+    return F.regexp_extract(_col(c), DIST_VERSION, 1)
+
+
 def dist_version(c) -> Column:
     """The version text of a wheel or source archive name (V4); null when it does not parse.
 

@@ -41,7 +41,7 @@ def support_window(files: DataFrame, python_version: str, as_of, released_at=Non
     # unparsable names get a null version and are dropped after the first
     # aggregation (a row filter here would be pushed into the scan with the
     # parse expression copied into it)
-    parsed = files.select("package", V.dist_version("filename").alias("version"),
+    parsed = files.select("package", V.dist_version_text("filename").alias("version"),
                           F.coalesce("requires_python", F.lit("")).alias("spec"), "upload_time")
     # the specifier test is a large expression: evaluate it once per distinct
     # specifier text (a small table), not once per file
@@ -55,7 +55,7 @@ def support_window(files: DataFrame, python_version: str, as_of, released_at=Non
     # reduce to one row per spelling before any version parsing
     spelled = parsed.groupBy("package", "version").agg(
         F.min("upload_time").alias("first_upload"), F.max("ok").alias("any_ok"),
-        F.count("version").alias("_n")).filter(F.col("_n") > 0).drop("_n")
+        F.max(V.is_version("version")).alias("_valid")).filter(F.col("_valid")).drop("_valid")
     # the pre-release test is an aggregate here: as a filter on the grouping
     # key, Catalyst would push it (and the whole parse) below the aggregation
     spelled = spelled.withColumn("vp", V.version_parts("version"))
