@@ -64,14 +64,12 @@ def indexed_catalogue(versions: DataFrame, results: DataFrame) -> DataFrame:
     cat = _catalogue(versions, results)
     order = ["k", "version"]
     num = ordinal_within(cat, ["package"], order, name="idx")
-    ok = ordinal_within(cat.filter(F.col("passed")), ["package"], order, name="rank") \
-        .select("package", "version", F.col("rank").alias("pass_rank"))
-    bad = ordinal_within(cat.filter(~F.col("passed")), ["package"], order, name="rank") \
-        .select("package", "version", F.col("rank").alias("fail_rank"))
-    t = num.join(ok, ["package", "version"], "left").join(bad, ["package", "version"], "left")
-    fails = F.when(F.col("passed"), F.col("idx") - F.col("pass_rank")).otherwise(F.col("fail_rank"))
+    # rank among passing versions and among failing ones, in one numbering
+    split = ordinal_within(cat, ["package", "passed"], order, name="rank").select("package", "version", "rank")
+    t = num.join(split, ["package", "version"])
+    fails = F.when(F.col("passed"), F.col("idx") - F.col("rank")).otherwise(F.col("rank"))
     return t.select("package", "idx", "version", "passed", fails.alias("fails_upto"),
-                    "fail_rank").checkpoint(eager=True)
+                    F.when(~F.col("passed"), F.col("rank")).alias("fail_rank")).checkpoint(eager=True)
 
 
 def version_regressions(versions: DataFrame, results: DataFrame, ranges: DataFrame) -> DataFrame:
