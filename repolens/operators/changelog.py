@@ -20,8 +20,24 @@ from repolens.operators.ordinal import ordinal_within
 WINDOW_KEYS = ["repo", "from_tag", "to_tag"]
 
 
-def tag_dates(tags: DataFrame) -> DataFrame:
-    """Q1: date of each tag: merge time of its commit's first change, else commit time."""
+def tag_dates(tags: DataFrame, commits: DataFrame | None = None,
+              commit_changes: DataFrame | None = None) -> DataFrame:
+    """Q1: date of each tag: merge time of its commit's first change request, else commit time.
+
+    Either ``tags`` already carries ``committed_at`` and ``pr_merged_at``, or it
+    carries ``sha`` and the dates come from two left equi-joins: ``commits``
+    (``repo, sha, committed_at``) and ``commit_changes`` (``repo, sha, number,
+    merged_at``; the first change request is the lowest number).
+    """
+    if commits is not None:
+        first = None
+        if commit_changes is not None:
+            first = commit_changes.groupBy("repo", "sha").agg(
+                F.min_by("merged_at", "number").alias("pr_merged_at"))
+        t = tags.join(commits.select("repo", "sha", "committed_at"), ["repo", "sha"], "left")
+        t = t.join(first, ["repo", "sha"], "left") if first is not None else \
+            t.withColumn("pr_merged_at", F.lit(None).cast("timestamp_ntz"))
+        tags = t
     return tags.select("repo", "tag", "prerelease",
                        F.coalesce("pr_merged_at", "committed_at").alias("tagged_at"))
 

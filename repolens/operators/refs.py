@@ -100,13 +100,19 @@ def resolve_commits(wanted: DataFrame, names: DataFrame, tag_objects: DataFrame
 
 
 def plan_ref_updates(refs: DataFrame, names: DataFrame, pin: bool = False, expand: bool = False,
-                     mutable: bool = False, tag_objects: DataFrame | None = None) -> DataFrame:
+                     mutable: bool = False, tag_objects: DataFrame | None = None,
+                     loosen_unresolved: bool = False) -> DataFrame:
     """Q25: ``repo, ref, latest_tag, latest_sha`` per reference.
 
     Hash refs: need a comment tag; the newer tag (or, with ``mutable``, the
     same dotless tag) is resolved; equal to the ref -> no update. Name refs:
     the newer name; with ``pin`` (newer name or the ref itself) plus its
-    commit. When a commit cannot be resolved the tag is kept with a null hash.
+    commit.
+
+    A hash ref whose new tag has no resolvable commit is left unchanged
+    (``unresolved_updates`` reports it): rewriting it to ``@tag`` would turn a
+    pin into a moving reference. ``loosen_unresolved=True`` keeps the tag with
+    a null hash instead, which rewrites the reference to ``@tag``.
     """
     sha_refs = refs.filter(F.col("is_sha"))
     name_refs = refs.filter(~F.col("is_sha"))
@@ -119,11 +125,11 @@ def plan_ref_updates(refs: DataFrame, names: DataFrame, pin: bool = False, expan
     s = s.withColumn("target", F.when(F.col("tag").isNotNull(), target))
     s_sha = resolve_commits(s.filter(F.col("target").isNotNull()), names, tag_objects, col="target")
     s = s.join(s_sha, ["repo", "target"], "left")
-    s = s.select("repo", "ref",
-                 F.when(F.col("target").isNotNull() & ~F.col("commit_sha").eqNullSafe(F.col("ref")),
-                        F.col("target")).alias("latest_tag"),
-                 F.when(F.col("target").isNotNull() & ~F.col("commit_sha").eqNullSafe(F.col("ref")),
-                        F.col("commit_sha")).alias("latest_sha"))
+    update = F.col("target").isNotNull() & ~F.col("commit_sha").eqNullSafe(F.col("ref"))
+    if not loosen_unresolved:
+        update = update & F.col("commit_sha").isNotNull()
+    s = s.select("repo", "ref", F.when(update, F.col("target")).alias("latest_tag"),
+                 F.when(update, F.col("commit_sha")).alias("latest_sha"))
 
     newer = latest_refs(name_refs, names, expand, col="ref")
     t = name_refs.join(newer, ["repo", "ref"], "left")
@@ -137,6 +143,21 @@ def plan_ref_updates(refs: DataFrame, names: DataFrame, pin: bool = False, expan
     return s.unionByName(t)
 
 
+def unresolved_updates(refs: DataFrame, names: DataFrame, expand: bool = False, mutable: bool = False,
+                       tag_objects: DataFrame | None = None) -> DataFrame:
+    """Hash refs with a newer tag whose commit cannot be resolved: ``repo, ref, tag, target``."""
+    sha_refs = refs.filter(F.col("is_sha") & F.col("tag").isNotNull())
+    newer = latest_refs(sha_refs, names, expand, col="tag")
+    s = sha_refs.join(newer, ["repo", "tag"], "left")
+    target = F.col("latest")
+    if mutable:
+        target = F.coalesce(target, F.when(~F.col("tag").contains("."), F.col("tag")))
+    s = s.withColumn("target", target).filter(F.col("target").isNotNull())
+    found = resolve_commits(s, names, tag_objects, col="target")
+    return (s.join(found, ["repo", "target"], "left").filter(F.col("commit_sha").isNull())
+            .select("repo", "ref", "tag", "target"))
+
+
 def rewrite_refs(files: DataFrame, plan: DataFrame, renames: DataFrame | None = None):
     """Q27: rewritten texts and the change table.
 

@@ -523,8 +523,9 @@ def _plan_sql(pin: bool, expand: bool, mutable: bool) -> str:
 s2 AS (SELECT s.repo, s.ref, s.target, c.commit_sha FROM s LEFT JOIN resolved c ON c.repo = s.repo AND c.name = s.target),
 n AS (SELECT r.repo, r.ref, {target_n} AS target FROM refs r LEFT JOIN latest_n l ON l.repo = r.repo AND l.query = r.ref
   WHERE NOT r.is_sha),
-plan AS (SELECT repo, ref, CASE WHEN target IS NOT NULL AND commit_sha IS DISTINCT FROM ref THEN target END AS latest_tag,
-    CASE WHEN target IS NOT NULL AND commit_sha IS DISTINCT FROM ref THEN commit_sha END AS latest_sha FROM s2
+plan AS (SELECT repo, ref,
+    CASE WHEN target IS NOT NULL AND commit_sha IS NOT NULL AND commit_sha <> ref THEN target END AS latest_tag,
+    CASE WHEN target IS NOT NULL AND commit_sha IS NOT NULL AND commit_sha <> ref THEN commit_sha END AS latest_sha FROM s2
   UNION ALL
   SELECT n.repo, n.ref, n.target AS latest_tag, {'c.commit_sha' if pin else 'CAST(NULL AS VARCHAR)'} AS latest_sha
   FROM n LEFT JOIN resolved c ON c.repo = n.repo AND c.name = n.target)
@@ -770,3 +771,12 @@ def q_changelog_head_window(spark, sf_dir):
     tags, heads = fx(spark, sf_dir, "tags", "branch_heads")
     w = CL.release_windows(tags, head=heads)
     return w.select("repo", "from_tag", "to_tag", ts_text("from_at").alias("from_at"), ts_text("to_at").alias("to_at"))
+
+
+@register("unresolved_updates", "Q25", _refs_sql(_plan_sql(True, True, True)
+                                                 + "SELECT s2.repo, s2.ref, r.tag, s2.target FROM s2 JOIN refs r "
+                                                   "ON r.repo = s2.repo AND r.ref = s2.ref "
+                                                   "WHERE s2.target IS NOT NULL AND s2.commit_sha IS NULL"))
+def q_unresolved_updates(spark, sf_dir):
+    _, names, refs = _refs_inputs(spark, sf_dir)
+    return RF.unresolved_updates(refs, names, expand=True, mutable=True)

@@ -204,3 +204,29 @@ def test_bisect_scan_mode(spark):
            for r in BI.version_regressions(results.select("package", "version"), results, ranges).collect()}
     assert out == {("1.0", "1.5"): (False, "1.2", "forward"), ("1.3", "1.2"): (True, "1.2", "reverse"),
                    ("1.1", "1.2"): (True, "1.2", "forward")}
+
+
+def test_tag_dates_from_commits(spark):
+    tags = spark.createDataFrame([("r", "v1", False, "a"), ("r", "v2", False, "b")],
+                                 "repo string, tag string, prerelease boolean, sha string")
+    commits = spark.createDataFrame([("r", "a", T0), ("r", "b", T0 + dt.timedelta(days=1))],
+                                    "repo string, sha string, committed_at timestamp_ntz")
+    changes = spark.createDataFrame([("r", "a", 5, T0 + dt.timedelta(hours=2)), ("r", "a", 3, T0 + dt.timedelta(hours=1))],
+                                    "repo string, sha string, number bigint, merged_at timestamp_ntz")
+    got = {r.tag: r.tagged_at for r in CL.tag_dates(tags, commits, changes).collect()}
+    assert got == {"v1": T0 + dt.timedelta(hours=1), "v2": T0 + dt.timedelta(days=1)}
+
+
+def test_unresolved_hash_updates_are_left_alone(spark):
+    sha = "ab" * 20
+    refs = spark.createDataFrame([("o/a", sha, True, "v1")], "repo string, ref string, is_sha boolean, tag string")
+    names = spark.createDataFrame([("o/a", "tag", "v1", sha), ("o/b", "tag", "v2", "x")],
+                                  "repo string, kind string, name string, commit_sha string")
+    # v2 is a tag of another repository: o/a has no commit for it
+    names2 = names.unionByName(spark.createDataFrame([("o/a", "tag", "v2", None)],
+                                                     "repo string, kind string, name string, commit_sha string"))
+    strict = RF.plan_ref_updates(refs, names2).first()
+    loose = RF.plan_ref_updates(refs, names2, loosen_unresolved=True).first()
+    assert (strict.latest_tag, strict.latest_sha) == (None, None)
+    assert (loose.latest_tag, loose.latest_sha) == ("v2", None)
+    assert [tuple(r) for r in RF.unresolved_updates(refs, names2).collect()] == [("o/a", sha, "v1", "v2")]
