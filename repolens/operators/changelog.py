@@ -38,7 +38,8 @@ def tag_dates(tags: DataFrame, commits: DataFrame | None = None,
         t = t.join(first, ["repo", "sha"], "left") if first is not None else \
             t.withColumn("pr_merged_at", F.lit(None).cast("timestamp_ntz"))
         tags = t
-    return tags.select("repo", "tag", "prerelease",
+    extra = ["api_order"] if "api_order" in tags.columns else []
+    return tags.select("repo", "tag", "prerelease", *extra,
                        F.coalesce("pr_merged_at", "committed_at").alias("tagged_at"))
 
 
@@ -51,8 +52,13 @@ def release_windows(tags: DataFrame, head: DataFrame | None = None) -> DataFrame
     """
     dated = tag_dates(tags).filter(~F.col("prerelease"))
     if head is not None:
-        newest = dated.groupBy("repo").agg(
-            F.max_by(F.struct("tag", "tagged_at"), F.struct("tagged_at", "tag")).alias("t"))
+        # newest final release: first in API order when the releases carry it, else latest date
+        if "api_order" in dated.columns:
+            newest = dated.groupBy("repo").agg(
+                F.min_by(F.struct("tag", "tagged_at"), F.col("api_order")).alias("t"))
+        else:
+            newest = dated.groupBy("repo").agg(
+                F.max_by(F.struct("tag", "tagged_at"), F.struct("tagged_at", "tag")).alias("t"))
         return (newest.join(head, "repo")
                 .select("repo", F.col("t.tag").alias("from_tag"), F.col("t.tagged_at").alias("from_at"),
                         F.col("head").alias("to_tag"), F.col("head_at").alias("to_at")))
@@ -65,6 +71,15 @@ def release_windows(tags: DataFrame, head: DataFrame | None = None) -> DataFrame
     return a.join(b, ["repo", "i"]).select("repo", "from_tag", "from_at", "to_tag", "to_at")
 
 
+def chosen_windows(tags: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Q9, chosen pair: windows ``(repo, from_tag, to_tag)`` given by the user, dated by Q1."""
+    dated = tag_dates(tags).select("repo", "tag", "tagged_at")
+    a = dated.select("repo", F.col("tag").alias("from_tag"), F.col("tagged_at").alias("from_at"))
+    b = dated.select("repo", F.col("tag").alias("to_tag"), F.col("tagged_at").alias("to_at"))
+    return (pairs.select("repo", "from_tag", "to_tag").join(a, ["repo", "from_tag"]).join(b, ["repo", "to_tag"])
+            .select("repo", "from_tag", "from_at", "to_tag", "to_at"))
+
+
 def prs_in_window(changes: DataFrame, windows: DataFrame) -> DataFrame:
     """Q2: changes merged inside each window, both ends included, no cap.
 

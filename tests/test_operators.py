@@ -230,3 +230,17 @@ def test_unresolved_hash_updates_are_left_alone(spark):
     assert (strict.latest_tag, strict.latest_sha) == (None, None)
     assert (loose.latest_tag, loose.latest_sha) == ("v2", None)
     assert [tuple(r) for r in RF.unresolved_updates(refs, names2).collect()] == [("o/a", sha, "v1", "v2")]
+
+
+def test_default_and_chosen_windows(spark):
+    tags = spark.createDataFrame(
+        [("r", "v3rc", True, 0, T0 + dt.timedelta(days=9)), ("r", "v2", False, 1, T0 + dt.timedelta(days=5)),
+         ("r", "v1", False, 2, T0)],
+        "repo string, tag string, prerelease boolean, api_order bigint, committed_at timestamp_ntz") \
+        .withColumn("pr_merged_at", F.lit(None).cast("timestamp_ntz"))
+    head = spark.createDataFrame([("r", "main", T0 + dt.timedelta(days=10))], "repo string, head string, head_at timestamp_ntz")
+    w = CL.release_windows(tags, head).first()
+    assert (w.from_tag, w.to_tag) == ("v2", "main")
+    pairs = spark.createDataFrame([("r", "v1", "v3rc")], "repo string, from_tag string, to_tag string")
+    c = CL.chosen_windows(tags, pairs).first()
+    assert (c.from_at, c.to_at) == (T0, T0 + dt.timedelta(days=9))
