@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repolens.functions import text as X
+from repolens.operators.ordinal import ordinal_within
 from repolens.plans.session import bound_arrow_batch
 
-BLOCKS_SCHEMA = "url string, raw_title string, block bigint, code string"
+BLOCKS_SCHEMA = "url string, post bigint, raw_title string, block bigint, code string"
 ISSUE_CLASSES = ("highlight", "notranslate")
 
 
@@ -91,14 +92,14 @@ def _parses(code: str) -> bool:
 def _extract(batches, pick):
     for pdf in batches:
         rows = []
-        for url, html in zip(pdf["url"], pdf["html"], strict=True):
+        for url, post, html in zip(pdf["url"], pdf["post"], pdf["html"], strict=True):
             p = _Blocks(pick)
             p.feed(html or "")
             p.close()
             title = "".join(p.title) if p.title is not None else None
             kept = [c for c in ("".join(b) for b in p.blocks) if _parses(c)]
-            rows.extend((url, title, i, c) for i, c in enumerate(kept))
-        yield pd.DataFrame(rows, columns=["url", "raw_title", "block", "code"])
+            rows.extend((url, post, title, i, c) for i, c in enumerate(kept))
+        yield pd.DataFrame(rows, columns=["url", "post", "raw_title", "block", "code"])
 
 
 def code_blocks(pages: DataFrame, kind: str = "issue") -> DataFrame:
@@ -111,7 +112,8 @@ def code_blocks(pages: DataFrame, kind: str = "issue") -> DataFrame:
     """
     pick = _issue_pick if kind == "issue" else _forum_pick
     bound_arrow_batch(pages.sparkSession, 256)
-    blocks = pages.select("url", "html").mapInPandas(lambda it: _extract(it, pick), BLOCKS_SCHEMA)
+    post = F.col("post").cast("bigint") if "post" in pages.columns else F.lit(0).cast("bigint")
+    blocks = pages.select("url", post.alias("post"), "html").mapInPandas(lambda it: _extract(it, pick), BLOCKS_SCHEMA)
     if kind == "issue":
         info = F.split("raw_title", " · ")
         blocks = blocks.select(
@@ -120,7 +122,10 @@ def code_blocks(pages: DataFrame, kind: str = "issue") -> DataFrame:
             F.split(F.element_at(info, 2), "#").getItem(1).alias("number"),
             F.concat(F.lit("dev_"), F.split(F.element_at(info, 3), "/").getItem(1)).alias("repo"))
     else:
-        meta = pages.select("url", X.slug("title").alias("title"), F.col("number").cast("string"))
+        # blocks of all posts of a thread, numbered in (post, block) order
+        blocks = ordinal_within(blocks, ["url"], ["post", "block"], name="n") \
+            .withColumn("block", F.col("n") - 1).drop("n")
+        meta = pages.select("url", X.slug("title").alias("title"), F.col("number").cast("string")).distinct()
         blocks = blocks.join(meta, "url").select("url", "block", "code", "title", "number",
                                                  F.lit("discourse").alias("repo"))
     return blocks.withColumn("filename", F.concat_ws("_", "number", "title"))

@@ -332,9 +332,9 @@ def read_pages(spark: SparkSession, path: str, kind: str = "issue") -> DataFrame
     if kind == "issue":
         return spark.read.parquet(path).select("url", "html")
     df = _json(spark, path, FORUM_SCHEMA)
-    posts = df.select(F.col("id").alias("number"), "title", F.explode("post_stream.posts").alias("p"))
+    posts = df.select(F.col("id").alias("number"), "title", F.posexplode("post_stream.posts").alias("post", "p"))
     return posts.select(F.concat(F.lit("thread/"), F.col("number").cast("string")).alias("url"),
-                        "title", "number", F.col("p.cooked").alias("html"))
+                        "title", "number", F.col("post").cast("bigint"), F.col("p.cooked").alias("html"))
 
 
 VERSIONS_SCHEMA = T.StructType([T.StructField("result", T.StructType([T.StructField("pkgs", T.ArrayType(

@@ -119,10 +119,12 @@ def test_locks_texts_listing_pages_manifest(spark, tmp_path):
 def test_forum_code_blocks(spark, tmp_path):
     from repolens.operators.pages import code_blocks
 
-    pages = spark.createDataFrame([("thread/5", "Q? x", 5, "<p>t</p><pre><code class='lang-python'>x = 1</code></pre>")],
-                                  "url string, title string, number bigint, html string")
-    r = code_blocks(pages, kind="forum").first()
-    assert (r.code, r.repo, r.filename) == ("x = 1", "discourse", "5_Q_x")
+    pages = spark.createDataFrame(
+        [("thread/5", "Q? x", 5, 0, "<p>t</p><pre><code class='lang-python'>x = 1</code></pre>"),
+         ("thread/5", "Q? x", 5, 1, "<pre><code class='lang-python'>y = (</code></pre><code class='lang-py'>z = 2</code>")],
+        "url string, title string, number bigint, post bigint, html string")
+    rows = sorted((r.block, r.code, r.repo, r.filename) for r in code_blocks(pages, kind="forum").collect())
+    assert rows == [(0, "x = 1", "discourse", "5_Q_x"), (1, "z = 2", "discourse", "5_Q_x")]
 
 
 def test_sinks(spark, tmp_path):
