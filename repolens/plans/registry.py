@@ -713,7 +713,20 @@ def q_code_blocks(spark, sf_dir):
     return PG.code_blocks(pages)
 
 
-@register("documents", "Q32")
+_DOC_SQL = r"""
+SELECT repo, number || '_' || title AS filename, url,
+  '{"cells":[{"cell_type":"markdown","metadata":{},"source":["Downloaded from ' || url || ' at 2024-02-01."],"id":"'
+    || substr(sha256(url), 1, 32) || '"},{"cell_type":"code","metadata":{},"outputs":[],"source":["' || code
+    || '\n"],"execution_count":null,"id":"' || substr(sha256(url || '#0'), 1, 32)
+    || '"}],"metadata":{"language_info":{"name":"python","pygments_lexer":"ipython3"}},"nbformat":4,"nbformat_minor":5}'
+    AS notebook,
+  '# Downloaded from ' || url || ' at 2024-02-01.' || CHR(10) || CHR(10) || '# %% Codeblock 1' || CHR(10)
+    || 'import pandas as pd' || CHR(10) || code || CHR(10) || CHR(10) AS script,
+  CAST(1 AS BIGINT) AS blocks
+FROM blocks"""
+
+
+@register("documents", "Q32", "WITH " + _BLOCKS_SQL.replace("\n, blocks", "blocks", 1) + _DOC_SQL)
 def q_documents(spark, sf_dir):
     (pages,) = fx(spark, sf_dir, "issue_pages")
     return PG.assemble_documents(PG.code_blocks(pages), "2024-02-01", prelude="import pandas as pd")
