@@ -793,3 +793,14 @@ def q_changelog_head_window(spark, sf_dir):
 def q_unresolved_updates(spark, sf_dir):
     _, names, refs = _refs_inputs(spark, sf_dir)
     return RF.unresolved_updates(refs, names, expand=True, mutable=True)
+
+
+@register("run_history", "Q11 V20", oracle_with(["workflow_runs"], f"""
+, hist AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY repo, name ORDER BY run_number DESC) AS rn
+  FROM workflow_runs) t WHERE rn <= 270)
+SELECT h.repo, h.name AS workflow, h.run_number, {_label_sql('h')} AS label,
+  'https://api.github.com/repos/' || h.repo || '/actions/runs/' || CAST(h.run_number AS VARCHAR) || '/artifacts' AS artifacts_url
+FROM hist h""".replace("\n, hist", ", hist", 1)))
+def q_run_history(spark, sf_dir):
+    (runs,) = fx(spark, sf_dir, "workflow_runs")
+    return RU.run_history(runs)
