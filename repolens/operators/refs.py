@@ -40,6 +40,46 @@ def unpinnable_refs(refs: DataFrame) -> DataFrame:
     return refs.filter(F.col("is_sha") & F.col("tag").isNull()).select("repo", "ref")
 
 
+class NameIndex:
+    """Tags and branches reduced once, for every lookup of a plan.
+
+    ``any_shape``/``single``/``longer``: best candidate per ``(repo, prefix)``,
+    per ``(repo, prefix)`` among single numbers, per ``(repo, prefix, first
+    number)`` among longer names. ``commits``: the commit of each name, tags
+    before branches, annotated tags followed to their target. All are small
+    aggregates, kept (memory and disk) because a plan reads them several times.
+    """
+
+    def __init__(self, names: DataFrame, tag_objects: DataFrame | None = None):
+        from pyspark import StorageLevel
+
+        n = (names.filter(F.col("name").rlike(REF_FORM))
+             .select("repo", "name", (F.col("kind") == "tag").alias("is_tag"),
+                     F.regexp_extract("name", REF_FORM, 1).alias("prefix"),
+                     V.dotted_key(F.regexp_extract("name", REF_FORM, 2)).alias("v")))
+        keep = StorageLevel.MEMORY_AND_DISK
+        self.any_shape = _best(n, ["repo", "prefix"]).persist(keep)
+        self.single = _best(n.filter(F.size("v") == 1), ["repo", "prefix"]).persist(keep)
+        self.longer = _best(n.filter(F.size("v") > 1).withColumn("first", F.element_at("v", 1)),
+                            ["repo", "prefix", "first"]).persist(keep)
+        c = names.select("repo", "kind", "name", "commit_sha")
+        if tag_objects is not None:
+            c = c.join(tag_objects.select("repo", F.col("tag_sha").alias("commit_sha"), "target_sha"),
+                       ["repo", "commit_sha"], "left") \
+                .withColumn("commit_sha", F.coalesce("target_sha", "commit_sha")).drop("target_sha")
+        self.commits = c.groupBy("repo", "name").agg(
+            F.min_by("commit_sha", F.struct(F.col("kind") != "tag", F.col("commit_sha"))).alias("commit_sha")) \
+            .persist(keep)
+
+    def unpersist(self) -> None:
+        for df in (self.any_shape, self.single, self.longer, self.commits):
+            df.unpersist()
+
+
+def _index(names, tag_objects=None) -> NameIndex:
+    return names if isinstance(names, NameIndex) else NameIndex(names, tag_objects)
+
+
 def _best(names: DataFrame, keys: list[str]) -> DataFrame:
     """Best name per key: tags before branches, then the highest version."""
     return names.groupBy(*keys).agg(
@@ -60,43 +100,30 @@ def latest_refs(queries: DataFrame, names: DataFrame, expand: bool = False, col:
     one best row per ``(repo, prefix[, number])`` -- partial aggregations --
     and each reference joins a single row: no reference-by-name pairs.
     """
+    idx = _index(names)
     q = (queries.select("repo", F.col(col).alias("query")).distinct()
          .filter(~F.col("query").isin(SKIP_REFS) & F.col("query").rlike(REF_FORM))
          .withColumn("prefix", F.regexp_extract("query", REF_FORM, 1))
          .withColumn("cur", V.dotted_key(F.regexp_extract("query", REF_FORM, 2)))
          .withColumn("has_dot", F.regexp_extract("query", REF_FORM, 2).contains(".")))
-    n = (names.filter(F.col("name").rlike(REF_FORM))
-         .select("repo", "name", (F.col("kind") == "tag").alias("is_tag"),
-                 F.regexp_extract("name", REF_FORM, 1).alias("prefix"),
-                 V.dotted_key(F.regexp_extract("name", REF_FORM, 2)).alias("v")))
-    any_shape = _best(n, ["repo", "prefix"])
-    single = _best(n.filter(F.size("v") == 1), ["repo", "prefix"])
-    parts = [q.filter("has_dot").join(any_shape, ["repo", "prefix"])]
+    parts = [q.filter("has_dot").join(idx.any_shape, ["repo", "prefix"])]
     if expand:
-        longer = _best(n.filter(F.size("v") > 1).withColumn("first", F.element_at("v", 1)),
-                       ["repo", "prefix", "first"])
         parts.append(q.filter(~F.col("has_dot")).withColumn("first", F.element_at("cur", 1))
-                     .join(longer, ["repo", "prefix", "first"]).drop("first"))
+                     .join(idx.longer, ["repo", "prefix", "first"]).drop("first"))
     else:
-        parts.append(q.filter(~F.col("has_dot")).join(single, ["repo", "prefix"]))
+        parts.append(q.filter(~F.col("has_dot")).join(idx.single, ["repo", "prefix"]))
     best = parts[0].unionByName(parts[1])
     return best.select("repo", F.col("query").alias(col),
                        F.when(F.col("b.v") > F.col("cur"), F.col("b.name")).alias("latest"))
 
 
-def resolve_commits(wanted: DataFrame, names: DataFrame, tag_objects: DataFrame | None = None,
+def resolve_commits(wanted: DataFrame, names, tag_objects: DataFrame | None = None,
                     col: str = "name") -> DataFrame:
     """Q24: commit of a tag or branch name: tags before branches; annotated tags
-    followed to their target."""
-    n = names.select("repo", "kind", "name", "commit_sha")
-    if tag_objects is not None:
-        n = n.join(tag_objects.select("repo", F.col("tag_sha").alias("commit_sha"), "target_sha"),
-                   ["repo", "commit_sha"], "left") \
-            .withColumn("commit_sha", F.coalesce("target_sha", "commit_sha")).drop("target_sha")
+    followed to their target. ``names`` may be a ``NameIndex`` built once."""
+    idx = _index(names, tag_objects)
     w = wanted.select("repo", F.col(col).alias("name")).distinct()
-    r = w.join(n, ["repo", "name"]).groupBy("repo", "name").agg(
-        F.min_by("commit_sha", F.struct(F.col("kind") != "tag", F.col("commit_sha"))).alias("commit_sha"))
-    return r.withColumnRenamed("name", col)
+    return w.join(idx.commits, ["repo", "name"]).withColumnRenamed("name", col)
 
 
 def plan_ref_updates(refs: DataFrame, names: DataFrame, pin: bool = False, expand: bool = False,
@@ -114,6 +141,7 @@ def plan_ref_updates(refs: DataFrame, names: DataFrame, pin: bool = False, expan
     pin into a moving reference. ``loosen_unresolved=True`` keeps the tag with
     a null hash instead, which rewrites the reference to ``@tag``.
     """
+    names = _index(names, tag_objects)
     sha_refs = refs.filter(F.col("is_sha"))
     name_refs = refs.filter(~F.col("is_sha"))
 
@@ -146,6 +174,7 @@ def plan_ref_updates(refs: DataFrame, names: DataFrame, pin: bool = False, expan
 def unresolved_updates(refs: DataFrame, names: DataFrame, expand: bool = False, mutable: bool = False,
                        tag_objects: DataFrame | None = None) -> DataFrame:
     """Hash refs with a newer tag whose commit cannot be resolved: ``repo, ref, tag, target``."""
+    names = _index(names, tag_objects)
     sha_refs = refs.filter(F.col("is_sha") & F.col("tag").isNotNull())
     newer = latest_refs(sha_refs, names, expand, col="tag")
     s = sha_refs.join(newer, ["repo", "tag"], "left")
@@ -158,7 +187,8 @@ def unresolved_updates(refs: DataFrame, names: DataFrame, expand: bool = False,
             .select("repo", "ref", "tag", "target"))
 
 
-def rewrite_refs(files: DataFrame, plan: DataFrame, renames: DataFrame | None = None):
+def rewrite_refs(files: DataFrame, plan: DataFrame, renames: DataFrame | None = None,
+                 occurrences: DataFrame | None = None):
     """Q27: rewritten texts and the change table.
 
     Returns ``(texts, changes)``: ``texts`` has ``path, text, new_text`` for
@@ -166,7 +196,7 @@ def rewrite_refs(files: DataFrame, plan: DataFrame, renames: DataFrame | None =
     Matches are rebuilt from the text between them (``split`` on the pattern)
     and the rewritten matches, joined back in order.
     """
-    occ = ref_occurrences(files)
+    occ = ref_occurrences(files) if occurrences is None else occurrences
     updates = plan.filter(F.col("latest_tag").isNotNull()).select("repo", "ref", "latest_tag", "latest_sha")
     occ = occ.join(updates, ["repo", "ref"], "left")
     if renames is not None:
@@ -202,3 +232,24 @@ def rewrite_refs(files: DataFrame, plan: DataFrame, renames: DataFrame | None =
     changes = (full.select("path", F.explode(F.filter("r", lambda s: s["change"].isNotNull())).alias("c"))
                .select("path", "c.pos", "c.change.action_path", "c.change.old", "c.change.new"))
     return texts, changes
+
+
+def workflow_updates(files: DataFrame, names: DataFrame, pin: bool = False, expand: bool = False,
+                     mutable: bool = False, include: str | None = None, renames: DataFrame | None = None,
+                     tag_objects: DataFrame | None = None, loosen_unresolved: bool = False) -> dict:
+    """The whole update: references, plan, rewritten texts, changes, and the refs that cannot be updated.
+
+    The occurrences of ``uses:`` are parsed once and kept (memory and disk);
+    names are reduced once into a ``NameIndex``. Every output reads those.
+    """
+    from pyspark import StorageLevel
+
+    occ = ref_occurrences(files).persist(StorageLevel.MEMORY_AND_DISK)
+    chosen = occ.filter(F.col("action_path").contains(include)) if include else occ
+    refs = chosen.groupBy("repo", "ref").agg(F.max("is_sha").alias("is_sha"),
+                                             F.min_by("tag", F.struct("path", "pos")).alias("tag"))
+    idx = NameIndex(names, tag_objects)
+    plan = plan_ref_updates(refs, idx, pin, expand, mutable, loosen_unresolved=loosen_unresolved)
+    texts, changes = rewrite_refs(files, plan, renames, occurrences=occ)
+    return {"refs": refs, "plan": plan, "texts": texts, "changes": changes,
+            "unpinnable": unpinnable_refs(refs), "unresolved": unresolved_updates(refs, idx, expand, mutable)}

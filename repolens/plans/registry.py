@@ -606,10 +606,10 @@ changed AS (SELECT * FROM texts WHERE new_text <> text)
 
 
 def _rewrite_inputs(spark, sf_dir):
-    files, names, refs = _refs_inputs(spark, sf_dir)
-    plan = RF.plan_ref_updates(refs, names, pin=True, expand=False, mutable=False)
+    files, names = fx(spark, sf_dir, "workflows", "ref_names")
     renames = spark.createDataFrame(RENAMES, "old_path string, new_path string")
-    return RF.rewrite_refs(files, plan, renames)
+    out = RF.workflow_updates(files, names, pin=True, renames=renames)
+    return out["texts"], out["changes"]
 
 
 @register("rewrite_texts", "Q27 K3", _refs_sql(_plan_sql(True, False, False) + _REWRITE_SQL
