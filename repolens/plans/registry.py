@@ -804,3 +804,58 @@ FROM hist h""".replace("\n, hist", ", hist", 1)))
 def q_run_history(spark, sf_dir):
     (runs,) = fx(spark, sf_dir, "workflow_runs")
     return RU.run_history(runs)
+
+
+# ====================================================================== readers over landed pages
+
+from repolens.plans import landing as LD  # noqa: E402
+from repolens.sources import readers as RD  # noqa: E402
+
+
+@register("landed_pull_requests", "S1", oracle_with(["pull_requests"], f"""
+SELECT repo, number, title, COALESCE(author, 'unknown') AS author, {sql_ts('merged_at')} AS merged_at FROM pull_requests"""))
+def q_landed_pull_requests(spark, sf_dir):
+    (prs,) = fx(spark, sf_dir, "pull_requests")
+    out = RD.read_pull_requests(spark, LD.land_pull_requests(prs), multi_line=False)
+    return out.withColumn("merged_at", ts_text("merged_at"))
+
+
+@register("landed_runs", "S3", oracle_with(["workflow_runs"], f"""
+SELECT repo, run_number, name, head_branch, display_title, status, conclusion,
+  {sql_ts('run_started_at')} AS run_started_at, actor FROM workflow_runs"""))
+def q_landed_runs(spark, sf_dir):
+    (runs,) = fx(spark, sf_dir, "workflow_runs")
+    out = RD.read_runs(spark, LD.land_runs(runs), multi_line=False)
+    return out.select("repo", "run_number", "name", "head_branch", "display_title", "status", "conclusion",
+                      ts_text("run_started_at").alias("run_started_at"), "actor")
+
+
+@register("landed_artifacts", "S4", oracle_with(["artifacts"], """
+SELECT run_number, name, archive_download_url,
+  CAST(ROW_NUMBER() OVER (PARTITION BY run_number ORDER BY position, name, archive_download_url) - 1 AS BIGINT) AS position
+FROM artifacts"""))
+def q_landed_artifacts(spark, sf_dir):
+    (arts,) = fx(spark, sf_dir, "artifacts")
+    return RD.read_artifacts(spark, LD.land_artifacts(arts), multi_line=False)
+
+
+@register("landed_index_files", "S7", oracle_with(["index_files"], f"""
+SELECT package, filename, requires_python, {sql_ts('upload_time')} AS upload_time FROM index_files"""))
+def q_landed_index_files(spark, sf_dir):
+    (files,) = fx(spark, sf_dir, "index_files")
+    out = RD.read_index_files(spark, LD.land_index_files(files), multi_line=False)
+    return out.withColumn("upload_time", ts_text("upload_time"))
+
+
+@register("landed_requirements", "S8", oracle_with(["requirements"], """
+SELECT main_package, requirement FROM requirements"""))
+def q_landed_requirements(spark, sf_dir):
+    (req,) = fx(spark, sf_dir, "requirements")
+    return RD.read_requirements(spark, LD.land_requirements(req), multi_line=False)
+
+
+@register("landed_versions", "S12", oracle_with(["version_results"], """
+SELECT DISTINCT package, version FROM version_results"""))
+def q_landed_versions(spark, sf_dir):
+    (results,) = fx(spark, sf_dir, "version_results")
+    return RD.read_versions(spark, LD.land_versions(results.select("package", "version")), multi_line=False)

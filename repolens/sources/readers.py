@@ -42,8 +42,9 @@ def _file(df: DataFrame) -> DataFrame:
     return df.withColumn("source_file", F.col("_metadata.file_path"))
 
 
-def _json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return _file(spark.read.schema(schema).option("multiLine", True).json(path))
+def _json(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+    """One payload per file as downloaded (``multi_line``), or JSON Lines (one payload per line)."""
+    return _file(spark.read.schema(schema).option("multiLine", multi_line).json(path))
 
 
 def _whole_json(spark: SparkSession, path: str, schema: T.DataType) -> DataFrame:
@@ -66,13 +67,13 @@ PR_SCHEMA = T.StructType([
 ])
 
 
-def read_pull_requests(spark: SparkSession, path: str) -> DataFrame:
+def read_pull_requests(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Merged changes from landed search pages (all pages are one scan).
 
     Output ``repo, number, title, author, merged_at``; a missing author reads
     ``unknown``.
     """
-    df = _json(spark, path, PR_SCHEMA)
+    df = _json(spark, path, PR_SCHEMA, multi_line)
     nodes = df.select("repo", F.explode("data.search.nodes").alias("n"))
     return nodes.select("repo", F.col("n.number").alias("number"), F.col("n.title").alias("title"),
                         F.coalesce("n.author.login", F.lit("unknown")).alias("author"),
@@ -110,9 +111,9 @@ RUNS_SCHEMA = T.StructType([T.StructField("total_count", L),
                             T.StructField("workflow_runs", T.ArrayType(RUN_ITEM))])
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
+def read_runs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """S3: workflow runs of many repositories; repo from the payload."""
-    df = _json(spark, path, RUNS_SCHEMA)
+    df = _json(spark, path, RUNS_SCHEMA, multi_line)
     r = df.select(F.explode("workflow_runs").alias("r"))
     return r.select(
         F.col("r.repository.name").alias("repo"), F.col("r.run_number").alias("run_number"),
@@ -129,9 +130,9 @@ ARTIFACTS_SCHEMA = T.StructType([
         T.StructField("name", S), T.StructField("archive_download_url", S)])))])
 
 
-def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
+def read_artifacts(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Artifact lists of runs, with their position in the list."""
-    df = _json(spark, path, ARTIFACTS_SCHEMA)
+    df = _json(spark, path, ARTIFACTS_SCHEMA, multi_line)
     a = df.select("run_number", F.posexplode("artifacts").alias("position", "a"))
     return a.select("run_number", "a.name", "a.archive_download_url", F.col("position").cast("bigint"))
 
@@ -256,9 +257,9 @@ INDEX_SCHEMA = T.StructType([
         T.StructField("requires-python", S), T.StructField("yanked", S)])))])
 
 
-def read_index_files(spark: SparkSession, path: str) -> DataFrame:
+def read_index_files(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Package index file lists -> ``package, filename, requires_python, upload_time``."""
-    df = _json(spark, path, INDEX_SCHEMA)
+    df = _json(spark, path, INDEX_SCHEMA, multi_line)
     f = df.select(F.col("name").alias("package"), F.explode("files").alias("f"))
     return f.select("package", F.col("f.filename").alias("filename"),
                     F.col("f.`requires-python`").alias("requires_python"),
@@ -274,17 +275,17 @@ PROJECT_SCHEMA = T.StructType([
     T.StructField("feature", T.MapType(S, T.StructType([T.StructField("dependencies", T.MapType(S, S))])))])
 
 
-def read_requirements(spark: SparkSession, path: str, kind: str = "index") -> DataFrame:
+def read_requirements(spark: SparkSession, path: str, kind: str = "index", multi_line: bool = True) -> DataFrame:
     """Dependency declarations -> ``main_package, requirement``.
 
     ``index``: package metadata (``info.requires_dist``). ``project``: project
     files landed as JSON: top-level and per-feature dependency keys.
     """
     if kind == "index":
-        df = _json(spark, path, META_SCHEMA)
+        df = _json(spark, path, META_SCHEMA, multi_line)
         return df.select(F.col("info.name").alias("main_package"),
                          F.explode("info.requires_dist").alias("requirement"))
-    df = _json(spark, path, PROJECT_SCHEMA)
+    df = _json(spark, path, PROJECT_SCHEMA, multi_line)
     top = df.select(F.col("name").alias("main_package"), F.explode(F.map_keys("dependencies")).alias("requirement"))
     feat = df.select(F.col("name").alias("main_package"), F.explode("feature").alias("feature", "f")) \
         .select("main_package", F.explode(F.map_keys("f.dependencies")).alias("requirement"))
@@ -341,9 +342,9 @@ VERSIONS_SCHEMA = T.StructType([T.StructField("result", T.StructType([T.StructFi
     T.StructType([T.StructField("name", S), T.StructField("version", S)])))]))])
 
 
-def read_versions(spark: SparkSession, path: str) -> DataFrame:
+def read_versions(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Distinct ``package, version`` of a package catalogue."""
-    df = _json(spark, path, VERSIONS_SCHEMA)
+    df = _json(spark, path, VERSIONS_SCHEMA, multi_line)
     return df.select(F.explode("result.pkgs").alias("p")).select(
         F.col("p.name").alias("package"), F.col("p.version").alias("version")).distinct()
 
