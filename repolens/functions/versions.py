@@ -352,4 +352,4 @@ def python_floor_text(c) -> Column:
 def python_floor(c) -> Column:
     """V23 (aggregate): least interpreter version, by version order."""
     text = python_floor_text(c)
-    return F.min_by(text, version_key(text))
+    return F.min_by(text, F.struct(version_key(text), text))

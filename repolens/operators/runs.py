@@ -92,7 +92,7 @@ def match_env_files(files: DataFrame, os_name: str, python: str, test: str,
     low = F.lower("file")
     match = low.contains(os_name) & low.contains(python) & low.contains(f"_{test}")
     good = (named.filter((F.col("side") == "good") & match)
-            .groupBy(*keys).agg(F.min_by(F.struct("file", "path"), F.col("file")).alias("g")))
+            .groupBy(*keys).agg(F.min_by(F.struct("file", "path"), F.struct("file", "path")).alias("g")))
     good = good.select(*keys, F.col("g.file").alias("file"), F.col("g.path").alias("good_path"))
     bad = named.filter(F.col("side") == "bad").groupBy(*keys, "file").agg(F.min("path").alias("bad_path"))
     return good.join(bad, [*keys, "file"], "left")
