@@ -62,8 +62,8 @@ def land_runs(runs: DataFrame) -> str:
 
 
 def land_artifacts(artifacts: DataFrame) -> str:
-    """S4 shape: ``{run_number, artifacts: [...]}`` in list order, one page per run."""
-    docs = artifacts.groupBy("run_number").agg(
+    """S4 shape: ``{run_number, artifacts: [...]}`` in list order, 100 artifacts per page."""
+    docs = artifacts.withColumn("page", _page(100, F.col("position"))).groupBy("run_number", "page").agg(
         F.sort_array(F.collect_list(F.struct("position", "name", "archive_download_url"))).alias("a"))
     out = docs.select("run_number", F.transform("a", lambda x: F.struct(
         x["name"].alias("name"), x["archive_download_url"].alias("archive_download_url"))).alias("artifacts"))
@@ -91,3 +91,10 @@ def land_versions(versions: DataFrame) -> str:
     pages = versions.withColumn("page", _page(1000)).groupBy("page").agg(
         F.collect_list(F.struct(F.col("package").alias("name"), "version")).alias("pkgs"))
     return _write(pages.select(F.struct("pkgs").alias("result")), "versions")
+
+
+def land_pages(pages: DataFrame) -> str:
+    """S11 (issue kind) shape: ``url, html`` as parquet."""
+    path = landing_folder(pages.sparkSession, "pages")
+    pages.select("url", "html").write.mode("overwrite").parquet(path)
+    return path

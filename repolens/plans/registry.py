@@ -859,3 +859,10 @@ SELECT DISTINCT package, version FROM version_results"""))
 def q_landed_versions(spark, sf_dir):
     (results,) = fx(spark, sf_dir, "version_results")
     return RD.read_versions(spark, LD.land_versions(results.select("package", "version")), multi_line=False)
+
+
+@register("landed_code_blocks", "S11 Q31", "WITH " + _BLOCKS_SQL.replace("\n, blocks", "blocks", 1)
+          + "SELECT url, block, code, title, number, repo, number || '_' || title AS filename FROM blocks")
+def q_landed_code_blocks(spark, sf_dir):
+    (pages,) = fx(spark, sf_dir, "issue_pages")
+    return PG.code_blocks(RD.read_pages(spark, LD.land_pages(pages)))
