@@ -47,8 +47,13 @@ def stale_files(files: DataFrame, patterns: list[str] | None = None) -> DataFram
 
 def recent_files(files: DataFrame, n: int = 20) -> DataFrame:
     """Q30: working files named like ``<3-5 digits>...py``, under ``dev_``, not
-    archived, newest first; the top ``n`` (a top-k, planned as TakeOrdered)."""
+    archived, newest first; the top ``n`` (a top-k, planned as TakeOrdered).
+
+    Like the file finder this stands for, hidden entries (a path part starting
+    with ``.``) are not searched.
+    """
     name = X.file_basename("path")
+    hidden = F.exists(F.split("path", "/"), lambda part: part.startswith("."))
     picked = files.filter(name.rlike(RECENT_FILE_PATTERN) & ~F.col("path").contains("archive")
-                          & F.col("path").startswith("dev_"))
+                          & F.col("path").startswith("dev_") & ~hidden)
     return picked.orderBy(F.desc("mtime"), F.desc("path")).limit(n).select("path", "mtime")

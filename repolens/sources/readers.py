@@ -311,13 +311,64 @@ def read_texts(spark: SparkSession, path: str, glob: str = "*.py", root: str | N
     return df.select(p.alias("path"), F.col("value").alias("content"))
 
 
-def read_file_listing(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
-    """``path, mtime, length`` of every file below ``path``; contents are never read."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+LISTING_SCHEMA = "path string, mtime timestamp_ntz, length bigint"
+
+
+def _filesystem(uri: str):
+    import pyarrow.fs as pafs
+
+    if "://" in uri:
+        return pafs.FileSystem.from_uri(uri)
+    return pafs.LocalFileSystem(), uri
+
+
+def _walk(batches):
+    import pyarrow.fs as pafs
+
+    for pdf in batches:
+        rows = []
+        for uri in pdf["root"]:
+            fs, base = _filesystem(uri)
+            for info in fs.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True)):
+                if info.type == pafs.FileType.File:
+                    mtime = info.mtime.replace(tzinfo=None) if info.mtime is not None else None
+                    rows.append((info.path, mtime, info.size))
+        yield pd.DataFrame(rows, columns=["path", "mtime", "length"])
+
+
+def read_file_listing(spark: SparkSession, path: str, root: str | None = None,
+                      include_hidden: bool = False) -> DataFrame:
+    """``path, mtime, length`` of every file below ``path``; contents are never read.
+
+    Spark's file sources skip names starting with ``_`` or ``.``; with
+    ``include_hidden`` such entries are listed too (``__pycache__``,
+    ``.ipynb_checkpoints``): the driver lists the first level only, and each
+    subfolder is walked inside a task with ``pyarrow.fs`` (local, HDFS or
+    object stores). Times are UTC wall-clock.
+    """
+    if include_hidden:
+        import pyarrow.fs as pafs
+
+        fs, base = _filesystem(path)
+        top = fs.get_file_info(pafs.FileSelector(base, recursive=False))
+        prefix = path[: len(path) - len(base)] if "://" in path else ""
+        dirs = [(prefix + e.path,) for e in top if e.type == pafs.FileType.Directory]
+        files = [(e.path, e.mtime.replace(tzinfo=None) if e.mtime else None, e.size)
+                 for e in top if e.type == pafs.FileType.File]
+        listed = spark.createDataFrame(files, LISTING_SCHEMA)
+        if dirs:
+            roots = spark.createDataFrame(dirs, "root string")
+            roots = roots.repartition(min(len(dirs), spark.sparkContext.defaultParallelism * 4))
+            listed = listed.unionByName(roots.mapInPandas(_walk, LISTING_SCHEMA))
+        df = listed
+    else:
+        df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
+            "path", F.to_utc_timestamp("modificationTime", F.current_timezone()).cast("timestamp_ntz").alias("mtime"),
+            "length")
     p = F.col("path")
     if root:
         p = F.regexp_replace(p, "^(file:)?" + root.rstrip("/") + "/", "")
-    return df.select(p.alias("path"), F.col("modificationTime").cast("timestamp_ntz").alias("mtime"), "length")
+    return df.select(p.alias("path"), "mtime", "length")
 
 
 # ---------------------------------------------------------------- S11, S12, S13

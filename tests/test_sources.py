@@ -177,3 +177,29 @@ def test_changelog_from_landed_pages(spark, tmp_path):
     doc = CL.changelog_document(prs, tags).first().changelog
     assert doc == ("## Changelog (v1..v2)\n\nMany thanks to [@u](https://github.com/u) (first contribution) for their "
                    "contributions.\n\n### Features\n- feat: x ([#1](https://github.com/org/r/pull/1))\n")
+
+
+def test_working_file_plans_on_a_real_tree(spark, tmp_path):
+    from repolens.operators import workfiles as W
+
+    root = tmp_path / "dev"
+    for rel in ["dev_repoA/123_fix.py", "dev_repoA/archive/55_old.py", "dev_repoA/notes.txt", "dev_repoA/9999_new.py",
+                "dev_repoB/77_x.py", "dev_repoB/__pycache__/a.pyc", "dev_repoB/tmp1.py", "other/1234_y.py",
+                "dev_repoB/.ipynb_checkpoints/4567_c.py"]:
+        _w(root / rel, "x")
+    files = R.read_file_listing(spark, str(root), root=str(root), include_hidden=True)
+    visible = R.read_file_listing(spark, str(root), root=str(root))
+    assert files.count() == 9 and visible.count() == 7
+    issues = spark.createDataFrame([("repoA", 123, "closed"), ("repoA", 9999, "open"), ("repoB", 77, "merged")],
+                                   "repo string, number bigint, state string")
+    plan = {(r.folder, r.name): (r.action, r.target) for r in W.archive_plan(files, issues).collect()}
+    assert plan[("dev_repoA", "123_fix.py")] == ("archive", "dev_repoA/archive/123_fix.py")
+    assert plan[("dev_repoA", "9999_new.py")] == ("keep", None)
+    assert plan[("dev_repoA", "notes.txt")] == ("unassociated", None)
+    assert plan[("dev_repoB", "77_x.py")][0] == "archive"
+    assert ("dev_repoA", "archive") not in plan and ("other", "1234_y.py") not in plan
+    stale = {r.path: r.pattern for r in W.stale_files(files).collect()}
+    assert stale == {"dev_repoB/__pycache__/a.pyc": "__pycache__", "dev_repoB/tmp1.py": "tmp*.py",
+                     "dev_repoB/.ipynb_checkpoints/4567_c.py": ".ipynb_checkpoints"}
+    recent = [r.path for r in W.recent_files(files, 10).collect()]
+    assert sorted(recent) == ["dev_repoA/123_fix.py", "dev_repoA/9999_new.py"]
