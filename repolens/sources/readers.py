@@ -301,14 +301,38 @@ def read_project_features(spark: SparkSession, path: str) -> DataFrame:
 # ---------------------------------------------------------------- S9, S10
 
 
-def read_texts(spark: SparkSession, path: str, glob: str = "*.py", root: str | None = None) -> DataFrame:
-    """Whole source or workflow texts ``path, content`` (one row per file)."""
-    df = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-          .text(path, wholetext=True))
-    p = F.col("_metadata.file_path")
+def _read_texts(batches):
+    for pdf in batches:
+        out = []
+        for path in pdf["path"]:
+            fs, base = _filesystem(path)
+            with fs.open_input_stream(base) as f:
+                out.append((path, f.read().decode("utf-8", errors="replace")))
+        yield pd.DataFrame(out, columns=["path", "content"])
+
+
+def read_texts(spark: SparkSession, path: str, glob: str = "*.py", root: str | None = None,
+               include_hidden: bool = False) -> DataFrame:
+    """Whole source or workflow texts ``path, content`` (one row per file).
+
+    ``include_hidden`` also finds files below ``_``/``.`` folders (such as
+    ``.github/workflows``), listing and reading them inside tasks.
+    """
+    p = F.col("path")
     if root:
         p = F.regexp_replace(p, "^(file:)?" + root.rstrip("/") + "/", "")
-    return df.select(p.alias("path"), F.col("value").alias("content"))
+    if include_hidden:
+        import fnmatch
+
+        rx = fnmatch.translate(glob)  # (?s:...)\Z is valid in Java regex too
+        listing = read_file_listing(spark, path, include_hidden=True)
+        wanted = listing.filter(F.element_at(F.split("path", "/"), -1).rlike(rx)).select("path")
+        bound_arrow_batch(spark, 256)
+        return wanted.mapInPandas(_read_texts, "path string, content string").select(p.alias("path"), "content")
+    df = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+          .text(path, wholetext=True))
+    return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")) \
+        .select(p.alias("path"), "content")
 
 
 LISTING_SCHEMA = "path string, mtime timestamp_ntz, length bigint"

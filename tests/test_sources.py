@@ -203,3 +203,13 @@ def test_working_file_plans_on_a_real_tree(spark, tmp_path):
                      "dev_repoB/.ipynb_checkpoints/4567_c.py": ".ipynb_checkpoints"}
     recent = [r.path for r in W.recent_files(files, 10).collect()]
     assert sorted(recent) == ["dev_repoA/123_fix.py", "dev_repoA/9999_new.py"]
+
+
+def test_texts_below_hidden_folders(spark, tmp_path):
+    repo = tmp_path / "checkout"
+    _w(repo / ".github" / "workflows" / "ci.yml", "steps:\n  - uses: org/act@v1\n")
+    _w(repo / "src" / "a.py", "x = 1\n")
+    plain = R.read_texts(spark, str(repo), "*.yml", root=str(repo)).collect()
+    assert plain == []
+    found = [tuple(r) for r in R.read_texts(spark, str(repo), "*.yml", root=str(repo), include_hidden=True).collect()]
+    assert found == [(".github/workflows/ci.yml", "steps:\n  - uses: org/act@v1\n")]
