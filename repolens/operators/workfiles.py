@@ -45,9 +45,10 @@ def stale_files(files: DataFrame, patterns: list[str] | None = None) -> DataFram
             .filter(F.col("pattern").isNotNull()))
 
 
-def recent_files(files: DataFrame, n: int = 20) -> DataFrame:
+def recent_files(files: DataFrame, n: int | None = None) -> DataFrame:
     """Q30: working files named like ``<3-5 digits>...py``, under ``dev_``, not
-    archived, newest first; the top ``n`` (a top-k, planned as TakeOrdered).
+    archived, newest first (ties by path, descending). All of them, or the top
+    ``n`` when given (a top-k, planned as TakeOrdered).
 
     Like the file finder this stands for, hidden entries (a path part starting
     with ``.``) are not searched.
@@ -56,4 +57,5 @@ def recent_files(files: DataFrame, n: int = 20) -> DataFrame:
     hidden = F.exists(F.split("path", "/"), lambda part: part.startswith("."))
     picked = files.filter(name.rlike(RECENT_FILE_PATTERN) & ~F.col("path").contains("archive")
                           & F.col("path").startswith("dev_") & ~hidden)
-    return picked.orderBy(F.desc("mtime"), F.desc("path")).limit(n).select("path", "mtime")
+    ordered = picked.orderBy(F.desc("mtime"), F.desc("path"))
+    return (ordered.limit(n) if n is not None else ordered).select("path", "mtime")

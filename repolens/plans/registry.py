@@ -692,10 +692,10 @@ def q_stale_files(spark, sf_dir):
 @register("recent_files", "Q30", oracle_with(["dev_files"], f"""
 SELECT path, {sql_ts('mtime')} AS mtime FROM dev_files
 WHERE regexp_matches(regexp_extract(path, '[^/]*$'), '\\d{{3,5}}.+?\\.py$') AND path NOT LIKE '%archive%' AND path LIKE 'dev\\_%' ESCAPE '\\'
-ORDER BY mtime DESC, path DESC LIMIT 20"""))
+ORDER BY mtime DESC, path DESC"""))
 def q_recent_files(spark, sf_dir):
     (files,) = fx(spark, sf_dir, "dev_files")
-    return WF.recent_files(files, 20).withColumn("mtime", ts_text("mtime"))
+    return WF.recent_files(files).withColumn("mtime", ts_text("mtime"))
 
 
 _BLOCKS_SQL = r"""
