@@ -32,11 +32,13 @@ def active_runs(runs: DataFrame, as_of) -> DataFrame:
     ).orderBy(F.desc("started_at"))
 
 
-def run_history(runs: DataFrame, depth: int = 270) -> DataFrame:
+def run_history(runs: DataFrame, depth: int | None = 270) -> DataFrame:
     """Q11 (first half): the newest ``depth`` runs per (repo, workflow), labelled.
 
-    ``row_number() <= depth`` is planned as a group limit applied before the
-    shuffle, so a busy workflow sends at most ``depth`` rows per partition.
+    ``depth`` is the search depth of the lookup being reproduced (nine pages
+    of 30); ``None`` searches all runs. ``row_number() <= depth`` is planned
+    as a group limit applied before the shuffle, so a busy workflow sends at
+    most ``depth`` rows per partition.
     """
     if "created_at" not in runs.columns:
         runs = runs.withColumn("created_at", F.col("run_started_at"))
@@ -44,15 +46,18 @@ def run_history(runs: DataFrame, depth: int = 270) -> DataFrame:
         runs = runs.withColumn("url", F.concat(
             F.lit("https://api.github.com/repos/"), F.col("repo"), F.lit("/actions/runs/"),
             F.col("run_number").cast("string")))
-    w = Window.partitionBy("repo", "name").orderBy(F.desc("run_number"))
-    recent = runs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= depth).drop("_rn")
+    if depth is None:
+        recent = runs
+    else:
+        w = Window.partitionBy("repo", "name").orderBy(F.desc("run_number"))
+        recent = runs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= depth).drop("_rn")
     return recent.select(
         "repo", F.col("name").alias("workflow"), "run_number",
         X.run_label("run_number", "conclusion", "created_at", "head_branch").alias("label"),
         F.concat(F.col("url"), F.lit("/artifacts")).alias("artifacts_url"))
 
 
-def run_pairs(runs: DataFrame, pairs: DataFrame, depth: int = 270) -> DataFrame:
+def run_pairs(runs: DataFrame, pairs: DataFrame, depth: int | None = 270) -> DataFrame:
     """Q11: good and bad run of each request ``(repo, workflow, good_run, bad_run)``.
 
     A pair is found only if both runs are among the newest ``depth``.
