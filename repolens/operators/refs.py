@@ -200,8 +200,8 @@ def rewrite_refs(files: DataFrame, plan: DataFrame, renames: DataFrame | None =
     updates = plan.filter(F.col("latest_tag").isNotNull()).select("repo", "ref", "latest_tag", "latest_sha")
     occ = occ.join(updates, ["repo", "ref"], "left")
     if renames is not None:
-        # the rename list is a short, fixed table
-        occ = occ.join(F.broadcast(renames.withColumnRenamed("old_path", "action_path")), "action_path", "left")
+        # user-supplied list: AQE broadcasts it when its measured size is small
+        occ = occ.join(renames.withColumnRenamed("old_path", "action_path"), "action_path", "left")
     else:
         occ = occ.withColumn("new_path", F.lit(None).cast("string"))
     new_path = F.coalesce("new_path", "action_path")
