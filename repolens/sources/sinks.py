@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from repolens.operators.pages import insert_if_absent
+from repolens.plans.session import ensure_checkpoint_dir
 
 
 def write_changelogs(docs: DataFrame, path: str) -> None:
@@ -32,13 +33,17 @@ def write_documents(docs: DataFrame, path: str) -> DataFrame:
     """K2: store notebooks and scripts whose ``(repo, filename)`` is not stored yet.
 
     Appends to a JSON table partitioned by ``repo``; returns the rows written.
+    The new rows are materialised (reliable checkpoint) before the append, so
+    the returned table does not change when the stored table grows.
     """
     spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
     try:
         existing = spark.read.json(path).select("repo", "filename")
         fresh = insert_if_absent(docs, existing)
     except AnalysisException:
         fresh = docs
+    fresh = fresh.checkpoint(eager=True)
     fresh.write.mode("append").partitionBy("repo").json(path)
     return fresh
 
