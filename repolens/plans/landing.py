@@ -98,3 +98,21 @@ def land_pages(pages: DataFrame) -> str:
     path = landing_folder(pages.sparkSession, "pages")
     pages.select("url", "html").write.mode("overwrite").parquet(path)
     return path
+
+
+def land_locks(locks: DataFrame) -> str:
+    """S6 shape: one lock-file text per ``(side, env, arch)`` folder.
+
+    Each text holds the ``environments`` section for that environment and
+    platform, followed by a ``packages:`` section that the reader must skip.
+    One document is one environment's package list, the size of a lock file.
+    """
+    item = F.concat(F.lit("      - conda: "), F.col("url"))
+    docs = locks.groupBy("side", "env", "arch").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    text = F.concat(F.lit("version: 6\nenvironments:\n  "), F.col("env"), F.lit(":\n    channels: []\n    packages:\n      "),
+                    F.col("arch"), F.lit(":\n"), F.array_join("items", "\n"),
+                    F.lit("\npackages:\n- conda: https://x.org/skipped.conda\n  depends: [unparsed\n"))
+    path = landing_folder(locks.sparkSession, "locks")
+    docs.select("side", "env", "arch", text.alias("value")).write.mode("overwrite") \
+        .partitionBy("side", "env", "arch").text(path)
+    return path

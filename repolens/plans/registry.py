@@ -866,3 +866,11 @@ def q_landed_versions(spark, sf_dir):
 def q_landed_code_blocks(spark, sf_dir):
     (pages,) = fx(spark, sf_dir, "issue_pages")
     return PG.code_blocks(RD.read_pages(spark, LD.land_pages(pages)))
+
+
+@register("landed_package_diff", "S6 Q15", REGISTRY["package_diff"].oracle)
+def q_landed_package_diff(spark, sf_dir):
+    (locks,) = fx(spark, sf_dir, "lock_packages")
+    read = RD.read_locks(spark, LD.land_locks(locks))
+    read = read.withColumn("side", F.regexp_extract("source_file", r"/side=([^/]+)/", 1))
+    return DF.package_diff(read)
