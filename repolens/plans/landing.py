@@ -116,3 +116,22 @@ def land_locks(locks: DataFrame) -> str:
     docs.select("side", "env", "arch", text.alias("value")).write.mode("overwrite") \
         .partitionBy("side", "env", "arch").text(path)
     return path
+
+
+def land_releases(tags: DataFrame, page_size: int = 100) -> str:
+    """S2 shape: per repository, API pages (JSON arrays, newest first) of ``page_size`` releases.
+
+    The page of a release comes from its rank by date (skew-safe ordinal), and
+    the page number is kept in the folder name, as a paged download records it.
+    """
+    from repolens.operators.ordinal import ordinal_within
+
+    dated = tags.withColumn("_at", F.coalesce("pr_merged_at", "committed_at"))
+    ranked = ordinal_within(dated, ["repo"], [F.desc("_at"), F.desc("tag")], name="_rank")
+    item = F.struct(F.col("tag").alias("tag_name"), "prerelease", F.date_format("_at", ISO).alias("created_at"))
+    pages = ranked.withColumn("page", F.floor((F.col("_rank") - 1) / page_size)).groupBy("repo", "page").agg(
+        F.sort_array(F.collect_list(F.struct("_rank", item.alias("r")))).alias("items"))
+    text = F.to_json(F.transform("items", lambda x: x["r"]))
+    path = landing_folder(tags.sparkSession, "releases")
+    pages.select("repo", "page", text.alias("value")).write.mode("overwrite").partitionBy("repo", "page").text(path)
+    return path

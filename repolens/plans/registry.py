@@ -874,3 +874,13 @@ def q_landed_package_diff(spark, sf_dir):
     read = RD.read_locks(spark, LD.land_locks(locks))
     read = read.withColumn("side", F.regexp_extract("source_file", r"/side=([^/]+)/", 1))
     return DF.package_diff(read)
+
+
+@register("landed_head_window", "S2 Q9", REGISTRY["changelog_head_window"].oracle)
+def q_landed_head_window(spark, sf_dir):
+    tags, heads = fx(spark, sf_dir, "tags", "branch_heads")
+    rel = RD.read_releases(spark, LD.land_releases(tags), repo_pattern=r"/repo=([^/]+)/",
+                           page_pattern=r"/page=([0-9]+)/")
+    dated = rel.join(tags.select("repo", "tag", "committed_at", "pr_merged_at"), ["repo", "tag"])
+    w = CL.release_windows(dated, head=heads)
+    return w.select("repo", "from_tag", "to_tag", ts_text("from_at").alias("from_at"), ts_text("to_at").alias("to_at"))

@@ -84,15 +84,21 @@ RELEASE_ITEM = T.StructType([T.StructField("tag_name", S), T.StructField("prerel
                              T.StructField("target_commitish", S), T.StructField("created_at", S)])
 
 
-def read_releases(spark: SparkSession, path: str, repo_pattern: str = r"([^/]+)\.json$") -> DataFrame:
+def read_releases(spark: SparkSession, path: str, repo_pattern: str = r"([^/]+)\.json$",
+                  page_pattern: str | None = None, page_size: int = 100) -> DataFrame:
     """Releases per repository, ``api_order`` 0 = newest, ``prerelease`` kept.
 
-    One landed file per repository, named by ``repo_pattern`` (first group).
+    Each landed file is one API page (a JSON array); the repository comes from
+    the file path (``repo_pattern``, first group). With ``page_pattern`` the
+    page number (from 0) is read from the path too, and ``api_order`` runs on
+    across pages of ``page_size``.
     """
     docs = _whole_json(spark, path, T.ArrayType(RELEASE_ITEM))
-    rows = docs.select(F.regexp_extract("source_file", repo_pattern, 1).alias("repo"),
-                       F.posexplode("doc").alias("api_order", "r"))
-    return rows.select("repo", F.col("api_order").cast("bigint"), F.col("r.tag_name").alias("tag"),
+    page = F.regexp_extract("source_file", page_pattern, 1).cast("bigint") if page_pattern else F.lit(0).cast("bigint")
+    rows = docs.select(F.regexp_extract("source_file", repo_pattern, 1).alias("repo"), page.alias("page"),
+                       F.posexplode("doc").alias("pos", "r"))
+    return rows.select("repo", (F.col("page") * page_size + F.col("pos")).cast("bigint").alias("api_order"),
+                       F.col("r.tag_name").alias("tag"),
                        F.coalesce("r.prerelease", F.lit(False)).alias("prerelease"),
                        utc_ntz("r.created_at").alias("created_at"))
 

@@ -232,3 +232,19 @@ def test_streaming_run_changes_across_polls(spark, tmp_path):
     start_active_run_changes(spark, str(landing), out, ckpt).awaitTermination(120)
     rows = sorted((r.run_number, r.status) for r in spark.read.parquet(out).collect())
     assert rows == [(1, "in_progress"), (1, "queued"), (2, "queued")]
+
+
+def test_release_pages_keep_api_order(spark):
+    from repolens.plans import landing as LD
+    from repolens.plans.fixtures import load
+
+    tags = load(spark, "/root/testdata/sf0.001", "tags")
+    rel = R.read_releases(spark, LD.land_releases(tags, page_size=2), repo_pattern=r"/repo=([^/]+)/",
+                          page_pattern=r"/page=([0-9]+)/")
+    got = {(r.repo, r.tag): r.api_order for r in rel.collect()}
+    want = {}
+    for row in tags.collect():
+        want.setdefault(row.repo, []).append((row.pr_merged_at or row.committed_at, row.tag))
+    expected = {(repo, tag): i for repo, items in want.items()
+                for i, (_, tag) in enumerate(sorted(items, reverse=True))}
+    assert got == expected
