@@ -240,7 +240,7 @@ def test_release_pages_keep_api_order(spark):
 
     tags = load(spark, "/root/testdata/sf0.001", "tags")
     rel = R.read_releases(spark, LD.land_releases(tags, page_size=2), repo_pattern=r"/repo=([^/]+)/",
-                          page_pattern=r"/page=([0-9]+)/")
+                          page_pattern=r"/page=([0-9]+)/", page_size=2)
     got = {(r.repo, r.tag): r.api_order for r in rel.collect()}
     want = {}
     for row in tags.collect():
