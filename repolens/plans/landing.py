@@ -135,3 +135,46 @@ def land_releases(tags: DataFrame, page_size: int = 100) -> str:
     path = landing_folder(tags.sparkSession, "releases")
     pages.select("repo", "page", text.alias("value")).write.mode("overwrite").partitionBy("repo", "page").text(path)
     return path
+
+
+def _archive_bytes(fmt: str, members: list[str]) -> bytes:
+    import io
+    import tarfile
+    import zipfile
+
+    buf = io.BytesIO()
+    if fmt in ("wheel", "zip"):
+        with zipfile.ZipFile(buf, "w") as z:
+            for m in members:
+                z.writestr(m, "")
+    else:
+        mode = {"sdist": "w:gz", "npm": "w:gz", "conda1": "w:bz2"}[fmt]
+        with tarfile.open(fileobj=buf, mode=mode) as t:
+            for m in members:
+                t.addfile(tarfile.TarInfo(m), io.BytesIO(b""))
+    return buf.getvalue()
+
+
+def land_archives(members: DataFrame) -> str:
+    """S5 shape: real archive files (wheel zip, sdist tar.gz) under ``side=<side>/``.
+
+    Each archive is built inside a task from its member rows (one group per
+    archive: the size of one package file) and written to the shared folder.
+    """
+    import pandas as pd
+
+    from repolens.sources.readers import _filesystem
+
+    path = landing_folder(members.sparkSession, "archives")
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        side, fmt, archive = pdf["side"].iloc[0], pdf["format"].iloc[0], pdf["archive"].iloc[0]
+        fs, base = _filesystem(f"{path}/side={side}")
+        fs.create_dir(base, recursive=True)
+        with fs.open_output_stream(f"{base}/{archive}", compression=None) as f:
+            f.write(_archive_bytes(fmt, sorted(set(pdf["member"]))))
+        return pd.DataFrame({"archive": [archive], "members": [len(pdf)]})
+
+    members.groupBy("side", "format", "archive").applyInPandas(build, "archive string, members long") \
+        .write.format("noop").mode("overwrite").save()
+    return path

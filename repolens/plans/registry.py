@@ -884,3 +884,11 @@ def q_landed_head_window(spark, sf_dir):
     dated = rel.join(tags.select("repo", "tag", "committed_at", "pr_merged_at"), ["repo", "tag"])
     w = CL.release_windows(dated, head=heads)
     return w.select("repo", "from_tag", "to_tag", ts_text("from_at").alias("from_at"), ts_text("to_at").alias("to_at"))
+
+
+@register("landed_file_list_diff", "S5 Q16", REGISTRY["file_list_diff"].oracle)
+def q_landed_file_list_diff(spark, sf_dir):
+    (members,) = fx(spark, sf_dir, "archive_members")
+    read = RD.read_archive_members(spark, LD.land_archives(members))
+    read = read.withColumn("side", F.regexp_extract("path", r"/side=([^/]+)/", 1))
+    return DF.file_list_diff(read)

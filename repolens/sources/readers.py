@@ -312,7 +312,7 @@ def _read_texts(batches):
         out = []
         for path in pdf["path"]:
             fs, base = _filesystem(path)
-            with fs.open_input_stream(base) as f:
+            with fs.open_input_stream(base, compression=None) as f:
                 out.append((path, f.read().decode("utf-8", errors="replace")))
         yield pd.DataFrame(out, columns=["path", "content"])
 
@@ -345,8 +345,13 @@ LISTING_SCHEMA = "path string, mtime timestamp_ntz, length bigint"
 
 
 def _filesystem(uri: str):
+    """A ``pyarrow.fs`` file system and the path inside it, for a Spark-style path or URI."""
+    import re
+
     import pyarrow.fs as pafs
 
+    if uri.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + re.sub(r"^file:/+", "", uri)
     if "://" in uri:
         return pafs.FileSystem.from_uri(uri)
     return pafs.LocalFileSystem(), uri
