@@ -178,3 +178,10 @@ def land_archives(members: DataFrame) -> str:
     members.groupBy("side", "format", "archive").applyInPandas(build, "archive string, members long") \
         .write.format("noop").mode("overwrite").save()
     return path
+
+
+def land_manifests(flat: DataFrame) -> str:
+    """S13 shape: ``{milestones: {<milestone>: {downloads: {<product>: [{platform, url}]}}}}``, one per milestone."""
+    from repolens.operators.manifest import nest_manifest
+
+    return _write(nest_manifest(flat), "manifests")

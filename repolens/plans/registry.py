@@ -892,3 +892,9 @@ def q_landed_file_list_diff(spark, sf_dir):
     read = RD.read_archive_members(spark, LD.land_archives(members))
     read = read.withColumn("side", F.regexp_extract("path", r"/side=([^/]+)/", 1))
     return DF.file_list_diff(read)
+
+
+@register("landed_download_index", "S13 Q37", REGISTRY["download_index"].oracle)
+def q_landed_download_index(spark, sf_dir):
+    (flat,) = fx(spark, sf_dir, "downloads")
+    return MF.download_index(RD.read_manifest(spark, LD.land_manifests(flat), multi_line=False), platform="linux64")

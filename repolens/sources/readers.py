@@ -440,6 +440,6 @@ MANIFEST_SCHEMA = T.StructType([T.StructField("milestones", T.MapType(S, T.Struc
         T.StructField("platform", S), T.StructField("url", S)]))))])))])
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+def read_manifest(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Download manifests (milestone -> product -> platform list), nested as landed."""
-    return _json(spark, path, MANIFEST_SCHEMA).select("milestones")
+    return _json(spark, path, MANIFEST_SCHEMA, multi_line).select("milestones")
