@@ -42,6 +42,10 @@ def table_hash(columns: list[str], rows: list[tuple]) -> str:
     return h.hexdigest()
 
 
+SPARK_TO_DUCK = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "boolean": "BOOLEAN",
+                 "double": "DOUBLE", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+
+
 def duck(sf_dir: str):
     import duckdb
 
@@ -85,8 +89,11 @@ def compare(spark: SparkSession, sf_dir: str, names: list[str] | None = None, ve
                 continue
             out["oracle_rows"] = len(orows)
             out["cols_match"] = sorted(cols) == sorted(ocols)
+            otypes = {d[0]: d[1] for d in con.execute(f"DESCRIBE {reg.oracle}").fetchall()}
+            stypes = dict(df.dtypes)
+            out["types_match"] = all(SPARK_TO_DUCK.get(stypes[c], stypes[c]) == otypes.get(c) for c in stypes)
             out["hash_match"] = table_hash(cols, rows) == table_hash(ocols, orows)
-            out["ok"] = out["cols_match"] and out["hash_match"] and len(rows) == len(orows)
+            out["ok"] = out["cols_match"] and out["types_match"] and out["hash_match"] and len(rows) == len(orows)
             if not out["cols_match"]:
                 out["cols"] = (cols, ocols)
         results[name] = out
