@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from repolens.functions import text as X
 from repolens.functions import versions as V
+from repolens.plans.session import spread
 from repolens.functions.fixed_values import INTERPRETER_RELEASES, PACKAGE_ALIASES, SPEC0_DAYS
 
 
@@ -41,7 +42,7 @@ def support_window(files: DataFrame, python_version: str, as_of, released_at=Non
     # unparsable names get a null version and are dropped after the first
     # aggregation (a row filter here would be pushed into the scan with the
     # parse expression copied into it)
-    parsed = files.select("package", V.dist_version_text("filename").alias("version"),
+    parsed = spread(files).select("package", V.dist_version_text("filename").alias("version"),
                           F.coalesce("requires_python", F.lit("")).alias("spec"), "upload_time")
     # the specifier test is a large expression: evaluate it once per distinct
     # specifier text (a small table), not once per file

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repolens.functions import versions as V
-from repolens.plans.session import bound_arrow_batch
+from repolens.plans.session import bound_arrow_batch, spread
 
 CALLS_SCHEMA = "package string, path string, line bigint, col bigint, version string"
 
@@ -52,7 +52,7 @@ def deprecation_calls(sources: DataFrame, name: str = "deprecated") -> DataFrame
     bound_arrow_batch(sources.sparkSession, 1024)
     candidates = sources.filter(F.col("content").contains(name) & F.col("content").rlike(bare)) \
         .select("package", "path", "content")
-    return candidates.mapInPandas(lambda it: _scan(it, name), CALLS_SCHEMA)
+    return spread(candidates).mapInPandas(lambda it: _scan(it, name), CALLS_SCHEMA)
 
 
 def overdue_deprecations(sources: DataFrame, package_versions: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from repolens.functions import text as X
 from repolens.operators.ordinal import ordinal_within
-from repolens.plans.session import bound_arrow_batch
+from repolens.plans.session import bound_arrow_batch, spread
 
 BLOCKS_SCHEMA = "url string, post bigint, raw_title string, block bigint, code string"
 ISSUE_CLASSES = ("highlight", "notranslate")
@@ -113,7 +113,7 @@ def code_blocks(pages: DataFrame, kind: str = "issue") -> DataFrame:
     pick = _issue_pick if kind == "issue" else _forum_pick
     bound_arrow_batch(pages.sparkSession, 256)
     post = F.col("post").cast("bigint") if "post" in pages.columns else F.lit(0).cast("bigint")
-    blocks = pages.select("url", post.alias("post"), "html").mapInPandas(lambda it: _extract(it, pick), BLOCKS_SCHEMA)
+    blocks = spread(pages.select("url", post.alias("post"), "html")).mapInPandas(lambda it: _extract(it, pick), BLOCKS_SCHEMA)
     if kind == "issue":
         info = F.split("raw_title", " · ")
         blocks = blocks.select(

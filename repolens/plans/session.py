@@ -77,3 +77,20 @@ def bound_arrow_batch(spark: SparkSession, rows: int) -> None:
     current = int(spark.conf.get(key, "10000"))
     if current <= 0 or current > rows:
         spark.conf.set(key, str(rows))
+
+
+def spread(df):
+    """Give a small input at least one partition per core before a costly row step.
+
+    A few small files (or one parquet row group) give one scan task, so a
+    Python or regex-heavy step right after the scan would run on one core.
+    Inputs that already have as many partitions as the cluster has cores --
+    every large input -- are returned unchanged (no shuffle).
+    """
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < target:
+            return df.repartition(target)
+    except Exception:  # noqa: BLE001 - remote sessions: leave the plan as it is
+        pass
+    return df
