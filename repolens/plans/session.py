@@ -84,10 +84,16 @@ def spread(df):
 
     A few small files (or one parquet row group) give one scan task, so a
     Python or regex-heavy step right after the scan would run on one core.
-    Inputs that already have as many partitions as the cluster has cores --
-    every large input -- are returned unchanged (no shuffle).
+    Only inputs read straight from files are looked at (a plan with a shuffle
+    already has ``spark.sql.shuffle.partitions`` partitions, and asking it for
+    its partition count would run the shuffle); inputs that already have as
+    many partitions as the cluster has cores -- every large input -- are
+    returned unchanged (no shuffle).
     """
     try:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        if "Exchange" in plan:
+            return df
         target = df.sparkSession.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() < target:
             return df.repartition(target)
