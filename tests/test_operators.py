@@ -244,3 +244,14 @@ def test_default_and_chosen_windows(spark):
     pairs = spark.createDataFrame([("r", "v1", "v3rc")], "repo string, from_tag string, to_tag string")
     c = CL.chosen_windows(tags, pairs).first()
     assert (c.from_at, c.to_at) == (T0, T0 + dt.timedelta(days=9))
+
+
+def test_spread_only_touches_small_file_inputs(spark):
+    from repolens.plans.session import spread
+
+    scan = spark.read.parquet("/root/testdata/sf0.001/region.parquet")
+    assert scan.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
+    assert spread(scan).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    shuffled = scan.groupBy("r_name").count()
+    assert spread(shuffled) is shuffled
+    assert sorted(spread(scan).collect()) == sorted(scan.collect())
