@@ -200,15 +200,20 @@ def parse_refs(text) -> Column:
 # ---------------------------------------------------------------- V22
 
 
-def glob_to_regex(pattern: str) -> str:
-    """One path-part glob (``*``, ``?``, ``[...]``) as an anchored Java regex."""
+def glob_to_regex(pattern: str, part: bool = True) -> str:
+    """One path-part glob (``*``, ``?``, ``[...]``) as a Java regex.
+
+    ``part=True``: anchored to a whole part. ``part=False``: the body only,
+    with ``*``/``?`` unable to cross ``/``, for matching inside a full path.
+    """
+    star, one = (".*", ".") if part else ("[^/]*", "[^/]")
     out, i = [], 0
     while i < len(pattern):
         ch = pattern[i]
         if ch == "*":
-            out.append(".*")
+            out.append(star)
         elif ch == "?":
-            out.append(".")
+            out.append(one)
         elif ch == "[":
             j = pattern.find("]", i + 2)
             if j == -1:
@@ -216,21 +221,22 @@ def glob_to_regex(pattern: str) -> str:
             else:
                 body = pattern[i + 1:j]
                 if body.startswith("!"):
-                    body = "^" + body[1:]
+                    body = "^" + body[1:] + ("" if part else "/")
                 out.append("[" + body.replace("\\", "\\\\") + "]")
                 i = j
         else:
             out.append(re.escape(ch) if not ch.isalnum() else ch)
         i += 1
-    return "^" + "".join(out) + "$"
+    body = "".join(out)
+    return "^" + body + "$" if part else body
 
 
 def glob_class(path, patterns: list[str]) -> Column:
-    """The first pattern (in list order) that matches some part of ``path``."""
-    parts = F.split(_col(path), "/")
+    """The first pattern (in list order) that matches some part of ``path``.
 
-    def matcher(rx: str):
-        return lambda p: p.rlike(rx)
-
-    hits = [F.when(F.exists(parts, matcher(glob_to_regex(g))), F.lit(g)) for g in patterns]
+    Each pattern is one anchored regex over the whole path (a part is bounded
+    by ``/`` or the ends), so the test stays in generated code.
+    """
+    path = _col(path)
+    hits = [F.when(path.rlike("(^|/)" + glob_to_regex(g, part=False) + "(/|$)"), F.lit(g)) for g in patterns]
     return F.coalesce(*hits)
