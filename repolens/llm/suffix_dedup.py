@@ -59,7 +59,7 @@ def difference_cover(q: int) -> tuple[int, list[int]]:
                     power = ((mid + a * high) % q, (low + b * high) % q, c * high % q)
                     if len(found) > q + 1:
                         break
-                if len({(x - y) % v for x in found for y in found}) == v:
+                if len(found) == q + 1 and len({(x - y) % v for x in found for y in found}) == v:
                     return v, found
     raise ValueError(f"no cover for {q}")
 
