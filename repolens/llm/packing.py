@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from repolens.llm.shared import picked, raw_texts, slices
 
 #: Words whose ids a task remembers; the memory is emptied when it is full.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 

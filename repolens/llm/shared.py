@@ -34,7 +34,7 @@ def texts(column: pa.Array) -> list[str]:
     return [x.decode("utf-8", "replace") for x in raw_texts(column)]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of one column (a longer value stays whole)."""
     import pyarrow.compute as pc
 
