@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -22,7 +23,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
-    spark = get_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, app_name="repolens-bench")
+    spark = get_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, app_name="repolens-bench",
+                        checkpoint_dir=tempfile.mkdtemp(prefix="repolens-bench-"))
     # warm-up (not timed): JVM start, first scans and code generation, on the smallest tables
     warm_dir = os.environ.get("BENCH_WARM_DIR", "/root/testdata/sf0.001")
     if os.path.isdir(warm_dir):

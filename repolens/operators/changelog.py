@@ -135,11 +135,11 @@ def contributors(in_window: DataFrame, ignored: list[str] | None = None) -> Data
 
 
 def first_contributions(changes: DataFrame, people: DataFrame) -> DataFrame:
-    """Q5: ``is_new`` when the first merged change in the repository is at or after
+    """Q5: ``is_new`` when the first created (least number) merged change in the repository merged at or after
     the window start, or there is none (``unknown`` never matches, so is new)."""
     first = (changes.filter(F.col("author").isNotNull())
              .groupBy("repo", F.col("author").alias("login"))
-             .agg(F.min("merged_at").alias("first_merged_at")))
+             .agg(F.min_by("merged_at", F.struct("number", "merged_at")).alias("first_merged_at")))
     joined = people.join(first, ["repo", "login"], "left")
     is_new = F.when(F.col("login") == "unknown", True).otherwise(
         F.coalesce(F.col("first_merged_at") >= F.col("from_at"), F.lit(True)))

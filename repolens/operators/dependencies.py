@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from repolens.functions import text as X
 from repolens.functions import versions as V
-from repolens.plans.session import spread
 from repolens.functions.fixed_values import INTERPRETER_RELEASES, PACKAGE_ALIASES, SPEC0_DAYS
 
 
@@ -42,7 +41,7 @@ def support_window(files: DataFrame, python_version: str, as_of, released_at=Non
     # unparsable names get a null version and are dropped after the first
     # aggregation (a row filter here would be pushed into the scan with the
     # parse expression copied into it)
-    parsed = spread(files).select("package", V.dist_version_text("filename").alias("version"),
+    parsed = files.select("package", V.dist_version_text("filename").alias("version"),
                           F.coalesce("requires_python", F.lit("")).alias("spec"), "upload_time")
     # the specifier test is a large expression: evaluate it once per distinct
     # specifier text (a small table), not once per file
@@ -86,27 +85,40 @@ def aliases(spark) -> DataFrame:
     return spark.createDataFrame(PACKAGE_ALIASES, "name string, mapped string")
 
 
+def normal_name(name: str):
+    """A package name as the index spells it."""
+    return F.regexp_replace(F.lower(F.col(name)), "[-_.]+", "-")
+
+
 def dependency_names(requirements: DataFrame) -> DataFrame:
     """Q19: distinct dependency names per main package after alias mapping.
 
+    Aliases hold for project declarations; rows whose ``kind`` column says
+    otherwise (``index``) keep their names.
+
     A name mapped to null is dropped. The alias table is a fixed 25-row list.
     """
     spark = requirements.sparkSession
-    names = requirements.select("main_package", V.requirement_name("requirement").alias("name")) \
+    project = F.col("kind") == "project" if "kind" in requirements.columns else F.lit(True)
+    names = requirements.select("main_package", V.requirement_name("requirement").alias("name"), project.alias("_project")) \
         .filter(F.col("name").isNotNull())
     mapped = names.join(F.broadcast(aliases(spark)), "name", "left").select(
         "main_package",
-        F.when(F.col("name").isin([a for a, _ in PACKAGE_ALIASES]), F.col("mapped"))
+        F.when(F.col("_project") & F.col("name").isin([a for a, _ in PACKAGE_ALIASES]), F.col("mapped"))
         .otherwise(F.col("name")).alias("package"))
     return mapped.filter(F.col("package").isNotNull()).distinct()
 
 
 def dependency_report(requirements: DataFrame, files: DataFrame, python_version: str, as_of,
                       released_at=None) -> DataFrame:
-    """Q20: each dependency of each main package with its support window; unknown -> ``-``."""
-    deps = dependency_names(requirements)
-    window = support_window(files, python_version, as_of, released_at)
-    out = deps.join(window, "package", "left")
+    """Q20: each dependency of each main package with its support window; unknown -> ``-``.
+
+    Names meet in the index's normal form (lower case, runs of ``-_.`` as one
+    ``-``); the declared spelling is printed.
+    """
+    deps = dependency_names(requirements).withColumn("_name", normal_name("package"))
+    window = support_window(files.withColumn("package", normal_name("package")), python_version, as_of, released_at)
+    out = deps.join(window.withColumnRenamed("package", "_name"), "_name", "left")
     return out.select("main_package", "package",
                       *[F.coalesce(c, F.lit("-")).alias(c) for c in ["minimum", "maximum", "current", "spec0"]])
 

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from repolens.functions import text as X
 from repolens.operators.ordinal import ordinal_within
-from repolens.plans.session import bound_arrow_batch, spread
 
 BLOCKS_SCHEMA = "url string, post bigint, raw_title string, block bigint, code string"
 ISSUE_CLASSES = ("highlight", "notranslate")
@@ -111,16 +110,15 @@ def code_blocks(pages: DataFrame, kind: str = "issue") -> DataFrame:
     Pages with no block yield no rows.
     """
     pick = _issue_pick if kind == "issue" else _forum_pick
-    bound_arrow_batch(pages.sparkSession, 256)
     post = F.col("post").cast("bigint") if "post" in pages.columns else F.lit(0).cast("bigint")
-    blocks = spread(pages.select("url", post.alias("post"), "html")).mapInPandas(lambda it: _extract(it, pick), BLOCKS_SCHEMA)
+    blocks = pages.select("url", post.alias("post"), "html").mapInPandas(lambda it: _extract(it, pick), BLOCKS_SCHEMA)
     if kind == "issue":
         info = F.split("raw_title", " · ")
         blocks = blocks.select(
             "url", "block", "code",
-            X.slug(F.element_at(info, 1)).alias("title"),
-            F.split(F.element_at(info, 2), "#").getItem(1).alias("number"),
-            F.concat(F.lit("dev_"), F.split(F.element_at(info, 3), "/").getItem(1)).alias("repo"))
+            X.slug(F.try_element_at(info, F.lit(1))).alias("title"),
+            F.get(F.split(F.try_element_at(info, F.lit(2)), "#"), F.lit(1)).alias("number"),
+            F.concat(F.lit("dev_"), F.get(F.split(F.try_element_at(info, F.lit(3)), "/"), F.lit(1))).alias("repo"))
     else:
         # blocks of all posts of a thread, numbered in (post, block) order
         blocks = ordinal_within(blocks, ["url"], ["post", "block"], name="n") \

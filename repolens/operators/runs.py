@@ -32,13 +32,11 @@ def active_runs(runs: DataFrame, as_of) -> DataFrame:
     ).orderBy(F.desc("started_at"))
 
 
-def run_history(runs: DataFrame, depth: int | None = 270) -> DataFrame:
-    """Q11 (first half): the newest ``depth`` runs per (repo, workflow), labelled.
+def run_history(runs: DataFrame, depth: int | None = None) -> DataFrame:
+    """Q11 (first half): the runs per (repo, workflow), labelled.
 
-    ``depth`` is the search depth of the lookup being reproduced (nine pages
-    of 30); ``None`` searches all runs. ``row_number() <= depth`` is planned
-    as a group limit applied before the shuffle, so a busy workflow sends at
-    most ``depth`` rows per partition.
+    All runs are searched; a caller may ask for the newest ``depth`` only
+    (``row_number() <= depth``, planned as a group limit before the shuffle).
     """
     if "created_at" not in runs.columns:
         runs = runs.withColumn("created_at", F.col("run_started_at"))
@@ -57,10 +55,10 @@ def run_history(runs: DataFrame, depth: int | None = 270) -> DataFrame:
         F.concat(F.col("url"), F.lit("/artifacts")).alias("artifacts_url"))
 
 
-def run_pairs(runs: DataFrame, pairs: DataFrame, depth: int | None = 270) -> DataFrame:
+def run_pairs(runs: DataFrame, pairs: DataFrame, depth: int | None = None) -> DataFrame:
     """Q11: good and bad run of each request ``(repo, workflow, good_run, bad_run)``.
 
-    A pair is found only if both runs are among the newest ``depth``.
+    A pair is found only if both runs exist (among the newest ``depth`` where one is given).
     """
     hist = run_history(runs, depth)
     good = hist.select("repo", "workflow", F.col("run_number").alias("good_run"),
@@ -98,6 +96,6 @@ def match_env_files(files: DataFrame, os_name: str, python: str, test: str,
     match = low.contains(os_name) & low.contains(python) & low.contains(f"_{test}")
     good = (named.filter((F.col("side") == "good") & match)
             .groupBy(*keys).agg(F.min_by(F.struct("file", "path"), F.struct("file", "path")).alias("g")))
-    good = good.select(*keys, F.col("g.file").alias("file"), F.col("g.path").alias("good_path"))
+    good = good.select(*keys, F.col("g.file").alias("file"), F.col("g.path").alias("good_path")).filter("file IS NOT NULL")
     bad = named.filter(F.col("side") == "bad").groupBy(*keys, "file").agg(F.min("path").alias("bad_path"))
     return good.join(bad, [*keys, "file"], "left")

@@ -34,8 +34,10 @@ def audit(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> d
 if __name__ == "__main__":
     import sys
 
+    import tempfile
+
     from repolens.plans.session import get_session
 
-    spark = get_session("local[8]", 8)
+    spark = get_session("local[8]", 8, checkpoint_dir=tempfile.mkdtemp(prefix="repolens-"))
     for name, row in audit(spark, sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01").items():
         print(name, row)

@@ -75,7 +75,7 @@ categorized AS (SELECT p.repo, p.from_tag, p.to_tag, p.number, p.merged_at, s.se
   FROM parsed p JOIN sections s ON p.prefix = s.prefix),
 people AS (SELECT DISTINCT repo, from_tag, to_tag, from_at, author AS login FROM in_window
   WHERE author NOT IN ('renovate', 'dependabot', 'pre-commit-ci')),
-firsts AS (SELECT repo, author AS login, MIN(merged_at) AS first_at FROM pull_requests WHERE author IS NOT NULL GROUP BY 1, 2),
+firsts AS (SELECT repo, author AS login, arg_min(merged_at, struct_pack(n := number, m := merged_at)) AS first_at FROM pull_requests WHERE author IS NOT NULL GROUP BY 1, 2),
 flagged AS (SELECT p.repo, p.from_tag, p.to_tag, p.login,
     CASE WHEN p.login = 'unknown' THEN TRUE ELSE COALESCE(f.first_at >= p.from_at, TRUE) END AS is_new
   FROM people p LEFT JOIN firsts f ON p.repo = f.repo AND p.login = f.login),
@@ -187,8 +187,7 @@ def _label_sql(alias: str) -> str:
 
 
 @register("run_pairs", "Q11 V20", oracle_with(["workflow_runs", "run_requests"], f"""
-, hist AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY repo, name ORDER BY run_number DESC) AS rn FROM workflow_runs) t
-  WHERE rn <= 270)
+, hist AS (SELECT * FROM workflow_runs)
 SELECT q.repo, q.workflow, q.good_run, q.bad_run, {_label_sql('g')} AS good_label, {_label_sql('b')} AS bad_label,
   'https://api.github.com/repos/' || g.repo || '/actions/runs/' || CAST(g.run_number AS VARCHAR) || '/artifacts' AS good_url,
   'https://api.github.com/repos/' || b.repo || '/actions/runs/' || CAST(b.run_number AS VARCHAR) || '/artifacts' AS bad_url
@@ -645,7 +644,7 @@ from repolens.operators import workfiles as WF  # noqa: E402
   WHERE regexp_matches(content, '\n    deprecated\("'))
 SELECT c.package, c.path, c.line, c.col, c.version, regexp_extract(v.version, '^([0-9.]+)', 1) AS base_version,
   COALESCE(CAST(string_split(regexp_extract(v.version, '^([0-9.]+)', 1), '.') AS BIGINT[])
-    >= CAST(string_split(c.version, '.') AS BIGINT[]), FALSE) AS overdue
+    >= CAST(string_split(c.version, '.') AS BIGINT[]), FALSE) AS overdue, 'ok' AS status
 FROM calls c LEFT JOIN package_versions v ON c.package = v.package""".replace("\n, calls", ", calls", 1)))
 def q_overdue_deprecations(spark, sf_dir):
     src, pv = fx(spark, sf_dir, "sources", "package_versions")
@@ -656,7 +655,7 @@ def q_overdue_deprecations(spark, sf_dir):
 , calls AS (SELECT package, regexp_extract(content, '\n    deprecated\("([^"]*)"', 1) AS version FROM sources
   WHERE regexp_matches(content, '\n    deprecated\("'))
 SELECT c.package, COUNT(*) AS calls, COUNT(*) FILTER (WHERE CAST(string_split(regexp_extract(v.version, '^([0-9.]+)', 1), '.') AS BIGINT[])
-    >= CAST(string_split(c.version, '.') AS BIGINT[])) AS overdue
+    >= CAST(string_split(c.version, '.') AS BIGINT[])) AS overdue, CAST(0 AS BIGINT) AS undecided
 FROM calls c LEFT JOIN package_versions v ON c.package = v.package GROUP BY c.package""".replace("\n, calls", ", calls", 1)))
 def q_deprecation_summary(spark, sf_dir):
     src, pv = fx(spark, sf_dir, "sources", "package_versions")
@@ -796,8 +795,7 @@ def q_unresolved_updates(spark, sf_dir):
 
 
 @register("run_history", "Q11 V20", oracle_with(["workflow_runs"], f"""
-, hist AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY repo, name ORDER BY run_number DESC) AS rn
-  FROM workflow_runs) t WHERE rn <= 270)
+, hist AS (SELECT * FROM workflow_runs)
 SELECT h.repo, h.name AS workflow, h.run_number, {_label_sql('h')} AS label,
   'https://api.github.com/repos/' || h.repo || '/actions/runs/' || CAST(h.run_number AS VARCHAR) || '/artifacts' AS artifacts_url
 FROM hist h""".replace("\n, hist", ", hist", 1)))

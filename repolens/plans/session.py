@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "repolens") -> SparkSession:
+                app_name: str = "repolens", checkpoint_dir: str | None = None) -> SparkSession:
     """Build (or reuse) a session with UTC time, AQE and the UI off.
 
     On a cluster the master, memory and checkpoint folder come from the
@@ -26,9 +23,13 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        # Python steps read whole documents: batches are bounded by bytes
+        "spark.sql.execution.arrow.maxBytesPerBatch": "64MB",
         # checkpoint files of materialised intermediates are removed once unreferenced
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
+    if checkpoint_dir:
+        conf["spark.checkpoint.dir"] = checkpoint_dir
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     for key, value in conf.items():
@@ -40,63 +41,16 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder, setting a local one only when unset.
+    """The reliable checkpoint folder that ``spark.checkpoint.dir`` names.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``; that value is
-    always used. A local folder is only made when nothing is configured (tests,
-    local runs).
+    The folder must be shared by driver and executors; without one nothing
+    that materialises intermediates runs.
     """
-    try:
-        sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - a remote (Connect) session: the server names the folder
-        return spark.conf.get("spark.checkpoint.dir", "")
-    current = sc.getCheckpointDir()
+    current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return configured
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster; "
-                           "a machine-local folder does not survive the loss of an executor")
-    local = tempfile.mkdtemp(prefix="repolens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(local)
-    return local
-
-
-def bound_arrow_batch(spark: SparkSession, rows: int) -> None:
-    """Keep Arrow batches for Python steps at most ``rows`` records.
-
-    Used by operators whose rows are whole documents (archives, pages, source
-    texts), so that one batch holds a bounded amount of text. Only lowers the
-    session value, never raises it.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    current = int(spark.conf.get(key, "10000"))
-    if current <= 0 or current > rows:
-        spark.conf.set(key, str(rows))
-
-
-def spread(df):
-    """Give a small input at least one partition per core before a costly row step.
-
-    A few small files (or one parquet row group) give one scan task, so a
-    Python or regex-heavy step right after the scan would run on one core.
-    Only inputs read straight from files are looked at (a plan with a shuffle
-    already has ``spark.sql.shuffle.partitions`` partitions, and asking it for
-    its partition count would run the shuffle); inputs that already have as
-    many partitions as the cluster has cores -- every large input -- are
-    returned unchanged (no shuffle).
-    """
-    try:
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        if "Exchange" in plan:
-            return df
-        target = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < target:
-            return df.repartition(target)
-    except Exception:  # noqa: BLE001 - remote sessions: leave the plan as it is
-        pass
-    return df
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not configured:
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+    spark.sparkContext.setCheckpointDir(configured)
+    return configured

@@ -105,11 +105,13 @@ def compare(spark: SparkSession, sf_dir: str, names: list[str] | None = None, ve
 if __name__ == "__main__":
     import sys
 
+    import tempfile
+
     from repolens.plans.session import get_session
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     only = sys.argv[2:] or None
-    spark = get_session("local[8]", 8)
+    spark = get_session("local[8]", 8, checkpoint_dir=tempfile.mkdtemp(prefix="repolens-"))
     res = compare(spark, sf, only)
     bad = [k for k, v in res.items() if v.get("ok") is False]
     print("FAILED:", bad)

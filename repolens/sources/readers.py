@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from repolens.plans.session import bound_arrow_batch
 
 S = T.StringType()
 L = T.LongType()
@@ -216,7 +215,6 @@ def read_archive_members(spark: SparkSession, path: str, glob: str | None = None
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(path).select("path", "content")
-    bound_arrow_batch(spark, 16)
     return files.mapInPandas(_members, MEMBERS_SCHEMA)
 
 
@@ -250,7 +248,6 @@ def read_locks(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("source_file"),
         F.substring_index("value", "\npackages:", 1).alias("head"))
-    bound_arrow_batch(spark, 64)
     return text.mapInPandas(_locks, LOCK_SCHEMA)
 
 
@@ -333,7 +330,6 @@ def read_texts(spark: SparkSession, path: str, glob: str = "*.py", root: str | N
         rx = fnmatch.translate(glob)  # (?s:...)\Z is valid in Java regex too
         listing = read_file_listing(spark, path, include_hidden=True)
         wanted = listing.filter(F.element_at(F.split("path", "/"), -1).rlike(rx)).select("path")
-        bound_arrow_batch(spark, 256)
         return wanted.mapInPandas(_read_texts, "path string, content string").select(p.alias("path"), "content")
     df = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
           .text(path, wholetext=True))

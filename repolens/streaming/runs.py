@@ -40,35 +40,3 @@ def start_active_runs(spark: SparkSession, landing: str, sink_path: str, checkpo
               .option("path", sink_path).option("checkpointLocation", checkpoint).outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
-
-
-def active_run_changes_stream(spark: SparkSession, landing: str, delay: str = "1 hour",
-                              max_files: int = 100) -> DataFrame:
-    """Unfinished runs, once per (repo, run, status) across repeated polls.
-
-    Every poll lands a page that repeats the runs still going; the stream
-    keeps the first sighting of each status of each run. The poll time is the
-    landed file's modification time; state older than ``delay`` behind the
-    newest poll is dropped (``dropDuplicatesWithinWatermark``), so the state
-    stays bounded however long the stream runs.
-    """
-    pages = (spark.readStream.schema(RUNS_SCHEMA).option("multiLine", True)
-             .option("maxFilesPerTrigger", max_files).json(landing)
-             .select(F.to_utc_timestamp(F.col("_metadata.file_modification_time"), F.current_timezone())
-                     .alias("polled_at"), "workflow_runs"))
-    runs = pages.select("polled_at", F.explode("workflow_runs").alias("r"))
-    active = runs.filter(~F.col("r.status").eqNullSafe("completed")).select(
-        F.col("r.repository.name").alias("repo"), F.col("r.run_number").alias("run_number"),
-        F.col("r.name").alias("workflow"), F.col("r.status").alias("status"),
-        utc_ntz("r.run_started_at").alias("started_at"), "polled_at")
-    return (active.withWatermark("polled_at", delay)
-            .dropDuplicatesWithinWatermark(["repo", "run_number", "status"]))
-
-
-def start_active_run_changes(spark: SparkSession, landing: str, sink_path: str, checkpoint: str,
-                             available_now: bool = True) -> StreamingQuery:
-    """Run the de-duplicated stream into a parquet folder (append mode)."""
-    writer = (active_run_changes_stream(spark, landing).writeStream.format("parquet")
-              .option("path", sink_path).option("checkpointLocation", checkpoint).outputMode("append"))
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
-    return writer.start()

@@ -10,9 +10,10 @@ SF01 = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from repolens.plans.session import get_session
 
-    session = get_session(master="local[4]", shuffle_partitions=8, app_name="repolens-tests")
+    session = get_session(master="local[4]", shuffle_partitions=8, app_name="repolens-tests",
+                          checkpoint_dir=str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()

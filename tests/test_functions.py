@@ -1,7 +1,6 @@
 """Column functions against plain Python references."""
 
 import random
-import re
 
 from packaging.specifiers import SpecifierSet
 from packaging.version import Version
@@ -59,22 +58,16 @@ def test_bump_candidates_are_greater(spark):
     assert npm == "1.2.0-rc.1"
 
 
-def _py_norm(member, version_text):
-    r1 = re.findall(r"^\w+.\d+.\d+.\d+", version_text)[0].replace("-", ".")
-    r2 = re.sub(r"(\d)\-?(rc|a|b)\.?(\d)", r"\1\-?\2\.?\3", re.escape(version_text)).replace(r"\-", ".")
-    return re.compile(r1).sub("$VERSION", re.compile(r2).sub("$VERSION", member))
-
-
-def test_normalize_member_matches_python_regex(spark):
-    cases = [("lib-1.2.3rc1/f5.py", "lib-1.2.3rc1-py3-none-any.whl", "wheel"),
-             ("pkg-0.10.1a2/x/pkg-0.10.1a2.txt", "pkg-0.10.1a2.tar.gz", "sdist"),
-             ("site-packages/pkg-1.0.0.dist-info/RECORD", "pkg-core-1.0.0-py_0.conda", "conda"),
-             ("package/x-1.0.0-rc.1.js", "x-1.0.0-rc.1.tgz", "npm"),
-             ("lib_x-2.0.0b1/a+b (1).py", "lib_x-2.0.0b1-py2.py3-none-any.whl", "wheel")]
-    rows = spark.createDataFrame(cases, "m string, a string, f string").select(
-        "m", X.archive_version_text("a", "f").alias("v"), X.normalize_member("m", "a", "f").alias("n")).collect()
-    for r in rows:
-        assert r.n == _py_norm(r.m, r.v), r
+def test_normalize_member_by_hand(spark):
+    cases = [("lib-1.2.3rc1/f5.py", "lib-1.2.3rc1-py3-none-any.whl", "wheel", "$VERSION/f5.py"),
+             ("pkg-0.10.1a2/x/pkg-0.10.1a2.txt", "pkg-0.10.1a2.tar.gz", "sdist", "$VERSION/x/$VERSION.txt"),
+             ("site-packages/pkg-1.0.0.dist-info/RECORD", "pkg-core-1.0.0-py_0.conda", "conda",
+              "site-packages/$VERSION.dist-info/RECORD"),
+             ("package/x-1.0.0-rc.1.js", "x-1.0.0-rc.1.tgz", "npm", "package/$VERSION.js"),
+             ("lib_x-2.0.0b1/a+b (1).py", "lib_x-2.0.0b1-py2.py3-none-any.whl", "wheel", "$VERSION/a+b (1).py")]
+    rows = spark.createDataFrame(cases, "m string, a string, f string, want string").select(
+        "want", X.normalize_member("m", "a", "f").alias("n")).collect()
+    assert [r.n for r in rows] == [r.want for r in rows]
 
 
 def test_text_functions(spark):
@@ -105,7 +98,7 @@ def test_version_key_property(spark):
         st.sampled_from(["", ".post1", "-3", ".post0", "post2"]),
         st.sampled_from(["", ".dev0", ".dev4", "dev"]))
 
-    @settings(max_examples=5, deadline=None)
+    @settings(max_examples=100, deadline=None)
     @given(st.lists(version, min_size=2, max_size=25, unique=True))
     def check(vs):
         rows = spark.createDataFrame([(v,) for v in vs], "v string").select(

@@ -103,42 +103,38 @@ def test_ordinal_matches_row_number(spark):
     assert a == b
 
 
-def _loop_bisect(versions, passed, good, bad):
-    vs = sorted(versions, key=lambda s: list(map(int, s.split("."))))
-    g, b = vs.index(good), vs.index(bad)
-    rng = vs[g:b + 1] if g < b else vs[b:g + 1][::-1]
-    left, right, probes = 0, len(rng) - 1, 0
-    while right - left > 1:
-        mid = (left + right) // 2
-        probes += 1
-        if passed.get(rng[mid], False):
-            left = mid
-        else:
-            right = mid
-    return rng[right], rng[right - 1], probes
-
-
-def test_bisect_probes_equal_plain_loop(spark):
+def test_bisect_by_hand(spark):
+    # passes (+) and failures (-) of 1.0 1.1 ... in order; probes worked out on paper
+    table = {"a": ("++---", 0, 4, ("1.2", "1.1", 2)), "b": ("+-", 0, 1, ("1.1", "1.0", 0)),
+             "c": ("+++++++-", 0, 7, ("1.7", "1.6", 3)), "d": ("+-+-+-", 0, 5, ("1.3", "1.2", 2)),
+             "e": ("---++", 4, 0, ("1.2", "1.3", 2))}
+    results = [(p, f"1.{i}", c == "+") for p, (marks, *_) in table.items() for i, c in enumerate(marks)]
+    ranges = [(p, f"1.{g}", f"1.{b}") for p, (_, g, b, _) in table.items()]
+    df = spark.createDataFrame(results, "package string, version string, passed boolean")
+    out = BI.version_regressions(df.select("package", "version"), df, spark.createDataFrame(
+        ranges, "package string, good_version string, bad_version string"))
+    got = {r.package: (r.failing_version, r.passing_version, r.probes) for r in out.collect()}
+    assert got == {p: want for p, (_, _, _, want) in table.items()}
+
+
+def test_bisect_invariants(spark):
     rng = random.Random(11)
-    rows, ranges, expect = [], [], {}
+    rows, ranges, size = [], [], {}
     for p in range(12):
-        vs = [f"1.{i}.0" for i in range(rng.randint(3, 40))]
-        passed = {v: rng.random() < 0.5 for v in vs}
-        good, bad = rng.sample(vs, 2)
-        passed[good], passed[bad] = True, False
-        missing = rng.choice(vs)
-        rows += [(f"p{p}", v, passed[v]) for v in vs if v != missing or v in (good, bad)]
-        passed = {v: ok for v, ok in passed.items() if v != missing or v in (good, bad)}
-        ranges.append((f"p{p}", good, bad))
-        expect[f"p{p}"] = _loop_bisect(vs, passed, good, bad)
+        n = rng.randint(3, 40)
+        good, bad = rng.sample(range(n), 2)
+        rows += [(f"p{p}", f"1.{i}.0", i == good or i != bad and rng.random() < 0.5) for i in range(n)]
+        ranges.append((f"p{p}", f"1.{good}.0", f"1.{bad}.0"))
+        size[f"p{p}"] = abs(good - bad)
     results = spark.createDataFrame(rows, "package string, version string, passed boolean")
-    catalogue = spark.createDataFrame([(p, v) for p, v, _ in rows] +
-                                      [(p, v) for p, _, _ in ranges for v in []], "package string, version string")
-    out = BI.version_regressions(catalogue, results, spark.createDataFrame(ranges, "package string, good_version string, bad_version string"))
+    passed = {(p, v): ok for p, v, ok in rows}
+    out = BI.version_regressions(results.select("package", "version"), results,
+                                 spark.createDataFrame(ranges, "package string, good_version string, bad_version string"))
     for r in out.collect():
-        exp = _loop_bisect([v for p, v, _ in rows if p == r.package],
-                           {v: ok for p, v, ok in rows if p == r.package}, r.good_version, r.bad_version)
-        assert (r.failing_version, r.passing_version, r.probes) == exp, r
+        assert passed[r.package, r.passing_version] and not passed[r.package, r.failing_version]
+        at = [int(v.split(".")[1]) for v in (r.passing_version, r.failing_version, r.good_version, r.bad_version)]
+        assert abs(at[0] - at[1]) == 1 and (at[1] - at[0]) * (at[3] - at[2]) > 0
+        assert r.probes <= (size[r.package] - 1).bit_length()
 
 
 def test_bisect_baseline_reasons(spark):
@@ -246,12 +242,37 @@ def test_default_and_chosen_windows(spark):
     assert (c.from_at, c.to_at) == (T0, T0 + dt.timedelta(days=9))
 
 
-def test_spread_only_touches_small_file_inputs(spark):
-    from repolens.plans.session import spread
+def test_deprecations_that_cannot_be_judged_are_listed(spark):
+    from repolens.operators import deprecations as DPC
 
-    scan = spark.read.parquet("/root/testdata/sf0.001/region.parquet")
-    assert scan.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism
-    assert spread(scan).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    shuffled = scan.groupBy("r_name").count()
-    assert spread(shuffled) is shuffled
-    assert sorted(spread(scan).collect()) == sorted(scan.collect())
+    sources = spark.createDataFrame(
+        [("p", "a.py", "deprecated('1.0')\ndeprecated('soon')\n"), ("p", "b.py", "deprecated(since='1.0')\n"),
+         ("p", "c.py", "deprecated('1.0'\n"), ("p", "d.py", "x.deprecated('1.0')\n")],
+        "package string, path string, content string")
+    found = DPC.overdue_deprecations(sources, spark.createDataFrame([("p", "1.2.0")], "package string, version string"))
+    assert sorted((r.path, r.status, r.overdue) for r in found.collect()) == [
+        ("a.py", "not a version", False), ("a.py", "ok", True), ("b.py", "no constant", False), ("c.py", "unparsable", False)]
+    assert DPC.deprecation_summary(found).first().asDict() == {"package": "p", "calls": 1, "overdue": 1, "undecided": 3}
+
+
+def test_first_contribution_is_the_first_created_change(spark):
+    changes = spark.createDataFrame([("r", 1, "x", "2024-03-05"), ("r", 2, "x", "2024-02-05")],
+                                    "repo string, number long, author string, merged_at string")
+    people = spark.createDataFrame([("r", "a", "b", "2024-03-01", "x")],
+                                   "repo string, from_tag string, to_tag string, from_at string, login string")
+    assert CL.first_contributions(changes, people).first().is_new
+
+
+def test_no_environment_file_gives_no_row(spark):
+    files = spark.createDataFrame([("good", "a/macos.txt")], "side string, path string")
+    assert RU.match_env_files(files, "linux", "3.11", "unit").count() == 0
+
+
+def test_dependency_names_meet_in_the_normal_form(spark):
+    from repolens.operators import dependencies as DP
+
+    req = spark.createDataFrame([("m", "PyYAML>=5", "project"), ("m", "graphviz", "index")],
+                                "main_package string, requirement string, kind string")
+    assert {r.package for r in DP.dependency_names(req).collect()} == {"PyYAML", "graphviz"}
+    names = spark.createDataFrame([("My_Pkg..x",), ("pyyaml",), ("PyYAML",)], "package string")
+    assert [r[0] for r in names.select(DP.normal_name("package")).collect()] == ["my-pkg-x", "pyyaml", "pyyaml"]

@@ -215,25 +215,6 @@ def test_texts_below_hidden_folders(spark, tmp_path):
     assert found == [(".github/workflows/ci.yml", "steps:\n  - uses: org/act@v1\n")]
 
 
-def test_streaming_run_changes_across_polls(spark, tmp_path):
-    from repolens.streaming.runs import start_active_run_changes
-
-    def page(status):
-        return json.dumps({"workflow_runs": [
-            {"run_number": 1, "name": "w", "status": status, "run_started_at": "2024-01-01T00:00:00Z",
-             "repository": {"name": "r"}},
-            {"run_number": 2, "name": "w", "status": "queued", "run_started_at": "2024-01-01T00:00:00Z",
-             "repository": {"name": "r"}}]})
-
-    landing, out, ckpt = tmp_path / "landing", str(tmp_path / "out"), str(tmp_path / "ckpt")
-    _w(landing / "poll1.json", page("queued"))
-    start_active_run_changes(spark, str(landing), out, ckpt).awaitTermination(120)
-    _w(landing / "poll2.json", page("in_progress"))
-    start_active_run_changes(spark, str(landing), out, ckpt).awaitTermination(120)
-    rows = sorted((r.run_number, r.status) for r in spark.read.parquet(out).collect())
-    assert rows == [(1, "in_progress"), (1, "queued"), (2, "queued")]
-
-
 def test_release_pages_keep_api_order(spark):
     from repolens.plans import landing as LD
     from repolens.plans.fixtures import load
