@@ -14,6 +14,8 @@ shuffled, never text or token ids.
 
 from __future__ import annotations
 
+import json
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repolens.llm.shared import picked, raw_texts, slices
+from repolens.llm.token_counts import RankTable, merged_ids
 
 #: Words whose ids a task remembers; the memory is emptied when it is full.
 REMEMBERED = 250_000
@@ -30,37 +33,51 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes, by the library, word by word.
+    """Ids of texts as little-endian 32-bit bytes, word by word.
 
     The vocabulary drops white space and no rule of it looks across white
-    space, so a text's ids are those of its words in a row.
+    space, so a text's ids are those of its words in a row. Plain words (Latin
+    letters, then ASCII marks) are lower-cased and merged in batches; the
+    library does every other word.
     """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(spec), {}
-        self.specials = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-    def learn(self, words: list[bytes], most: int = 20_000) -> None:
-        odd = [w for w in words if any(s in w for s in self.specials)]
-        for w in odd:
-            ids = self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids
-            self.known[w] = np.array(ids, "<u4").tobytes()
-        plain = [w for w in words if w not in self.known]
-        for at in range(0, len(plain), most):
-            part = plain[at:at + most]
-            got = self.tokenizer.encode([w.decode("utf-8", "replace") for w in part], is_pretokenized=True,
-                                        add_special_tokens=False)
-            raw = np.array(got.ids, "<u4").tobytes()
-            ends = 4 * np.searchsorted(np.array(got.word_ids, np.int64), np.arange(1, len(part) + 1))
-            self.known.update((w, raw[a:b]) for w, a, b in zip(part, [0, *ends[:-1].tolist()], ends.tolist()))
+        self.tokenizer, self.known, self.stems, self.tails = Tokenizer.from_str(spec), {}, {}, {"": b""}
+        self.table = RankTable(json.loads(spec))
+        self.marks = string.punctuation.replace("'", "")
+
+    def by_library(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, words: list[bytes]) -> None:
+        plain = []
+        for w in words:
+            word = w.decode("utf-8", "replace")
+            stem = word.rstrip(self.marks)
+            # below U+0250 letters are composed and have a lower case of their own, but for the dotted capital I
+            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250" and "\u0130" not in stem):
+                plain.append((w, stem.lower(), word[len(stem):]))
+            else:
+                self.known[w] = self.by_library(word)
+        new = list({stem for _, stem, _ in plain if stem not in self.stems})
+        for at in range(0, len(new), 100_000):
+            part = new[at:at + 100_000]
+            raw = [s.encode() for s in part]
+            self.stems.update(zip(part, merged_ids(b"".join(raw), np.fromiter(map(len, raw), np.int64, len(raw)), self.table)))
+        for w, stem, tail in plain:
+            if tail not in self.tails:
+                if len(self.tails) > 10_000:
+                    self.tails = {"": b""}
+                self.tails[tail] = self.by_library(tail)
+            self.known[w] = self.stems[stem] + self.tails[tail]
 
     def encode(self, many: list[bytes]) -> list[bytes]:
         split = [raw.split() for raw in many]
         seen = set().union(*split) if split else set()
         if len(self.known) + len(seen) > REMEMBERED:
-            self.known = {}
+            self.known, self.stems = {}, {}
         self.learn([w for w in seen if w not in self.known])
         ids = self.known.__getitem__
         return [b"".join(map(ids, words)) for words in split]

@@ -15,7 +15,7 @@ function (a few MB), so executors need no copy of it. There is no shuffle.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,8 @@ class RankTable:
         self.specials = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
         self.width = max(vocab.values()) + 1
         self.base = np.array([vocab[c] for c in byte_symbols()], np.int64)
+        end = spec["model"].get("end_of_word_suffix") or ""
+        self.base_end = np.array([vocab[c + end] for c in byte_symbols()], np.int64)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         keys = np.array([vocab[a] * self.width + vocab[b] for a, b in pairs], np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
@@ -61,27 +63,26 @@ class RankTable:
         return np.where(self.keys[at] == key, self.ranks[at], NO_PAIR).astype(np.int32)
 
 
-def merged_lengths(raw: bytes, lengths: np.ndarray, table: RankTable) -> np.ndarray:
-    """Symbols left of each sequence (``lengths`` bytes of ``raw`` each, none empty) after all merges."""
-    out = np.asarray(lengths, np.int64).copy()
-    given = np.frombuffer(raw, np.uint8)
-    sym = table.base[given]
-    live, size = np.arange(len(out)), out.copy()
+def merge_all(sym: np.ndarray, size: np.ndarray, rank: np.ndarray, table: RankTable,
+              done: Callable[[np.ndarray, np.ndarray, np.ndarray], None]) -> None:
+    """Merge sequences of ``size`` symbols each until no pair has a rank.
+
+    ``rank`` holds the rank of each symbol with the next. ``done`` gets the
+    numbers, sizes and symbols of sequences as they finish.
+    """
+    live, size = np.arange(len(size)), np.asarray(size, np.int64).copy()
     starts = np.cumsum(size) - size
-    rank = np.full(len(sym), NO_PAIR, np.int32)
-    rank[:-1] = table.of_bytes[given[:-1].astype(np.int32) * 256 + given[1:]]
     rank[starts + size - 1] = NO_PAIR
     while len(live):
         least = np.minimum.reduceat(rank, starts)
         going = least < NO_PAIR
         if not going.all():
-            out[live[~going]] = size[~going]
             inside = np.repeat(going, size)
+            done(live[~going], size[~going], sym[~inside])
             sym, rank, live, size, least = sym[inside], rank[inside], live[going], size[going], least[going]
             if not len(live):
                 break
-        hit = rank == np.repeat(least, size)
-        at = np.flatnonzero(hit)
+        at = np.flatnonzero(rank == np.repeat(least, size))
         if len(at) > 1 and (np.diff(at) == 1).any():
             # equal symbols in a row: pairs overlap, every second one counts from the left
             opens = np.concatenate([[True], np.diff(at) != 1])
@@ -102,6 +103,37 @@ def merged_lengths(raw: bytes, lengths: np.ndarray, table: RankTable) -> np.ndar
         i = np.flatnonzero(again)
         rank[i] = table.rank(sym[i], sym[i + 1])
         rank[starts + size - 1] = NO_PAIR
+
+
+def merged_lengths(raw: bytes, lengths: np.ndarray, table: RankTable) -> np.ndarray:
+    """Symbols left of each sequence (``lengths`` bytes of ``raw`` each, none empty) after all merges."""
+    out = np.zeros(len(lengths), np.int64)
+    given = np.frombuffer(raw, np.uint8)
+    rank = np.full(len(given), NO_PAIR, np.int32)
+    rank[:-1] = table.of_bytes[given[:-1].astype(np.int32) * 256 + given[1:]]
+
+    def done(which: np.ndarray, size: np.ndarray, _: np.ndarray) -> None:
+        out[which] = size
+
+    merge_all(table.base[given], lengths, rank, table, done)
+    return out
+
+
+def merged_ids(raw: bytes, lengths: np.ndarray, table: RankTable) -> list[bytes]:
+    """Ids of each sequence as little-endian 32-bit bytes; the last byte of a sequence carries the word end."""
+    out: list[bytes] = [b""] * len(lengths)
+    given = np.frombuffer(raw, np.uint8)
+    sym, ends = table.base[given], np.cumsum(lengths) - 1
+    sym[ends] = table.base_end[given[ends]]
+    rank = np.full(len(sym), NO_PAIR, np.int32)
+    rank[:-1] = table.rank(sym[:-1], sym[1:])
+
+    def done(which: np.ndarray, size: np.ndarray, left: np.ndarray) -> None:
+        flat, cuts = left.astype("<u4").tobytes(), (4 * np.cumsum(size)).tolist()
+        for i, a, b in zip(which.tolist(), [0, *cuts[:-1]], cuts):
+            out[i] = flat[a:b]
+
+    merge_all(sym, lengths, rank, table, done)
     return out
 
 
