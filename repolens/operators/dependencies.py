@@ -35,7 +35,8 @@ def support_window(files: DataFrame, python_version: str, as_of, released_at=Non
     * missing values are ``-``. An interpreter version outside the table
       gives no qualifying files.
 
-    Two partial aggregations: per (package, version) then per package.
+    Partial aggregations only: per (package, version, specifier), where the
+    specifier is tested, then per version and per package. One scan, no join.
     """
     py_date = _release_date(python_version, released_at)
     # unparsable names get a null version and are dropped after the first
@@ -43,18 +44,15 @@ def support_window(files: DataFrame, python_version: str, as_of, released_at=Non
     # parse expression copied into it)
     parsed = files.select("package", V.dist_version_text("filename").alias("version"),
                           F.coalesce("requires_python", F.lit("")).alias("spec"), "upload_time")
-    # the specifier test is a large expression: evaluate it once per distinct
-    # specifier text (a small table), not once per file
-    if py_date is None:
-        parsed = parsed.withColumn("ok", F.lit(False))
-    else:
-        specs = parsed.select("spec").distinct().withColumn(
-            "spec_ok", V.specifier_contains("spec", F.lit(python_version)))
-        parsed = parsed.join(specs, "spec").withColumn(
-            "ok", F.col("spec_ok") & (F.col("upload_time") >= X.ntz(py_date)))
+    # the specifier test is a large expression: evaluate it once per group, not once per file; a group has a
+    # qualifying file exactly when its latest upload qualifies
+    by_spec = parsed.groupBy("package", "version", "spec").agg(
+        F.min("upload_time").alias("first_upload"), F.max("upload_time").alias("last_upload"))
+    ok = F.lit(False) if py_date is None else (
+        V.specifier_contains("spec", F.lit(python_version)) & (F.col("last_upload") >= X.ntz(py_date)))
     # reduce to one row per spelling before any version parsing
-    spelled = parsed.groupBy("package", "version").agg(
-        F.min("upload_time").alias("first_upload"), F.max("ok").alias("any_ok"),
+    spelled = by_spec.groupBy("package", "version").agg(
+        F.min("first_upload").alias("first_upload"), F.max(ok).alias("any_ok"),
         F.max(V.is_version("version")).alias("_valid")).filter(F.col("_valid")).drop("_valid")
     # the pre-release test is an aggregate here: as a filter on the grouping
     # key, Catalyst would push it (and the whole parse) below the aggregation
@@ -117,7 +115,9 @@ def dependency_report(requirements: DataFrame, files: DataFrame, python_version:
     ``-``); the declared spelling is printed.
     """
     deps = dependency_names(requirements).withColumn("_name", normal_name("package"))
-    window = support_window(files.withColumn("package", normal_name("package")), python_version, as_of, released_at)
+    wanted = files.withColumn("package", normal_name("package")).join(
+        deps.select(F.col("_name").alias("package")).distinct(), "package", "left_semi")
+    window = support_window(wanted, python_version, as_of, released_at)
     out = deps.join(window.withColumnRenamed("package", "_name"), "_name", "left")
     return out.select("main_package", "package",
                       *[F.coalesce(c, F.lit("-")).alias(c) for c in ["minimum", "maximum", "current", "spec0"]])

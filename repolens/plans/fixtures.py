@@ -75,6 +75,15 @@ SELECT DISTINCT side, format, archive, member FROM (
     CASE WHEN l_linestatus = 'O' THEN 'lib-1.2.3rc1.tar.gz' ELSE 'lib-1.2.4.tar.gz' END AS archive,
     CASE WHEN l_linestatus = 'O' THEN 'lib-1.2.3rc1' ELSE 'lib-1.2.4' END || '/src/m'
       || CAST(CASE WHEN l_linestatus = 'O' THEN l_suppkey % 60 ELSE l_suppkey % 55 + 3 END AS STRING) || '.py' AS member
+  FROM {lineitem}
+  UNION ALL
+  SELECT CASE WHEN l_linestatus = 'O' THEN 'good' ELSE 'bad' END AS side, 'conda1' AS format,
+    CASE WHEN l_suppkey % 2 = 0 THEN 'lib-core' ELSE 'lib' END || '-1.2.3-py_0.tar.bz2' AS archive,
+    'site-packages/c' || CAST(CASE WHEN l_linestatus = 'O' THEN l_partkey % 70 ELSE l_partkey % 64 + 2 END AS STRING) AS member
+  FROM {lineitem}
+  UNION ALL
+  SELECT 'good' AS side, 'npm' AS format, 'lib-1.2.3.tgz' AS archive,
+    'package/n' || CAST(l_suppkey % 30 AS STRING) || '.js' AS member
   FROM {lineitem}) t""",
     "archive_files": """
 SELECT DISTINCT CASE WHEN l_linestatus = 'O' THEN 'good' ELSE 'bad' END AS side,
@@ -93,8 +102,10 @@ SELECT 'pkg' || CAST(l_partkey % 200 AS STRING) AS package,
 FROM {lineitem}""",
     "requirements": """
 SELECT 'main' || CAST(p_partkey % 20 AS STRING) AS main_package,
-  CASE p_partkey % 7 WHEN 0 THEN 'cudf' WHEN 1 THEN 'dask-core' WHEN 2 THEN 'python-duckdb' ELSE 'pkg' || CAST(p_partkey % 200 AS STRING) END
-  || CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '>=1.0' WHEN 2 THEN '[all]>=2,<3' ELSE ' ; extra == "test"' END AS requirement
+  CASE p_partkey % 7 WHEN 0 THEN 'cudf' WHEN 1 THEN 'dask-core' WHEN 2 THEN 'python-duckdb' WHEN 3 THEN 'graphviz'
+    ELSE CASE WHEN p_partkey % 3 = 0 THEN 'PKG' ELSE 'pkg' END || CAST(p_partkey % 200 AS STRING) END
+  || CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '>=1.0' WHEN 2 THEN '[all]>=2,<3' ELSE ' ; extra == "test"' END AS requirement,
+  CASE WHEN p_partkey % 5 < 2 THEN 'index' ELSE 'project' END AS kind
 FROM {part}""",
     "project_features": """
 SELECT DISTINCT 'main' || CAST(p_partkey % 20 AS STRING) AS main_package,
@@ -111,7 +122,8 @@ SELECT 'pkg' || CAST(n_nationkey % 5 AS STRING) AS package,
   MAX('1.' || CAST(n_nationkey % 5 + 5 AS STRING) || '.0rc1') AS version
 FROM {nation} GROUP BY 1""",
     "workflows": """
-SELECT '.github/workflows/w' || CAST(c_custkey AS STRING) || '.yaml' AS path,
+SELECT 'checkout' || CAST(c_custkey % 2 AS STRING) AS checkout,
+  '.github/workflows/w' || CAST(c_custkey - c_custkey % 2 AS STRING) || '.yaml' AS path,
   'steps:' || CHR(10) || '  - uses: org' || CAST(c_nationkey AS STRING) || '/act@v' || CAST(c_custkey % 4 AS STRING)
   || CASE WHEN c_custkey % 3 = 0 THEN '.1.0' ELSE '' END || ' # note' || CHR(10)
   || '  - uses: org' || CAST(c_nationkey AS STRING) || '/act/sub@' || MD5(CAST(c_custkey % 9 AS STRING)) || 'abcdef01'

@@ -262,9 +262,14 @@ def q_package_diff(spark, sf_dir):
 
 
 _NORM_SQL = r"""
-, vt AS (SELECT *, CASE WHEN format = 'wheel' THEN split_part(split_part(archive, '-py3', 1), '-py2', 1)
+, listed AS (SELECT DISTINCT side, format, archive FROM archive_members),
+first_archive AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY side, format ORDER BY
+    CASE WHEN format IN ('conda', 'conda1') AND archive NOT LIKE '%core%' THEN 1 ELSE 0 END, archive) AS rn FROM listed) t WHERE rn = 1),
+compared AS (SELECT m.* FROM archive_members m JOIN first_archive f ON m.side = f.side AND m.format = f.format
+    AND m.archive = f.archive WHERE m.format IN (SELECT format FROM first_archive GROUP BY format HAVING COUNT(*) = 2)),
+vt AS (SELECT *, CASE WHEN format = 'wheel' THEN split_part(split_part(archive, '-py3', 1), '-py2', 1)
       WHEN format IN ('sdist', 'conda1', 'npm') THEN split_part(split_part(split_part(replace(archive, '-core', ''), '.tar', 1), '-py_0', 1), '.tgz', 1)
-      ELSE split_part(split_part(replace(archive, '-core', ''), '.conda', 1), '-py_0', 1) END AS vtext FROM archive_members),
+      ELSE split_part(split_part(replace(archive, '-core', ''), '.conda', 1), '-py_0', 1) END AS vtext FROM compared),
 pat AS (SELECT *, replace(regexp_extract(vtext, '^\w+.\d+.\d+.\d+'), '-', '.') AS plain,
     replace(regexp_replace(regexp_replace(vtext, '([()\[\]{}?*+\-|^$\\.&~# ])', '\\\1', 'g'),
       '(\d)(rc|a|b)(\d)', '\1\\-?\2\\.?\3', 'g'), '\-', '.') AS loose FROM vt),
@@ -277,14 +282,14 @@ diff AS (SELECT g.side, g.format, g.member FROM norm g WHERE g.side = 'good'
 """
 
 
-@register("file_list_diff", "Q16 V11", oracle_with(["archive_members"], _NORM_SQL.replace("\n, vt", ", vt", 1)
+@register("file_list_diff", "Q16 V11", oracle_with(["archive_members"], _NORM_SQL.replace("\n, listed", ", listed", 1)
                                                     + "SELECT format, side, member FROM diff"))
 def q_file_list_diff(spark, sf_dir):
     (members,) = fx(spark, sf_dir, "archive_members")
     return DF.file_list_diff(members)
 
 
-@register("file_list_side_by_side", "Q16", oracle_with(["archive_members"], _NORM_SQL.replace("\n, vt", ", vt", 1) + """
+@register("file_list_side_by_side", "Q16", oracle_with(["archive_members"], _NORM_SQL.replace("\n, listed", ", listed", 1) + """
 , numbered AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY format, side ORDER BY member) AS row FROM diff)
 SELECT COALESCE(g.format, b.format) AS format, COALESCE(g.row, b.row) AS row,
   COALESCE(g.member, '-') AS good_member, COALESCE(b.member, '-') AS bad_member
@@ -345,9 +350,9 @@ windows AS (SELECT package,
 _ALIAS_VALUES = ", ".join(f"('{a}', {repr(b) if b else 'NULL'})" for a, b in DP.PACKAGE_ALIASES)
 _NAMES_SQL = f"""
 , aliases(name, mapped) AS (VALUES {_ALIAS_VALUES}),
-names AS (SELECT main_package, regexp_extract(requirement, '^\\s*([A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)', 1) AS name
+names AS (SELECT main_package, kind, regexp_extract(requirement, '^\\s*([A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)', 1) AS name
   FROM requirements),
-deps AS (SELECT DISTINCT n.main_package, CASE WHEN a.name IS NOT NULL THEN a.mapped ELSE n.name END AS package
+deps AS (SELECT DISTINCT n.main_package, CASE WHEN a.name IS NOT NULL AND n.kind = 'project' THEN a.mapped ELSE n.name END AS package
   FROM names n LEFT JOIN aliases a ON n.name = a.name WHERE n.name <> '')
 """
 
@@ -370,7 +375,7 @@ def q_dependency_names(spark, sf_dir):
                                                   _SUPPORT_SQL.replace("\n, parsed", ", parsed", 1) + _NAMES_SQL + """
 SELECT d.main_package, d.package, COALESCE(w.minimum, '-') AS minimum, COALESCE(w.maximum, '-') AS maximum,
   COALESCE(w.current, '-') AS current, COALESCE(w.spec0, '-') AS spec0
-FROM deps d LEFT JOIN windows w ON d.package = w.package WHERE d.package IS NOT NULL"""))
+FROM deps d LEFT JOIN windows w ON regexp_replace(lower(d.package), '[-_.]+', '-', 'g') = w.package WHERE d.package IS NOT NULL"""))
 def q_dependency_report(spark, sf_dir):
     files, req = fx(spark, sf_dir, "index_files", "requirements")
     return DP.dependency_report(req, files, PY_VERSION, DEP_AS_OF, released_at=PY_RELEASED)
@@ -470,17 +475,18 @@ from repolens.functions.fixed_values import USES_PATTERN  # noqa: E402
 from repolens.operators import refs as RF  # noqa: E402
 
 _OCC_SQL = f"""
-, occ AS (SELECT w.path, CAST(i - 1 AS BIGINT) AS pos, w.ms[i] AS whole
-  FROM (SELECT path, regexp_extract_all(content, '{USES_PATTERN}') AS ms FROM workflows) w,
+, occ AS (SELECT w.checkout, w.path, CAST(i - 1 AS BIGINT) AS pos, w.ms[i] AS whole
+  FROM (SELECT checkout, path, regexp_extract_all(content, '{USES_PATTERN}') AS ms FROM workflows) w,
   range(1, len(w.ms) + 1) r(i)),
-parsed AS (SELECT path, pos, whole, regexp_extract(whole, '{USES_PATTERN}', 1) AS lead,
+parsed AS (SELECT checkout, path, pos, whole, regexp_extract(whole, '{USES_PATTERN}', 1) AS lead,
     regexp_extract(whole, '{USES_PATTERN}', 2) AS action_path, regexp_extract(whole, '{USES_PATTERN}', 3) AS ref,
     regexp_extract(whole, '{USES_PATTERN}', 4) AS comment FROM occ),
 refs0 AS (SELECT *, array_to_string(string_split(action_path, '/')[1:2], '/') AS repo,
     regexp_matches(ref, '^[0-9a-fA-F]{{40}}$') AS is_sha FROM parsed),
 occurrences AS (SELECT *, CASE WHEN is_sha AND regexp_extract(comment, '#\\s*(\\S+)', 1) <> ''
     THEN regexp_extract(comment, '#\\s*(\\S+)', 1) END AS tag FROM refs0),
-refs AS (SELECT repo, ref, first(is_sha) AS is_sha, first(tag ORDER BY path, pos) AS tag FROM occurrences GROUP BY repo, ref)
+refs AS (SELECT checkout, repo, ref, first(is_sha) AS is_sha, first(tag ORDER BY path, pos) AS tag FROM occurrences
+  GROUP BY checkout, repo, ref)
 """
 
 _LATEST_SQL = """
@@ -517,16 +523,16 @@ def _plan_sql(pin: bool, expand: bool, mutable: bool) -> str:
     target_n = "COALESCE(l.latest, r.ref)" if pin else "l.latest"
     return (_latest_sql("s", "(SELECT * FROM refs WHERE is_sha AND tag IS NOT NULL)", "tag", expand)
             + _latest_sql("n", "(SELECT * FROM refs WHERE NOT is_sha)", "ref", expand) + _RESOLVE_SQL + f"""
-, s AS (SELECT r.repo, r.ref, CASE WHEN r.tag IS NOT NULL THEN {target_s} END AS target
+, s AS (SELECT r.checkout, r.repo, r.ref, CASE WHEN r.tag IS NOT NULL THEN {target_s} END AS target
   FROM refs r LEFT JOIN latest_s l ON l.repo = r.repo AND l.query = r.tag WHERE r.is_sha),
-s2 AS (SELECT s.repo, s.ref, s.target, c.commit_sha FROM s LEFT JOIN resolved c ON c.repo = s.repo AND c.name = s.target),
-n AS (SELECT r.repo, r.ref, {target_n} AS target FROM refs r LEFT JOIN latest_n l ON l.repo = r.repo AND l.query = r.ref
+s2 AS (SELECT s.checkout, s.repo, s.ref, s.target, c.commit_sha FROM s LEFT JOIN resolved c ON c.repo = s.repo AND c.name = s.target),
+n AS (SELECT r.checkout, r.repo, r.ref, {target_n} AS target FROM refs r LEFT JOIN latest_n l ON l.repo = r.repo AND l.query = r.ref
   WHERE NOT r.is_sha),
-plan AS (SELECT repo, ref,
+plan AS (SELECT checkout, repo, ref,
     CASE WHEN target IS NOT NULL AND commit_sha IS NOT NULL AND commit_sha <> ref THEN target END AS latest_tag,
     CASE WHEN target IS NOT NULL AND commit_sha IS NOT NULL AND commit_sha <> ref THEN commit_sha END AS latest_sha FROM s2
   UNION ALL
-  SELECT n.repo, n.ref, n.target AS latest_tag, {'c.commit_sha' if pin else 'CAST(NULL AS VARCHAR)'} AS latest_sha
+  SELECT n.checkout, n.repo, n.ref, n.target AS latest_tag, {'c.commit_sha' if pin else 'CAST(NULL AS VARCHAR)'} AS latest_sha
   FROM n LEFT JOIN resolved c ON c.repo = n.repo AND c.name = n.target)
 """)
 
@@ -535,21 +541,24 @@ def _refs_sql(body: str) -> str:
     return oracle_with(["workflows", "ref_names"], _OCC_SQL.replace("\n, occ", ", occ", 1)) + body
 
 
+CHECKOUT = ("checkout",)
+
+
 def _refs_inputs(spark, sf_dir):
     files, names = fx(spark, sf_dir, "workflows", "ref_names")
-    return files, names, RF.collect_refs(files)
+    return files, names, RF.collect_refs(files, keys=CHECKOUT)
 
 
-@register("collect_refs", "Q22 V21", _refs_sql("SELECT repo, ref, is_sha, tag FROM refs"))
+@register("collect_refs", "Q22 V21", _refs_sql("SELECT checkout, repo, ref, is_sha, tag FROM refs"))
 def q_collect_refs(spark, sf_dir):
     _, _, refs = _refs_inputs(spark, sf_dir)
     return refs
 
 
-@register("unpinnable_refs", "Q26", _refs_sql("SELECT repo, ref FROM refs WHERE is_sha AND tag IS NULL"))
+@register("unpinnable_refs", "Q26", _refs_sql("SELECT checkout, repo, ref FROM refs WHERE is_sha AND tag IS NULL"))
 def q_unpinnable_refs(spark, sf_dir):
     _, _, refs = _refs_inputs(spark, sf_dir)
-    return RF.unpinnable_refs(refs)
+    return RF.unpinnable_refs(refs, CHECKOUT)
 
 
 @register("latest_refs", "Q23", _refs_sql(_latest_sql("a", "(SELECT * FROM refs WHERE NOT is_sha)", "ref", False)
@@ -576,13 +585,13 @@ def q_resolve_commits(spark, sf_dir):
 @register("ref_update_plan", "Q25", _refs_sql(_plan_sql(False, False, False) + "SELECT * FROM plan"))
 def q_ref_update_plan(spark, sf_dir):
     _, names, refs = _refs_inputs(spark, sf_dir)
-    return RF.plan_ref_updates(refs, names)
+    return RF.plan_ref_updates(refs, names, keys=CHECKOUT)
 
 
 @register("ref_update_plan_pinned", "Q25", _refs_sql(_plan_sql(True, True, True) + "SELECT * FROM plan"))
 def q_ref_update_plan_pinned(spark, sf_dir):
     _, names, refs = _refs_inputs(spark, sf_dir)
-    return RF.plan_ref_updates(refs, names, pin=True, expand=True, mutable=True)
+    return RF.plan_ref_updates(refs, names, pin=True, expand=True, mutable=True, keys=CHECKOUT)
 
 
 RENAMES = [("tools/tasks/old_setup", "tools/tasks/old-setup")]
@@ -590,16 +599,17 @@ RENAMES = [("tools/tasks/old_setup", "tools/tasks/old-setup")]
 _REWRITE_SQL = """
 , renames(old_path, new_path) AS (VALUES ('tools/tasks/old_setup', 'tools/tasks/old-setup')),
 upd AS (SELECT * FROM plan WHERE latest_tag IS NOT NULL),
-rep AS (SELECT o.path, o.pos, o.action_path, o.ref, u.latest_tag, u.latest_sha, COALESCE(rn.new_path, o.action_path) AS np,
+rep AS (SELECT o.checkout, o.path, o.pos, o.action_path, o.ref, u.latest_tag, u.latest_sha, COALESCE(rn.new_path, o.action_path) AS np,
     rn.new_path IS NOT NULL AND rn.new_path <> o.action_path AS renamed, o.lead, o.whole
-  FROM occurrences o LEFT JOIN upd u ON u.repo = o.repo AND u.ref = o.ref LEFT JOIN renames rn ON rn.old_path = o.action_path),
+  FROM occurrences o LEFT JOIN upd u ON u.checkout = o.checkout AND u.repo = o.repo AND u.ref = o.ref LEFT JOIN renames rn ON rn.old_path = o.action_path),
 rep2 AS (SELECT *, CASE WHEN latest_tag IS NOT NULL AND latest_sha IS NOT NULL THEN lead || np || '@' || latest_sha || ' # ' || latest_tag
     WHEN latest_tag IS NOT NULL THEN lead || np || '@' || latest_tag WHEN renamed THEN lead || np || '@' || ref ELSE whole END AS repl
   FROM rep),
-gaps AS (SELECT w.path, w.content, CAST(i - 1 AS BIGINT) AS pos, w.g[i] AS gap
-  FROM (SELECT path, content, regexp_split_to_array(content, '{pat}') AS g FROM workflows) w, range(1, len(w.g) + 1) r(i)),
-texts AS (SELECT g.path, g.content AS text, string_agg(g.gap || COALESCE(r.repl, ''), '' ORDER BY g.pos) AS new_text
-  FROM gaps g LEFT JOIN rep2 r ON r.path = g.path AND r.pos = g.pos GROUP BY g.path, g.content),
+gaps AS (SELECT w.checkout, w.path, w.content, CAST(i - 1 AS BIGINT) AS pos, w.g[i] AS gap
+  FROM (SELECT checkout, path, content, regexp_split_to_array(content, '{pat}') AS g FROM workflows) w, range(1, len(w.g) + 1) r(i)),
+texts AS (SELECT g.checkout, g.path, g.content AS text, string_agg(g.gap || COALESCE(r.repl, ''), '' ORDER BY g.pos) AS new_text
+  FROM gaps g LEFT JOIN rep2 r ON r.checkout = g.checkout AND r.path = g.path AND r.pos = g.pos
+  GROUP BY g.checkout, g.path, g.content),
 changed AS (SELECT * FROM texts WHERE new_text <> text)
 """.replace("{pat}", USES_PATTERN)
 
@@ -607,23 +617,23 @@ changed AS (SELECT * FROM texts WHERE new_text <> text)
 def _rewrite_inputs(spark, sf_dir):
     files, names = fx(spark, sf_dir, "workflows", "ref_names")
     renames = spark.createDataFrame(RENAMES, "old_path string, new_path string")
-    out = RF.workflow_updates(files, names, pin=True, renames=renames)
+    out = RF.workflow_updates(files, names, pin=True, renames=renames, keys=CHECKOUT)
     return out["texts"], out["changes"]
 
 
 @register("rewrite_texts", "Q27 K3", _refs_sql(_plan_sql(True, False, False) + _REWRITE_SQL
-                                               + "SELECT path, text, new_text FROM changed"))
+                                               + "SELECT checkout, path, text, new_text FROM changed"))
 def q_rewrite_texts(spark, sf_dir):
     texts, _ = _rewrite_inputs(spark, sf_dir)
     return texts
 
 
 @register("ref_changes", "Q27", _refs_sql(_plan_sql(True, False, False) + _REWRITE_SQL + """
-SELECT r.path, r.pos, CASE WHEN r.latest_tag IS NULL THEN r.action_path ELSE r.np END AS action_path,
+SELECT r.checkout, r.path, r.pos, CASE WHEN r.latest_tag IS NULL THEN r.action_path ELSE r.np END AS action_path,
   CASE WHEN r.latest_tag IS NOT NULL AND r.latest_sha IS NOT NULL THEN substr(r.ref, 1, 12) ELSE r.ref END AS old,
   CASE WHEN r.latest_tag IS NOT NULL AND r.latest_sha IS NOT NULL THEN substr(r.latest_sha, 1, 12) || ' (' || r.latest_tag || ')'
     WHEN r.latest_tag IS NOT NULL THEN r.latest_tag ELSE r.np || '@' || r.ref END AS new
-FROM rep2 r WHERE (r.latest_tag IS NOT NULL OR r.renamed) AND r.path IN (SELECT path FROM changed)"""))
+FROM rep2 r WHERE (r.latest_tag IS NOT NULL OR r.renamed) AND (r.checkout, r.path) IN (SELECT checkout, path FROM changed)"""))
 def q_ref_changes(spark, sf_dir):
     _, changes = _rewrite_inputs(spark, sf_dir)
     return changes
@@ -786,12 +796,12 @@ def q_changelog_head_window(spark, sf_dir):
 
 
 @register("unresolved_updates", "Q25", _refs_sql(_plan_sql(True, True, True)
-                                                 + "SELECT s2.repo, s2.ref, r.tag, s2.target FROM s2 JOIN refs r "
-                                                   "ON r.repo = s2.repo AND r.ref = s2.ref "
+                                                 + "SELECT s2.checkout, s2.repo, s2.ref, r.tag, s2.target FROM s2 JOIN refs r "
+                                                   "ON r.checkout = s2.checkout AND r.repo = s2.repo AND r.ref = s2.ref "
                                                    "WHERE s2.target IS NOT NULL AND s2.commit_sha IS NULL"))
 def q_unresolved_updates(spark, sf_dir):
     _, names, refs = _refs_inputs(spark, sf_dir)
-    return RF.unresolved_updates(refs, names, expand=True, mutable=True)
+    return RF.unresolved_updates(refs, names, expand=True, mutable=True, keys=CHECKOUT)
 
 
 @register("run_history", "Q11 V20", oracle_with(["workflow_runs"], f"""
@@ -887,9 +897,10 @@ def q_landed_head_window(spark, sf_dir):
 @register("landed_file_list_diff", "S5 Q16", REGISTRY["file_list_diff"].oracle)
 def q_landed_file_list_diff(spark, sf_dir):
     (members,) = fx(spark, sf_dir, "archive_members")
-    read = RD.read_archive_members(spark, LD.land_archives(members))
-    read = read.withColumn("side", F.regexp_extract("path", r"/side=([^/]+)/", 1))
-    return DF.file_list_diff(read)
+    landed = LD.land_archives(members)
+    side = F.regexp_extract("path", r"/side=([^/]+)/", 1).alias("side")
+    return DF.file_list_diff(RD.read_archive_members(spark, landed).select("*", side),
+                             archives=RD.read_archive_names(spark, landed).select("*", side))
 
 
 @register("landed_download_index", "S13 Q37", REGISTRY["download_index"].oracle)

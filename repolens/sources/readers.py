@@ -144,6 +144,7 @@ def read_artifacts(spark: SparkSession, path: str, multi_line: bool = True) -> D
 
 # ---------------------------------------------------------------- S5
 
+ARCHIVE_ENDINGS = (".whl", ".tar.gz", ".tar.bz2", ".conda", ".tgz", ".zip")
 MEMBERS_SCHEMA = "path string, archive string, format string, member string"
 
 
@@ -205,17 +206,30 @@ def _members(batches):
         yield pd.DataFrame(rows, columns=["path", "archive", "format", "member"])
 
 
+def _archives(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    return reader.load(path)
+
+
 def read_archive_members(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Member names of wheels, source archives, conda and npm packages.
 
     One archive is one row; small Arrow batches keep a task's memory to a few
     archives.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(path).select("path", "content")
-    return files.mapInPandas(_members, MEMBERS_SCHEMA)
+    return _archives(spark, path, glob).select("path", "content").mapInPandas(_members, MEMBERS_SCHEMA)
+
+
+def read_archive_names(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """``path, archive, format`` of the archives in a folder; none is opened."""
+    name = F.element_at(F.split("path", "/"), -1)
+    kind = F.lit(None).cast("string")
+    for ending in ARCHIVE_ENDINGS:
+        kind = F.coalesce(kind, F.when(name.endswith(ending), archive_format(ending)))
+    return _archives(spark, path, glob).select("path", name.alias("archive"), kind.alias("format")).filter(
+        F.col("format").isNotNull())
 
 
 # ---------------------------------------------------------------- S6
