@@ -212,25 +212,22 @@ def changelog_lines(changes: DataFrame, tags: DataFrame, owner: str = "org", mai
     cat = categorize_changes(in_window, owner)
     people = first_contributions(changes, contributors(in_window, ignored))
     sentence = contributor_sentence(rank_contributors(people, maintainer), windows)
-    no_ts, no_n = F.lit(None).cast("timestamp_ntz"), F.lit(None).cast("bigint")
+    heading = F.concat(F.lit("## Changelog ("), F.col("from_tag"), F.lit(".."), F.col("to_tag"), F.lit(")"))
 
-    def rows(df, position, sub, line, merged_at=no_ts, number=no_n):
-        return df.select(*WINDOW_KEYS, F.lit(position).cast("int").alias("position") if isinstance(position, int)
-                         else F.col(position).cast("int").alias("position"),
-                         F.lit(sub).alias("sub"), merged_at.alias("merged_at"), number.alias("number"),
-                         line.alias("line"))
+    def placed(df, position, lines):
+        """One row per ``(sub, line)`` of a heading; changes stand between them by time and number."""
+        rows = F.explode(F.array(*[F.struct(F.lit(n).alias("sub"), line.alias("line")) for n, line in lines]))
+        return df.select(*WINDOW_KEYS, position.cast("int").alias("position"), rows.alias("r")).select(
+            *WINDOW_KEYS, "position", "r.sub", F.lit(None).cast("timestamp_ntz").alias("merged_at"),
+            F.lit(None).cast("bigint").alias("number"), "r.line")
 
-    heading = F.concat(F.lit("## Changelog ("), F.col("from_tag"), F.lit(".."), F.col("to_tag"), F.lit(")"))
-    parts = [rows(sentence, -1, 0, heading), rows(sentence, -1, 1, F.lit("")),
-             rows(sentence, -1, 2, F.col("sentence")), rows(sentence, -1, 3, F.lit(""))]
     titled = cat.select(*WINDOW_KEYS, "section", "position").distinct()
-    parts += [rows(titled, "position", 0, F.concat(F.lit("### "), F.col("section"))),
-              rows(cat, "position", 1, F.col("line"), F.col("merged_at"), F.col("number")),
-              rows(titled, "position", 2, F.lit(""))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    changes_ = cat.select(*WINDOW_KEYS, F.col("position").cast("int").alias("position"), F.lit(1).alias("sub"),
+                          "merged_at", "number", "line")
+    return (placed(sentence, F.lit(-1), enumerate([heading, F.lit(""), F.col("sentence"), F.lit("")]))
+            .unionByName(placed(titled, F.col("position"),
+                                [(0, F.concat(F.lit("### "), F.col("section"))), (2, F.lit(""))]))
+            .unionByName(changes_))
 
 
 ORDER = [*WINDOW_KEYS, "position", "sub", "merged_at", "number"]

@@ -167,7 +167,10 @@ def assemble_documents(blocks: DataFrame, as_of: str, prelude: str | None = None
                            F.size("b").cast("bigint").alias("blocks"))
 
 
-def insert_if_absent(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """Q33: documents whose ``(repo, filename)`` is not stored yet."""
-    return new.join(existing.select("repo", "filename"), ["repo", "filename"], "left_anti")
+def insert_if_absent(new: DataFrame, existing: DataFrame, keys: tuple[str, ...] = ("repo", "filename")) -> DataFrame:
+    """Q33: documents whose ``keys`` are not stored yet, each once (the least of several new ones)."""
+    rest = [c for c in new.columns if c not in keys]
+    absent = new.join(existing.select(*keys), [*keys], "left_anti")
+    return absent.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_d")).select(
+        *[c if c in keys else f"_d.{c}" for c in new.columns])
 

@@ -621,7 +621,7 @@ def _rewrite_inputs(spark, sf_dir):
     return out["texts"], out["changes"]
 
 
-@register("rewrite_texts", "Q27 K3", _refs_sql(_plan_sql(True, False, False) + _REWRITE_SQL
+@register("rewrite_texts", "Q27", _refs_sql(_plan_sql(True, False, False) + _REWRITE_SQL
                                                + "SELECT checkout, path, text, new_text FROM changed"))
 def q_rewrite_texts(spark, sf_dir):
     texts, _ = _rewrite_inputs(spark, sf_dir)
@@ -741,7 +741,7 @@ def q_documents(spark, sf_dir):
     return PG.assemble_documents(PG.code_blocks(pages), "2024-02-01", prelude="import pandas as pd")
 
 
-@register("new_documents", "Q33 K2", oracle_with(["stored_documents"], _BLOCKS_SQL + """
+@register("new_documents", "Q33", oracle_with(["stored_documents"], _BLOCKS_SQL + """
 SELECT b.repo, b.number || '_' || b.title AS filename, b.url, CAST(1 AS BIGINT) AS blocks FROM blocks b
 WHERE NOT EXISTS (SELECT 1 FROM stored_documents s WHERE s.repo = b.repo AND s.filename = b.number || '_' || b.title)"""))
 def q_new_documents(spark, sf_dir):
@@ -766,7 +766,7 @@ def q_python_floor(spark, sf_dir):
     return DP.python_floor(features)
 
 
-@register("changelog_lines", "Q8 K1", _changelog_sql(f"""
+@register("changelog_lines", "Q8", _changelog_sql(f"""
 , titled AS (SELECT DISTINCT repo, from_tag, to_tag, section, position FROM categorized),
 all_lines AS (
   SELECT repo, from_tag, to_tag, -1 AS position, 0 AS sub, NULL AS merged_at, NULL AS number,
@@ -907,3 +907,50 @@ def q_landed_file_list_diff(spark, sf_dir):
 def q_landed_download_index(spark, sf_dir):
     (flat,) = fx(spark, sf_dir, "downloads")
     return MF.download_index(RD.read_manifest(spark, LD.land_manifests(flat), multi_line=False), platform="linux64")
+
+
+# ====================================================================== sinks, written and read back
+
+from repolens.sources import sinks as K  # noqa: E402
+
+
+def _stored_changelogs(spark, sf_dir) -> str:
+    prs, tags = fx(spark, sf_dir, "pull_requests", "tags")
+    folder = LD.landing_folder(spark, "changelogs")
+    K.write_changelogs(CL.changelog_document(prs, tags), folder)
+    return folder
+
+
+def _window_of(path: str) -> list[Column]:
+    return [F.regexp_extract(path, f"/{c}=([^/]+)/", 1).alias(c) for c in K.WINDOW]
+
+
+@register("stored_changelogs", "K1 S9", REGISTRY["changelog_document"].oracle)
+def q_stored_changelogs(spark, sf_dir):
+    texts = RD.read_texts(spark, _stored_changelogs(spark, sf_dir), "*.txt")
+    whole = F.expr("substring(content, 1, length(content) - 1)")  # the text sink ends each value with a newline
+    return texts.select(*_window_of("path"), whole.alias("changelog"))
+
+
+@register("stored_listing", "K1 S10", _changelog_sql("SELECT repo, from_tag, to_tag, TRUE AS written FROM windows"))
+def q_stored_listing(spark, sf_dir):
+    listed = RD.read_file_listing(spark, _stored_changelogs(spark, sf_dir), include_hidden=True)
+    texts = listed.filter(F.col("path").rlike(r"/part-[^/]*\.txt$"))
+    return texts.select(*_window_of("path"), (F.col("length") > 0).alias("written"))
+
+
+@register("stored_documents", "K2 K4 Q33", oracle_with(["stored_documents"], _BLOCKS_SQL + f"""
+, docs AS ({_DOC_SQL})
+SELECT DISTINCT repo, filename, 'ipynb' AS kind, '' AS content FROM stored_documents
+UNION ALL SELECT repo, filename, 'ipynb', notebook FROM docs d
+  WHERE NOT EXISTS (SELECT 1 FROM stored_documents s WHERE s.repo = d.repo AND s.filename = d.filename)
+UNION ALL SELECT repo, filename, 'py', script FROM docs"""))
+def q_stored_documents(spark, sf_dir):
+    pages, stored = fx(spark, sf_dir, "issue_pages", "stored_documents")
+    folder = LD.landing_folder(spark, "documents")
+    notebooks = stored.select("repo", "filename", F.lit("ipynb").alias("kind"), F.lit("").alias("content")).distinct()
+    K.write_table(notebooks, folder, partition_by=["repo"])
+    # equal pages give one document
+    docs = PG.assemble_documents(PG.code_blocks(pages), "2024-02-01", prelude="import pandas as pd")
+    K.write_documents(docs.unionAll(docs), folder)
+    return K.read_documents(spark, folder)

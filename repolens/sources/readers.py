@@ -135,11 +135,22 @@ ARTIFACTS_SCHEMA = T.StructType([
         T.StructField("name", S), T.StructField("archive_download_url", S)])))])
 
 
-def read_artifacts(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Artifact lists of runs, with their position in the list."""
+def read_artifacts(spark: SparkSession, path: str, multi_line: bool = True, run_pattern: str | None = None,
+                   page_pattern: str | None = None, page_size: int = 100) -> DataFrame:
+    """Artifact lists of runs, with their position in the list.
+
+    Served payloads name neither run nor page: ``run_pattern`` and
+    ``page_pattern`` (first group) read them from the file path, and positions
+    run on across pages (from 0) of ``page_size``.
+    """
     df = _json(spark, path, ARTIFACTS_SCHEMA, multi_line)
-    a = df.select("run_number", F.posexplode("artifacts").alias("position", "a"))
-    return a.select("run_number", "a.name", "a.archive_download_url", F.col("position").cast("bigint"))
+    file = F.col("_metadata.file_path")
+    run = F.regexp_extract(file, run_pattern, 1).try_cast("bigint") if run_pattern else F.lit(None).cast("bigint")
+    page = F.regexp_extract(file, page_pattern, 1).cast("bigint") if page_pattern else F.lit(0).cast("bigint")
+    a = df.select(F.coalesce("run_number", run).alias("run_number"), page.alias("page"),
+                  F.posexplode("artifacts").alias("pos", "a"))
+    return a.select("run_number", "a.name", "a.archive_download_url",
+                    (F.col("page") * page_size + F.col("pos")).cast("bigint").alias("position"))
 
 
 # ---------------------------------------------------------------- S5
@@ -374,10 +385,11 @@ def _walk(batches):
         rows = []
         for uri in pdf["root"]:
             fs, base = _filesystem(uri)
+            scheme = uri[: len(uri) - len(base)] if "://" in uri else ""
             for info in fs.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True)):
                 if info.type == pafs.FileType.File:
                     mtime = info.mtime.replace(tzinfo=None) if info.mtime is not None else None
-                    rows.append((info.path, mtime, info.size))
+                    rows.append((scheme + info.path, mtime, info.size))
         yield pd.DataFrame(rows, columns=["path", "mtime", "length"])
 
 
@@ -398,7 +410,7 @@ def read_file_listing(spark: SparkSession, path: str, root: str | None = None,
         top = fs.get_file_info(pafs.FileSelector(base, recursive=False))
         prefix = path[: len(path) - len(base)] if "://" in path else ""
         dirs = [(prefix + e.path,) for e in top if e.type == pafs.FileType.Directory]
-        files = [(e.path, e.mtime.replace(tzinfo=None) if e.mtime else None, e.size)
+        files = [(prefix + e.path, e.mtime.replace(tzinfo=None) if e.mtime else None, e.size)
                  for e in top if e.type == pafs.FileType.File]
         listed = spark.createDataFrame(files, LISTING_SCHEMA)
         if dirs:
@@ -425,13 +437,18 @@ FORUM_SCHEMA = T.StructType([
 
 
 def read_pages(spark: SparkSession, path: str, kind: str = "issue") -> DataFrame:
-    """Issue pages (``url, html`` as parquet) or forum threads (JSON, one row per post)."""
+    """Issue pages (``url, html`` as parquet) or forum threads (JSON, one row per post).
+
+    ``post`` orders the posts of a thread over all its pages: the post's id, or
+    its place where it has none.
+    """
     if kind == "issue":
         return spark.read.parquet(path).select("url", "html")
     df = _json(spark, path, FORUM_SCHEMA)
     posts = df.select(F.col("id").alias("number"), "title", F.posexplode("post_stream.posts").alias("post", "p"))
     return posts.select(F.concat(F.lit("thread/"), F.col("number").cast("string")).alias("url"),
-                        "title", "number", F.col("post").cast("bigint"), F.col("p.cooked").alias("html"))
+                        "title", "number", F.coalesce("p.id", F.col("post").cast("bigint")).alias("post"),
+                        F.col("p.cooked").alias("html"))
 
 
 VERSIONS_SCHEMA = T.StructType([T.StructField("result", T.StructType([T.StructField("pkgs", T.ArrayType(

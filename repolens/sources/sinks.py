@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from repolens.operators.pages import insert_if_absent
 from repolens.plans.session import ensure_checkpoint_dir
+from repolens.sources.readers import _filesystem
+
+WINDOW = ["repo", "from_tag", "to_tag"]
+STORED_SCHEMA = "repo string, filename string, kind string, content string"
 
 
 def write_changelogs(docs: DataFrame, path: str) -> None:
-    """K1: changelog texts, partitioned by repository (one text row per window)."""
-    (docs.select("repo", F.col("changelog").alias("value"))
-     .write.mode("overwrite").partitionBy("repo").text(path))
+    """K1: changelog texts, one folder per repository and window."""
+    (docs.select(*WINDOW, F.col("changelog").alias("value"))
+     .write.mode("overwrite").partitionBy(*WINDOW).text(path))
 
 
 def write_changelog_lines(lines: DataFrame, path: str) -> None:
@@ -25,33 +28,69 @@ def write_changelog_lines(lines: DataFrame, path: str) -> None:
     from repolens.operators.changelog import ORDER
 
     ordered = lines.orderBy(*ORDER)
-    (ordered.select("repo", "from_tag", "to_tag", F.col("line").alias("value"))
-     .write.mode("overwrite").partitionBy("repo", "from_tag", "to_tag").text(path))
+    (ordered.select(*WINDOW, F.col("line").alias("value"))
+     .write.mode("overwrite").partitionBy(*WINDOW).text(path))
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Files that ``write_documents`` stored: ``repo, filename, kind, content``."""
+    return spark.read.schema(STORED_SCHEMA).parquet(path)
 
 
 def write_documents(docs: DataFrame, path: str) -> DataFrame:
-    """K2: store notebooks and scripts whose ``(repo, filename)`` is not stored yet.
+    """K2: store notebooks (``ipynb``) and scripts (``py``) that are not stored yet.
 
-    Appends to a JSON table partitioned by ``repo``; returns the rows written.
-    The new rows are materialised (reliable checkpoint) before the append, so
-    the returned table does not change when the stored table grows.
+    Each kind is tested on its own, as ``(repo, filename, kind)``. Appends to a
+    Parquet table partitioned by ``repo``; returns the files written. They are
+    materialised (reliable checkpoint) before the append, so the returned table
+    does not change when the stored table grows. Only a folder that does not
+    exist counts as nothing stored.
     """
+    import pyarrow.fs as pafs
+
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
-    try:
-        existing = spark.read.json(path).select("repo", "filename")
-        fresh = insert_if_absent(docs, existing)
-    except AnalysisException:
-        fresh = docs
-    fresh = fresh.checkpoint(eager=True)
-    fresh.write.mode("append").partitionBy("repo").json(path)
+    files = docs.select("repo", "filename", F.explode(F.array(
+        F.struct(F.lit("ipynb").alias("kind"), F.col("notebook").alias("content")),
+        F.struct(F.lit("py").alias("kind"), F.col("script").alias("content")))).alias("f")).select(
+        "repo", "filename", "f.kind", "f.content")
+    fs, base = _filesystem(path)
+    stored = fs.get_file_info(base).type != pafs.FileType.NotFound
+    existing = read_documents(spark, path) if stored else files.limit(0)
+    fresh = insert_if_absent(files, existing, ("repo", "filename", "kind")).checkpoint(eager=True)
+    fresh.write.mode("append").partitionBy("repo").parquet(path)
     return fresh
 
 
-def write_rewrites(texts: DataFrame, changes: DataFrame, path: str, dry_run: bool = False) -> DataFrame:
-    """K3: rewritten workflow texts; a dry run only returns the change table."""
-    if not dry_run:
-        texts.select("path", "new_text").write.mode("overwrite").json(path)
+def write_rewrites(texts: DataFrame, changes: DataFrame, path: str, dry_run: bool = False,
+                   keys: tuple[str, ...] = ()) -> DataFrame:
+    """K3: each rewritten text as a file at its own path below ``path`` (and below its ``keys``, as folders).
+
+    Files are written inside tasks under another name and then moved, so a task
+    that runs again leaves whole files. A dry run only returns the change table.
+    """
+    if dry_run:
+        return changes
+
+    def put(batches):
+        import os
+        import posixpath
+        import uuid
+
+        for pdf in batches:
+            for name, text in zip(pdf["name"], pdf["new_text"], strict=True):
+                if ".." in name.split("/"):
+                    raise ValueError(f"{name} leaves the target folder")
+                fs, target = _filesystem(f"{path.rstrip('/')}/{name.lstrip('/')}")
+                fs.create_dir(posixpath.dirname(target), recursive=True)
+                part = f"{target}.{os.getpid()}-{uuid.uuid4().hex}"
+                with fs.open_output_stream(part, compression=None) as out:
+                    out.write(text.encode())
+                fs.move(part, target)
+            yield pdf[["name"]]
+
+    named = texts.select(F.concat_ws("/", *keys, "path").alias("name"), "new_text")
+    named.mapInPandas(put, "name string").write.format("noop").mode("overwrite").save()
     return changes
 
 

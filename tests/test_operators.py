@@ -276,3 +276,25 @@ def test_dependency_names_meet_in_the_normal_form(spark):
     assert {r.package for r in DP.dependency_names(req).collect()} == {"PyYAML", "graphviz"}
     names = spark.createDataFrame([("My_Pkg..x",), ("pyyaml",), ("PyYAML",)], "package string")
     assert [r[0] for r in names.select(DP.normal_name("package")).collect()] == ["my-pkg-x", "pyyaml", "pyyaml"]
+
+
+def test_equal_paths_of_two_checkouts_stay_apart(spark):
+    sha = "ab" * 20
+    files = spark.createDataFrame([("a", "ci.yml", f"- uses: o/x@{sha} # v1\n- uses: o/z@v1\n"), ("b", "ci.yml", f"- uses: o/x@{sha}\n")],
+                                  "checkout string, path string, content string")
+    names = spark.createDataFrame([("o/x", "tag", "v2", "cd" * 20), ("o/z", "tag", "v3", "ef" * 20)],
+                                  "repo string, kind string, name string, commit_sha string")
+    out = RF.workflow_updates(files, names, keys=("checkout",))
+    assert [tuple(r) for r in out["texts"].select("checkout", "path", "new_text").collect()] == [
+        ("a", "ci.yml", f"- uses: o/x@{'cd' * 20} # v2\n- uses: o/z@v3\n")]
+    assert [tuple(r) for r in out["unpinnable"].collect()] == [("b", "o/x", sha)]
+
+
+def test_file_lists_compare_the_picked_archives(spark):
+    rows = [("good", "wheel", "a-1.0.0-py3-none-any.whl", "a-1.0.0/x"), ("bad", "wheel", "a-1.0.1-py3-none-any.whl", "a-1.0.1/x"),
+            ("good", "wheel", "b-1.0.0-py3-none-any.whl", "only in b"), ("good", "npm", "a-1.0.0.tgz", "one side"),
+            ("bad", "wheel", "a-1.0.1-py3-none-any.whl", "new")]
+    members = spark.createDataFrame(rows, "side string, format string, archive string, member string")
+    assert [tuple(r) for r in DF.file_list_diff(members).collect()] == [("bad", "wheel", "new")]
+    listed = members.select("side", "format", "archive").distinct()
+    assert [tuple(r) for r in DF.file_list_diff(members, archives=listed).collect()] == [("bad", "wheel", "new")]

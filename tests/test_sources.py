@@ -131,12 +131,15 @@ def test_sinks(spark, tmp_path):
     docs = spark.createDataFrame([("r", "1_a", "u", "{}", "s", 1)],
                                  "repo string, filename string, url string, notebook string, script string, blocks bigint")
     out = str(tmp_path / "docs")
-    assert K.write_documents(docs, out).count() == 1
+    again = docs.unionAll(docs.withColumn("url", F.lit("v")))
+    assert K.write_documents(again, out).count() == 2
     assert K.write_documents(docs, out).count() == 0
-    assert spark.read.json(out).count() == 1
+    assert sorted((r.kind, r.content) for r in K.read_documents(spark, out).collect()) == [("ipynb", "{}"), ("py", "s")]
     cl = spark.createDataFrame([("r", "v1", "v2", "## Changelog (v1..v2)")], "repo string, from_tag string, to_tag string, changelog string")
-    K.write_changelogs(cl, str(tmp_path / "cl"))
-    assert spark.read.text(str(tmp_path / "cl")).count() == 1
+    later = spark.createDataFrame([("r", "v2", "v3", "later")], cl.schema)
+    K.write_changelogs(cl.unionAll(later), str(tmp_path / "cl"))
+    assert {(r.from_tag, r.value) for r in spark.read.text(str(tmp_path / "cl")).collect()} == {
+        ("v1", "## Changelog (v1..v2)"), ("v2", "later")}
     lines = spark.createDataFrame([("r", "v1", "v2", -1, 0, None, None, "## Changelog (v1..v2)"),
                                    ("r", "v1", "v2", 3, 1, None, 5, "- x")],
                                   "repo string, from_tag string, to_tag string, position int, sub int, "
@@ -147,7 +150,9 @@ def test_sinks(spark, tmp_path):
     ch = spark.createDataFrame([("w.yml", 0, "x", "o", "n")], "path string, pos bigint, action_path string, old string, new string")
     assert K.write_rewrites(texts, ch, str(tmp_path / "rw"), dry_run=True).count() == 1
     K.write_rewrites(texts, ch, str(tmp_path / "rw"))
-    assert spark.read.json(str(tmp_path / "rw")).count() == 1
+    assert (tmp_path / "rw" / "w.yml").read_text() == "b"
+    K.write_rewrites(texts.withColumn("checkout", F.lit("c")), ch, str(tmp_path / "rw"), keys=("checkout",))
+    assert (tmp_path / "rw" / "c" / "w.yml").read_text() == "b"
     K.write_table(cl, str(tmp_path / "t"), partition_by=["repo"])
     assert spark.read.parquet(str(tmp_path / "t")).count() == 1
 
@@ -229,3 +234,19 @@ def test_release_pages_keep_api_order(spark):
     expected = {(repo, tag): i for repo, items in want.items()
                 for i, (_, tag) in enumerate(sorted(items, reverse=True))}
     assert got == expected
+
+
+def test_artifact_pages_as_served(spark, tmp_path):
+    for page, names in enumerate([["b", "c"], ["a"]]):
+        _w(tmp_path / "run-7" / f"page-{page}.json",
+           json.dumps({"artifacts": [{"name": n, "archive_download_url": n} for n in names]}))
+    got = R.read_artifacts(spark, str(tmp_path / "run-7"), run_pattern=r"run-([0-9]+)/", page_pattern=r"page-([0-9]+)",
+                           page_size=2)
+    assert sorted((r.run_number, r.position, r.name) for r in got.collect()) == [(7, 0, "b"), (7, 1, "c"), (7, 2, "a")]
+
+
+def test_archive_names_are_listed_unopened(spark, tmp_path):
+    for name in ("a-1.0.0-py3-none-any.whl", "a-1.0.0.tgz", "notes.txt"):
+        _w(tmp_path / name, "not an archive")
+    got = {(r.archive, r.format) for r in R.read_archive_names(spark, str(tmp_path)).collect()}
+    assert got == {("a-1.0.0-py3-none-any.whl", "wheel"), ("a-1.0.0.tgz", "npm")}
