@@ -27,13 +27,19 @@ def tag_dates(tags: DataFrame, commits: DataFrame | None = None,
     Either ``tags`` already carries ``committed_at`` and ``pr_merged_at``, or it
     carries ``sha`` and the dates come from two left equi-joins: ``commits``
     (``repo, sha, committed_at``) and ``commit_changes`` (``repo, sha, number,
-    merged_at``; the first change request is the lowest number).
+    merged_at``; the first change request is the lowest number), unless
+    ``commits`` carries ``pr_merged_at`` itself. Tags that carry ``tagged_at``
+    are returned as they are, so a dated table can be handed on.
     """
+    if "tagged_at" in tags.columns:
+        return tags
     if commits is not None:
         first = None
         if commit_changes is not None:
             first = commit_changes.groupBy("repo", "sha").agg(
                 F.min_by("merged_at", "number").alias("pr_merged_at"))
+        elif "pr_merged_at" in commits.columns:
+            first = commits.select("repo", "sha", "pr_merged_at")
         t = tags.join(commits.select("repo", "sha", "committed_at"), ["repo", "sha"], "left")
         t = t.join(first, ["repo", "sha"], "left") if first is not None else \
             t.withColumn("pr_merged_at", F.lit(None).cast("timestamp_ntz"))

@@ -185,3 +185,35 @@ def land_manifests(flat: DataFrame) -> str:
     from repolens.operators.manifest import nest_manifest
 
     return _write(nest_manifest(flat), "manifests")
+
+
+def land_refs(names: DataFrame) -> tuple[str, str]:
+    """Git references and tag objects, one payload per line: every tag is annotated, every branch points at its commit."""
+    api = F.concat(F.lit("https://api.github.com/repos/"), "repo")
+    is_tag = F.col("kind") == "tag"
+    tag_sha = F.sha1(F.concat(F.lit("tag "), "commit_sha"))
+    ref = F.concat(F.when(is_tag, "refs/tags/").otherwise("refs/heads/"), "name")
+    refs = names.select(ref.alias("ref"), F.concat(api, F.lit("/git/"), ref).alias("url"), F.struct(
+        F.when(is_tag, tag_sha).otherwise(F.col("commit_sha")).alias("sha"),
+        F.when(is_tag, "tag").otherwise("commit").alias("type")).alias("object"))
+    tags = names.filter(is_tag).select(tag_sha.alias("sha"), F.concat(api, F.lit("/git/tags/"), tag_sha).alias("url"),
+                                       F.struct(F.col("commit_sha").alias("sha")).alias("object"))
+    return _write(refs, "refs"), _write(tags, "tag_objects")
+
+
+def land_commits(tags: DataFrame) -> str:
+    """One commit payload per ``repo=<repo>/sha=<sha>/`` folder."""
+    merged = F.when(F.col("pr_merged_at").isNull(), F.array().cast("array<struct<mergedAt:string>>")).otherwise(
+        F.array(F.struct(F.date_format("pr_merged_at", ISO).alias("mergedAt"))))
+    commit = F.struct(F.date_format("committed_at", ISO).alias("committedDate"),
+                      F.struct(merged.alias("nodes")).alias("associatedPullRequests"))
+    out = tags.select("repo", "sha", F.struct(F.struct(commit.alias("object")).alias("repository")).alias("data"))
+    path = landing_folder(tags.sparkSession, "commits")
+    out.write.partitionBy("repo", "sha").json(path)
+    return path
+
+
+def land_issues(issues: DataFrame) -> str:
+    """One issue payload per line."""
+    return _write(issues.select("number", "state", F.concat(
+        F.lit("https://api.github.com/repos/org/"), "repo").alias("repository_url")), "issues")

@@ -909,6 +909,30 @@ def q_landed_download_index(spark, sf_dir):
     return MF.download_index(RD.read_manifest(spark, LD.land_manifests(flat), multi_line=False), platform="linux64")
 
 
+@register("landed_ref_plan", "Q24 Q25", REGISTRY["ref_update_plan_pinned"].oracle)
+def q_landed_ref_plan(spark, sf_dir):
+    _, names, refs = _refs_inputs(spark, sf_dir)
+    at, tags_at = LD.land_refs(names)
+    return RF.plan_ref_updates(refs, RD.read_ref_objects(spark, at, multi_line=False), pin=True, expand=True,
+                               mutable=True, tag_objects=RD.read_tag_objects(spark, tags_at, multi_line=False),
+                               keys=CHECKOUT)
+
+
+@register("landed_windows", "Q1 Q9", REGISTRY["changelog_windows"].oracle)
+def q_landed_windows(spark, sf_dir):
+    (tags,) = fx(spark, sf_dir, "tags")
+    tags = tags.withColumn("sha", F.sha1(F.concat("repo", "tag")))
+    commits = RD.read_commit_dates(spark, LD.land_commits(tags), r"/repo=([^/]+)/", r"/sha=([^/]+)/", multi_line=False)
+    w = CL.release_windows(CL.tag_dates(tags.select("repo", "tag", "prerelease", "sha"), commits))
+    return w.select("repo", "from_tag", "to_tag", ts_text("from_at").alias("from_at"), ts_text("to_at").alias("to_at"))
+
+
+@register("landed_archive_plan", "Q28", REGISTRY["archive_plan"].oracle)
+def q_landed_archive_plan(spark, sf_dir):
+    files, issues = fx(spark, sf_dir, "dev_files", "issue_states")
+    return WF.archive_plan(files, RD.read_issue_states(spark, LD.land_issues(issues), multi_line=False))
+
+
 # ====================================================================== sinks, written and read back
 
 from repolens.sources import sinks as K  # noqa: E402

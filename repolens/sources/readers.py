@@ -470,3 +470,72 @@ MANIFEST_SCHEMA = T.StructType([T.StructField("milestones", T.MapType(S, T.Struc
 def read_manifest(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Download manifests (milestone -> product -> platform list), nested as landed."""
     return _json(spark, path, MANIFEST_SCHEMA, multi_line).select("milestones")
+
+
+# ---------------------------------------------------------------- inputs of Q1, Q23-Q25 and Q28
+
+REF_SCHEMA = T.StructType([T.StructField("ref", S), T.StructField("url", S),
+                           T.StructField("object", T.StructType([T.StructField("sha", S), T.StructField("type", S)]))])
+TAG_OBJECT_SCHEMA = T.StructType([T.StructField("sha", S), T.StructField("url", S),
+                                  T.StructField("object", T.StructType([T.StructField("sha", S)]))])
+NAME_ITEM = T.StructType([T.StructField("name", S), T.StructField("commit", T.StructType([T.StructField("sha", S)]))])
+REPO_OF_URL = "/repos/([^/]+/[^/]+)/"
+
+
+def read_ref_names(spark: SparkSession, path: str, repo_pattern: str, kind_pattern: str) -> DataFrame:
+    """Landed pages of tag or branch lists (JSON arrays): ``repo, kind, name, commit_sha``.
+
+    Repository and list (``tags`` or ``branches``) come from the file path
+    (first group of each pattern). All pages count.
+    """
+    docs = _whole_json(spark, path, T.ArrayType(NAME_ITEM))
+    rows = docs.select("source_file", F.explode("doc").alias("n"))
+    kind = F.when(F.regexp_extract("source_file", kind_pattern, 1).startswith("tag"), "tag").otherwise("branch")
+    return rows.select(F.regexp_extract("source_file", repo_pattern, 1).alias("repo"), kind.alias("kind"), "n.name",
+                       F.col("n.commit.sha").alias("commit_sha"))
+
+
+def read_ref_objects(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Landed git references: ``repo, kind, name, commit_sha`` (of an annotated tag: the sha of its tag object)."""
+    r = _json(spark, path, REF_SCHEMA, multi_line).filter(F.col("ref").rlike("^refs/(tags|heads)/"))
+    return r.select(F.regexp_extract("url", REPO_OF_URL, 1).alias("repo"),
+                    F.when(F.col("ref").startswith("refs/tags/"), "tag").otherwise("branch").alias("kind"),
+                    F.regexp_replace("ref", "^refs/(tags|heads)/", "").alias("name"),
+                    F.col("object.sha").alias("commit_sha"))
+
+
+def read_tag_objects(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Landed annotated tags: ``repo, tag_sha, target_sha``."""
+    return _json(spark, path, TAG_OBJECT_SCHEMA, multi_line).select(
+        F.regexp_extract("url", REPO_OF_URL, 1).alias("repo"), F.col("sha").alias("tag_sha"),
+        F.col("object.sha").alias("target_sha"))
+
+
+COMMIT_SCHEMA = T.StructType([T.StructField("data", T.StructType([T.StructField("repository", T.StructType([
+    T.StructField("object", T.StructType([
+        T.StructField("committedDate", S),
+        T.StructField("associatedPullRequests", T.StructType([
+            T.StructField("nodes", T.ArrayType(T.StructType([T.StructField("mergedAt", S)])))]))]))]))]))])
+
+
+def read_commit_dates(spark: SparkSession, path: str, repo_pattern: str, sha_pattern: str,
+                      multi_line: bool = True) -> DataFrame:
+    """Landed commits: ``repo, sha, committed_at, pr_merged_at`` (of the first change request, else null).
+
+    Payloads name neither repository nor commit; both come from the file path.
+    """
+    df = _json(spark, path, COMMIT_SCHEMA, multi_line)
+    file, commit = F.col("_metadata.file_path"), "data.repository.object"
+    return df.select(F.regexp_extract(file, repo_pattern, 1).alias("repo"),
+                     F.regexp_extract(file, sha_pattern, 1).alias("sha"),
+                     utc_ntz(f"{commit}.committedDate").alias("committed_at"),
+                     utc_ntz(F.get(F.col(f"{commit}.associatedPullRequests.nodes.mergedAt"), F.lit(0))).alias("pr_merged_at"))
+
+
+ISSUE_SCHEMA = T.StructType([T.StructField("number", L), T.StructField("state", S), T.StructField("repository_url", S)])
+
+
+def read_issue_states(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Landed issues: ``repo, number, state``."""
+    return _json(spark, path, ISSUE_SCHEMA, multi_line).select(
+        F.element_at(F.split("repository_url", "/"), -1).alias("repo"), "number", "state")

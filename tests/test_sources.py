@@ -250,3 +250,12 @@ def test_archive_names_are_listed_unopened(spark, tmp_path):
         _w(tmp_path / name, "not an archive")
     got = {(r.archive, r.format) for r in R.read_archive_names(spark, str(tmp_path)).collect()}
     assert got == {("a-1.0.0-py3-none-any.whl", "wheel"), ("a-1.0.0.tgz", "npm")}
+
+
+def test_name_pages_as_served(spark, tmp_path):
+    for n, page in enumerate([[{"name": "v1", "commit": {"sha": "a"}}], [{"name": "v2", "commit": {"sha": "b"}}]]):
+        _w(tmp_path / "o" / "r" / "tags" / f"{n}.json", json.dumps(page))
+    _w(tmp_path / "o" / "r" / "branches" / "0.json", json.dumps([{"name": "main", "commit": {"sha": "c"}}]))
+    got = R.read_ref_names(spark, str(tmp_path / "o" / "r" / "*"), r"([^/]+/[^/]+)/(?:tags|branches)/", r"/(tags|branches)/")
+    assert sorted(tuple(r) for r in got.collect()) == [
+        ("o/r", "branch", "main", "c"), ("o/r", "tag", "v1", "a"), ("o/r", "tag", "v2", "b")]
