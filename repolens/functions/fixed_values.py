@@ -1,17 +1,13 @@
 """Fixed values that results depend on.
 
 FIXED VALUES: these must stay exactly as written for results to match the
-behaviour being reproduced. They are small lookup tables; operators turn them
-into tiny DataFrames (``lookup_frames``) that are broadcast.
+behaviour being reproduced. They are small lookup tables and patterns.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
-
 # --- FIXED VALUES: changelog sections, in output order (prefix, title) ---
 SECTIONS = [
     ("feat", "Features"),
@@ -104,22 +100,9 @@ SHA_PATTERN = r"(?i)^[0-9a-f]{40}$"
 # --- FIXED VALUES: file names of recent working files ---
 RECENT_FILE_PATTERN = r"\d{3,5}.+?\.py$"
 
-
-def sections_frame(spark: SparkSession) -> DataFrame:
-    rows = [(p, t, i) for i, (p, t) in enumerate(SECTIONS)]
-    schema = "prefix string, title string, position int"
-    return spark.createDataFrame(rows, schema)
-
-
-def ignored_frame(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in IGNORED_CONTRIBUTORS], "login string")
-
-
-def interpreter_frame(spark: SparkSession) -> DataFrame:
-    schema = T.StructType([T.StructField("python_version", T.StringType()),
-                           T.StructField("released_at", T.TimestampNTZType())])
-    return spark.createDataFrame(INTERPRETER_RELEASES, schema)
-
-
-def aliases_frame(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PACKAGE_ALIASES, "name string, mapped string")
+# --- FIXED VALUES: patterns of change titles, version texts, comment tags and versioned names ---
+CHANGE_LINE = r"^- ([a-zA-Z]+)(?:\([^)]*\))?(!?):\s*(.+)$"
+ARCHIVE_VERSION = r"^\w+.\d+.\d+.\d+"
+PRE_RELEASE_IN_TEXT = r"(\d)\-?(rc|a|b)\.?(\d)"
+COMMENT_TAG = r"#\s*(\S+)"
+REF_FORM = r"^([^0-9]*)(\d+(?:\.\d+)*)$"

@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from repolens.functions.fixed_values import SHA_PATTERN, USES_PATTERN
+from repolens.functions.fixed_values import (
+    ARCHIVE_VERSION, CHANGE_LINE, COMMENT_TAG, PRE_RELEASE_IN_TEXT, SHA_PATTERN, USES_PATTERN)
 
 
 def _col(c) -> Column:
@@ -50,9 +51,9 @@ def version_patterns(version_text) -> tuple[Column, Column]:
     null when the text has no three-number version.
     """
     v = _col(version_text)
-    plain = F.replace(F.regexp_extract(v, r"(?U)^\w+.\d+.\d+.\d+", 0), F.lit("-"), F.lit("."))
+    plain = F.replace(F.regexp_extract(v, "(?U)" + ARCHIVE_VERSION, 0), F.lit("-"), F.lit("."))
     escaped = F.regexp_replace(v, _ESCAPE_CLASS, r"\\$1")
-    loose = F.regexp_replace(escaped, r"(?U)(\d)(rc|a|b)(\d)", r"$1\\-?$2\\.?$3")
+    loose = F.regexp_replace(escaped, "(?U)" + PRE_RELEASE_IN_TEXT, r"$1\\-?$2\\.?$3")
     loose = F.replace(loose, F.lit("\\-"), F.lit("."))
     return F.when(plain != "", plain), loose
 
@@ -80,8 +81,6 @@ def file_basename(url) -> Column:
 
 # ---------------------------------------------------------------- V13
 
-CHANGE_LINE = r"^- ([a-zA-Z]+)(?:\([^)]*\))?(!?):\s*(.+)$"
-
 
 def split_change_title(line) -> Column:
     """struct(prefix, breaking) of a rendered change line; null prefix when no match."""
@@ -179,7 +178,7 @@ def parse_ref_match(m) -> Column:
     ref = F.regexp_extract(m, USES_PATTERN, 3)
     comment = F.regexp_extract(m, USES_PATTERN, 4)
     is_sha = ref.rlike(SHA_PATTERN)
-    tag = F.regexp_extract(comment, r"#\s*(\S+)", 1)
+    tag = F.regexp_extract(comment, COMMENT_TAG, 1)
     return F.struct(
         m.alias("whole"),
         F.regexp_extract(m, USES_PATTERN, 1).alias("lead"),

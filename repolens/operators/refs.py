@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 
 from repolens.functions import text as X
 from repolens.functions import versions as V
-from repolens.functions.fixed_values import SKIP_REFS, USES_PATTERN
-
-REF_FORM = r"^([^0-9]*)(\d+(?:\.\d+)*)$"
+from repolens.functions.fixed_values import REF_FORM, SKIP_REFS, USES_PATTERN
 
 
 def ref_occurrences(files: DataFrame, include: str | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
