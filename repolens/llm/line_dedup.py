@@ -8,9 +8,9 @@ A line on ``min_sites`` sites or more stays where it stands first (least
 doc_id, then position) and goes everywhere else.
 
 Lines are shuffled as hashes. The text is shuffled once, to meet the positions
-that go; a line that a third of all documents hold is combined before the
-shuffle when counted, and its hits are a plain equi-join that skew handling
-splits.
+that go. A line that a third of all documents hold is combined before the
+shuffle when counted; lines with a ten-thousandth of all places (``HOT_LINES``
+of them at most) meet their places by broadcast, so no shuffled line is hot.
 """
 
 from __future__ import annotations
@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from repolens.llm.shared import WORD, text_or_empty
 
+#: Lines that can hold a ten-thousandth of all places each; the most that are ever broadcast (some 400 KB).
+HOT_LINES = 10_000
+
 
 def drop_spread_lines(docs: DataFrame, site: str = "source", min_sites: int = 10, min_words: int = 5,
                       margin: float = 0.5, lg_k: int = 12) -> DataFrame:
@@ -41,16 +44,25 @@ def drop_spread_lines(docs: DataFrame, site: str = "source", min_sites: int = 10
               .select("doc", "site", "pos", F.xxhash64("line").alias("h1"),
                       F.xxhash64(F.lit("line"), "line").alias("h2"))).checkpoint(eager=True)
     spread = (hashed.groupBy("h1", "h2").agg(
-        F.hll_sketch_agg("site", lg_k).alias("sketch"), F.min(F.struct("doc", "pos")).alias("first"))
-        .select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites"))
+        F.hll_sketch_agg("site", lg_k).alias("sketch"), F.min(F.struct("doc", "pos")).alias("first"),
+        F.count("*").alias("places"))
+        .select("h1", "h2", "first", "places", F.hll_sketch_estimate("sketch").alias("sites"))
         .filter(F.col("sites") >= min_sites * (1 - margin))).checkpoint(eager=True)
-    far = spread.filter(F.col("sites") > min_sites * (1 + margin)).select("h1", "h2", "first")
-    near = spread.filter(F.col("sites") <= min_sites * (1 + margin)).select("h1", "h2", "first")
-    exact = (hashed.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2")
-             .agg(F.countDistinct("site").alias("n")).filter(F.col("n") >= min_sites).select("h1", "h2"))
-    boilerplate = far.unionByName(near.join(exact, ["h1", "h2"], "left_semi"))
-    hits = (hashed.join(boilerplate, ["h1", "h2"])
-            .filter(~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("pos") == F.col("first.pos"))))
+    far = spread.filter(F.col("sites") > min_sites * (1 + margin)).drop("sites")
+    near = spread.filter(F.col("sites") <= min_sites * (1 + margin)).drop("sites")
+    # a line with a ten-thousandth of all places is hot; there are HOT_LINES of them at most
+    hot = F.col("places") * HOT_LINES >= hashed.count()
+
+    def meet(some: DataFrame) -> DataFrame:
+        """Places of the lines in ``some`` with its ``first``; hot lines meet without a shuffle."""
+        marked = hashed.join(F.broadcast(some.filter(hot).select("h1", "h2", F.col("first").alias("f"))), ["h1", "h2"], "left")
+        cold = marked.filter("f IS NULL").drop("f").join(some.filter(~hot).select("h1", "h2", "first"), ["h1", "h2"])
+        return marked.filter("f IS NOT NULL").withColumnRenamed("f", "first").unionByName(cold)
+
+    exact = (meet(near).groupBy("h1", "h2").agg(F.countDistinct("site").alias("n"))
+             .filter(F.col("n") >= min_sites).select("h1", "h2"))
+    boilerplate = far.unionByName(near.join(exact, ["h1", "h2"], "left_semi")).checkpoint(eager=True)
+    hits = (meet(boilerplate).filter(~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("pos") == F.col("first.pos"))))
             .groupBy(F.coalesce("doc", F.lit(0)).alias("d"), F.col("doc").isNull().alias("no_d"))
             .agg(F.collect_set(F.struct("pos", "h1")).alias("gone")))
     joined = (rows.withColumn("d", F.coalesce("doc", F.lit(0))).withColumn("no_d", F.col("doc").isNull())

@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
-1. Word counts per document; sizes per source and per (source, shard), where a
-   shard is a seeded hash of the doc_id, so a hot source is split.
+1. Word counts per document; sizes per source and per (source, shard). A source
+   has a shard for about every ``shard_rows`` rows, dealt by a seeded hash, so
+   a hot source is split and no task orders more than a shard at any size.
 2. Targets: each source's share of all words by weight; a target stops at
    ``cap`` times its source, the excess is shared out anew (water level).
 3. The corpus is ``total / block`` equal blocks. Sources get blocks by the
@@ -68,7 +69,7 @@ def sainte_lague(shares: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray
     return given
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, block: int = 16, shards: int = 64,
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, block: int = 16, shard_rows: int = 4096,
         seed: int = 42) -> DataFrame:
     """What the mix takes of every row of ``docs``.
 
@@ -87,9 +88,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, blo
         F.col("doc_id").cast("long"), F.col("source").cast("string"),
         F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
         F.xxhash64(text_or_empty()).alias("_tie"))
-        .withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)).cast("int"))
         .withColumn("src", F.coalesce("source", F.lit(""))).withColumn("no_src", F.col("source").isNull())
         ).checkpoint(eager=True)
+    shards = sized.groupBy("src", "no_src").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
+    sized = sized.join(shards, ["src", "no_src"]).withColumn(
+        "shard", F.pmod(F.xxhash64("doc_id", "_tie", F.lit(seed)), F.col("shards")).cast("int")).drop("shards")
     by_shard = sized.groupBy(*keys).agg(F.sum("size").alias("shard_size"))
     sources = (by_shard.groupBy("src", "no_src").agg(
         F.sum("shard_size").alias("size"), F.sum(F.floor(F.col("shard_size") * cap / block)).alias("most"))

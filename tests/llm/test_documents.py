@@ -141,9 +141,10 @@ def test_water_level():
     assert sum(mixing.water_level([5, 0, 995], [3, 3, 1])) == pytest.approx(1000)
 
 
-def test_mix(spark):
+@pytest.mark.parametrize("shard_rows", [4096, 40])
+def test_mix(spark, shard_rows):
     for given_rows, df in both(spark):
-        out = mixing.mix(df).collect()
+        out = mixing.mix(df, shard_rows=shard_rows).collect()
         sizes = collections.Counter((r[0], r[3], len(WORD.findall(r[1] or ""))) for r in given_rows)
         assert collections.Counter((r["doc_id"], r["source"], r["size"]) for r in out) == sizes
         names = sorted({r[3] for r in given_rows if r[3] is not None}, key=lambda s: s.encode()) + [None] * any(
@@ -157,7 +158,7 @@ def test_mix(spark):
             taken[r["source"]] += r["taken"]
         for name in names:
             assert abs(taken[name] - target[name]) <= max(16 * 65, 0.02 * target[name])
-        again = mixing.mix(df.repartition(3)).collect()
+        again = mixing.mix(df.repartition(3), shard_rows=shard_rows).collect()
         assert sorted(map(repr, again)) == sorted(map(repr, out))
     assert mixing.mix(frame(spark, [])).count() == 0
 
@@ -203,7 +204,9 @@ def plain_line_dedup(given_rows, min_sites, min_words):
     return collections.Counter(out)
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("hot_lines", [10_000, 1])  # all lines meet by broadcast, none does
+def test_line_dedup(spark, hot_lines, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT_LINES", hot_lines)
     shared, rare = prose(50, 9), prose(51, 9)
     made = [(100 + i, "\n".join([prose(200 + i, 8), shared, *([rare] if i < 3 else []), "too short", shared]), "en",
              f"s{i % 6}" if i % 7 else None, 0) for i in range(40)]
