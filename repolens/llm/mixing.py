@@ -30,6 +30,9 @@ from pyspark.sql import functions as F
 
 from repolens.llm.shared import WORD, picked, raw_texts, slices, text_or_empty
 
+#: Parts of a source's rows that meet the source's number of shards apart.
+SALTS = 256
+
 
 def water_level(sizes: list[int], weights: list[int], cap: int = 3) -> list[float]:
     """Shares of the total by weight, none above ``cap`` times its size, the excess reshared by weight."""
@@ -91,8 +94,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, blo
         .withColumn("src", F.coalesce("source", F.lit(""))).withColumn("no_src", F.col("source").isNull())
         ).checkpoint(eager=True)
     shards = sized.groupBy("src", "no_src").agg(F.ceil(F.count("*") / shard_rows).alias("shards"))
-    sized = sized.join(shards, ["src", "no_src"]).withColumn(
-        "shard", F.pmod(F.xxhash64("doc_id", "_tie", F.lit(seed)), F.col("shards")).cast("int")).drop("shards")
+    salted = shards.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a hot source meets in many tasks
+    placing = F.xxhash64("doc_id", "_tie", F.lit(seed))
+    sized = (sized.withColumn("salt", F.pmod(F.xxhash64("doc_id", "_tie"), F.lit(SALTS)).cast("int"))
+             .join(salted, ["src", "no_src", "salt"])
+             .withColumn("shard", F.pmod(placing, F.col("shards")).cast("int")).drop("shards", "salt"))
     by_shard = sized.groupBy(*keys).agg(F.sum("size").alias("shard_size"))
     sources = (by_shard.groupBy("src", "no_src").agg(
         F.sum("shard_size").alias("size"), F.sum(F.floor(F.col("shard_size") * cap / block)).alias("most"))
