@@ -39,6 +39,12 @@ PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset
     figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol
     optgroup option p pre search section summary table tbody td tfoot th thead title tr ul""".split())
+#: Open elements that a start tag ends when their end tags are left out; all blocks but these end a paragraph.
+ENDS = {tag: frozenset(["p"]) for tag in BLOCKS - frozenset("html head body title frameset legend caption option optgroup".split())}
+ENDS |= {tag: frozenset(f"{others} p".split()) for tags, others in (
+    ("li", "li"), ("dt dd", "dt dd"), ("td th", "td th"), ("tr", "tr td th"), ("tbody thead tfoot", "tbody thead tfoot tr td th"))
+    for tag in tags.split()}
+ENDS |= {"option": frozenset(["option"]), "optgroup": frozenset(["option", "optgroup"])}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold main text, and names of classes, ids or roles that say the same of any element.
 ASIDE = frozenset("nav aside footer form menu dialog search button".split())
@@ -75,6 +81,19 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             lines.append((line, part))
         run.clear()
 
+    def end_implied(tag: str) -> None:
+        """End the elements whose end tag may be left out before ``tag``, with the inline ones inside them."""
+        nonlocal part
+        ends, keep = ENDS.get(tag, ()), len(stack)
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in ends:
+                keep = i
+            elif stack[i][0] in BLOCKS:
+                break
+        while len(stack) > keep:
+            opened[stack.pop()[0]] -= 1
+        part = stack[-1][1] if stack else OTHER
+
     for m in MARKUP.finditer(page):
         run.append(page[at:m.start()])
         at = m.end()
@@ -90,6 +109,7 @@ def page_lines(page: str) -> list[tuple[str, int]]:
         if tag in VOID:
             if tag == "hr":
                 close()
+                end_implied(tag)
             continue
         block = tag in BLOCKS
         if block:
@@ -105,6 +125,8 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             continue
         if attributes.endswith("/"):
             continue
+        if block:
+            end_implied(tag)
         inner = part
         if part != CHROME:
             if tag in ASIDE or (tag == "header" and part == OTHER) or (
@@ -117,11 +139,10 @@ def page_lines(page: str) -> list[tuple[str, int]]:
                 inner = MAIN
         if inner != part and not block:
             close()
-        if inner != part or tag not in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
-            if block or inner != part:
-                stack.append((tag, inner))
-                opened[tag] = opened.get(tag, 0) + 1
-                part = inner
+        if block or inner != part:
+            stack.append((tag, inner))
+            opened[tag] = opened.get(tag, 0) + 1
+            part = inner
     run.append(page[at:])
     close()
     return lines

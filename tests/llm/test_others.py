@@ -77,6 +77,19 @@ def test_names_that_tell_of_others_are_no_menus():
     assert html_text.main_text(html_text.page_lines(page), set()) == "Stay"
 
 
+@pytest.mark.parametrize("page,text", [
+    ('<article><p class="notice">x<p>real<p>more</article>', "real\nmore"),
+    ('<article><p class="notice">x<div>real</div>more</article>', "real\nmore"),
+    ('<article><p class="notice">x <i class="ad">y<hr>real</article>', "real"),
+    ('<article><ul><li class="ad">x<li>one<ul><li class="ad"><p>y<li>two</ul><li>three</ul></article>', "one\ntwo\nthree"),
+    ('<article><ul><li class="ad">x<ul><li>y</li></ul>z</li><li>one</li></ul></article>', "one"),
+    ('<article><dl><dt class="notice">x<dd>one<dd class="notice">y<dt>two</dl></article>', "one\ntwo"),
+    ('<article><table><tr class="ad"><td>x<td>y<tr><td class="ad">z<td>one<tbody><tr><th>two</table></article>', "one\ntwo"),
+    ('<article><table><tr><td class="ad"><table><tr><td>x</td></tr></table>y<td>one</table></article>', "one")])
+def test_marked_elements_end_without_end_tag(page, text):
+    assert html_text.main_text(html_text.page_lines(page), set()) == text
+
+
 def plain_top(vectors, every, k):
     usable = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in vectors
               if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
