@@ -2,12 +2,17 @@
 
 1. A page is cut into text lines (blocks) with the part of the page they lie
    in. Lines travel as 64-bit hashes.
-2. Pages of a host in URL-path order get a skew-safe position; a page is paired
-   with the neighbour whose path shares the longer prefix.
+2. Distinct line sequences of a host in URL-path order get a skew-safe
+   position; each is paired with the neighbour whose path shares the longer
+   prefix. Copies inherit what their sequence gets.
 3. The two line sequences are aligned by longest common subsequence
-   (bit-parallel, whole pages); shared lines are template and go. Lines inside
-   an article or main element stay: copies and quotations share those, too. A
-   pair of which one side is wholly shared is a copy and says nothing.
+   (bit-parallel, whole pages); lines shared with an unlike page are template
+   and go. Lines inside an article or main element stay: copies and quotations
+   share those, too. Near copies (one page wholly shared, or more than half of the
+   lines and three quarters of the characters of the longer page) say nothing
+   of each other: a sequence between near copies meets the pages before and
+   after its run of near copies. On a host that is one such run nothing can be
+   told, and all lines stay.
 4. The markup check takes what pairs cannot show (menus that differ from page
    to page, hosts with one page): lines in menus, headers, footers, sidebars,
    notices, adverts, forms and reader comments, and all lines outside the
@@ -56,6 +61,10 @@ NAMES = frozenset("""ad ads advert adverts advertisement adbox banner breadcrumb
 ABOUT = frozenset("has no with without is not hide show".split())
 
 MAIN, ARTICLE, OTHER, CHROME = 0, 1, 2, 3
+#: Places of a run of near copies that one row is unfolded to.
+RUN_PART = 1024
+#: Parts in which pages meet the sequence that they repeat.
+SALTS = 32
 
 
 def named_aside(attributes: str) -> bool:
@@ -189,13 +198,21 @@ def common_prefix(a: str, b: str) -> int:
     return n
 
 
-def template_positions(own: list[int], path: str, neighbours: list[tuple[str, list[int]]]) -> list[int]:
-    """Positions of the lines that the nearest neighbour by URL path shares; copies are passed over."""
-    for _, other in sorted(neighbours, key=lambda p: -common_prefix(path, p[0])):
-        found = shared_lines(own, other)
-        if len(found) < min(len(own), len(other)):
+def alike(shared: list[int], a: tuple[list[int], list[int]], b: tuple[list[int], list[int]]) -> bool:
+    """Whether two pages (hashes and lengths of their lines) are copies or near copies, by the positions that ``a`` shares."""
+    if len(shared) == min(len(a[0]), len(b[0])):
+        return True  # all of one page stands on the other
+    lines, chars = max(len(a[0]), len(b[0])), max(sum(a[1]), sum(b[1]))
+    return 2 * len(shared) > lines and 4 * sum(a[1][i] for i in shared) > 3 * chars
+
+
+def template_positions(own: dict, others: list[dict | None]) -> list[int] | None:
+    """Positions of the lines shared with the nearest unlike page by URL path; None where no page is unlike."""
+    for other in sorted(filter(None, others), key=lambda p: -common_prefix(own["path"], p["path"])):
+        found = shared_lines(own["lines"], other["lines"])
+        if not alike(found, (own["lines"], own["sizes"]), (other["lines"], other["sizes"])):
             return found
-    return []
+    return None
 
 
 def page_keys(pages: DataFrame) -> DataFrame:
@@ -208,52 +225,97 @@ def page_keys(pages: DataFrame) -> DataFrame:
         F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1).alias("path"))
 
 
+def beyond_runs(placed: DataFrame, told: DataFrame) -> DataFrame:
+    """row_key, copies, gone of the sequences of ``told`` without ``gone``, by the pages around their run of near copies.
+
+    A run lies between two places where neighbours are unlike. Runs are narrow
+    rows (host, low, high) until they are dealt in parts of ``RUN_PART`` places.
+    """
+    ends = told.groupBy("host").agg(F.max("nth").alias("last"))
+    marks = (told.filter("unlike_next").select("host", "nth").unionByName(ends.select("host", F.col("last").alias("nth")))
+             .unionByName(ends.select("host", F.lit(0).cast("long").alias("nth"))).distinct())
+    marks = ordinal_within(marks, ["host"], ["nth"], "k")
+    runs = marks.select("host", "k", F.col("nth").alias("low")).join(
+        marks.select("host", (F.col("k") - 1).alias("k"), F.col("nth").alias("high")), ["host", "k"]).filter("high - low > 1")
+    pages = placed.select("host", "nth", F.struct("path", "lines", "sizes").alias("page"))
+    around = (runs.join(pages.select("host", F.col("nth").alias("low"), F.col("page").alias("one")), ["host", "low"], "left")
+              .join(pages.select("host", (F.col("nth") - 1).alias("high"), F.col("page").alias("two")), ["host", "high"], "left")
+              .withColumn("start", F.explode(F.sequence(F.col("low") + 1, F.col("high"), F.lit(RUN_PART).cast("long"))))
+              .repartition("host", "start")
+              .withColumn("nth", F.explode(F.sequence("start", F.least(F.col("start") + RUN_PART - 1, F.col("high"))))))
+    paired = (told.filter("gone IS NULL").select("host", "nth").join(placed, ["host", "nth"])
+              .join(around.select("host", "nth", "one", "two"), ["host", "nth"]))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            gone = [template_positions(row, [row["one"], row["two"]]) or [] for row in rows]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], names=["row_key", "copies", "gone"])
+
+    return paired.select("row_key", "copies", "path", "lines", "sizes", "one", "two").mapInArrow(
+        compare, "row_key long, copies long, gone array<int>")
+
+
 def differences(keyed: DataFrame) -> DataFrame:
-    """row_key, gone: positions of the lines outside article and main elements that a page shares with its neighbour."""
+    """row_key, gone: positions of the lines that a page shares with the nearest unlike page of its host."""
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in slices(batches, 3):
-            every, free = [], []
+            every, sizes = [], []
             for page in texts(batch.column(3)):
                 lines = page_lines(page)
                 every.append(np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) for t, _ in lines],
                                       np.uint64).view(np.int64))
-                free.append([part not in (MAIN, ARTICLE) for _, part in lines])
+                sizes.append([len(t) for t, _ in lines])
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(i) for i in range(3)], pa.array(every, pa.list_(pa.int64())),
-                 pa.array(free, pa.list_(pa.bool_()))], names=["row_key", "host", "path", "lines", "free"])
+                 pa.array(sizes, pa.list_(pa.int32()))], names=["row_key", "host", "path", "lines", "sizes"])
 
     hashed = (keyed.select("row_key", "host", "path", "html")
-              .mapInArrow(hashes, "row_key long, host string, path string, lines array<long>, free array<boolean>")
-              .dropDuplicates(["row_key"]))
-    placed = ordinal_within(hashed, ["host"], ["path", "row_key"], "nth")
-    beside = placed.select("host", F.struct("path", "lines").alias("page"), F.explode(F.array(
+              .mapInArrow(hashes, "row_key long, host string, path string, lines array<long>, sizes array<int>")
+              .dropDuplicates(["row_key"]).withColumn("sequence", F.xxhash64("lines"))).checkpoint(eager=True)
+    distinct = (hashed.filter(F.size("lines") > 0).groupBy("host", "sequence").agg(
+        F.min(F.struct("path", "row_key", "lines", "sizes")).alias("page"), F.count("*").alias("copies"))
+        .select("host", "copies", "page.*"))
+    placed = ordinal_within(distinct, ["host"], ["path", "row_key"], "nth")
+    beside = placed.select("host", F.struct("path", "lines", "sizes").alias("page"), F.explode(F.array(
         F.struct((F.col("nth") + 1).alias("nth"), F.lit(0).alias("side")),
         F.struct((F.col("nth") - 1).alias("nth"), F.lit(1).alias("side")))).alias("to"))
     beside = beside.groupBy("host", F.col("to.nth").alias("nth")).agg(
-        F.min_by("page", "to.side").alias("one"), F.max_by("page", "to.side").alias("two"))
-    paired = placed.join(beside, ["host", "nth"]).select("row_key", "path", "lines", "free", "one", "two")
+        *[F.first(F.when(F.col("to.side") == i, F.col("page")), True).alias(name) for i, name in enumerate(("one", "two"))])
+    paired = placed.join(beside, ["host", "nth"]).filter("one IS NOT NULL OR two IS NOT NULL")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, gone = [], []
+            gone, unlike = [], []
             for row in batch.to_pylist():
-                others = [(p["path"], p["lines"]) for p in (row["one"], row["two"])]
-                found = template_positions(row["lines"], row["path"], others)
-                found = [i for i in found if row["free"][i]]
-                if found:
-                    keys.append(row["row_key"])
-                    gone.append(found)
+                gone.append(template_positions(row, [row["one"], row["two"]]))
+                unlike.append(template_positions(row, [row["two"]]) is not None)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["row_key", "gone"])
-
-    return paired.mapInArrow(compare, "row_key long, gone array<int>")
+                [*[batch.column(i) for i in range(4)], pa.array(gone, pa.list_(pa.int32())), pa.array(unlike, pa.bool_())],
+                names=["row_key", "copies", "host", "nth", "gone", "unlike_next"])
+
+    told = paired.select("row_key", "copies", "host", "nth", "path", "lines", "sizes", "one", "two").mapInArrow(
+        compare, "row_key long, copies long, host string, nth long, gone array<int>, unlike_next boolean").checkpoint(eager=True)
+    found = told.select("row_key", "copies", "gone").filter("gone IS NOT NULL")
+    if not told.filter("gone IS NULL").isEmpty():
+        found = found.unionByName(beyond_runs(placed, told))
+    found = found.filter(F.size("gone") > 0)
+    # a sequence that many pages repeat meets them in many tasks
+    repeated = (found.filter("copies > 1").join(hashed.select("row_key", "host", "sequence"), "row_key")
+                .select("host", "sequence", "gone", F.col("row_key").alias("own"),
+                        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+    copies = (hashed.select("row_key", "host", "sequence", F.pmod("row_key", F.lit(SALTS)).cast("int").alias("salt"))
+              .join(repeated, ["host", "sequence", "salt"]).filter("row_key != own"))
+    return found.select("row_key", "gone").unionByName(copies.select("row_key", "gone"))
 
 
 def main_text(lines: list[tuple[str, int]], gone: set[int]) -> str:
-    """The lines of the innermost part that the page has, without shared lines and without menus and the like."""
-    left = [(text, part) for i, (text, part) in enumerate(lines) if part != CHROME and i not in gone]
+    """The lines of the innermost part that the page has, without menus and the like and, outside MAIN and ARTICLE, shared lines."""
+    left = [(text, part) for i, (text, part) in enumerate(lines)
+            if part in (MAIN, ARTICLE) or (part == OTHER and i not in gone)]
     parts = {part for _, part in lines}
     wanted = ARTICLE if ARTICLE in parts else MAIN if MAIN in parts else OTHER
     return "\n".join(text for text, part in left if part == wanted)
@@ -265,7 +327,7 @@ def extract(pages: DataFrame) -> DataFrame:
     White space inside a block is one space, blocks are joined by a line feed
     in page order, character references are decoded. Null and empty html give
     an empty text; pages without article or main element give all lines that
-    are neither shared with the neighbour nor marked as menus and the like.
+    are neither shared with an unlike page beside them nor marked as menus and the like.
     Null urls are a host of their own; null page_ids stay null; repeated rows
     are extracted alike. An empty table gives no rows. Other columns are left
     out. Pages of any length are read whole.

@@ -47,6 +47,32 @@ def test_copies_of_an_article_keep_their_text(spark):
     assert {r["text"] for r in html_text.extract(pages(spark, given)).collect()} == {TEXT}
 
 
+DIVS = "<div><p>Menu</p><p>Login</p></div><div>{}</div><div><p>Imprint of the site</p></div>"
+
+
+def div_page(*lines):
+    return DIVS.format("".join(f"<p>{x}</p>" for x in lines))
+
+
+@pytest.mark.parametrize("run_part", [1024, 2])  # a run in one part, in several
+def test_copies_and_near_copies_without_article(spark, run_part, monkeypatch):
+    monkeypatch.setattr(html_text, "RUN_PART", run_part)
+    body = [f"paragraph {i} of the copied story" for i in range(6)]
+    story = "\n".join(body)
+    given = [(0, "http://c.org/a", div_page("before them", "all"))]
+    given += [(i, f"http://c.org/b/{i}", div_page(*body)) for i in range(1, 6)]  # exact copies
+    given += [(i, f"http://c.org/c/{i}", div_page(f"Date {i}", *body)) for i in range(6, 13)]  # near copies
+    given += [(13, "http://c.org/d", div_page("after them", "all the same")), (14, "http://c.org/z", div_page(*body))]
+    given += [(20 + i, f"http://o.org/{i}", div_page(f"Date {i}", *body)) for i in range(2)]  # nothing but near copies
+    given += [(30, "http://e.org/1", div_page(*body)), (31, "http://e.org/2", ""), (32, "http://e.org/3", div_page("other"))]
+    out = {r["page_id"]: r["text"] for r in html_text.extract(pages(spark, given)).collect()}
+    assert out[0] == "before them\nall" and out[13] == "after them\nall the same"
+    assert {out[i] for i in (1, 2, 3, 4, 5, 14)} == {story}
+    assert [out[i] for i in range(6, 13)] == [f"Date {i}\n{story}" for i in range(6, 13)]
+    assert all(out[20 + i] == f"Menu\nLogin\nDate {i}\n{story}\nImprint of the site" for i in range(2))
+    assert out[30] == story and out[31] == "" and out[32] == "other"
+
+
 def test_articles_of_the_driver_pages(spark):
     import html
     import re
