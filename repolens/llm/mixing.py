@@ -7,9 +7,11 @@
    ``cap`` times its source, the excess is shared out anew (water level).
 3. The corpus is ``total / block`` equal blocks. Sources get blocks by the
    highest quotients target / (2 k + 1), each source's blocks go to its shards
-   by the same rule on shard sizes: integer quotas per shard.
+   by the same rule on shard sizes: integer quotas per shard. A source smaller
+   than a block (or its target), or whose shards hold too few whole blocks for
+   its target, gets its target in words.
 4. In a shard, documents lie one after the other in a seeded order. A quota is
-   whole passes over the shard plus a run of blocks from a seeded block on;
+   whole passes over the shard plus a run of words from a seeded block on;
    what a document gives is plain arithmetic on its position.
 
 Only (doc_id, source, size) rows are shuffled. One row per source goes through
@@ -105,27 +107,33 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, blo
         .orderBy("no_src", "src").collect())
     sizes = [r["size"] for r in sources]
     targets = water_level(sizes, [weights[i % len(weights)] for i in range(len(sizes))], cap)
-    quota = sainte_lague(np.array(targets), sum(sizes) // block, np.array([r["most"] for r in sources], np.int64))
+    most = np.array([r["most"] for r in sources], np.int64)
+    # no whole block, or shards too small for enough of them: the target in words
+    small = np.array([n < block or t < block or (m + 1) * block <= t for n, t, m in zip(sizes, targets, most)], bool)
+    words = np.where(small, np.minimum(np.ceil(targets), cap * np.array(sizes, float)), 0).astype(np.int64)
+    quota = words + sainte_lague(np.where(small, 0.0, targets), max(0, sum(sizes) - int(words.sum())) // block, most)
     plan = pd.DataFrame({"src": pd.Series([r["src"] for r in sources], dtype=object),
                          "no_src": pd.Series([r["no_src"] for r in sources], dtype=bool),
                          "source_size": pd.Series(sizes, dtype="int64"), "target": pd.Series(targets, dtype=float),
-                         "blocks": pd.Series(quota, dtype="int64")})
+                         "units": pd.Series(quota, dtype="int64"),
+                         "unit": pd.Series(np.where(small, 1, block), dtype="int64")})
     plan = docs.sparkSession.createDataFrame(
-        plan, "src string, no_src boolean, source_size long, target double, blocks long")
+        plan, "src string, no_src boolean, source_size long, target double, units long, unit long")
 
     def to_shards(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("shard")
         size = p["shard_size"].to_numpy()
-        p["quota"] = sainte_lague(size, int(p["blocks"].iloc[0]), size * cap // block)
+        unit = int(p["unit"].iloc[0])
+        p["quota"] = unit * sainte_lague(size, int(p["units"].iloc[0]), size * cap // unit)
         return p
 
     planned = by_shard.join(plan, ["src", "no_src"]).groupBy("src", "no_src").applyInPandas(
         to_shards, "src string, no_src boolean, shard int, shard_size long, source_size long, target double, "
-                   "blocks long, quota long")
+                   "units long, unit long, quota long")
     before = (Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "_tie")
               .rowsBetween(Window.unboundedPreceding, -1))
     placed = sized.withColumn("a", F.coalesce(F.sum("size").over(before), F.lit(0))).join(planned, keys)
-    wanted, whole = F.col("quota") * block, F.greatest(F.col("shard_size"), F.lit(1))
+    wanted, whole = F.col("quota"), F.greatest(F.col("shard_size"), F.lit(1))
     placed = (placed.withColumn("passes", F.floor(wanted / whole)).withColumn("r", wanted - F.col("passes") * whole)
               .withColumn("o", F.pmod(F.xxhash64(*keys, F.lit(seed)),
                                       F.greatest(F.floor(whole / block), F.lit(1))) * block)

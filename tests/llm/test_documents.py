@@ -163,6 +163,29 @@ def test_mix(spark, shard_rows):
     assert mixing.mix(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("shard_rows", [4096, 2])
+def test_sources_without_a_whole_block_reach_their_target(spark, shard_rows):
+    def made(*sources):
+        return [(10 * i + j, text, "en", name, len(text)) for i, (name, *texts) in enumerate(sources) for j, text in enumerate(texts)]
+
+    for given_rows, want in (
+            (made(("a", "one two three"), ("b", prose(1, 5000))), {"a": 9}),
+            (made(("a", "one two", "", "three", "", ""), ("b", prose(1, 5000))), {"a": 9}),
+            (made(("a", *["one"] * 20), ("b", prose(1, 5000))), {"a": 60 if shard_rows == 2 else 48}),
+            (made(("a", "one two three")), {"a": 3}),
+            (made(("a", "one two three"), ("b", "four"), (None, "five six", "seven")), {"a": 2, "b": 3, None: 4})):
+        df = frame(spark, given_rows)
+        taken = collections.Counter()
+        for r in mixing.mix(df, shard_rows=shard_rows).collect():
+            assert 0 <= r["taken"] <= 3 * r["size"]
+            taken[r["source"]] += r["taken"]
+        assert {source: taken[source] for source in want} == want
+        words = collections.Counter()
+        for r in mixing.mixed_documents(df, shard_rows=shard_rows).collect():
+            words[r["source"]] += len(WORD.findall(r["text"]))
+        assert words == taken
+
+
 def test_mixed_documents_follow_the_mix(spark):
     for given_rows, df in both(spark):
         out = mixing.mixed_documents(df)
