@@ -1,4 +1,7 @@
-"""Removal of repeated byte strings by a distributed difference-cover suffix comparison.
+"""Removal of repeated byte strings by hashed candidate matching on a difference-cover sample.
+
+No suffix is ranked and no suffixes are merged: 64-bit names of hashed bytes
+decide (128-bit digests for hot names); the bytes themselves are not compared.
 
 A difference cover modulo v is a set of residues such that for any two
 positions i and j some shift d < v puts both i + d and j + d on residues of
@@ -7,15 +10,14 @@ the same ``length - v + 1`` bytes at two sampled positions.
 
 1. Sort the sample: blocks at sampled positions get 64-bit names, names are
    dealt by value and sorted; equal neighbours mark positions that may lie in
-   a repeat. Names that stand alone are done (as in the recursion of the
-   suffix sort, which goes on only with names that are not unique).
-2. Recurse on names: starts of which no sampled position within v has a
+   a repeat. Names that stand alone are done.
+2. Narrow the candidates: starts of which no sampled position within v has a
    repeated name cannot open a repeat. The remaining starts of a document are
    cut into runs that share their least inner block name, so equal strings
    meet under one name however they are placed.
-3. Merge the remaining suffixes: runs are dealt by that name; inside a task,
-   windows are named, sorted, and neighbours with equal prefixes of ``length``
-   bytes are repeats.
+3. Match the remaining windows: runs are dealt by that name; inside a task,
+   windows of ``length`` bytes are named, and windows with equal names are
+   repeats.
 4. Removed bytes are the union of the repeats, put together per document.
 
 Sampled names travel packed, a few thousand to a row; names met twice in one
