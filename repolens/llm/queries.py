@@ -7,8 +7,9 @@ from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from repolens.llm import html_text, line_dedup, mixing, packing, quality, simhash, suffix_dedup, token_counts, topk, toxicity
+from repolens.llm import html_text, line_dedup, merkle, mixing, packing, quality, simhash, suffix_dedup, token_counts, topk, toxicity
 from repolens.llm.shared import table
 from repolens.plans.session import ensure_checkpoint_dir
 
@@ -79,3 +80,12 @@ def op9_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         "doc_id", *quality.COUNTS, "base_failed", "kept", "score")
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    checked = merkle.verify_documents(table(spark, sf_dir, "documents"), changed, merkle.lower_ascii(F.col("text")))
+    siblings = F.concat_ws("", F.transform("proof", lambda p: F.concat(p["before"], p["after"])))
+    return checked.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"),
+                          "folded_root", "verified")
