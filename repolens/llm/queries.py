@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolens.llm import html_text, line_dedup, merkle, mixing, packing, quality, simhash, suffix_dedup, token_counts, topk, toxicity
+from repolens.llm import html_text, line_dedup, merkle, mixing, packing, quality, simhash, suffix_dedup, token_align, token_counts, topk, toxicity
 from repolens.llm.shared import table
 from repolens.plans.session import ensure_checkpoint_dir
 
@@ -89,3 +89,9 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     siblings = F.concat_ws("", F.transform("proof", lambda p: F.concat(p["before"], p["after"])))
     return checked.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"),
                           "folded_root", "verified")
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                             public_tokenizers.path("piece_bpe_32k.model"))
