@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ from repolens.llm.token_counts import byte_symbols
 CHUNK = 16 << 20
 #: Bytes of text that are tokenized at a time.
 STEP = 2 << 20
+#: Tokens of remembered parts of texts.
+REMEMBERED = 2_000_000
 #: Groups with more links than this are reduced to distinct ids before their pairs are formed.
 WIDE = 256
 
@@ -83,7 +86,7 @@ class PieceTokens:
         coder = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.bytes = [bytes([int(p[3:5], 16)]) if coder.is_byte(i) else p.replace("▁", " ").encode()
                       for i, p in ((i, coder.id_to_piece(i)) for i in range(coder.get_piece_size()))]
-        self.encode = lambda text: coder.encode(text, num_threads=1)
+        self.encode = lambda many: coder.encode(many, num_threads=1)
 
 
 def shared_groups(ends_a: np.ndarray, ends_b: np.ndarray, tokens_a: np.ndarray, tokens_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,40 +135,69 @@ def shared_groups(ends_a: np.ndarray, ends_b: np.ndarray, tokens_a: np.ndarray,
 
 
 class Aligner:
-    """Tokens of both sides, their groups and the links of a list of texts."""
+    """Tokens of both sides, their groups and the links of a list of texts.
+
+    A text is cut at each space inside it that follows no white space; neither side
+    has a token across such a cut, so parts are encoded on their own and
+    remembered (up to ``REMEMBERED`` tokens, then the memory is emptied).
+    """
 
     def __init__(self, a: ByteTokens, b: PieceTokens):
+        if any(" " in x.lstrip(b" ").decode("utf-8", "replace") for x in b.bytes):
+            raise ValueError("the piece model has pieces across spaces")
         self.a, self.b = a, b
         self.size_a = np.array([len(x) for x in a.bytes], np.int64)
         self.size_b = np.array([len(x) for x in b.bytes], np.int64)
         self.names_a = [f"{i}{end}".encode() for i in range(len(a.bytes)) for end in ",|"]
         self.names_b = [f"{i}{end}".encode() for i in range(len(b.bytes)) for end in ",;"]
-
-    def tokens(self, text: str) -> tuple[list[int], list[int]]:
-        """Ids of both sides; none where either does not give the text back."""
-        raw = b" " + text.encode("utf-8", "replace")
-        if len(raw) == 1:
-            return [], []
-        try:
-            ids_a, ids_b = self.a.encode(" " + text), self.b.encode(text)
-        except UnicodeEncodeError:  # lone surrogates have no bytes
-            return [], []
-        if b"".join(map(self.a.bytes.__getitem__, ids_a)) != raw or b"".join(map(self.b.bytes.__getitem__, ids_b)) != raw:
-            return [], []
-        return ids_a, ids_b
+        self.cut = re.compile(r"(?<=\S) (?=.)", re.DOTALL).split
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.good = np.zeros(0, bool)
+        self.pools = [(np.zeros(0, np.int64), np.zeros(1, np.int64)) for _ in "ab"]
+
+    def learn(self, parts: list[str]) -> None:
+        """Tokens of new parts; a part that either side does not give back is marked."""
+        ids = [self.a.encode(" " + p) for p in parts], self.b.encode(parts)
+        good = [b"".join(map(self.a.bytes.__getitem__, x)) == b"".join(map(self.b.bytes.__getitem__, y)) == b" " + p.encode()
+                for p, x, y in zip(parts, *ids)]
+        self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts))))
+        self.good = np.append(self.good, good)
+        for side, many in enumerate(ids):
+            pool, ends = self.pools[side]
+            sizes = np.cumsum(np.fromiter(map(len, many), np.int64, len(many)))
+            self.pools[side] = (np.append(pool, np.fromiter((i for x in many for i in x), np.int64, int(sizes[-1]))),
+                                np.append(ends, ends[-1] + sizes))
 
     def align(self, many: list[str]) -> dict:
-        """Flat ids, tokens per text, and first tokens of the groups."""
-        both = [self.tokens(t) for t in many]
-        n_a, n_b = (np.fromiter((len(x[side]) for x in both), np.int64, len(both)) for side in (0, 1))
-        ids_a, ids_b = (np.fromiter((i for x in both for i in x[side]), np.int64, int(n.sum()))
-                        for side, n in ((0, n_a), (1, n_b)))
+        """Flat ids, tokens per text (none where either side does not give it back), and first tokens of the groups."""
+        parts = [self.cut(t) if t else [] for t in many]
+        if len(self.pools[0][0]) > REMEMBERED:
+            self.forget()
+        fresh = list({p for x in parts for p in x if p not in self.known})
+        if fresh:
+            self.learn(fresh)
+        n = np.fromiter(map(len, parts), np.int64, len(parts))
+        part = np.fromiter(map(self.known.__getitem__, (p for x in parts for p in x)), np.int64, int(n.sum()))
+        text = np.repeat(np.arange(len(parts)), n)
+        whole = np.bincount(text[~self.good[part]], minlength=len(parts)) == 0
+        part, text = part[whole[text]], text[whole[text]]
+        (ids_a, n_a), (ids_b, n_b) = (self.gathered(side, part, text, len(parts)) for side in (0, 1))
         some = n_a > 0
         start_a, start_b = shared_groups(np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b]), n_a[some], n_b[some])
         ends = np.cumsum(n_a)
         n_groups = np.searchsorted(start_a, ends) - np.searchsorted(start_a, ends - n_a)
         return {"ids_a": ids_a, "ids_b": ids_b, "n_a": n_a, "n_b": n_b, "start_a": start_a, "start_b": start_b, "n_groups": n_groups}
 
+    def gathered(self, side: int, part: np.ndarray, text: np.ndarray, texts_: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts, laid end to end, and their number per text."""
+        pool, ends = self.pools[side]
+        size = ends[part + 1] - ends[part]
+        at = np.arange(int(size.sum())) + np.repeat(ends[part] - (np.cumsum(size) - size), size)
+        return pool[at], np.bincount(text, weights=size, minlength=texts_).astype(np.int64)
+
     def shown(self, x: dict) -> list[bytes]:
         """The groups of each text: ``a1,a2|b1;a3|b2,b3``."""
         ids_a, ids_b = x["ids_a"], x["ids_b"]
