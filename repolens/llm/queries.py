@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolens.llm import html_text, line_dedup, merkle, mixing, packing, quality, simhash, suffix_dedup, token_align, token_counts, topk, toxicity
+from repolens.llm import html_text, line_dedup, merkle, mixing, packing, quality, simhash, substring_dedup, suffix_dedup, token_align, token_counts, topk, toxicity
 from repolens.llm.shared import table
 from repolens.plans.session import ensure_checkpoint_dir
 
@@ -91,6 +91,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
                           "folded_root", "verified")
 
 
+@query
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.drop_copied_windows(table(spark, sf_dir, "documents"), length=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),

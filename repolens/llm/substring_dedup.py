@@ -323,17 +323,13 @@ def drop_copied_windows(docs: DataFrame, length: int = 50) -> DataFrame:
     plan = Plan(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0, length)
     chunks = (source.mapInArrow(_packed, "chunk long, ids array<long>, data binary")
               .repartition(-(-plan.width // CHUNK), "chunk").checkpoint(eager=True))
-    sketches = chunks.groupBy("chunk").applyInArrow(plan.sketch, "block long, chunk long, data binary")
+    sketches = chunks.groupBy("chunk").applyInArrow(lambda chunk: plan.sketch(chunk), "block long, chunk long, data binary")
     answers = "chunk long, kind int, number long, data binary"
-    repeated = sketches.groupBy("block").applyInArrow(plan.merge, answers).withColumnRenamed("chunk", "of").checkpoint(eager=True)
+    repeated = sketches.groupBy("block").applyInArrow(lambda part: plan.merge(part), answers).withColumnRenamed("chunk", "of").checkpoint(eager=True)
     offers = chunks.groupBy("chunk").cogroup(repeated.groupBy("of")).applyInArrow(
-        lambda chunk, said: plan.offer(chunk, said) if chunk.num_rows else _none(),
+        lambda chunk, said: plan.offer(chunk, said),
         "range long, chunk long, names binary, owners array<long>, times array<int>")
-    matched = offers.groupBy("range").applyInArrow(plan.match, answers).withColumnRenamed("chunk", "of")
+    matched = offers.groupBy("range").applyInArrow(lambda part: plan.match(part), answers).withColumnRenamed("chunk", "of")
     return chunks.groupBy("chunk").cogroup(repeated.unionByName(matched).groupBy("of")).applyInArrow(
-        plan.remove, "doc_id long, n_words long, n_removed long, text string")
+        lambda chunk, said: plan.remove(chunk, said), "doc_id long, n_words long, n_removed long, text string")
 
-
-def _none() -> pa.Table:
-    return pa.table({c: pa.array([], t) for c, t in (("range", pa.int64()), ("chunk", pa.int64()), ("names", pa.binary()),
-                                                     ("owners", pa.list_(pa.int64())), ("times", pa.list_(pa.int32())))})
