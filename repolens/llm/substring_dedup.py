@@ -1,8 +1,7 @@
 """Removal of word windows that also start in an earlier document, behind a distributed count-min prefilter.
 
 1. Documents are packed once into chunks (words joined by one space,
-   compressed), dealt by chunk and checkpointed, so later passes meet a chunk
-   without moving its text.
+   compressed) and checkpointed, so that all passes see the same chunks.
 2. Every chunk sketches its windows: ``ROWS`` hash rows, whose width is the
    number of text bytes, so the load of a cell is the same at every size. A
    partition sketch is stored as the sorted cells it touches, cut into blocks
@@ -322,10 +321,16 @@ def drop_copied_windows(docs: DataFrame, length: int = 50) -> DataFrame:
     source = picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     plan = Plan(source.agg(F.sum(F.octet_length("text"))).first()[0] or 0, length)
     chunks = (source.mapInArrow(_packed, "chunk long, ids array<long>, data binary")
-              .repartition(-(-plan.width // CHUNK), "chunk").checkpoint(eager=True))
-    sketches = chunks.groupBy("chunk").applyInArrow(lambda chunk: plan.sketch(chunk), "block long, chunk long, data binary")
+              .checkpoint(eager=True))
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from plan.sketch(pa.Table.from_batches([batch.slice(i, 1)])).to_batches()
+
+    cells = chunks.mapInArrow(sketches, "block long, chunk long, data binary")
     answers = "chunk long, kind int, number long, data binary"
-    repeated = sketches.groupBy("block").applyInArrow(lambda part: plan.merge(part), answers).withColumnRenamed("chunk", "of").checkpoint(eager=True)
+    repeated = cells.groupBy("block").applyInArrow(lambda part: plan.merge(part), answers).withColumnRenamed("chunk", "of").checkpoint(eager=True)
     offers = chunks.groupBy("chunk").cogroup(repeated.groupBy("of")).applyInArrow(
         lambda chunk, said: plan.offer(chunk, said),
         "range long, chunk long, names binary, owners array<long>, times array<int>")
