@@ -24,7 +24,7 @@ from repolens.llm.shared import WORD, text_or_empty
 HOT_LINES = 10_000
 
 
-def drop_spread_lines(docs: DataFrame, site: str = "source", min_sites: int = 10, min_words: int = 5,
+def drop_spread_lines(docs: DataFrame, site: str = "source", min_sites: int = 10, min_words: int = 1,
                       margin: float = 0.5, lg_k: int = 12) -> DataFrame:
     """The rows and columns of ``docs`` with ``text`` cleaned, and n_lines, n_removed.
 
@@ -82,7 +82,7 @@ def drop_spread_lines(docs: DataFrame, site: str = "source", min_sites: int = 10
 ORACLE = """
 WITH split AS (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents),
 lines AS (SELECT doc_id, source, unnest(l) AS line, unnest(range(len(l))) AS pos FROM split),
-counted AS (SELECT *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= 5 AS long_enough FROM lines),
+counted AS (SELECT *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) >= 1 AS long_enough FROM lines),
 boiler AS (SELECT line, min(struct_pack(d := doc_id, p := pos)) AS first FROM counted WHERE long_enough
   GROUP BY line HAVING count(DISTINCT source) >= 10),
 marked AS (SELECT c.*, c.long_enough AND b.line IS NOT NULL AND NOT (c.doc_id = b.first.d AND c.pos = b.first.p) AS gone

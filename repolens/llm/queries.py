@@ -67,7 +67,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.drop_spread_lines(table(spark, sf_dir, "documents"), min_sites=10, min_words=5).select(
+    return line_dedup.drop_spread_lines(table(spark, sf_dir, "documents"), min_sites=10, min_words=1).select(
         "doc_id", "text", "n_lines", "n_removed")
 
 
