@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand on ten sites or more (the first place keeps them)."""
     ensure_checkpoint_dir(spark)
-    return line_dedup.drop_spread_lines(docs, min_sites=10, min_words=5).select(*docs.columns)
+    return line_dedup.drop_spread_lines(docs, min_sites=10, min_words=1).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
