@@ -56,6 +56,18 @@ SELECT CASE WHEN l_linestatus = 'O' THEN 'good' ELSE 'bad' END AS side,
   l_orderkey * 8 + l_linenumber AS line_no,
   'lib-' || CAST(l_partkey % 300 AS STRING) || '==' || CAST(CAST(l_quantity AS INT) % 4 AS STRING) AS line
 FROM {lineitem}""",
+    "run_dumps": """
+SELECT 'good' AS side, path, no AS line_no, line FROM (SELECT DISTINCT 'env_' || CAST(l_suppkey % 10 AS STRING) || '_linux_3.12_unit.txt' AS path,
+    l_orderkey * 8 + l_linenumber AS no,
+    CASE WHEN l_linenumber = 7 THEN '' ELSE 'lib-' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) END AS line
+  FROM {lineitem}) g
+UNION ALL
+SELECT 'bad' AS side, path, CASE WHEN CAST(FLOOR(o / 64) AS BIGINT) % 11 = 0 THEN no + 1000000000000 ELSE no END AS line_no,
+  CASE WHEN o % 13 = 0 THEN line || '+1' ELSE line END AS line
+FROM (SELECT DISTINCT 'env_' || CAST(l_suppkey % 10 AS STRING) || '_linux_3.12_unit.txt' AS path, l_orderkey * 8 + l_linenumber AS no, l_orderkey AS o,
+    CASE WHEN l_linenumber = 7 THEN '' ELSE 'lib-' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) END AS line
+  FROM {lineitem}) b
+WHERE o % 17 <> 0""",
     "lock_packages": """
 SELECT side, env, arch, 'https://x.org/' || arch || '/' || pkg || '-' || CAST(ver AS STRING) || '.0-py_0.conda' AS url
 FROM (SELECT CASE WHEN l_linestatus = 'O' THEN 'good' ELSE 'bad' END AS side,

@@ -243,6 +243,42 @@ def q_line_diff(spark, sf_dir):
     return DF.line_diff(lines)
 
 
+from repolens.operators import edits as ED  # noqa: E402
+from repolens.operators.ordinal import ordinal_within  # noqa: E402
+
+
+@register("line_edits", "Q14", oracle_with(["run_dumps"], """
+, numbered AS (SELECT side, path, ROW_NUMBER() OVER (PARTITION BY side, path ORDER BY line_no) AS position, line_no, line FROM run_dumps)
+SELECT side, path, position, line_no, line FROM numbered""".replace("\n, numbered", ", numbered", 1)))
+def q_line_edits(spark, sf_dir):
+    """Both files read back from the edit script, in its order."""
+    (lines,) = fx(spark, sf_dir, "run_dumps")
+    script = ED.edit_script(lines).checkpoint(eager=True)
+    sides = [script.filter(F.col("status") != other).select(F.lit(side).alias("side"), "path", "seq", F.col(f"{side}_no").alias("line_no"), "line")
+             for side, other in (("good", "removed"), ("bad", "added"))]
+    both = ordinal_within(sides[0].unionByName(sides[1]), ["side", "path"], ["seq"], "position")
+    return both.select("side", "path", "position", "line_no", "line")
+
+
+@register("line_anchors", "Q14", oracle_with(["run_dumps"], """
+, once AS (SELECT path, line, MAX(CASE WHEN side = 'good' THEN line_no END) AS g, MAX(CASE WHEN side = 'bad' THEN line_no END) AS b
+  FROM run_dumps GROUP BY path, line HAVING COUNT(*) = 2 AND COUNT(DISTINCT side) = 2),
+walked AS (SELECT path, SUM(CASE WHEN b = g THEN 1 ELSE 0 END) OVER w AS stayed, SUM(CASE WHEN b > g THEN 1 ELSE 0 END) OVER w AS moved,
+    SUM(CASE WHEN b > g THEN 1 ELSE 0 END) OVER (PARTITION BY path) AS all_moved FROM once WINDOW w AS (PARTITION BY path ORDER BY g))
+SELECT path, COUNT(*) AS anchors, CAST(MAX(GREATEST(stayed + all_moved - moved, all_moved)) AS BIGINT) AS kept,
+  CAST(MAX(all_moved) AS BIGINT) AS moved_blocks
+FROM walked GROUP BY path""".replace("\n, once", ", once", 1)))
+def q_line_anchors(spark, sf_dir):
+    """Lines that stand once on each side, and how many of them the script keeps (blocks of the bad side were moved to its end)."""
+    (lines,) = fx(spark, sf_dir, "run_dumps")
+    script = ED.edit_script(lines).checkpoint(eager=True)
+    per_line = script.groupBy("path", "line").agg(
+        F.count("good_no").alias("g"), F.count("bad_no").alias("b"), F.count_if(F.col("status") == "kept").alias("kept"),
+        (F.max("bad_no") > F.max("good_no")).alias("later"))
+    return per_line.filter("g = 1 AND b = 1").groupBy("path").agg(
+        F.count("*").alias("anchors"), F.sum("kept").alias("kept"), F.count_if("later").alias("moved_blocks"))
+
+
 @register("package_diff", "Q15 V12", oracle_with(["lock_packages"], """
 , files AS (SELECT DISTINCT side, env, arch, regexp_extract(url, '[^/]*$') AS file FROM lock_packages),
 g0 AS (SELECT * FROM files WHERE side = 'good' AND env LIKE 'test%'),
