@@ -61,6 +61,29 @@ def land_runs(runs: DataFrame) -> str:
     return _write(pages.select("total_count", "workflow_runs"), "workflow_runs")
 
 
+def land_damaged_runs(runs: DataFrame, page_size: int = 30) -> str:
+    """S3 pages as files ``repo=<repo>/page=<n>/``, some cut in half and some never written.
+
+    Each page reports the number of runs of its repository. With d = (7 * page +
+    length of the repository's name) modulo 5, a page is cut where d is 1 and
+    missing where d is 2.
+    """
+    from repolens.operators.ordinal import ordinal_within
+
+    ranked = ordinal_within(runs.select("repo", "run_number", "status"), ["repo"], ["run_number", "status"], name="_rank")
+    total = ranked.groupBy("repo").agg(F.count("*").alias("total_count"))
+    run = F.struct("run_number", "status", F.struct(F.col("repo").alias("name")).alias("repository"))
+    pages = ranked.withColumn("page", F.floor((F.col("_rank") - 1) / page_size)).groupBy("repo", "page").agg(
+        F.collect_list(run).alias("workflow_runs")).join(total, "repo")
+    damage = (F.col("page") * 7 + F.length("repo")) % 5
+    text = F.to_json(F.struct("total_count", "workflow_runs"))
+    path = landing_folder(runs.sparkSession, "damaged_runs")
+    pages.filter(damage != 2).select("repo", "page", text.alias("text")).select("repo", "page", F.when(
+        damage == 1, F.expr("substring(text, 1, length(text) div 2)")).otherwise(F.col("text")).alias("value")).write.partitionBy(
+        "repo", "page").text(path)
+    return path
+
+
 def land_artifacts(artifacts: DataFrame) -> str:
     """S4 shape: ``{run_number, artifacts: [...]}`` in list order, 100 artifacts per page."""
     docs = artifacts.withColumn("page", _page(100, F.col("position"))).groupBy("run_number", "page").agg(

@@ -853,6 +853,7 @@ def q_run_history(spark, sf_dir):
 # ====================================================================== readers over landed pages
 
 from repolens.plans import landing as LD  # noqa: E402
+from repolens.sources import landed as LP  # noqa: E402
 from repolens.sources import readers as RD  # noqa: E402
 
 
@@ -874,6 +875,36 @@ def q_landed_runs(spark, sf_dir):
                       ts_text("run_started_at").alias("run_started_at"), "actor")
 
 
+_DAMAGED_SQL = """
+ranked AS (SELECT repo, run_number, ROW_NUMBER() OVER (PARTITION BY repo ORDER BY run_number, status) - 1 AS r FROM workflow_runs),
+paged AS (SELECT repo, run_number, CAST(FLOOR(r / 30) AS BIGINT) AS page FROM ranked),
+pages AS (SELECT repo, page, COUNT(*) AS n, CASE (page * 7 + length(repo)) % 5 WHEN 1 THEN 'unparsed' WHEN 2 THEN 'missing' ELSE 'ok' END AS status
+  FROM paged GROUP BY repo, page)"""
+
+
+@register("landed_page_status", "S3", oracle_with(["workflow_runs"], "," + _DAMAGED_SQL + """,
+present AS (SELECT repo, MAX(page) AS last FROM pages WHERE status <> 'missing' GROUP BY repo)
+SELECT p.repo, p.page, p.status, CASE WHEN p.status = 'ok' THEN p.n ELSE 0 END AS rows
+FROM pages p JOIN present l ON p.repo = l.repo AND p.page <= l.last
+UNION ALL
+SELECT repo, NULL AS page, 'short' AS status, CAST(SUM(n) - SUM(CASE WHEN status = 'ok' THEN n ELSE 0 END) AS BIGINT) AS rows
+FROM pages GROUP BY repo HAVING SUM(CASE WHEN status = 'ok' THEN 1 ELSE 0 END) > 0 AND SUM(CASE WHEN status = 'ok' THEN 0 ELSE 1 END) > 0"""))
+def q_landed_page_status(spark, sf_dir):
+    """Cut, missing and whole pages of run lists, and the lists whose pages hold fewer runs than they report."""
+    (runs,) = fx(spark, sf_dir, "workflow_runs")
+    status = LP.page_status(spark, LD.land_damaged_runs(runs), RD.RUNS_SCHEMA, "workflow_runs", listing="/repo=([^/]+)/",
+                            page=r"/page=(\d+)/", total="total_count")
+    return status.select(F.col("listing").alias("repo"), "page", "status", "rows")
+
+
+@register("landed_whole_pages", "S3", oracle_with(["workflow_runs"], "," + _DAMAGED_SQL + """
+SELECT r.repo, r.run_number FROM paged r JOIN pages p ON r.repo = p.repo AND r.page = p.page WHERE p.status = 'ok'"""))
+def q_landed_whole_pages(spark, sf_dir):
+    """The runs of all whole pages."""
+    (runs,) = fx(spark, sf_dir, "workflow_runs")
+    return RD.read_runs(spark, LD.land_damaged_runs(runs), bad_pages="skip").select("repo", "run_number")
+
+
 @register("landed_artifacts", "S4", oracle_with(["artifacts"], """
 SELECT run_number, name, archive_download_url,
   CAST(ROW_NUMBER() OVER (PARTITION BY run_number ORDER BY position, name, archive_download_url) - 1 AS BIGINT) AS position

@@ -2,7 +2,10 @@
 
 Every reader takes an explicit schema (no inference pass over the data), and
 returns flat rows with the repository / run / package as key columns, so one
-scan covers many repositories. Paths may be folders or globs.
+scan covers many repositories. Paths may be folders or globs. A landed page
+that does not parse or lacks its payload ends the job with its file name;
+``bad_pages="skip"`` leaves such pages out, and ``landed.page_status`` lists
+them, together with pages that are missing.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from repolens.sources.landed import load_pages
 
 S = T.StringType()
 L = T.LongType()
@@ -37,22 +41,6 @@ def utc_ntz(c) -> "F.Column":
     return F.when(c.isNull(), F.lit(None).cast("timestamp_ntz")).when(utc, plain).otherwise(other)
 
 
-def _file(df: DataFrame) -> DataFrame:
-    return df.withColumn("source_file", F.col("_metadata.file_path"))
-
-
-def _json(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
-    """One payload per file as downloaded (``multi_line``), or JSON Lines (one payload per line)."""
-    return _file(spark.read.schema(schema).option("multiLine", multi_line).json(path))
-
-
-def _whole_json(spark: SparkSession, path: str, schema: T.DataType) -> DataFrame:
-    """A file whose top level is a JSON array, kept in order (from_json + posexplode)."""
-    text = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("source_file"), "value")
-    return text.select("source_file", F.from_json("value", schema).alias("doc"))
-
-
 # ---------------------------------------------------------------- S1, S2
 
 
@@ -62,18 +50,22 @@ PR_SCHEMA = T.StructType([
         T.StructField("nodes", T.ArrayType(T.StructType([
             T.StructField("number", L), T.StructField("title", S),
             T.StructField("author", T.StructType([T.StructField("login", S)])),
-            T.StructField("mergedAt", S)])))]))])),
+            T.StructField("mergedAt", S)]))),
+        T.StructField("pageInfo", T.StructType([T.StructField("hasNextPage", B), T.StructField("endCursor", S)]))]))])),
 ])
 
 
-def read_pull_requests(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_pull_requests(spark: SparkSession, path: str, multi_line: bool = True, repo_pattern: str | None = None,
+                       bad_pages: str = "raise") -> DataFrame:
     """Merged changes from landed search pages (all pages are one scan).
 
     Output ``repo, number, title, author, merged_at``; a missing author reads
-    ``unknown``.
+    ``unknown``. Served payloads do not name the repository: ``repo_pattern``
+    (first group) reads it from the file path where the page has none.
     """
-    df = _json(spark, path, PR_SCHEMA, multi_line)
-    nodes = df.select("repo", F.explode("data.search.nodes").alias("n"))
+    df = load_pages(spark, path, PR_SCHEMA, "data.search.nodes", multi_line, bad_pages)
+    of_path = F.regexp_extract("source_file", repo_pattern, 1) if repo_pattern else F.lit(None).cast("string")
+    nodes = df.select(F.coalesce("repo", of_path).alias("repo"), F.explode("data.search.nodes").alias("n"))
     return nodes.select("repo", F.col("n.number").alias("number"), F.col("n.title").alias("title"),
                         F.coalesce("n.author.login", F.lit("unknown")).alias("author"),
                         utc_ntz("n.mergedAt").alias("merged_at"))
@@ -84,7 +76,7 @@ RELEASE_ITEM = T.StructType([T.StructField("tag_name", S), T.StructField("prerel
 
 
 def read_releases(spark: SparkSession, path: str, repo_pattern: str = r"([^/]+)\.json$",
-                  page_pattern: str | None = None, page_size: int = 100) -> DataFrame:
+                  page_pattern: str | None = None, page_size: int = 100, bad_pages: str = "raise") -> DataFrame:
     """Releases per repository, ``api_order`` 0 = newest, ``prerelease`` kept.
 
     Each landed file is one API page (a JSON array); the repository comes from
@@ -92,7 +84,7 @@ def read_releases(spark: SparkSession, path: str, repo_pattern: str = r"([^/]+)\
     page number (from 0) is read from the path too, and ``api_order`` runs on
     across pages of ``page_size``.
     """
-    docs = _whole_json(spark, path, T.ArrayType(RELEASE_ITEM))
+    docs = load_pages(spark, path, T.ArrayType(RELEASE_ITEM), "tag_name", bad_pages=bad_pages)
     page = F.regexp_extract("source_file", page_pattern, 1).cast("bigint") if page_pattern else F.lit(0).cast("bigint")
     rows = docs.select(F.regexp_extract("source_file", repo_pattern, 1).alias("repo"), page.alias("page"),
                        F.posexplode("doc").alias("pos", "r"))
@@ -116,9 +108,9 @@ RUNS_SCHEMA = T.StructType([T.StructField("total_count", L),
                             T.StructField("workflow_runs", T.ArrayType(RUN_ITEM))])
 
 
-def read_runs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """S3: workflow runs of many repositories; repo from the payload."""
-    df = _json(spark, path, RUNS_SCHEMA, multi_line)
+def read_runs(spark: SparkSession, path: str, multi_line: bool = True, bad_pages: str = "raise") -> DataFrame:
+    """S3: workflow runs of many repositories; repository and workflow file from the payload."""
+    df = load_pages(spark, path, RUNS_SCHEMA, "workflow_runs", multi_line, bad_pages)
     r = df.select(F.explode("workflow_runs").alias("r"))
     return r.select(
         F.col("r.repository.name").alias("repo"), F.col("r.run_number").alias("run_number"),
@@ -126,7 +118,8 @@ def read_runs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFr
         F.col("r.display_title").alias("display_title"), F.col("r.status").alias("status"),
         F.col("r.conclusion").alias("conclusion"), utc_ntz("r.created_at").alias("created_at"),
         utc_ntz("r.run_started_at").alias("run_started_at"), F.col("r.url").alias("url"),
-        F.col("r.triggering_actor.login").alias("actor"))
+        F.col("r.triggering_actor.login").alias("actor"),
+        F.regexp_extract("r.path", r"([^/@]+)(@.*)?$", 1).alias("workflow_file"))
 
 
 ARTIFACTS_SCHEMA = T.StructType([
@@ -136,15 +129,15 @@ ARTIFACTS_SCHEMA = T.StructType([
 
 
 def read_artifacts(spark: SparkSession, path: str, multi_line: bool = True, run_pattern: str | None = None,
-                   page_pattern: str | None = None, page_size: int = 100) -> DataFrame:
+                   page_pattern: str | None = None, page_size: int = 100, bad_pages: str = "raise") -> DataFrame:
     """Artifact lists of runs, with their position in the list.
 
     Served payloads name neither run nor page: ``run_pattern`` and
     ``page_pattern`` (first group) read them from the file path, and positions
     run on across pages (from 0) of ``page_size``.
     """
-    df = _json(spark, path, ARTIFACTS_SCHEMA, multi_line)
-    file = F.col("_metadata.file_path")
+    df = load_pages(spark, path, ARTIFACTS_SCHEMA, "artifacts", multi_line, bad_pages)
+    file = F.col("source_file")
     run = F.regexp_extract(file, run_pattern, 1).try_cast("bigint") if run_pattern else F.lit(None).cast("bigint")
     page = F.regexp_extract(file, page_pattern, 1).cast("bigint") if page_pattern else F.lit(0).cast("bigint")
     a = df.select(F.coalesce("run_number", run).alias("run_number"), page.alias("page"),
@@ -285,9 +278,9 @@ INDEX_SCHEMA = T.StructType([
         T.StructField("requires-python", S), T.StructField("yanked", S)])))])
 
 
-def read_index_files(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_index_files(spark: SparkSession, path: str, multi_line: bool = True, bad_pages: str = "raise") -> DataFrame:
     """Package index file lists -> ``package, filename, requires_python, upload_time``."""
-    df = _json(spark, path, INDEX_SCHEMA, multi_line)
+    df = load_pages(spark, path, INDEX_SCHEMA, "files", multi_line, bad_pages)
     f = df.select(F.col("name").alias("package"), F.explode("files").alias("f"))
     return f.select("package", F.col("f.filename").alias("filename"),
                     F.col("f.`requires-python`").alias("requires_python"),
@@ -303,26 +296,26 @@ PROJECT_SCHEMA = T.StructType([
     T.StructField("feature", T.MapType(S, T.StructType([T.StructField("dependencies", T.MapType(S, S))])))])
 
 
-def read_requirements(spark: SparkSession, path: str, kind: str = "index", multi_line: bool = True) -> DataFrame:
+def read_requirements(spark: SparkSession, path: str, kind: str = "index", multi_line: bool = True, bad_pages: str = "raise") -> DataFrame:
     """Dependency declarations -> ``main_package, requirement``.
 
     ``index``: package metadata (``info.requires_dist``). ``project``: project
     files landed as JSON: top-level and per-feature dependency keys.
     """
     if kind == "index":
-        df = _json(spark, path, META_SCHEMA, multi_line)
+        df = load_pages(spark, path, META_SCHEMA, "info", multi_line, bad_pages)
         return df.select(F.col("info.name").alias("main_package"),
                          F.explode("info.requires_dist").alias("requirement"))
-    df = _json(spark, path, PROJECT_SCHEMA, multi_line)
+    df = load_pages(spark, path, PROJECT_SCHEMA, "name", multi_line, bad_pages)
     top = df.select(F.col("name").alias("main_package"), F.explode(F.map_keys("dependencies")).alias("requirement"))
     feat = df.select(F.col("name").alias("main_package"), F.explode("feature").alias("feature", "f")) \
         .select("main_package", F.explode(F.map_keys("f.dependencies")).alias("requirement"))
     return top.unionByName(feat).distinct()
 
 
-def read_project_features(spark: SparkSession, path: str) -> DataFrame:
+def read_project_features(spark: SparkSession, path: str, bad_pages: str = "raise") -> DataFrame:
     """Feature names of project files (``py3NN`` keys feed V23)."""
-    df = _json(spark, path, PROJECT_SCHEMA)
+    df = load_pages(spark, path, PROJECT_SCHEMA, "name", True, bad_pages)
     return df.select(F.col("name").alias("main_package"), F.explode(F.map_keys("feature")).alias("feature"))
 
 
@@ -436,7 +429,7 @@ FORUM_SCHEMA = T.StructType([
         T.StructField("id", L), T.StructField("cooked", S)])))]))])
 
 
-def read_pages(spark: SparkSession, path: str, kind: str = "issue") -> DataFrame:
+def read_pages(spark: SparkSession, path: str, kind: str = "issue", bad_pages: str = "raise") -> DataFrame:
     """Issue pages (``url, html`` as parquet) or forum threads (JSON, one row per post).
 
     ``post`` orders the posts of a thread over all its pages: the post's id, or
@@ -444,7 +437,7 @@ def read_pages(spark: SparkSession, path: str, kind: str = "issue") -> DataFrame
     """
     if kind == "issue":
         return spark.read.parquet(path).select("url", "html")
-    df = _json(spark, path, FORUM_SCHEMA)
+    df = load_pages(spark, path, FORUM_SCHEMA, "post_stream.posts", True, bad_pages)
     posts = df.select(F.col("id").alias("number"), "title", F.posexplode("post_stream.posts").alias("post", "p"))
     return posts.select(F.concat(F.lit("thread/"), F.col("number").cast("string")).alias("url"),
                         "title", "number", F.coalesce("p.id", F.col("post").cast("bigint")).alias("post"),
@@ -455,9 +448,9 @@ VERSIONS_SCHEMA = T.StructType([T.StructField("result", T.StructType([T.StructFi
     T.StructType([T.StructField("name", S), T.StructField("version", S)])))]))])
 
 
-def read_versions(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_versions(spark: SparkSession, path: str, multi_line: bool = True, bad_pages: str = "raise") -> DataFrame:
     """Distinct ``package, version`` of a package catalogue."""
-    df = _json(spark, path, VERSIONS_SCHEMA, multi_line)
+    df = load_pages(spark, path, VERSIONS_SCHEMA, "result.pkgs", multi_line, bad_pages)
     return df.select(F.explode("result.pkgs").alias("p")).select(
         F.col("p.name").alias("package"), F.col("p.version").alias("version")).distinct()
 
@@ -467,9 +460,9 @@ MANIFEST_SCHEMA = T.StructType([T.StructField("milestones", T.MapType(S, T.Struc
         T.StructField("platform", S), T.StructField("url", S)]))))])))])
 
 
-def read_manifest(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_manifest(spark: SparkSession, path: str, multi_line: bool = True, bad_pages: str = "raise") -> DataFrame:
     """Download manifests (milestone -> product -> platform list), nested as landed."""
-    return _json(spark, path, MANIFEST_SCHEMA, multi_line).select("milestones")
+    return load_pages(spark, path, MANIFEST_SCHEMA, "milestones", multi_line, bad_pages).select("milestones")
 
 
 # ---------------------------------------------------------------- inputs of Q1, Q23-Q25 and Q28
@@ -482,31 +475,32 @@ NAME_ITEM = T.StructType([T.StructField("name", S), T.StructField("commit", T.St
 REPO_OF_URL = "/repos/([^/]+/[^/]+)/"
 
 
-def read_ref_names(spark: SparkSession, path: str, repo_pattern: str, kind_pattern: str) -> DataFrame:
+def read_ref_names(spark: SparkSession, path: str, repo_pattern: str, kind_pattern: str,
+                   bad_pages: str = "raise") -> DataFrame:
     """Landed pages of tag or branch lists (JSON arrays): ``repo, kind, name, commit_sha``.
 
     Repository and list (``tags`` or ``branches``) come from the file path
     (first group of each pattern). All pages count.
     """
-    docs = _whole_json(spark, path, T.ArrayType(NAME_ITEM))
+    docs = load_pages(spark, path, T.ArrayType(NAME_ITEM), "name", bad_pages=bad_pages)
     rows = docs.select("source_file", F.explode("doc").alias("n"))
     kind = F.when(F.regexp_extract("source_file", kind_pattern, 1).startswith("tag"), "tag").otherwise("branch")
     return rows.select(F.regexp_extract("source_file", repo_pattern, 1).alias("repo"), kind.alias("kind"), "n.name",
                        F.col("n.commit.sha").alias("commit_sha"))
 
 
-def read_ref_objects(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_ref_objects(spark: SparkSession, path: str, multi_line: bool = True, bad_pages: str = "raise") -> DataFrame:
     """Landed git references: ``repo, kind, name, commit_sha`` (of an annotated tag: the sha of its tag object)."""
-    r = _json(spark, path, REF_SCHEMA, multi_line).filter(F.col("ref").rlike("^refs/(tags|heads)/"))
+    r = load_pages(spark, path, REF_SCHEMA, "object.sha", multi_line, bad_pages).filter(F.col("ref").rlike("^refs/(tags|heads)/"))
     return r.select(F.regexp_extract("url", REPO_OF_URL, 1).alias("repo"),
                     F.when(F.col("ref").startswith("refs/tags/"), "tag").otherwise("branch").alias("kind"),
                     F.regexp_replace("ref", "^refs/(tags|heads)/", "").alias("name"),
                     F.col("object.sha").alias("commit_sha"))
 
 
-def read_tag_objects(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_tag_objects(spark: SparkSession, path: str, multi_line: bool = True, bad_pages: str = "raise") -> DataFrame:
     """Landed annotated tags: ``repo, tag_sha, target_sha``."""
-    return _json(spark, path, TAG_OBJECT_SCHEMA, multi_line).select(
+    return load_pages(spark, path, TAG_OBJECT_SCHEMA, "object.sha", multi_line, bad_pages).select(
         F.regexp_extract("url", REPO_OF_URL, 1).alias("repo"), F.col("sha").alias("tag_sha"),
         F.col("object.sha").alias("target_sha"))
 
@@ -519,13 +513,13 @@ COMMIT_SCHEMA = T.StructType([T.StructField("data", T.StructType([T.StructField(
 
 
 def read_commit_dates(spark: SparkSession, path: str, repo_pattern: str, sha_pattern: str,
-                      multi_line: bool = True) -> DataFrame:
+                      multi_line: bool = True, bad_pages: str = "raise") -> DataFrame:
     """Landed commits: ``repo, sha, committed_at, pr_merged_at`` (of the first change request, else null).
 
     Payloads name neither repository nor commit; both come from the file path.
     """
-    df = _json(spark, path, COMMIT_SCHEMA, multi_line)
-    file, commit = F.col("_metadata.file_path"), "data.repository.object"
+    df = load_pages(spark, path, COMMIT_SCHEMA, "data.repository.object", multi_line, bad_pages)
+    file, commit = F.col("source_file"), "data.repository.object"
     return df.select(F.regexp_extract(file, repo_pattern, 1).alias("repo"),
                      F.regexp_extract(file, sha_pattern, 1).alias("sha"),
                      utc_ntz(f"{commit}.committedDate").alias("committed_at"),
@@ -535,7 +529,7 @@ def read_commit_dates(spark: SparkSession, path: str, repo_pattern: str, sha_pat
 ISSUE_SCHEMA = T.StructType([T.StructField("number", L), T.StructField("state", S), T.StructField("repository_url", S)])
 
 
-def read_issue_states(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_issue_states(spark: SparkSession, path: str, multi_line: bool = True, bad_pages: str = "raise") -> DataFrame:
     """Landed issues: ``repo, number, state``."""
-    return _json(spark, path, ISSUE_SCHEMA, multi_line).select(
+    return load_pages(spark, path, ISSUE_SCHEMA, "state", multi_line, bad_pages).select(
         F.element_at(F.split("repository_url", "/"), -1).alias("repo"), "number", "state")
