@@ -203,6 +203,36 @@ def land_archives(members: DataFrame) -> str:
     return path
 
 
+def land_nested_archives(members: DataFrame) -> str:
+    """Downloaded artifacts: per side and format an outer zip with the archives in it, and an outer zip that was cut short."""
+    import pandas as pd
+
+    from repolens.sources.files import filesystem
+
+    path = landing_folder(members.sparkSession, "nested")
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        import io
+        import zipfile
+
+        side, fmt = pdf["side"].iloc[0], pdf["format"].iloc[0]
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("notes.txt", "built")
+            for archive, rows in pdf.groupby("archive"):
+                z.writestr(f"dist/{archive}", _archive_bytes(fmt, sorted(set(rows["member"]))))
+        fs, base = filesystem(f"{path}/side={side}")
+        fs.create_dir(base, recursive=True)
+        for name, data in ((f"{fmt}.zip", buf.getvalue()), (f"cut-{fmt}.zip", buf.getvalue()[:-30])):
+            with fs.open_output_stream(f"{base}/{name}", compression=None) as f:
+                f.write(data)
+        return pd.DataFrame({"archive": [fmt], "members": [len(pdf)]})
+
+    members.groupBy("side", "format").applyInPandas(build, "archive string, members long") \
+        .write.format("noop").mode("overwrite").save()
+    return path
+
+
 def land_manifests(flat: DataFrame) -> str:
     """S13 shape: ``{milestones: {<milestone>: {downloads: {<product>: [{platform, url}]}}}}``, one per milestone."""
     from repolens.operators.manifest import nest_manifest

@@ -970,6 +970,29 @@ def q_landed_file_list_diff(spark, sf_dir):
                              archives=RD.read_archive_names(spark, landed).select("*", side))
 
 
+@register("landed_nested_file_list_diff", "S5 Q16", REGISTRY["file_list_diff"].oracle)
+def q_landed_nested_file_list_diff(spark, sf_dir):
+    """Archives inside downloaded zips, some of which were cut short."""
+    (members,) = fx(spark, sf_dir, "archive_members")
+    read = RD.read_archive_members(spark, LD.land_nested_archives(members), bad_archives="status")
+    inner = read.filter("status = 'ok' AND format <> 'zip'").withColumn("side", F.regexp_extract("path", r"/side=([^/]+)/", 1))
+    return DF.file_list_diff(inner)
+
+
+@register("landed_archive_status", "S5", oracle_with(["archive_members"], """
+, outer_zip AS (SELECT side, format, COUNT(DISTINCT archive) + 1 AS members FROM archive_members GROUP BY side, format)
+SELECT side, format || '.zip' AS archive, 'zip' AS format, TRUE AS whole, members FROM outer_zip
+UNION ALL SELECT side, 'cut-' || format || '.zip', 'zip', FALSE, 0 FROM outer_zip
+UNION ALL SELECT side, archive, format, TRUE, COUNT(DISTINCT member) FROM archive_members GROUP BY side, archive, format""".replace("\n, outer_zip", ", outer_zip", 1)))
+def q_landed_archive_status(spark, sf_dir):
+    """Members per archive, inside downloaded zips too, and the zips that cannot be read."""
+    (members,) = fx(spark, sf_dir, "archive_members")
+    read = RD.read_archive_members(spark, LD.land_nested_archives(members), bad_archives="status", partition_bytes=20_000)
+    side = F.regexp_extract("path", r"/side=([^/]+)/", 1)
+    return read.groupBy(side.alias("side"), "archive", "format", (F.col("status") == "ok").alias("whole")).agg(
+        F.count("member").alias("members"))
+
+
 @register("landed_download_index", "S13 Q37", REGISTRY["download_index"].oracle)
 def q_landed_download_index(spark, sf_dir):
     (flat,) = fx(spark, sf_dir, "downloads")

@@ -10,16 +10,13 @@ them, together with pages that are missing.
 
 from __future__ import annotations
 
-import io
-import os
-import tarfile
-import zipfile
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from repolens.sources.archives import ENDINGS, ArchiveMembers
+from repolens.sources.files import filesystem as _filesystem
 from repolens.sources.landed import load_pages
 
 S = T.StringType()
@@ -148,92 +145,34 @@ def read_artifacts(spark: SparkSession, path: str, multi_line: bool = True, run_
 
 # ---------------------------------------------------------------- S5
 
-ARCHIVE_ENDINGS = (".whl", ".tar.gz", ".tar.bz2", ".conda", ".tgz", ".zip")
-MEMBERS_SCHEMA = "path string, archive string, format string, member string"
-
-
-def archive_format(name: str) -> str | None:
-    if name.endswith(".whl"):
-        return "wheel"
-    if name.endswith(".tar.gz"):
-        return "sdist"
-    if name.endswith(".tar.bz2"):
-        return "conda1"
-    if name.endswith(".conda"):
-        return "conda"
-    if name.endswith(".tgz"):
-        return "npm"
-    if name.endswith(".zip"):
-        return "zip"
-    return None
-
-
-def _tar_files(fileobj) -> list[str]:
-    with tarfile.open(fileobj=fileobj, mode="r:*") as tar:
-        return [m.name for m in tar.getmembers() if m.isfile()]
-
-
-def _conda_members(data: bytes) -> list[str]:
-    import zstandard
-
-    out = []
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = z.namelist()
-        out.extend(n for n in names if not n.endswith(".tar.zst"))
-        for n in names:
-            if n.endswith(".tar.zst"):
-                raw = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(z.read(n)))
-                with tarfile.open(fileobj=raw, mode="r|") as tar:
-                    out.extend(m.name for m in tar if m.isfile())
-    return out
-
-
-def list_members(name: str, data: bytes) -> list[str]:
-    """Member names: zip lists keep directory entries, tar lists keep files only."""
-    fmt = archive_format(name)
-    if fmt in ("wheel", "zip"):
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            return z.namelist()
-    if fmt in ("sdist", "conda1", "npm"):
-        return _tar_files(io.BytesIO(data))
-    if fmt == "conda":
-        return _conda_members(data)
-    return []
-
-
-def _members(batches):
-    for pdf in batches:
-        rows = []
-        for path, data in zip(pdf["path"], pdf["content"], strict=True):
-            name = os.path.basename(path)
-            rows.extend((path, name, archive_format(name), m) for m in list_members(name, data))
-        yield pd.DataFrame(rows, columns=["path", "archive", "format", "member"])
-
-
-def _archives(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path)
-
+def read_archive_members(spark: SparkSession, path: str, glob: str | None = None, bad_archives: str = "raise",
+                         partition_bytes: int = 128 << 20) -> DataFrame:
+    """``path, archive, format, member, status`` of wheels, source archives, conda and npm packages, also inside zips.
 
-def read_archive_members(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Member names of wheels, source archives, conda and npm packages.
-
-    One archive is one row; small Arrow batches keep a task's memory to a few
-    archives.
+    An archive that cannot be read ends the job with its name; with
+    ``bad_archives="status"`` it is a row without member whose status says why.
     """
-    return _archives(spark, path, glob).select("path", "content").mapInPandas(_members, MEMBERS_SCHEMA)
+    if bad_archives not in ("raise", "status"):
+        raise ValueError("bad_archives is raise or status")
+    spark.dataSource.register(ArchiveMembers)
+    rows = spark.read.format("archive_members").option("path", path).option("glob", glob or "*").option(
+        "partitionBytes", partition_bytes).load()
+    if bad_archives == "status":
+        return rows
+    whole = F.assert_true(F.col("status") == "ok", F.concat(F.lit("not a whole archive: "), F.col("path"))).isNull()
+    return rows.select(F.when((F.rand() >= 0) & whole, F.struct(*rows.columns)).alias("r")).select("r.*")
 
 
 def read_archive_names(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """``path, archive, format`` of the archives in a folder; none is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if glob:
+        files = files.option("pathGlobFilter", glob)
     name = F.element_at(F.split("path", "/"), -1)
     kind = F.lit(None).cast("string")
-    for ending in ARCHIVE_ENDINGS:
-        kind = F.coalesce(kind, F.when(name.endswith(ending), archive_format(ending)))
-    return _archives(spark, path, glob).select("path", name.alias("archive"), kind.alias("format")).filter(
-        F.col("format").isNotNull())
+    for ending, fmt in ENDINGS.items():
+        kind = F.coalesce(kind, F.when(name.endswith(ending), fmt))
+    return files.load(path).select("path", name.alias("archive"), kind.alias("format")).filter(F.col("format").isNotNull())
 
 
 # ---------------------------------------------------------------- S6
@@ -358,19 +297,6 @@ def read_texts(spark: SparkSession, path: str, glob: str = "*.py", root: str | N
 LISTING_SCHEMA = "path string, mtime timestamp_ntz, length bigint"
 
 
-def _filesystem(uri: str):
-    """A ``pyarrow.fs`` file system and the path inside it, for a Spark-style path or URI."""
-    import re
-
-    import pyarrow.fs as pafs
-
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + re.sub(r"^file:/+", "", uri)
-    if "://" in uri:
-        return pafs.FileSystem.from_uri(uri)
-    return pafs.LocalFileSystem(), uri
-
-
 def _walk(batches):
     import pyarrow.fs as pafs
 
