@@ -7,6 +7,8 @@ structs field by field and arrays element by element, so ``min``/``max``/
 
 from __future__ import annotations
 
+import copy
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,12 +82,19 @@ class _Parts:
                      .when(post_l != "", F.coalesce(_num(g(7)), F.lit(0))))
         self.has_dev = g(8) != ""
         self.dev = F.when(self.has_dev, F.coalesce(_num(g(9)), F.lit(0)))
-        self.local = F.lower(F.regexp_replace(g(10), r"[-_]", "."))
+        # segments of the local label: numbers lose leading zeros, text is lower case
+        self.local = F.regexp_replace(F.lower(F.regexp_replace(g(10), r"[-_]", ".")), r"(?<![^.])0+(?=[0-9]+(\.|$))", "")
         self.release = F.transform(F.split(self.release_text, r"\."), lambda x: x.try_cast("bigint"))
 
     def release_at(self, i: int) -> Column:
         return F.coalesce(F.try_element_at(self.release, F.lit(i)), F.lit(0))
 
+    def first_dev(self) -> "_Parts":
+        """The same version as its first development release."""
+        other = copy.copy(self)
+        other.has_dev, other.dev = F.lit(True), F.lit(0).cast("bigint")
+        return other
+
     def key(self, with_local: bool = True) -> Column:
         stripped = F.transform(
             F.split(F.regexp_replace(self.release_text, r"(\.0+)+$", ""), r"\."),
@@ -103,7 +112,11 @@ class _Parts:
             F.coalesce(self.dev, F.lit(_MAX)).alias("dev"),
         ]
         if with_local:
-            fields.append(self.local.alias("local"))
+            # no label sorts before any, text before numbers, a label before the same label with more segments
+            fields.append(F.when(self.local == "", F.array().cast("array<struct<n:decimal(38,0),t:string>>")).otherwise(F.transform(
+                F.split(self.local, r"\."), lambda x: F.struct(
+                    F.when(x.rlike("^[0-9]+$"), x.try_cast("decimal(38,0)")).otherwise(F.lit(-1).cast("decimal(38,0)")).alias("n"),
+                    F.when(x.rlike("^[0-9]+$"), "").otherwise(x).alias("t")))).alias("local"))
         return F.when(self.valid, F.struct(*fields))
 
     def normal(self) -> Column:
@@ -157,10 +170,15 @@ def release_part(c, i: int) -> Column:
 
 
 def dotted_key(c) -> Column:
-    """V2: integer-tuple key, trailing zeros kept (``1.0 < 1.0.0``)."""
+    """V2: integer-tuple key, trailing zeros kept (``1.0 < 1.0.0``); see ``is_dotted`` for text that has none."""
     return F.transform(F.split(F.trim(_col(c)), r"\."), lambda x: F.trim(x).try_cast("bigint"))
 
 
+def is_dotted(c) -> Column:
+    """Are all parts of a version whole numbers, so that ``dotted_key`` orders it?"""
+    return F.coalesce(F.forall(dotted_key(c), lambda x: x.isNotNull()), F.lit(False))
+
+
 # ---------------------------------------------------------------- V3
 
 _SPEC_ITEM = r"^\s*(~=|===|==|!=|<=|>=|<|>)\s*(\S*)\s*$"
@@ -171,7 +189,10 @@ def specifier_contains(spec, version) -> Column:
 
     A null spec allows everything. ``.*`` is removed first, so ``==3.10.*`` acts
     as ``==3.10``. ``~=`` is a lower bound plus a release prefix match. A
-    pre-release version is only allowed when some item names a pre-release.
+    pre-release version is only allowed when some item but ``!=`` names a pre-release.
+    ``<`` allows no pre-release of its own version, ``>`` no post-release. A
+    local label of ``version`` counts only where ``==`` or ``!=`` names one; no
+    other operator may name a label.
     """
     spec, version = _col(spec), _col(version)
     v = _Parts(version)
@@ -185,6 +206,8 @@ def specifier_contains(spec, version) -> Column:
         text = F.regexp_extract(item, _SPEC_ITEM, 2)
         s = _Parts(text)
         ks = s.key(with_local=False)
+        labelled = s.local != ""
+        equal = F.when(labelled, (kv == ks) & (v.local == s.local)).otherwise(kv == ks)
         same_release = (F.regexp_replace(v.release_text, r"(\.0+)+$", "")
                         == F.regexp_replace(s.release_text, r"(\.0+)+$", "")) & (v.epoch == s.epoch)
         prefix_len = F.size(s.release) - 1
@@ -195,18 +218,20 @@ def specifier_contains(spec, version) -> Column:
         result = (
             F.when(op == "===", F.lower(version) == F.lower(text))
             .when(~s.valid, F.lit(False))
-            .when(op == "==", kv == ks)
-            .when(op == "!=", kv != ks)
+            .when(op == "==", equal)
+            .when(op == "!=", ~equal)
+            .when(labelled, F.lit(False))
             .when(op == ">=", kv >= ks)
             .when(op == "<=", kv <= ks)
-            .when(op == "<", (kv < ks) & ~((v.has_pre | v.has_dev) & ~(s.has_pre | s.has_dev) & same_release))
-            .when(op == ">", (kv > ks) & ~(v.has_post & ~s.has_post & same_release))
+            .when(op == "<", F.when(s.has_pre | s.has_dev, kv < ks).otherwise(kv < s.first_dev().key(with_local=False)))
+            .when(op == ">", (kv > ks) & ~(v.has_post & ~s.has_post & ~s.has_dev & same_release
+                                           & v.pre_letter.eqNullSafe(s.pre_letter) & v.pre_n.eqNullSafe(s.pre_n)))
             .when(op == "~=", compatible)
             .otherwise(F.lit(False)))
         return F.coalesce(result, F.lit(False))
 
-    names_pre = F.exists(items, lambda x: F.coalesce(is_prerelease(F.regexp_extract(x, _SPEC_ITEM, 2)),
-                                                     F.lit(False)))
+    names_pre = F.exists(items, lambda x: (F.regexp_extract(x, _SPEC_ITEM, 1) != "!=")
+                         & F.coalesce(is_prerelease(F.regexp_extract(x, _SPEC_ITEM, 2)), F.lit(False)))
     allowed = F.forall(items, one) & (~(v.has_pre | v.has_dev) | names_pre)
     return F.when(spec.isNull(), F.lit(True)).otherwise(F.when(v.valid, allowed).otherwise(F.lit(False)))
 

@@ -25,7 +25,7 @@ RANGE = ["package", "good_version", "bad_version"]
 
 
 def _catalogue(versions: DataFrame, results: DataFrame) -> DataFrame:
-    cat = versions.select("package", "version").distinct().withColumn("k", V.dotted_key("version"))
+    cat = versions.select("package", "version").distinct().filter(V.is_dotted("version")).withColumn("k", V.dotted_key("version"))
     passed = results.groupBy("package", "version").agg(F.bool_and("passed").alias("passed"))
     return cat.join(passed, ["package", "version"], "left") \
         .withColumn("passed", F.coalesce("passed", F.lit(False)))
@@ -35,7 +35,9 @@ def baseline_check(versions: DataFrame, results: DataFrame, ranges: DataFrame) -
     """Q35: the good version must exist and pass, the bad one exist and fail.
 
     Adds ``gk``, ``bk`` (V2 keys) and ``reason`` (null when the range is usable).
-    A version without a result counts as failing.
+    A version without a result counts as failing. Versions whose parts are not
+    all numbers have no place in the order: they take no part, and a range that
+    names one says so.
     """
     cat = _catalogue(versions, results)
     g = cat.select("package", F.col("version").alias("good_version"), F.col("k").alias("gk"),
@@ -43,7 +45,9 @@ def baseline_check(versions: DataFrame, results: DataFrame, ranges: DataFrame) -
     b = cat.select("package", F.col("version").alias("bad_version"), F.col("k").alias("bk"),
                    F.col("passed").alias("bad_passed"))
     out = ranges.join(g, ["package", "good_version"], "left").join(b, ["package", "bad_version"], "left")
-    reason = (F.when(F.col("gk").isNull(), "good version not found")
+    reason = (F.when(~V.is_dotted("good_version"), "good version is not numeric")
+              .when(~V.is_dotted("bad_version"), "bad version is not numeric")
+              .when(F.col("gk").isNull(), "good version not found")
               .when(F.col("bk").isNull(), "bad version not found")
               .when(~F.col("good_passed"), "good version failed")
               .when(F.col("bad_passed"), "bad version passed"))

@@ -1068,3 +1068,15 @@ def q_stored_documents(spark, sf_dir):
     docs = PG.assemble_documents(PG.code_blocks(pages), "2024-02-01", prelude="import pandas as pd")
     K.write_documents(docs.unionAll(docs), folder)
     return K.read_documents(spark, folder)
+
+
+@register("stored_rewrites", "K3 S9 Q27", _refs_sql(_plan_sql(True, False, False) + _REWRITE_SQL
+                                                    + "SELECT checkout || '/' || path AS path, new_text AS content FROM changed"))
+def q_stored_rewrites(spark, sf_dir):
+    """Rewritten workflow files, written twice (the second job replaces equal files) and read back."""
+    texts, changes = _rewrite_inputs(spark, sf_dir)
+    texts = texts.checkpoint(eager=True)
+    target = LD.landing_folder(spark, "rewrites")
+    for _ in range(2):
+        K.write_rewrites(texts, changes, target, keys=CHECKOUT)
+    return RD.read_texts(spark, target, "*.y*ml", root=target, include_hidden=True)

@@ -10,6 +10,8 @@ them, together with pages that are missing.
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -261,6 +263,12 @@ def read_project_features(spark: SparkSession, path: str, bad_pages: str = "rais
 # ---------------------------------------------------------------- S9, S10
 
 
+def _below(path, root: str):
+    """A path without the folder ``root`` before it (either may name the local scheme)."""
+    plain = re.sub("^file:/+", "/", root).rstrip("/")
+    return F.regexp_replace(path, rf"^(file:/*(?=/))?\Q{plain}\E/", "")
+
+
 def _read_texts(batches):
     for pdf in batches:
         out = []
@@ -280,7 +288,7 @@ def read_texts(spark: SparkSession, path: str, glob: str = "*.py", root: str | N
     """
     p = F.col("path")
     if root:
-        p = F.regexp_replace(p, "^(file:)?" + root.rstrip("/") + "/", "")
+        p = _below(p, root)
     if include_hidden:
         import fnmatch
 
@@ -343,7 +351,7 @@ def read_file_listing(spark: SparkSession, path: str, root: str | None = None,
             "length")
     p = F.col("path")
     if root:
-        p = F.regexp_replace(p, "^(file:)?" + root.rstrip("/") + "/", "")
+        p = _below(p, root)
     return df.select(p.alias("path"), "mtime", "length")
 
 

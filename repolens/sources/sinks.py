@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolens.operators.pages import insert_if_absent
 from repolens.plans.session import ensure_checkpoint_dir
 from repolens.sources.readers import _filesystem
+from repolens.sources.texttree import TextTree
 
 WINDOW = ["repo", "from_tag", "to_tag"]
 STORED_SCHEMA = "repo string, filename string, kind string, content string"
@@ -66,31 +69,14 @@ def write_rewrites(texts: DataFrame, changes: DataFrame, path: str, dry_run: boo
                    keys: tuple[str, ...] = ()) -> DataFrame:
     """K3: each rewritten text as a file at its own path below ``path`` (and below its ``keys``, as folders).
 
-    Files are written inside tasks under another name and then moved, so a task
-    that runs again leaves whole files. A dry run only returns the change table.
+    All files appear when the job commits, or none; two texts with one path end
+    the job. A dry run only returns the change table.
     """
     if dry_run:
         return changes
-
-    def put(batches):
-        import os
-        import posixpath
-        import uuid
-
-        for pdf in batches:
-            for name, text in zip(pdf["name"], pdf["new_text"], strict=True):
-                if ".." in name.split("/"):
-                    raise ValueError(f"{name} leaves the target folder")
-                fs, target = _filesystem(f"{path.rstrip('/')}/{name.lstrip('/')}")
-                fs.create_dir(posixpath.dirname(target), recursive=True)
-                part = f"{target}.{os.getpid()}-{uuid.uuid4().hex}"
-                with fs.open_output_stream(part, compression=None) as out:
-                    out.write(text.encode())
-                fs.move(part, target)
-            yield pdf[["name"]]
-
-    named = texts.select(F.concat_ws("/", *keys, "path").alias("name"), "new_text")
-    named.mapInPandas(put, "name string").write.format("noop").mode("overwrite").save()
+    texts.sparkSession.dataSource.register(TextTree)
+    named = texts.select(F.concat_ws("/", *keys, "path").alias("name"), F.col("new_text").alias("content"))
+    named.write.format("text_tree").option("path", path).option("job", uuid.uuid4().hex).mode("append").save()
     return changes
 
 
