@@ -4,17 +4,18 @@ Inputs: a version catalogue ``package, version`` (S12), results
 ``package, version, passed`` and ranges ``package, good_version, bad_version``.
 
 The halving search is kept exactly (same probes as a loop, so the same answer
-when results are not monotone), but runs for all ranges at once: each round
-is one equi-join of the range states with the numbered catalogue. Versions
-are numbered with the skew-safe ordinal, so a package with a huge catalogue is
-spread over many tasks; the number of rounds is ceil(log2(longest range)).
+when results are not monotone), but runs for all ranges at once: one equi-join
+of the ranges with the numbered catalogue answers ``STEPS`` halvings, so
+ceil(log2(longest range) / STEPS) joins do (three for 16 million versions).
+Versions are numbered with the skew-safe ordinal, so a package with a huge
+catalogue is spread over many tasks.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repolens.functions import text as X
@@ -22,6 +23,8 @@ from repolens.functions import versions as V
 from repolens.operators.ordinal import ordinal_within
 
 RANGE = ["package", "good_version", "bad_version"]
+#: Halvings that one join answers: at most 255 positions of a range are looked up at once.
+STEPS = 8
 
 
 def _catalogue(versions: DataFrame, results: DataFrame) -> DataFrame:
@@ -76,6 +79,39 @@ def indexed_catalogue(versions: DataFrame, results: DataFrame) -> DataFrame:
                     F.when(~F.col("passed"), F.col("rank")).alias("fail_rank")).checkpoint(eager=True)
 
 
+def _mid(x) -> Column:
+    return F.floor((x["l"] + x["r"]) / 2).cast("bigint")
+
+
+def _halvings(state: DataFrame, probe: DataFrame, steps: int) -> DataFrame:
+    """``steps`` halvings of every range by one join.
+
+    The positions that these halvings can meet form a binary tree below the
+    interval (at most ``2 ** steps - 1`` of them); all are looked up at once,
+    and the halvings then walk down the tree inside the row.
+    """
+    nodes, wanted = F.array(F.struct(F.col("l").alias("l"), F.col("r").alias("r"))), []
+    for _ in range(steps):
+        open_ = F.filter(nodes, lambda x: x["r"] - x["l"] > 1)
+        wanted.append(F.transform(open_, _mid))
+        nodes = F.flatten(F.transform(open_, lambda x: F.array(F.struct(x["l"].alias("l"), _mid(x).alias("r")),
+                                                               F.struct(_mid(x).alias("l"), x["r"].alias("r")))))
+    keys = [*RANGE, "gi", "dir", "l", "r", "probes"]
+    asked = state.select(*keys, F.explode_outer(F.flatten(F.array(*wanted))).alias("mid")).withColumn(
+        "at", F.col("gi") + (F.col("mid") - 1) * F.col("dir"))
+    found = asked.join(probe, ["package", "at"], "left").groupBy(*keys).agg(F.map_from_entries(F.collect_list(
+        F.when(F.col("mid").isNotNull(), F.struct("mid", "mid_passed")))).alias("known"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid, going = _mid(s), s["r"] - s["l"] > 1
+        passed = F.try_element_at(F.col("known"), mid)
+        return F.struct(F.when(going & passed, mid).otherwise(s["l"]).alias("l"), F.when(going & ~passed, mid).otherwise(s["r"]).alias("r"),
+                        (s["probes"] + F.when(going, 1).otherwise(0)).alias("probes"))
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct("l", "r", "probes"), halve)
+    return found.select(*RANGE, "gi", "dir", walked.alias("w")).select(*RANGE, "gi", "dir", "w.l", "w.r", "w.probes")
+
+
 def version_regressions(versions: DataFrame, results: DataFrame, ranges: DataFrame) -> DataFrame:
     """Q34: first failing and last passing version between a good and a bad version.
 
@@ -106,17 +142,8 @@ def version_regressions(versions: DataFrame, results: DataFrame, ranges: DataFra
     state = usable.select(*RANGE, "gi", "dir", F.lit(1).cast("bigint").alias("l"),
                           F.col("n").cast("bigint").alias("r"), F.lit(0).alias("probes"))
     probe = t.select("package", F.col("idx").alias("at"), F.col("passed").alias("mid_passed"))
-    for i in range(rounds):
-        mid = F.floor((F.col("l") + F.col("r")) / 2).cast("bigint")
-        state = state.withColumn("mid", F.when(F.col("r") - F.col("l") > 1, mid)) \
-            .withColumn("at", F.col("gi") + (F.col("mid") - 1) * F.col("dir"))
-        state = state.join(probe, ["package", "at"], "left").select(
-            *RANGE, "gi", "dir",
-            F.when(F.col("mid").isNotNull() & F.col("mid_passed"), F.col("mid")).otherwise(F.col("l")).alias("l"),
-            F.when(F.col("mid").isNotNull() & ~F.col("mid_passed"), F.col("mid")).otherwise(F.col("r")).alias("r"),
-            (F.col("probes") + F.when(F.col("mid").isNotNull(), 1).otherwise(0)).alias("probes"))
-        if i % 4 == 3:
-            state = state.checkpoint(eager=True)
+    for start in range(0, rounds, STEPS):
+        state = _halvings(state, probe, min(STEPS, rounds - start)).checkpoint(eager=True)
     at = t.select("package", F.col("idx").alias("at"), "version")
     done = (state.withColumn("at", F.col("gi") + (F.col("r") - 1) * F.col("dir"))
             .join(at.withColumnRenamed("version", "failing_version"), ["package", "at"], "left").drop("at")

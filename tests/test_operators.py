@@ -298,3 +298,29 @@ def test_file_lists_compare_the_picked_archives(spark):
     assert [tuple(r) for r in DF.file_list_diff(members).collect()] == [("bad", "wheel", "new")]
     listed = members.select("side", "format", "archive").distinct()
     assert [tuple(r) for r in DF.file_list_diff(members, archives=listed).collect()] == [("bad", "wheel", "new")]
+
+
+def test_bisect_probes_equal_a_loop_over_long_catalogues(spark, monkeypatch):
+    """Two and more joins of halvings: the same probes as the plain loop, on results that are not monotone."""
+    rng = random.Random(9)
+    n = 700
+    passed = {p: [rng.random() < 0.6 for _ in range(n)] for p in "abc"}
+    ranges, want = [], {}
+    for p, ok in passed.items():
+        ok[0], ok[-1] = True, False
+        for _ in range(6):
+            g, b = rng.choice([i for i in range(n) if ok[i]]), rng.choice([i for i in range(n) if not ok[i]])
+            step = 1 if g < b else -1
+            lo, hi, probes = 0, abs(b - g), 0
+            while hi - lo > 1:
+                mid, probes = (lo + 1 + hi + 1) // 2 - 1, probes + 1
+                lo, hi = (mid, hi) if ok[g + step * mid] else (lo, mid)
+            ranges.append((p, f"1.{g}", f"1.{b}"))
+            want[p, f"1.{g}", f"1.{b}"] = (f"1.{g + step * hi}", f"1.{g + step * lo}", probes)
+    results = spark.createDataFrame([(p, f"1.{i}", x) for p, ok in passed.items() for i, x in enumerate(ok)],
+                                    "package string, version string, passed boolean")
+    ranges = spark.createDataFrame(sorted(set(ranges)), "package string, good_version string, bad_version string")
+    for steps in (3, 8):
+        monkeypatch.setattr(BI, "STEPS", steps)
+        out = BI.version_regressions(results.select("package", "version"), results, ranges).collect()
+        assert {(r.package, r.good_version, r.bad_version): (r.failing_version, r.passing_version, r.probes) for r in out} == want
