@@ -237,3 +237,38 @@ def changelog_lines(changes: DataFrame, tags: DataFrame, owner: str = "org", mai
 
 
 ORDER = [*WINDOW_KEYS, "position", "sub", "merged_at", "number"]
+
+
+def changelog_pieces(changes: DataFrame, tags: DataFrame, owner: str = "org", maintainer: str | None = None,
+                     ignored: list[str] | None = None, head: DataFrame | None = None) -> DataFrame:
+    """Q7 and Q8 as text pieces: ``repo, from_tag, to_tag, position, sub, merged_at, number, text``.
+
+    In the order of ``ORDER`` the pieces of a window, laid end to end, are the
+    text of ``changelog_document``. The thanks sentence is one piece per
+    contributor (``number`` is the rank), so neither a document nor a sentence
+    is ever held as one value, whatever the size of a window.
+    """
+    windows = release_windows(tags, head)
+    in_window = prs_in_window(changes, windows)
+    cat = categorize_changes(in_window, owner)
+    ranked = rank_contributors(first_contributions(changes, contributors(in_window, ignored)), maintainer)
+    none = F.lit(None)
+
+    def piece(df: DataFrame, position, sub: int, merged_at, number, text: Column) -> DataFrame:
+        return df.select(*WINDOW_KEYS, position.cast("int").alias("position"), F.lit(sub).alias("sub"),
+                         merged_at.cast("timestamp_ntz").alias("merged_at"), number.cast("bigint").alias("number"), text.alias("text"))
+
+    window_ = windows.select(*WINDOW_KEYS)
+    people = window_.join(ranked.groupBy(*WINDOW_KEYS).agg(F.count("*").alias("_n")), WINDOW_KEYS, "left")
+    last = F.col("rank") == F.col("_n")
+    thanks = F.concat(F.when(F.col("rank") == 1, "Many thanks to ").when(last, ", and ").otherwise(", "), F.col("mention"),
+                      F.when(last, " for their contributions.").otherwise(""))
+    title = F.concat(F.lit("## Changelog ("), F.col("from_tag"), F.lit(".."), F.col("to_tag"), F.lit(")\n\n"))
+    first = F.lit(-1)
+    return (piece(window_, first, 0, none, none, title)
+            .unionByName(piece(people.filter("_n IS NULL"), first, 1, none, none, F.lit("No contributors found.")))
+            .unionByName(piece(ranked.join(people, WINDOW_KEYS), first, 1, none, F.col("rank"), thanks))
+            .unionByName(piece(window_, first, 2, none, none, F.lit("\n")))
+            .unionByName(piece(cat.select(*WINDOW_KEYS, "section", "position").distinct(), F.col("position"), 0, none, none,
+                               F.concat(F.lit("\n### "), F.col("section"), F.lit("\n"))))
+            .unionByName(piece(cat, F.col("position"), 1, F.col("merged_at"), F.col("number"), F.concat("line", F.lit("\n")))))

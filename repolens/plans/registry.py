@@ -1080,3 +1080,14 @@ def q_stored_rewrites(spark, sf_dir):
     for _ in range(2):
         K.write_rewrites(texts, changes, target, keys=CHECKOUT)
     return RD.read_texts(spark, target, "*.y*ml", root=target, include_hidden=True)
+
+
+@register("stored_changelog_parts", "K1 Q7 Q8 S9", REGISTRY["changelog_document"].oracle)
+def q_stored_changelog_parts(spark, sf_dir):
+    """Changelogs written in parts of 4,000 bytes, read back by their manifests and joined for the comparison."""
+    prs, tags = fx(spark, sf_dir, "pull_requests", "tags")
+    folder = LD.landing_folder(spark, "changelog_parts")
+    K.write_changelog_parts(CL.changelog_pieces(prs, tags), folder, part_bytes=4000)
+    parts = K.read_changelog_parts(spark, folder).filter("status = 'ok'")
+    whole = parts.groupBy(*K.WINDOW).agg(F.sort_array(F.collect_list(F.struct("start", "content"))).alias("p"))
+    return whole.select(*K.WINDOW, F.array_join(F.transform("p", lambda x: x["content"]), "").alias("changelog"))

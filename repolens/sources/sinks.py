@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from repolens.operators.pages import insert_if_absent
 from repolens.plans.session import ensure_checkpoint_dir
-from repolens.sources.readers import _filesystem
+from repolens.sources.readers import _filesystem, read_texts
 from repolens.sources.texttree import TextTree
 
 WINDOW = ["repo", "from_tag", "to_tag"]
@@ -35,6 +35,49 @@ def write_changelog_lines(lines: DataFrame, path: str) -> None:
      .write.mode("overwrite").partitionBy(*WINDOW).text(path))
 
 
+def write_changelog_parts(pieces: DataFrame, path: str, part_bytes: int = 8 << 20) -> DataFrame:
+    """K1 as files of about ``part_bytes``: the pieces of ``changelog_pieces``, with a manifest of each window.
+
+    A running sum over range partitions gives every piece its byte offset, and
+    the offset its part, so a window of any size is cut into parts that are
+    each assembled on their own. Files are ``<repo>/<from>..<to>/<part>.md``
+    (names url-encoded) and appear when the job commits; the manifest
+    (``repo, from_tag, to_tag, part, name, start, bytes``) is written beside
+    them and returned.
+    """
+    from repolens.operators.changelog import ORDER
+    from repolens.operators.running import Running, Tagged
+
+    size = F.octet_length("text").cast("bigint")
+    placed = Tagged(pieces, WINDOW, [c for c in ORDER if c not in WINDOW]).running(
+        Running("sum", size, "start", inclusive=False)).done()
+    parts = placed.groupBy(*WINDOW, F.expr(f"start div {part_bytes}").alias("part")).agg(
+        F.min("start").alias("start"), F.sum(size).alias("bytes"), F.sort_array(F.collect_list(F.struct("start", "text"))).alias("p"))
+    # pieces without text share their offset with the next one; the order among them cannot show
+    name = F.concat(F.url_encode("repo"), F.lit("/"), F.url_encode("from_tag"), F.lit(".."), F.url_encode("to_tag"), F.lit("/"),
+                    F.lpad(F.col("part").cast("string"), 12, "0"), F.lit(".md"))
+    parts = parts.select(*WINDOW, "part", name.alias("name"), "start", "bytes",
+                         F.array_join(F.transform("p", lambda x: x["text"]), "").alias("content")).checkpoint(eager=True)
+    parts.sparkSession.dataSource.register(TextTree)
+    parts.select("name", "content").write.format("text_tree").option("path", path).option("job", uuid.uuid4().hex).mode("append").save()
+    manifest = parts.drop("content")
+    manifest.write.mode("overwrite").parquet(f"{path.rstrip('/')}/_manifest")
+    return manifest
+
+
+def read_changelog_parts(spark: SparkSession, path: str) -> DataFrame:
+    """Parts by their manifest: ``repo, from_tag, to_tag, part, start, bytes, content, status``.
+
+    ``status`` is ``ok``, ``missing`` or ``changed`` (another length than written).
+    """
+    manifest = spark.read.parquet(f"{path.rstrip('/')}/_manifest")
+    texts = read_texts(spark, path, "*.md", root=path).select(F.col("path").alias("name"), "content")
+    # names come back url-encoded once more in file URIs
+    decoded = texts.withColumn("name", F.regexp_replace("name", "%25", "%"))
+    status = (F.when(F.col("content").isNull(), "missing").when(F.octet_length("content") != F.col("bytes"), "changed").otherwise("ok"))
+    return manifest.join(decoded, "name", "left").select(*WINDOW, "part", "start", "bytes", "content", status.alias("status"))
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Files that ``write_documents`` stored: ``repo, filename, kind, content``."""
     return spark.read.schema(STORED_SCHEMA).parquet(path)
