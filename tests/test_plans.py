@@ -15,7 +15,8 @@ def test_one_scan_and_one_parse_per_input(spark):
     from repolens.plans.registry import REGISTRY
 
     for name, node, most in [("support_window", "FileScan", 1), ("package_diff", "FileScan", 1),
-                             ("landed_package_diff", "MapInPandas", 1), ("landed_file_list_diff", "MapInPandas", 1)]:
+                             ("landed_package_diff", "MapInPandas", 1),
+                             ("landed_file_list_diff", "BatchScan archive_members", 1)]:
         assert plan_text(REGISTRY[name].run(spark, SF001)).count(node) == most, name
 
 
