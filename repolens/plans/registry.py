@@ -7,6 +7,7 @@ are printed as text with microseconds so that both engines hash them alike.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -1046,11 +1047,15 @@ def q_stored_changelogs(spark, sf_dir):
     return texts.select(*_window_of("path"), whole.alias("changelog"))
 
 
-@register("stored_listing", "K1 S10", _changelog_sql("SELECT repo, from_tag, to_tag, TRUE AS written FROM windows"))
+@register("stored_listing", "K1 S10", "SELECT repo, from_tag, to_tag, CAST(strlen(changelog) + 1 AS BIGINT) AS length, TRUE AS just_written FROM ("
+          + REGISTRY["changelog_document"].oracle + ") d")
 def q_stored_listing(spark, sf_dir):
+    """Lengths of the written files (a text and its line end), and whether their times lie inside this run."""
+    before = F.lit(dt.datetime.now(dt.UTC).replace(tzinfo=None) - dt.timedelta(seconds=2)).cast("timestamp_ntz")
     listed = RD.read_file_listing(spark, _stored_changelogs(spark, sf_dir), include_hidden=True)
     texts = listed.filter(F.col("path").rlike(r"/part-[^/]*\.txt$"))
-    return texts.select(*_window_of("path"), (F.col("length") > 0).alias("written"))
+    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz")
+    return texts.select(*_window_of("path"), "length", F.col("mtime").between(before, now).alias("just_written"))
 
 
 @register("stored_documents", "K2 K4 Q33", oracle_with(["stored_documents"], _BLOCKS_SQL + f"""

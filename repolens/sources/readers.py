@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from repolens.plans.session import ensure_checkpoint_dir
 from repolens.sources.archives import ENDINGS, ArchiveMembers
 from repolens.sources.files import filesystem as _filesystem
 from repolens.sources.landed import load_pages
@@ -303,21 +304,43 @@ def read_texts(spark: SparkSession, path: str, glob: str = "*.py", root: str | N
 
 
 LISTING_SCHEMA = "path string, mtime timestamp_ntz, length bigint"
+#: Entries of a folder that leave a task at a time.
+LISTED = 100_000
 
 
-def _walk(batches):
+def _list_folders(batches):
+    """Entries of each folder, one level deep; a folder that is gone has none."""
     import pyarrow.fs as pafs
 
     for pdf in batches:
-        rows = []
-        for uri in pdf["root"]:
+        for uri in pdf["folder"]:
             fs, base = _filesystem(uri)
             scheme = uri[: len(uri) - len(base)] if "://" in uri else ""
-            for info in fs.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True)):
-                if info.type == pafs.FileType.File:
-                    mtime = info.mtime.replace(tzinfo=None) if info.mtime is not None else None
-                    rows.append((scheme + info.path, mtime, info.size))
-        yield pd.DataFrame(rows, columns=["path", "mtime", "length"])
+            entries = fs.get_file_info(pafs.FileSelector(base, recursive=False, allow_not_found=True))
+            for at in range(0, len(entries), LISTED):  # a folder of any size leaves in bounded batches
+                rows = [(scheme + e.path, e.mtime.replace(tzinfo=None) if e.mtime is not None else None, e.size,
+                         e.type == pafs.FileType.Directory) for e in entries[at:at + LISTED]]
+                yield pd.DataFrame(rows, columns=["path", "mtime", "length", "folder"])
+
+
+def walk(spark: SparkSession, path: str) -> DataFrame:
+    """``path, mtime, length`` of every file below ``path``, hidden ones too, level by level.
+
+    The folders of a level are a DataFrame, dealt over all tasks; a level is
+    materialised once and gives the files and the folders of the next. The
+    driver sees how many folders a level has, never a name.
+    """
+    ensure_checkpoint_dir(spark)
+    folders = spark.createDataFrame([(path.rstrip("/") or "/",)], "folder string")
+    files = spark.createDataFrame([], LISTING_SCHEMA)
+    while True:
+        level = folders.mapInPandas(_list_folders, LISTING_SCHEMA + ", folder boolean").checkpoint(eager=True)
+        files = files.unionByName(level.filter("NOT folder").drop("folder"))
+        below = level.filter("folder").select(F.col("path").alias("folder"))
+        found = below.count()
+        if not found:
+            return files
+        folders = below.repartition(max(1, min(found, spark.sparkContext.defaultParallelism * 4)))
 
 
 def read_file_listing(spark: SparkSession, path: str, root: str | None = None,
@@ -326,25 +349,11 @@ def read_file_listing(spark: SparkSession, path: str, root: str | None = None,
 
     Spark's file sources skip names starting with ``_`` or ``.``; with
     ``include_hidden`` such entries are listed too (``__pycache__``,
-    ``.ipynb_checkpoints``): the driver lists the first level only, and each
-    subfolder is walked inside a task with ``pyarrow.fs`` (local, HDFS or
-    object stores). Times are UTC wall-clock.
+    ``.ipynb_checkpoints``), by ``walk`` (local, HDFS or object stores). Times
+    are UTC wall-clock.
     """
     if include_hidden:
-        import pyarrow.fs as pafs
-
-        fs, base = _filesystem(path)
-        top = fs.get_file_info(pafs.FileSelector(base, recursive=False))
-        prefix = path[: len(path) - len(base)] if "://" in path else ""
-        dirs = [(prefix + e.path,) for e in top if e.type == pafs.FileType.Directory]
-        files = [(prefix + e.path, e.mtime.replace(tzinfo=None) if e.mtime else None, e.size)
-                 for e in top if e.type == pafs.FileType.File]
-        listed = spark.createDataFrame(files, LISTING_SCHEMA)
-        if dirs:
-            roots = spark.createDataFrame(dirs, "root string")
-            roots = roots.repartition(min(len(dirs), spark.sparkContext.defaultParallelism * 4))
-            listed = listed.unionByName(roots.mapInPandas(_walk, LISTING_SCHEMA))
-        df = listed
+        df = walk(spark, path)
     else:
         df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
             "path", F.to_utc_timestamp("modificationTime", F.current_timezone()).cast("timestamp_ntz").alias("mtime"),

@@ -259,3 +259,22 @@ def test_name_pages_as_served(spark, tmp_path):
     got = R.read_ref_names(spark, str(tmp_path / "o" / "r" / "*"), r"([^/]+/[^/]+)/(?:tags|branches)/", r"/(tags|branches)/")
     assert sorted(tuple(r) for r in got.collect()) == [
         ("o/r", "branch", "main", "c"), ("o/r", "tag", "v1", "a"), ("o/r", "tag", "v2", "b")]
+
+
+def test_walk_lists_every_level_with_times_and_lengths(spark, tmp_path, monkeypatch):
+    import datetime as dt
+    import os
+
+    monkeypatch.setattr(R, "LISTED", 3)
+    want = {}
+    for i, name in enumerate(["a.py", ".hidden", "_x/y.txt", "_x/.z/deep/er.txt", "d/e/f/g.txt", *[f"many/{k}.txt" for k in range(8)]]):
+        file = _w(tmp_path / name, "x" * i)
+        os.utime(file, (1_700_000_000 + i, 1_700_000_000 + i))
+        want[name] = (dt.datetime(2023, 11, 14, 22, 13, 20) + dt.timedelta(seconds=i), i)
+    (tmp_path / "empty" / "er").mkdir(parents=True)
+    listed = R.read_file_listing(spark, str(tmp_path), root=str(tmp_path), include_hidden=True)
+    assert {r.path: (r.mtime, r.length) for r in listed.collect()} == want
+    uri = R.read_file_listing(spark, f"file://{tmp_path}", root=f"file://{tmp_path}", include_hidden=True)
+    assert {r.path for r in uri.collect()} == set(want)
+    assert R.read_file_listing(spark, str(tmp_path / "empty"), include_hidden=True).count() == 0
+    assert R.read_file_listing(spark, str(tmp_path / "none"), include_hidden=True).count() == 0
