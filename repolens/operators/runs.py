@@ -32,10 +32,11 @@ def active_runs(runs: DataFrame, as_of) -> DataFrame:
     ).orderBy(F.desc("started_at"))
 
 
-def run_history(runs: DataFrame, depth: int | None = None) -> DataFrame:
+def run_history(runs: DataFrame, depth: int | None = None, workflow: str = "name") -> DataFrame:
     """Q11 (first half): the runs per (repo, workflow), labelled.
 
-    All runs are searched; a caller may ask for the newest ``depth`` only
+    ``workflow`` names the column that tells workflows apart: ``name``, or
+    ``workflow_file`` of the readers (two workflows may share a name). All runs are searched; a caller may ask for the newest ``depth`` only
     (``row_number() <= depth``, planned as a group limit before the shuffle).
     """
     if "created_at" not in runs.columns:
@@ -47,20 +48,20 @@ def run_history(runs: DataFrame, depth: int | None = None) -> DataFrame:
     if depth is None:
         recent = runs
     else:
-        w = Window.partitionBy("repo", "name").orderBy(F.desc("run_number"))
+        w = Window.partitionBy("repo", workflow).orderBy(F.desc("run_number"))
         recent = runs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= depth).drop("_rn")
     return recent.select(
-        "repo", F.col("name").alias("workflow"), "run_number",
+        "repo", F.col(workflow).alias("workflow"), "run_number",
         X.run_label("run_number", "conclusion", "created_at", "head_branch").alias("label"),
         F.concat(F.col("url"), F.lit("/artifacts")).alias("artifacts_url"))
 
 
-def run_pairs(runs: DataFrame, pairs: DataFrame, depth: int | None = None) -> DataFrame:
+def run_pairs(runs: DataFrame, pairs: DataFrame, depth: int | None = None, workflow: str = "name") -> DataFrame:
     """Q11: good and bad run of each request ``(repo, workflow, good_run, bad_run)``.
 
     A pair is found only if both runs exist (among the newest ``depth`` where one is given).
     """
-    hist = run_history(runs, depth)
+    hist = run_history(runs, depth, workflow)
     good = hist.select("repo", "workflow", F.col("run_number").alias("good_run"),
                        F.col("label").alias("good_label"), F.col("artifacts_url").alias("good_url"))
     bad = hist.select("repo", "workflow", F.col("run_number").alias("bad_run"),

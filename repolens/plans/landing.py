@@ -54,6 +54,7 @@ def land_runs(runs: DataFrame) -> str:
         F.date_format("run_started_at", ISO).alias("run_started_at"),
         F.concat(F.lit("https://api.github.com/repos/org/"), "repo", F.lit("/actions/runs/"),
                  F.col("run_number").cast("string")).alias("url"),
+        F.concat(F.lit(".github/workflows/"), "name", F.lit(".yaml")).alias("path"),
         F.struct(F.col("actor").alias("login")).alias("triggering_actor"),
         F.struct(F.col("repo").alias("name"), F.concat(F.lit("org/"), "repo").alias("full_name")).alias("repository"))
     pages = runs.withColumn("page", _page(30, F.col("run_number"))).groupBy("repo", "page").agg(

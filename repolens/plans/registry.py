@@ -906,6 +906,17 @@ def q_landed_whole_pages(spark, sf_dir):
     return RD.read_runs(spark, LD.land_damaged_runs(runs), bad_pages="skip").select("repo", "run_number")
 
 
+@register("landed_run_pairs", "S3 Q11 V20", "SELECT repo, workflow || '.yaml' AS workflow, good_run, bad_run, good_label, bad_label, "
+          "replace(good_url, '/repos/', '/repos/org/') AS good_url, replace(bad_url, '/repos/', '/repos/org/') AS bad_url FROM ("
+          + REGISTRY["run_pairs"].oracle + ") p")
+def q_landed_run_pairs(spark, sf_dir):
+    """Run pairs by workflow file, from landed pages."""
+    runs, req = fx(spark, sf_dir, "workflow_runs", "run_requests")
+    landed = RD.read_runs(spark, LD.land_runs(runs), multi_line=False)
+    asked = req.withColumn("workflow", F.concat("workflow", F.lit(".yaml")))
+    return RU.run_pairs(landed, asked, workflow="workflow_file")
+
+
 @register("landed_artifacts", "S4", oracle_with(["artifacts"], """
 SELECT run_number, name, archive_download_url,
   CAST(ROW_NUMBER() OVER (PARTITION BY run_number ORDER BY position, name, archive_download_url) - 1 AS BIGINT) AS position
@@ -1096,3 +1107,19 @@ def q_stored_changelog_parts(spark, sf_dir):
     parts = K.read_changelog_parts(spark, folder).filter("status = 'ok'")
     whole = parts.groupBy(*K.WINDOW).agg(F.sort_array(F.collect_list(F.struct("start", "content"))).alias("p"))
     return whole.select(*K.WINDOW, F.array_join(F.transform("p", lambda x: x["content"]), "").alias("changelog"))
+
+
+@register("stored_document_files", "K2 Q33 S9", oracle_with(["issue_pages"], _BLOCKS_SQL + f"""
+, docs AS ({_DOC_SQL})
+SELECT repo || '/' || filename || '.ipynb' AS name, notebook AS content FROM docs
+UNION ALL SELECT repo || '/' || filename || '.py', script FROM docs"""))
+def q_stored_document_files(spark, sf_dir):
+    """Documents as files at their own names, stored twice; the second time nothing is new."""
+    (pages,) = fx(spark, sf_dir, "issue_pages")
+    docs = PG.assemble_documents(PG.code_blocks(pages), "2024-02-01", prelude="import pandas as pd").checkpoint(eager=True)
+    folder = LD.landing_folder(spark, "document_files")
+    first = K.write_document_files(docs, folder)
+    again = K.write_document_files(docs.withColumn("script", F.lit("other")).withColumn("notebook", F.lit("other")), folder)
+    texts = RD.read_texts(spark, folder, "*", root=folder, include_hidden=True)
+    stored = texts.withColumnRenamed("path", "name").join(first.select("name"), "name", "left_semi")
+    return stored.join(again.select("name"), "name", "left_anti")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from repolens.operators.pages import insert_if_absent
 from repolens.plans.session import ensure_checkpoint_dir
-from repolens.sources.readers import _filesystem, read_texts
+from repolens.sources.readers import _filesystem, read_file_listing, read_texts
 from repolens.sources.texttree import TextTree
 
 WINDOW = ["repo", "from_tag", "to_tag"]
@@ -108,6 +108,28 @@ def write_documents(docs: DataFrame, path: str) -> DataFrame:
     return fresh
 
 
+def write_document_files(docs: DataFrame, path: str) -> DataFrame:
+    """K2 as files: ``<repo>/<filename>.ipynb`` and ``.py`` below ``path``, those that are not there yet.
+
+    What is there comes from a listing (names only). A document has one place,
+    and all files of a job appear when it commits, so two writers at once store
+    each document once: where both found it absent, the file of the later
+    commit stands. Returns the new files (``name, content``), materialised
+    before they are written.
+    """
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
+    stem = F.concat("repo", F.lit("/"), "filename")
+    files = docs.select(F.explode(F.array(
+        F.struct(F.concat(stem, F.lit(".ipynb")).alias("name"), F.col("notebook").alias("content")),
+        F.struct(F.concat(stem, F.lit(".py")).alias("name"), F.col("script").alias("content")))).alias("f")).select("f.*")
+    stored = read_file_listing(spark, path, root=path, include_hidden=True).select(F.col("path").alias("name"))
+    fresh = insert_if_absent(files, stored, ("name",)).checkpoint(eager=True)
+    spark.dataSource.register(TextTree)
+    fresh.write.format("text_tree").option("path", path).option("job", uuid.uuid4().hex).mode("append").save()
+    return fresh
+
+
 def write_rewrites(texts: DataFrame, changes: DataFrame, path: str, dry_run: bool = False,
                    keys: tuple[str, ...] = ()) -> DataFrame:
     """K3: each rewritten text as a file at its own path below ``path`` (and below its ``keys``, as folders).

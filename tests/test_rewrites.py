@@ -48,3 +48,20 @@ def test_keys_are_folders_and_empty_tables_write_nothing(spark, tmp_path):
     assert tree(str(tmp_path / "out")) == {"c1/a.yml": "1", "c2/a.yml": ""}
     K.write_rewrites(texts.filter("false"), texts, str(tmp_path / "none"), keys=("checkout",))
     assert tree(str(tmp_path / "none")) == {}
+
+
+def test_two_writers_store_each_document_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    schema = "repo string, filename string, url string, notebook string, script string, blocks bigint"
+    sets = [spark.createDataFrame([("r", f"{i}_t", "u", f"n{w}", f"s{w}", 1) for i in range(w, 30 + w)], schema).repartition(3) for w in (0, 5)]
+    folder = str(tmp_path / "docs")
+    with ThreadPoolExecutor(2) as pool:
+        new = [f.result().collect() for f in [pool.submit(K.write_document_files, d, folder) for d in sets]]
+    stored = tree(folder)
+    assert set(stored) == {f"r/{i}_t.{k}" for i in range(35) for k in ("ipynb", "py")}
+    for name, text in stored.items():  # whole texts of one of the writers that found it absent
+        assert text in {r.content for rows in new for r in rows if r.name == name}
+    assert [K.write_document_files(d, folder).count() for d in sets] == [0, 0] and tree(folder) == stored
+    twice = sets[0].unionAll(sets[0].withColumn("script", F.lit("a")))
+    assert K.write_document_files(twice, str(tmp_path / "twice")).count() == 60
