@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from repolens.llm.shared import picked
 from repolens.operators.ordinal import ordinal_within
+from repolens.plans.session import ensure_checkpoint_dir
 
 #: Levels that one task hashes at a time.
 DEPTH = 4
@@ -262,6 +263,9 @@ def verify_documents(docs: DataFrame, tampered: Column, tampered_text: Column) -
     leaves = source.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
                            document_leaf(F.col("text")).alias("leaf"),
                            F.when(tampered, document_leaf(tampered_text)).alias("other"))
+    # the range sort reads its input twice: digests are made once
+    ensure_checkpoint_dir(docs.sparkSession)
+    leaves = leaves.checkpoint(eager=True)
     proved = prove(leaves, "lang", ["doc_id"]).withColumn("given_leaf", F.coalesce("other", "leaf"))
     return (proved.drop("other").withColumn("folded_root", folded(F.col("given_leaf"), F.col("proof")))
             .withColumn("verified", F.col("folded_root") == F.col("root")))
