@@ -455,29 +455,3 @@ def test_long_texts_pool_over_all_parts():
     whole, at = net.pooled(ids, places=True)
     parts, also = net.pooled(ids, places=True, most=64)
     assert np.allclose(whole, parts) and (at == also).all()
-
-
-def test_endings_not_seen_in_training_have_a_vector():
-    numbers = toxicity.Numbers(1 << 17)
-    one, two = numbers.of("Grobian grobiane")
-    assert one[2] == two[2] and one[0] != two[0]
-    assert numbers.of("").shape == (0, 3)
-
-
-def test_sample_is_bounded_and_every_labelled_language_has_a_threshold(spark):
-    made = [(i, ("grob " if i % 2 else "fein ") * (5 if i else 5000), "en" if i % 3 else "de", "a", 0) for i in range(90)]
-    made += [(7, "", None, "b", 0), (None, "grob", "en", "a", 0)]
-    df = spark.createDataFrame(made, SCHEMA)
-    labels = spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, toxic int")
-    rows = toxicity.sample_rows(df, labels, sample=40, longest=1000).collect()
-    assert len({r["id"] for r in rows}) <= 40 and all(len(r["text"]) <= 1000 for r in rows)
-    assert not any(zlib.crc32(str(r["id"]).encode()) % 5 == 0 for r in rows)
-    net, again = toxicity.train(df, labels), toxicity.train(df.repartition(5), labels)
-    assert set(net.thresholds) == {"de", "en"} and net.thresholds == again.thresholds
-    assert all((a == b).all() for a, b in zip(net.tables, again.tables))
-
-
-def test_cut_with_weights():
-    margins, y = np.array([3.0, 2.0, 1.0, 0.0]), np.array([1.0, 0.0, 1.0, 0.0])
-    assert toxicity.best_cut(margins, y) == 0.5
-    assert toxicity.best_cut(margins, y, np.array([1.0, 1.0, 0.1, 1.0])) == 2.5
