@@ -26,11 +26,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from repolens.llm.shared import picked, raw_texts, slices
 
+#: Shares of a component when its name goes to its fingerprints; fingerprints without links take no part.
+SALTS = 16
+
 
 def fingerprint(raw: bytes, shingle: int, seed: int) -> int:
     """Bits set in over half of the shingles' XXH64 values; 0 for a text without words."""
@@ -123,7 +126,10 @@ def forest(values: list[int], radius: int) -> list[tuple[int, int]]:
 
 
 def near_links(distinct: DataFrame, radius: int = 4, shard_rows: int = 4096) -> DataFrame:
-    """a, b: links between the distinct fingerprints in column fp that connect all within ``radius`` bits."""
+    """a, b: links between the distinct fingerprints in column fp that connect all within ``radius`` bits.
+
+    Several shards may give the same link.
+    """
     edges = np.linspace(0, 64, radius + 3).round().astype(int)
     blocks = [sum(1 << b for b in range(x, y)) for x, y in zip(edges[:-1], edges[1:])]
     masks = [np.array([x | y], np.uint64).view(np.int64)[0].item() for x, y in combinations(blocks, 2)]
@@ -157,7 +163,7 @@ def near_links(distinct: DataFrame, radius: int = 4, shard_rows: int = 4096) ->
         pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return keyed.repartition(*shard).sortWithinPartitions(*shard, "fp").mapInArrow(run, "a long, b long").distinct()
+    return keyed.repartition(*shard).sortWithinPartitions(*shard, "fp").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -165,15 +171,17 @@ def components(links: DataFrame) -> DataFrame:
     stars = (links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"))
              .filter("v <> u").distinct().checkpoint(eager=True))
     state = None
-    while True:
+    while True:  # what tells one state from the next is counted while the checkpoint is written
         both = stars.unionByName(stars.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.filter("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        large = both.filter("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u"))
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = (large.join(least, "v").filter("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
                  .unionByName(least.select("v", F.col("m").alias("u"))).distinct())
-        stars = small.checkpoint(eager=True)
-        now = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("v", "u")), F.sum(F.hash("v", "u").cast("long"))).first()
+        seen = Observation()
+        stars = small.observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("v", "u")).alias("x"),
+                              F.sum(F.hash("v", "u").cast("long")).alias("s")).checkpoint(eager=True)
+        now = seen.get
         if now == state:
             return stars.select(F.col("v").alias("node"), F.col("u").alias("root"))
         state = now
@@ -194,10 +202,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, radius: i
     prints = fingerprints(docs, shingle, seed).checkpoint(eager=True)
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(near_links(distinct.select("fp"), radius, shard_rows))
-    rooted = (distinct.join(roots, F.col("fp") == F.col("node"), "left")
-              .select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.select("fp", "root").join(named, "root")
+    nodes = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    rooted = distinct.join(nodes, F.col("fp") == F.col("node"), "left").select("fp", "first", "root")
+    salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")
+    linked = rooted.filter("root IS NOT NULL").withColumn("salt", salt)
+    named = (linked.groupBy("root").agg(F.min("first").alias("component_id"))
+             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))  # a hot component meets in many tasks
+    classes = (linked.join(named, ["root", "salt"]).select("fp", "root", "component_id")
+               .unionByName(rooted.filter("root IS NULL")
+                            .select("fp", F.col("fp").alias("root"), F.col("first").alias("component_id"))))
     return prints.join(classes, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root", "tie")
 
