@@ -62,6 +62,27 @@ def land_runs(runs: DataFrame) -> str:
     return _write(pages.select("total_count", "workflow_runs"), "workflow_runs")
 
 
+def land_poll(runs: DataFrame, poll: int, path: str, page_size: int = 30) -> None:
+    """S3 pages of one poll (0, 1 or 2) of all runs, a line per page, appended to the folder ``path``.
+
+    A run is queued, then in progress, then has its own status; one whose number
+    divides by 5 had finished at poll 0 and is queued again as its second
+    attempt at poll 1. Runs whose number divides by 11 are not on the last poll.
+    """
+    again = F.col("run_number") % 5 == 0
+    status = (F.when(again, "completed").otherwise("queued"), F.when(again, "queued").otherwise("in_progress"), F.col("status"))[poll]
+    attempt = F.when(again & F.lit(poll > 0), 2).otherwise(1).cast("bigint")
+    run = F.struct(
+        "run_number", "name", "head_branch", "display_title", status.alias("status"), attempt.alias("run_attempt"),
+        F.date_format("run_started_at", ISO).alias("run_started_at"),
+        F.date_format(F.expr(f"run_started_at + INTERVAL {poll} MINUTES"), ISO).alias("updated_at"),
+        F.struct(F.col("actor").alias("login")).alias("triggering_actor"), F.struct(F.col("repo").alias("name")).alias("repository"))
+    seen = runs.filter("run_number % 11 <> 0") if poll == 2 else runs
+    pages = seen.groupBy("repo", F.floor(F.col("run_number") / page_size).alias("page")).agg(
+        F.count("*").alias("total_count"), F.collect_list(run).alias("workflow_runs"))
+    pages.select("total_count", "workflow_runs").write.mode("append").json(path)
+
+
 def land_damaged_runs(runs: DataFrame, page_size: int = 30) -> str:
     """S3 pages as files ``repo=<repo>/page=<n>/``, some cut in half and some never written.
 

@@ -856,6 +856,7 @@ def q_run_history(spark, sf_dir):
 from repolens.plans import landing as LD  # noqa: E402
 from repolens.sources import landed as LP  # noqa: E402
 from repolens.sources import readers as RD  # noqa: E402
+from repolens.streaming import polls as SP  # noqa: E402
 
 
 @register("landed_pull_requests", "S1", oracle_with(["pull_requests"], f"""
@@ -917,6 +918,25 @@ def q_landed_run_pairs(spark, sf_dir):
     return RU.run_pairs(landed, asked, workflow="workflow_file")
 
 
+@register("polled_open_runs", "Q10 S3", oracle_with(["workflow_runs"], f""",
+polled AS (SELECT * REPLACE (CASE WHEN run_number % 11 <> 0 THEN status WHEN run_number % 5 = 0 THEN 'queued' ELSE 'in_progress' END AS status)
+  FROM workflow_runs)
+SELECT repo, name AS workflow, head_branch AS branch, display_title AS title, status,
+  {sql_ts('run_started_at')} AS started_at,
+  CAST(CAST(round_even((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(run_started_at)) / 1e6 / 60.0, 0) AS BIGINT) AS VARCHAR) || ' min' AS duration,
+  actor AS "user"
+FROM polled WHERE status IS DISTINCT FROM 'completed'"""))
+def q_polled_open_runs(spark, sf_dir):
+    """Three polls of all runs through the stateful stream; the middle one lands last, after a restart."""
+    (runs,) = fx(spark, sf_dir, "workflow_runs")
+    landing, log, checkpoint = (LD.landing_folder(spark, n) for n in ("polls", "run_changes", "run_changes_state"))
+    for polls in ((0, 2), (1,)):
+        for poll in polls:
+            LD.land_poll(runs, poll, landing)
+        SP.start_run_changes(spark, landing, log, checkpoint, multi_line=False).awaitTermination()
+    return SP.open_runs(SP.read_changes(spark, log), AS_OF).withColumn("started_at", ts_text("started_at"))
+
+
 @register("landed_artifacts", "S4", oracle_with(["artifacts"], """
 SELECT run_number, name, archive_download_url,
   CAST(ROW_NUMBER() OVER (PARTITION BY run_number ORDER BY position, name, archive_download_url) - 1 AS BIGINT) AS position

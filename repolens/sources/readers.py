@@ -101,6 +101,7 @@ RUN_ITEM = T.StructType([
     T.StructField("head_branch", S), T.StructField("display_title", S), T.StructField("status", S),
     T.StructField("conclusion", S), T.StructField("created_at", S), T.StructField("run_started_at", S),
     T.StructField("url", S), T.StructField("path", S),
+    T.StructField("run_attempt", L), T.StructField("updated_at", S),
     T.StructField("triggering_actor", T.StructType([T.StructField("login", S)])),
     T.StructField("repository", T.StructType([T.StructField("full_name", S), T.StructField("name", S)])),
 ])
