@@ -55,6 +55,12 @@ SELECT CASE WHEN l_linestatus = 'O' THEN 'good' ELSE 'bad' END AS side,
   'env_' || CAST(l_suppkey % 10 AS STRING) || '_linux_3.11_unit.txt' AS path,
   l_orderkey * 8 + l_linenumber AS line_no,
   'lib-' || CAST(l_partkey % 300 AS STRING) || '==' || CAST(CAST(l_quantity AS INT) % 4 AS STRING) AS line
+FROM {lineitem}""",
+    "run_env_files": """
+SELECT DISTINCT l_orderkey AS run, CASE WHEN l_linenumber % 2 = 0 THEN 'good' ELSE 'bad' END AS side,
+  CASE WHEN l_linenumber % 2 = 0 THEN 'good' ELSE 'bad' END || '/Env_' || CAST(l_suppkey % 2 AS STRING)
+    || CASE WHEN l_partkey % 4 = 0 THEN '_osx' WHEN l_partkey % 4 = 1 THEN '_Linux' ELSE '_linux' END
+    || CASE WHEN l_quantity < 10 THEN '_3.12' ELSE '_3.11' END || CASE WHEN l_orderkey % 7 = 0 THEN '_ui' ELSE '_unit' END || '.txt' AS path
 FROM {lineitem}""",
     "run_dumps": """
 SELECT 'good' AS side, path, no AS line_no, line FROM (SELECT DISTINCT 'env_' || CAST(l_suppkey % 10 AS STRING) || '_linux_3.12_unit.txt' AS path,

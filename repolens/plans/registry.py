@@ -226,6 +226,17 @@ def q_env_files(spark, sf_dir):
     return RU.match_env_files(files, "linux", "3.11", "unit")
 
 
+@register("env_files_by_run", "Q13", oracle_with(["run_env_files"], """
+, named AS (SELECT run, side, path, split_part(path, '/', 2) AS file FROM run_env_files),
+g AS (SELECT run, MIN(file) AS file FROM named WHERE side = 'good' AND lower(file) LIKE '%linux%' AND lower(file) LIKE '%3.11%'
+  AND contains(lower(file), '_unit') GROUP BY run)
+SELECT g.run, g.file, 'good/' || g.file AS good_path, b.path AS bad_path
+FROM g LEFT JOIN named b ON b.run = g.run AND b.file = g.file AND b.side = 'bad'""".replace("\n, named", ", named", 1)))
+def q_env_files_by_run(spark, sf_dir):
+    (files,) = fx(spark, sf_dir, "run_env_files")
+    return RU.match_env_files(files, "linux", "3.11", "unit", keys=("run",))
+
+
 # ====================================================================== differences
 
 from repolens.operators import diffs as DF  # noqa: E402
@@ -832,6 +843,22 @@ def q_changelog_head_window(spark, sf_dir):
     return w.select("repo", "from_tag", "to_tag", ts_text("from_at").alias("from_at"), ts_text("to_at").alias("to_at"))
 
 
+@register("changelog_chosen_windows", "Q9 Q1", oracle_with(["tags"], f"""
+, asked AS (SELECT repo, MIN(tag) AS from_tag, MAX(tag) AS to_tag FROM tags GROUP BY repo, prerelease
+  UNION ALL SELECT repo, MAX(tag), 'not a tag' FROM tags GROUP BY repo),
+dated AS (SELECT repo, tag, COALESCE(pr_merged_at, committed_at) AS tagged_at FROM tags)
+SELECT w.repo, w.from_tag, w.to_tag, {sql_ts('a.tagged_at')} AS from_at, {sql_ts('b.tagged_at')} AS to_at
+FROM asked w JOIN dated a ON a.repo = w.repo AND a.tag = w.from_tag
+JOIN dated b ON b.repo = w.repo AND b.tag = w.to_tag""".replace("\n, asked", ", asked", 1)))
+def q_changelog_chosen_windows(spark, sf_dir):
+    """Windows that a user names; one that names an unknown tag has no dates and is left out."""
+    (tags,) = fx(spark, sf_dir, "tags")
+    asked = tags.groupBy("repo", "prerelease").agg(F.min("tag").alias("from_tag"), F.max("tag").alias("to_tag")).drop("prerelease")
+    unknown = tags.groupBy("repo").agg(F.max("tag").alias("from_tag")).withColumn("to_tag", F.lit("not a tag"))
+    w = CL.chosen_windows(tags, asked.unionByName(unknown))
+    return w.select("repo", "from_tag", "to_tag", ts_text("from_at").alias("from_at"), ts_text("to_at").alias("to_at"))
+
+
 @register("unresolved_updates", "Q25", _refs_sql(_plan_sql(True, True, True)
                                                  + "SELECT s2.checkout, s2.repo, s2.ref, r.tag, s2.target FROM s2 JOIN refs r "
                                                    "ON r.checkout = s2.checkout AND r.repo = s2.repo AND r.ref = s2.ref "
