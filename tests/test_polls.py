@@ -116,3 +116,24 @@ def test_finished_runs_time_out_and_open_ones_stay():
     assert len(list(P.newest_of(("r", 1), iter([frame((1, 2, "completed"))]), state))) == 1 and state.timeout == 13
     state.hasTimedOut = True
     assert list(P.newest_of(("r", 1), iter([]), state)) == [] and not state.exists
+
+
+def test_a_block_is_one_call_and_its_runs_leave_one_by_one(spark, tmp_path):
+    run = lambda n, at, status: ("r", n, 1, at, status == "completed", status, None, "w", "b", "t", None, "u", 10 + at)
+    rows = lambda *runs: iter([pd.DataFrame([run(*r) for r in runs], columns=[*P.FIELDS, "landed"])])
+    state = State()
+    (first,) = P.newest_in_block(("r", 0), rows((1, 1, "queued"), (2, 1, "completed"), (None, 1, "queued"), (1, 0, "queued")), state)
+    assert sorted(first["run_number"].dropna()) == [1, 2] and len(first) == 3 and state.timeout == 12
+    assert list(P.newest_in_block(("r", 0), rows((1, 0, "completed"), (2, 1, "completed")), state)) == []
+    (second,) = P.newest_in_block(("r", 0), rows((1, 5, "completed")), state)
+    assert second["status"].tolist() == ["completed"] and state.timeout == 12
+    state.getCurrentWatermarkMs, state.hasTimedOut = lambda: 13, True
+    assert list(P.newest_in_block(("r", 0), iter([]), state)) == [] and state.timeout == 16
+    assert sorted(r[0] or 0 for r in json.loads(state.get[0])) == [0, 1]  # run 2 left, the run without a number is open
+    # a thousand runs of one repository are called block by block, with the results of single runs
+    for n in range(4):
+        land(tmp_path / "landing", f"{n}.json", *[item(i, ("queued", "completed")[i % 2], 1) for i in range(n * 250, n * 250 + 250)])
+    stream = P.run_changes_stream(spark, str(tmp_path / "landing"))
+    assert "block" in stream._jdf.queryExecution().analyzed().toString()
+    log = replay(spark, tmp_path)
+    assert log.count() == 1000 and P.open_runs(log, "2024-02-01 00:00:00").count() == 500
