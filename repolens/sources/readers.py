@@ -297,6 +297,8 @@ def read_texts(spark: SparkSession, path: str, glob: str = "*.py", root: str | N
         rx = fnmatch.translate(glob)  # (?s:...)\Z is valid in Java regex too
         listing = read_file_listing(spark, path, include_hidden=True)
         wanted = listing.filter(F.element_at(F.split("path", "/"), -1).rlike(rx)).select("path")
+        # a listing has a task per folder; files are read by all tasks, whatever folder they are in
+        wanted = wanted.repartition(spark.sparkContext.defaultParallelism * 4, "path")
         return wanted.mapInPandas(_read_texts, "path string, content string").select(p.alias("path"), "content")
     df = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
           .text(path, wholetext=True))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolens.operators.pages import insert_if_absent
 from repolens.plans.session import ensure_checkpoint_dir
 from repolens.sources.readers import _filesystem, read_file_listing, read_texts
-from repolens.sources.texttree import TextTree
+from repolens.sources.texttree import write_texts
 
 WINDOW = ["repo", "from_tag", "to_tag"]
 STORED_SCHEMA = "repo string, filename string, kind string, content string"
@@ -58,8 +56,7 @@ def write_changelog_parts(pieces: DataFrame, path: str, part_bytes: int = 8 << 2
                     F.lpad(F.col("part").cast("string"), 12, "0"), F.lit(".md"))
     parts = parts.select(*WINDOW, "part", name.alias("name"), "start", "bytes",
                          F.array_join(F.transform("p", lambda x: x["text"]), "").alias("content")).checkpoint(eager=True)
-    parts.sparkSession.dataSource.register(TextTree)
-    parts.select("name", "content").write.format("text_tree").option("path", path).option("job", uuid.uuid4().hex).mode("append").save()
+    write_texts(parts, path)
     manifest = parts.drop("content")
     manifest.write.mode("overwrite").parquet(f"{path.rstrip('/')}/_manifest")
     return manifest
@@ -125,8 +122,7 @@ def write_document_files(docs: DataFrame, path: str) -> DataFrame:
         F.struct(F.concat(stem, F.lit(".py")).alias("name"), F.col("script").alias("content")))).alias("f")).select("f.*")
     stored = read_file_listing(spark, path, root=path, include_hidden=True).select(F.col("path").alias("name"))
     fresh = insert_if_absent(files, stored, ("name",)).checkpoint(eager=True)
-    spark.dataSource.register(TextTree)
-    fresh.write.format("text_tree").option("path", path).option("job", uuid.uuid4().hex).mode("append").save()
+    write_texts(fresh, path)
     return fresh
 
 
@@ -139,9 +135,7 @@ def write_rewrites(texts: DataFrame, changes: DataFrame, path: str, dry_run: boo
     """
     if dry_run:
         return changes
-    texts.sparkSession.dataSource.register(TextTree)
-    named = texts.select(F.concat_ws("/", *keys, "path").alias("name"), F.col("new_text").alias("content"))
-    named.write.format("text_tree").option("path", path).option("job", uuid.uuid4().hex).mode("append").save()
+    write_texts(texts.select(F.concat_ws("/", *keys, "path").alias("name"), F.col("new_text").alias("content")), path)
     return changes
 
 

@@ -1,94 +1,101 @@
-"""Texts as files at their own paths, as a Spark data source with job commit (K3).
-
-Tasks write into a folder of their own attempt below ``_staging-<job>``; only
-the attempts that the job commits are moved to their paths, at job commit. A
-job that fails leaves nothing behind, a task that runs twice leaves one file,
-and a job that runs again writes the same files. Names (not texts) pass through
-the driver at commit.
+"""Texts as files at their own paths, all at once at the end of the job (K3).
+
+Tasks write into a folder of their own attempt below ``_staging-<job>``; what
+the successful attempts staged is a checkpointed table of names. Once every
+text is staged and no two have the same path, tasks move the files to their
+paths. A job that fails before that leaves nothing behind, a task that runs
+twice leaves one file, and a job that runs again writes the same files. Neither
+names nor texts pass through the driver.
 """
 
 from __future__ import annotations
 
 import posixpath
 import time
+import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from repolens.plans.session import ensure_checkpoint_dir
 from repolens.sources.files import filesystem
 
+STAGED = pa.schema([("staged", pa.string()), ("name", pa.string())])
 
-@dataclass
-class Staged(WriterCommitMessage):
-    folder: str
-    names: list[str]
-
-
-class TextTree(DataSource):
-    """``format("text_tree")`` with options ``path`` and ``job``; rows are ``name`` (relative path) and ``content``."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "text_tree"
 
-    def schema(self) -> str:
-        return "name string, content string"
+def write_texts(texts: DataFrame, path: str) -> None:
+    """Write rows ``name`` (relative path) and ``content`` as files below ``path``; two texts with one path end the job."""
+    ensure_checkpoint_dir(texts.sparkSession)
+    root = path.rstrip("/")
+    staging = f"{root}/_staging-{uuid.uuid4().hex}"
+    # tasks add folders to this one but never make it: a task that outlives its job finds no place to write
+    fs, base = filesystem(staging)
+    fs.create_dir(base, recursive=True)
 
-    def writer(self, schema, overwrite: bool) -> "TextTreeWriter":
-        # tasks add folders to this one but never make it: a task that outlives its job finds no place to write
-        fs, base = filesystem(f"{self.options['path'].rstrip('/')}/_staging-{self.options['job']}")
-        fs.create_dir(base, recursive=True)
-        return TextTreeWriter(self.options["path"].rstrip("/"), self.options["job"])
-
-
-class TextTreeWriter(DataSourceArrowWriter):
-    def __init__(self, root: str, job: str):
-        self.root, self.staging = root, f"{root}/_staging-{job}"
-
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        folder = f"{self.staging}/{context.partitionId()}-{context.taskAttemptId()}"
-        fs, base = filesystem(folder)
-        names: list[str] = []
-        for batch in iterator:
-            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+        fs, base = filesystem(f"{staging}/{context.partitionId()}-{context.taskAttemptId()}")
+        count = 0
+        for batch in batches:
+            staged, names = [], []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 parts = (name or "").strip("/").split("/")
                 if not parts[0] or ".." in parts or parts[0].startswith("_staging-"):
                     raise ValueError(f"not a path inside the target folder: {name}")
-                if not names:
+                if not count:
                     fs.create_dir(base, recursive=False)
-                with fs.open_output_stream(f"{base}/{len(names)}", compression=None) as out:
+                staged.append(f"{base}/{count}")
+                with fs.open_output_stream(staged[-1], compression=None) as out:
                     out.write((content or "").encode())
                 names.append("/".join(p for p in parts if p not in ("", ".")))
-        return Staged(folder, names)
+                count += 1
+            yield pa.RecordBatch.from_arrays([pa.array(staged, pa.string()), pa.array(names, pa.string())], schema=STAGED)
 
-    def commit(self, messages: list[Staged]) -> None:
-        fs, root = filesystem(self.root)
-        moves = [(f"{filesystem(m.folder)[1]}/{i}", f"{root}/{name}") for m in messages if m is not None for i, name in enumerate(m.names)]
-        if len({to for _, to in moves}) < len(moves):
-            self.abort(messages)
-            raise ValueError("several texts have the same path")
-        for folder in sorted({posixpath.dirname(to) for _, to in moves}):
-            fs.create_dir(folder, recursive=True)
-        with ThreadPoolExecutor(16) as pool:
-            list(pool.map(lambda m: fs.move(*m), moves))
-        self.abort(messages)
-
-    def abort(self, messages: list[Staged]) -> None:
-        """Remove the staging folder of this job."""
-        import pyarrow.fs as pafs
-
-        fs, base = filesystem(self.staging)
-        for last in (False, False, True):  # a task that is being stopped may add a file meanwhile
+    def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = filesystem(root)
+
+        def move(staged: str, to: str) -> None:
             try:
-                if fs.get_file_info(base).type != pafs.FileType.NotFound:
-                    fs.delete_dir(base)
-                return
-            except OSError:
-                if last:
+                fs.move(staged, to)
+            except OSError:  # another attempt of this task may have moved it
+                if not _exists(fs, to) or _exists(fs, staged):
                     raise
-                time.sleep(0.2)
+
+        with ThreadPoolExecutor(8) as pool:
+            for batch in batches:
+                moves = [(staged, f"{base}/{name}") for staged, name in zip(*(c.to_pylist() for c in batch.columns))]
+                for folder in {posixpath.dirname(to) for _, to in moves}:
+                    fs.create_dir(folder, recursive=True)
+                list(pool.map(lambda m: move(*m), moves))
+                yield batch.slice(0, 0)
+
+    try:
+        rows = texts.select("name", "content").mapInArrow(stage, "staged string, name string").checkpoint(eager=True)
+        if rows.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").head(1):
+            raise ValueError("several texts have the same path")
+        rows.mapInArrow(publish, "staged string, name string").write.format("noop").mode("overwrite").save()
+    finally:
+        _remove(staging)
+
+
+def _exists(fs, path: str) -> bool:
+    import pyarrow.fs as pafs
+
+    return fs.get_file_info(path).type != pafs.FileType.NotFound
+
+
+def _remove(folder: str) -> None:
+    fs, base = filesystem(folder)
+    for last in (False, False, True):  # a task that is being stopped may add a file meanwhile
+        try:
+            if _exists(fs, base):
+                fs.delete_dir(base)
+            return
+        except OSError:
+            if last:
+                raise
+            time.sleep(0.2)

@@ -65,3 +65,17 @@ def test_two_writers_store_each_document_once(spark, tmp_path):
     assert [K.write_document_files(d, folder).count() for d in sets] == [0, 0] and tree(folder) == stored
     twice = sets[0].unionAll(sets[0].withColumn("script", F.lit("a")))
     assert K.write_document_files(twice, str(tmp_path / "twice")).count() == 60
+
+
+def test_names_do_not_pass_through_the_driver(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    texts = spark.range(500).select(F.concat(F.lit("d"), F.col("id") % 7, F.lit("/"), "id", F.lit(".md")).alias("path"),
+                                    F.col("id").cast("string").alias("new_text")).repartition(3)
+    seen, collect = [], DataFrame.collect
+    monkeypatch.setattr("repolens.sources.sinks.write_texts", K.write_texts)  # a function of Spark jobs: no commit message lists the names
+    monkeypatch.setattr(DataFrame, "collect", lambda self: seen.append(collect(self)) or seen[-1])
+    K.write_rewrites(texts, texts, str(tmp_path / "out"))
+    monkeypatch.undo()
+    assert sum(map(len, seen)) == 0
+    assert tree(str(tmp_path / "out")) == {f"d{i % 7}/{i}.md": str(i) for i in range(500)}
