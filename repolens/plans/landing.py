@@ -84,13 +84,15 @@ def land_poll(runs: DataFrame, poll: int, path: str, page_size: int = 30) -> Non
 
 
 def land_damaged_runs(runs: DataFrame, page_size: int = 30) -> str:
-    """S3 pages as files ``repo=<repo>/page=<n>/``, some cut in half and some never written.
+    """S3 pages as files ``repo=<repo>/<thousand>/page=<n>.json``, some cut in half and some never written.
 
     Each page reports the number of runs of its repository. With d = (7 * page +
     length of the repository's name) modulo 5, a page is cut where d is 1 and
-    missing where d is 2.
+    missing where d is 2. A folder holds up to a thousand pages, so writing and
+    listing them costs no folder per page; tasks write them.
     """
     from repolens.operators.ordinal import ordinal_within
+    from repolens.sources.texttree import write_texts
 
     ranked = ordinal_within(runs.select("repo", "run_number", "status"), ["repo"], ["run_number", "status"], name="_rank")
     total = ranked.groupBy("repo").agg(F.count("*").alias("total_count"))
@@ -99,10 +101,11 @@ def land_damaged_runs(runs: DataFrame, page_size: int = 30) -> str:
         F.collect_list(run).alias("workflow_runs")).join(total, "repo")
     damage = (F.col("page") * 7 + F.length("repo")) % 5
     text = F.to_json(F.struct("total_count", "workflow_runs"))
+    name = F.concat(F.lit("repo="), "repo", F.lit("/"), F.expr("page div 1000"), F.lit("/page="), "page", F.lit(".json"))
     path = landing_folder(runs.sparkSession, "damaged_runs")
-    pages.filter(damage != 2).select("repo", "page", text.alias("text")).select("repo", "page", F.when(
-        damage == 1, F.expr("substring(text, 1, length(text) div 2)")).otherwise(F.col("text")).alias("value")).write.partitionBy(
-        "repo", "page").text(path)
+    written = pages.select(name.alias("name"), damage.alias("damage"), text.alias("text")).filter("damage <> 2")
+    write_texts(written.select("name", F.expr(
+        "if(damage = 1, substring(text, 1, length(text) div 2), text)").alias("content")), path)
     return path
 
 

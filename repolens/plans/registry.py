@@ -922,7 +922,7 @@ def q_landed_page_status(spark, sf_dir):
     """Cut, missing and whole pages of run lists, and the lists whose pages hold fewer runs than they report."""
     (runs,) = fx(spark, sf_dir, "workflow_runs")
     status = LP.page_status(spark, LD.land_damaged_runs(runs), RD.RUNS_SCHEMA, "workflow_runs", listing="/repo=([^/]+)/",
-                            page=r"/page=(\d+)/", total="total_count")
+                            page=r"/page=(\d+)\.json$", total="total_count")
     return status.select(F.col("listing").alias("repo"), "page", "status", "rows")
 
 

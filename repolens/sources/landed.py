@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repolens.plans.session import ensure_checkpoint_dir
+from repolens.sources.files import filesystem
 
 UNPARSED = "_unparsed"
 
@@ -39,13 +40,36 @@ def _judged(spark: SparkSession, path: str, schema: T.DataType, payload: str, mu
 
 
 def _empty_files(pages: DataFrame, path: str) -> DataFrame:
-    """Files without a byte, which file sources pass over: names of Spark's file index that no listing with lengths has."""
+    """Files without a byte, which file sources pass over.
+
+    Below a folder whose file system tasks can list by themselves they come
+    from that listing, no name on the driver. Elsewhere (patterns, paths of the
+    session's default file system): names of Spark's file index that no listing
+    with lengths has.
+    """
     spark = pages.sparkSession
+    if _listed_in_tasks(path):
+        from repolens.sources.readers import walk
+
+        below = F.regexp_replace("path", rf"^(file:/*(?=/))?\Q{re.sub('^file:/+', '/', path).rstrip('/')}\E", "")
+        # files that Spark reads: names that are not hidden, in the folder itself or in folders of partitions
+        read = ~below.rlike(r"/(\.|_(?![^/]*=))") & below.rlike(r"^/[^/]+$|/[^/]+=[^/]*/")
+        empty = walk(spark, path).filter("length = 0").filter(read)
+        return empty.select(F.regexp_replace("path", "^/", "file:/").alias("source_file"))
     names = [re.sub("^file:/+", "file:/", name) for name in pages.inputFiles()]
     listed = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_file"))
     return spark.createDataFrame([(n,) for n in names], "source_file string").join(listed, "source_file", "left_anti")
 
 
+def _listed_in_tasks(path: str) -> bool:
+    import pyarrow.fs as pafs
+
+    if not re.match("(file:/|hdfs://)", path) or re.search(r"[*?\[\]{},\\]", path):
+        return False
+    fs, base = filesystem(path)
+    return fs.get_file_info(base).type == pafs.FileType.Directory
+
+
 def _checked(pages: DataFrame, bad: Column) -> DataFrame:
     """The same rows; a bad one ends the job with the name of its file.
 

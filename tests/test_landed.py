@@ -97,3 +97,33 @@ def test_unfinished_lists_by_cursor_and_by_size(spark, tmp_path):
     got = LP.page_status(spark, str(tmp_path / "rel"), T.ArrayType(R.RELEASE_ITEM), "tag_name", page=r"/(\d+)\.json$",
                          first_page=1, page_size=2)
     assert sorted((r.page, r.status) for r in got.collect()) == [(1, "ok"), (2, "ok"), (2, "unfinished")]
+
+
+def test_empty_files_of_a_folder_are_listed_in_tasks(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    for name, text in (("k=a/0.json", json.dumps(GOOD["runs"])), ("k=a/1.json", ""), ("k=b/2.json", ""), ("_c/3.json", ""), ("k=a/.4.json", "")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    plain = tmp_path / "plain"
+    (plain / "below").mkdir(parents=True)
+    (plain / "0.json").write_text("")
+    (plain / "below" / "1.json").write_text("")  # Spark reads no folder below one without partitions
+    (plain / "2.json").write_text(json.dumps(GOOD["runs"]))
+    monkeypatch.setattr(DataFrame, "inputFiles", lambda self: pytest.fail("names on the driver"))
+    status = lambda folder: sorted((r.listing, r.page, r.status) for r in LP.page_status(
+        spark, f"file:{folder}", R.RUNS_SCHEMA, "workflow_runs", listing=r"/([^/]+)/[^/]+$", page=r"/(\d+)\.json$").collect())
+    assert status(plain) == [("plain", 0, "empty file"), ("plain", 1, "missing"), ("plain", 2, "ok")]
+    (tmp_path / "parts").mkdir()
+    for k in ("k=a", "k=b", "_c"):
+        (tmp_path / k).rename(tmp_path / "parts" / k)
+    assert status(tmp_path / "parts") == [("k=a", 0, "ok"), ("k=a", 1, "empty file"), ("k=b", 0, "missing"), ("k=b", 1, "missing"), ("k=b", 2, "empty file")]
+
+
+def test_damaged_pages_take_no_folder_each(spark):
+    from repolens.plans.landing import land_damaged_runs
+    from repolens.sources.readers import walk
+
+    runs = spark.range(3000).selectExpr("'r' || id % 3 AS repo", "id AS run_number", "'queued' AS status")
+    files = [r.path for r in walk(spark, land_damaged_runs(runs)).collect()]
+    assert len(files) > 60 and len({f.rsplit("/", 1)[0] for f in files}) == 3
