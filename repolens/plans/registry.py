@@ -283,7 +283,7 @@ FROM walked GROUP BY path""".replace("\n, once", ", once", 1)))
 def q_line_anchors(spark, sf_dir):
     """Lines that stand once on each side, and how many of them the script keeps (blocks of the bad side were moved to its end)."""
     (lines,) = fx(spark, sf_dir, "run_dumps")
-    script = ED.edit_script(lines).checkpoint(eager=True)
+    script = ED.edit_script(lines)  # read once
     per_line = script.groupBy("path", "line").agg(
         F.count("good_no").alias("g"), F.count("bad_no").alias("b"), F.count_if(F.col("status") == "kept").alias("kept"),
         (F.max("bad_no") > F.max("good_no")).alias("later"))
