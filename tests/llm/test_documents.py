@@ -10,6 +10,8 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from repolens.llm import line_dedup, mixing, packing, quality, simhash, suffix_dedup, token_counts, toxicity
@@ -448,6 +450,45 @@ def test_learns_words_on_held_out_rows(spark):
     assert kept.columns == df.columns and kept.filter("toxic = 1").count() <= 5 and kept.filter("toxic = 0").count() >= 390
 
 
+def test_learns_from_every_labelled_row(spark):
+    """Words of labelled rows that stand behind the first 3,000 of their class by hash."""
+    import random
+
+    rng = random.Random(6)
+    made = [(i, " ".join(rng.choices(["tag", "haus", "baum", "weg", "ort"], k=6)), None, "a", 0, i % 2) for i in range(9000)]
+    df = spark.createDataFrame(made, SCHEMA + ", toxic int")
+    late = (df.filter(~toxicity.held_out(F.col("doc_id"))).withColumn("nth", F.row_number().over(
+        Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter("nth > 3000").select("doc_id"))
+    late = {r["doc_id"] for r in late.collect()}
+    assert len(late) > 800
+    made = [(i, t + (" fies" if v and i in late else " mild"), *rest, v) for i, t, *rest, v in made]
+    df = spark.createDataFrame(made, SCHEMA + ", toxic int")
+    asked = [(-i, f"tag haus {w} baum weg", None, "a", 0) for i, w in ((1, "fies"), (2, "mild"))]
+    docs = df.drop("toxic").union(spark.createDataFrame(asked, SCHEMA))
+    out = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, df.select("doc_id", "toxic")).filter("doc_id < 0").collect()}
+    assert out[-1] > 0.9 and out[-1] > out[-2] + 0.2
+
+
+def test_word_counts_equal_brute_force(spark):
+    made = [(i, prose(i, 30, 200), "en", "a", 0, int(i % 3 == 0)) for i in range(200)]
+    df = spark.createDataFrame(made, SCHEMA + ", toxic int")
+    rows = toxicity.labelled_rows(df.drop("toxic"), df.select("doc_id", "toxic"), 64, 40)
+    seen, numbers = np.zeros((2, 2, 64), int), toxicity.Numbers(64)
+    for i, text, *_, label in made:
+        if zlib.crc32(str(i).encode()) % 5:
+            for t in range(2):
+                seen[label, t][np.unique(numbers.of(text)[:, t])] += 1
+    assert rows.rdd.getNumPartitions() >= 5 and (np.array(toxicity.word_counts(rows, 64)) == seen).all()
+
+
+def test_training_does_not_depend_on_the_files(spark):
+    made = [(i, prose(i, 20, 300) + " grob" * (i % 4 == 0), "en", "a", 0, int(i % 4 == 0)) for i in range(400)]
+    df = spark.createDataFrame(made, SCHEMA + ", toxic int")
+    one, two = (toxicity.train(d.drop("toxic"), df.select("doc_id", "toxic"), shard_rows=150)
+                for d in (df.coalesce(1), df.orderBy(F.desc("doc_id")).repartition(7)))
+    assert (one.numbers() == two.numbers()).all() and one.shift == two.shift and one.thresholds == two.thresholds
+
+
 def test_long_texts_pool_over_all_parts():
     net = toxicity.Network(rows=64)
     net.begin(1)
