@@ -25,62 +25,126 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repolens.llm.shared import picked, raw_texts, slices
-from repolens.llm.token_counts import RankTable, merged_ids
+from repolens.llm.token_counts import RankTable, merged_flat
 
-#: Words whose ids a task remembers; the memory is emptied when it is full.
-REMEMBERED = 250_000
+#: Words outside the plain ones whose ids a task remembers; the memory is emptied when it is full.
+REMEMBERED = 100_000
+LETTER, MARK = 1, 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def byte_kinds() -> np.ndarray:
+    """LETTER for Latin letters, MARK for ASCII marks but the apostrophe, 0 for every other byte."""
+    kinds = np.zeros(256, np.uint8)
+    kinds[list(string.ascii_letters.encode())] = LETTER
+    kinds[list(string.punctuation.replace("'", "").encode())] = MARK
+    return kinds
+
+
+def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all values of a string or binary column in a row, and the length of each."""
+    if not len(column):
+        return np.empty(0, np.uint8), np.empty(0, np.int64)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data or b"", np.uint8)[ends[0]:ends[-1]], np.diff(ends).astype(np.int64)
+
+
+def from_flat(data: np.ndarray, size: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def ranges(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """flat[start:start + size] of each start, in a row."""
+    ends = np.cumsum(size)
+    return flat[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes, word by word.
 
     The vocabulary drops white space and no rule of it looks across white
-    space, so a text's ids are those of its words in a row. Plain words (Latin
-    letters, then ASCII marks) are lower-cased and merged in batches; the
-    library does every other word.
+    space, so a text's ids are those of its words in a row. The distinct words
+    of a batch are encoded once. Plain words (Latin letters, then ASCII marks)
+    are lower-cased and merged together, as arrays; the library does every
+    other word.
     """
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.stems, self.tails = Tokenizer.from_str(spec), {}, {}, {"": b""}
+        self.tokenizer, self.known, self.kinds = Tokenizer.from_str(spec), {}, byte_kinds()
         self.table = RankTable(json.loads(spec))
         self.marks = string.punctuation.replace("'", "")
 
-    def by_library(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: list[bytes]) -> None:
-        plain = []
+    def by_library(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of words or marks that the batches do not merge."""
+        if len(self.known) > REMEMBERED:
+            self.known = {}
         for w in words:
-            word = w.decode("utf-8", "replace")
+            if w not in self.known:
+                self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4")
+        return [self.known[w] for w in words]
+
+    def learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has."""
+        data, size = flat_bytes(words)
+        kind, filled = self.kinds[data], size > 0
+        starts = (np.cumsum(size) - size)[filled]
+        wrong = kind == 0
+        wrong[1:] |= (kind[1:] == LETTER) & (kind[:-1] == MARK)  # a letter behind a mark of the same word
+        wrong[starts] = kind[starts] != LETTER
+        plain = np.zeros(len(size), bool)
+        if len(starts):
+            plain[filled] = np.add.reduceat(wrong, starts, dtype=np.int64) == 0
+        other = np.flatnonzero(filled & ~plain)
+        inside = np.repeat(plain, size)
+        letters, marks = inside & (kind == LETTER), inside & (kind == MARK)
+        sizes = np.zeros((2, len(size)), np.int64)
+        if len(starts):
+            sizes[:, filled] = [np.add.reduceat(x, starts, dtype=np.int64) for x in (letters, marks)]
+        sizes = sizes[:, plain]
+
+        stem_of, tail_of, whole = [], [], []  # words with letters beyond ASCII, and words for the library
+        for i in other.tolist():
+            word = words[i].as_buffer().to_pybytes().decode("utf-8", "replace")
             stem = word.rstrip(self.marks)
             # below U+0250 letters are composed and have a lower case of their own, but for the dotted capital I
-            if stem.isalpha() and (stem.isascii() or max(stem) < "\u0250" and "\u0130" not in stem):
-                plain.append((w, stem.lower(), word[len(stem):]))
+            if stem.isalpha() and max(stem) < "\u0250" and "\u0130" not in stem:
+                stem_of.append((i, stem.lower().encode()))
+                tail_of.append(word[len(stem):].encode())
             else:
-                self.known[w] = self.by_library(word)
-        new = list({stem for _, stem, _ in plain if stem not in self.stems})
-        for at in range(0, len(new), 100_000):
-            part = new[at:at + 100_000]
-            raw = [s.encode() for s in part]
-            self.stems.update(zip(part, merged_ids(b"".join(raw), np.fromiter(map(len, raw), np.int64, len(raw)), self.table)))
-        for w, stem, tail in plain:
-            if tail not in self.tails:
-                if len(self.tails) > 10_000:
-                    self.tails = {"": b""}
-                self.tails[tail] = self.by_library(tail)
-            self.known[w] = self.stems[stem] + self.tails[tail]
+                whole.append((i, word))
+        stemmed = np.concatenate([np.flatnonzero(plain), np.array([i for i, _ in stem_of], np.int64)])
+        stems = pa.concat_arrays([from_flat(data[letters] | 32, sizes[0]), pa.array([x for _, x in stem_of], pa.binary())])
+        tails = pa.concat_arrays([from_flat(data[marks], sizes[1]), pa.array(tail_of, pa.binary())])
+        stems, tails = stems.dictionary_encode(), tails.dictionary_encode()
+        parts = self.by_library([x.decode() for x in tails.dictionary.to_pylist()]) + self.by_library([w for _, w in whole])
+        merged, merged_size = merged_flat(*flat_bytes(stems.dictionary), self.table)
+
+        # every word is a stem and a tail, or a whole word and nothing
+        pool = np.concatenate([merged, *parts])
+        n = np.concatenate([merged_size, np.fromiter(map(len, parts), np.int64, len(parts))])
+        at = np.cumsum(n) - n
+        pair = np.full((len(size), 2), -1)
+        pair[stemmed, 0] = stems.indices.to_numpy()
+        pair[stemmed, 1] = len(merged_size) + tails.indices.to_numpy()
+        pair[[i for i, _ in whole], 0] = np.arange(len(n) - len(whole), len(n))
+        at, n = np.append(at, 0), np.append(n, 0)  # place -1: nothing
+        return ranges(pool, at[pair].ravel(), n[pair].ravel()), n[pair].sum(axis=1)
 
     def encode(self, many: list[bytes]) -> list[bytes]:
-        split = [raw.split() for raw in many]
-        seen = set().union(*split) if split else set()
-        if len(self.known) + len(seen) > REMEMBERED:
-            self.known, self.stems = {}, {}
-        self.learn([w for w in seen if w not in self.known])
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, words)) for words in split]
+        import pyarrow.compute as pc
+
+        split = pc.ascii_split_whitespace(pa.array(many, pa.binary()).view(pa.string()))
+        coded = split.flatten().dictionary_encode()
+        flat, size = self.learn(coded.dictionary)
+        at, n = (np.cumsum(size) - size), size
+        word = coded.indices.to_numpy()
+        ids = ranges(flat, at[word], n[word]).astype("<u4").tobytes()
+        ends = 4 * np.concatenate([[0], np.cumsum(n[word])])[np.asarray(split.offsets) - split.offsets[0].as_py()]
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, most: int = 2048, closing_id: int = 0) -> DataFrame:
@@ -93,7 +157,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, most: int = 2048, closing_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, tail = Encoder(spec.value), np.array([closing_id], "<u4").tobytes()
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, 8 << 20):  # words that come again are encoded once a batch
             out: list[list] = [[], [], [], [], []]
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(raw_texts(batch.column(1)))):
                 ids += tail

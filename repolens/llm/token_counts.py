@@ -119,22 +119,22 @@ def merged_lengths(raw: bytes, lengths: np.ndarray, table: RankTable) -> np.ndar
     return out
 
 
-def merged_ids(raw: bytes, lengths: np.ndarray, table: RankTable) -> list[bytes]:
-    """Ids of each sequence as little-endian 32-bit bytes; the last byte of a sequence carries the word end."""
-    out: list[bytes] = [b""] * len(lengths)
-    given = np.frombuffer(raw, np.uint8)
+def merged_flat(given: np.ndarray, lengths: np.ndarray, table: RankTable) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all sequences in a row, and how many each has; the last byte of a sequence carries the word end."""
+    if not len(lengths):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     sym, ends = table.base[given], np.cumsum(lengths) - 1
     sym[ends] = table.base_end[given[ends]]
     rank = np.full(len(sym), NO_PAIR, np.int32)
-    rank[:-1] = table.rank(sym[:-1], sym[1:])
-
-    def done(which: np.ndarray, size: np.ndarray, left: np.ndarray) -> None:
-        flat, cuts = left.astype("<u4").tobytes(), (4 * np.cumsum(size)).tolist()
-        for i, a, b in zip(which.tolist(), [0, *cuts[:-1]], cuts):
-            out[i] = flat[a:b]
-
-    merge_all(sym, lengths, rank, table, done)
-    return out
+    rank[:-1] = table.of_bytes[given[:-1].astype(np.int32) * 256 + given[1:]]
+    last = ends[lengths > 1] - 1  # pairs whose right symbol carries the word end
+    rank[last] = table.rank(sym[last], sym[last + 1])
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    merge_all(sym, lengths, rank, table, lambda *part: found.append(part))
+    which, size, left = (np.concatenate(x) for x in zip(*found))
+    starts, order = np.cumsum(size) - size, np.argsort(which)
+    starts, size = starts[order], size[order]
+    return left[np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(len(left))], size
 
 
 class Counter:

@@ -73,6 +73,19 @@ def test_word_ids_equal_the_library(parts):
     assert ids == ENCODER.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_merges_plain_words_as_arrays():
+    """Plain words are no work of Python one by one; odd words among them get the library's ids."""
+    many = ["Plain words, again words!", "", " \t ", "don't a.b x) (y é Éa. ÜBER! İx 日本 12 ##", "<|endoftext|>", "a" * 300,
+            "\x00a \x7f\u0301 ß. ſ ĸ\u200b", "Words, wORDS words"]
+    encoder = packing.Encoder(open(WORDS, encoding="utf-8").read())
+    plain = [many[0], many[7]]
+    assert len(encoder.encode([t.encode() for t in plain])) == 2
+    assert not {w.lower() if isinstance(w, str) else w.decode().lower() for w in encoder.known} & {"plain", "words", "words,", "again", "words!"}
+    for batch in (many, many[1:3], [], ["one"]):
+        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([t.encode() for t in batch])]
+        assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in batch]
+
+
 def test_pack(spark):
     library = Tokenizer.from_file(WORDS)
     for given_rows, df in both(spark):
