@@ -257,6 +257,7 @@ def q_line_diff(spark, sf_dir):
 
 from repolens.operators import edits as ED  # noqa: E402
 from repolens.operators.ordinal import ordinal_within  # noqa: E402
+from repolens.operators.running import staged  # noqa: E402
 
 
 @register("line_edits", "Q14", oracle_with(["run_dumps"], """
@@ -265,10 +266,10 @@ SELECT side, path, position, line_no, line FROM numbered""".replace("\n, numbere
 def q_line_edits(spark, sf_dir):
     """Both files read back from the edit script, in its order."""
     (lines,) = fx(spark, sf_dir, "run_dumps")
-    script = ED.edit_script(lines).checkpoint(eager=True)
+    script = staged(ED.edit_script(lines))
     sides = [script.filter(F.col("status") != other).select(F.lit(side).alias("side"), "path", "seq", F.col(f"{side}_no").alias("line_no"), "line")
              for side, other in (("good", "removed"), ("bad", "added"))]
-    both = ordinal_within(sides[0].unionByName(sides[1]), ["side", "path"], ["seq"], "position")
+    both = ordinal_within(sides[0].unionByName(sides[1]), ["side", "path"], ["seq"], "position", blocks=True)
     return both.select("side", "path", "position", "line_no", "line")
 
 
